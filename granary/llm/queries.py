@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .bpe import digests
+from .packing import pack
 from .quality_rules import RULES, STOP_WORDS, judge_quality
+from .token_histogram import length_histogram
 from .url_rules import judge_urls
 
 #: The rules of the url query: host, path, action.
@@ -67,8 +70,26 @@ m as (select rid, concat(h, q) as rule, action, row_number() over (partition by
 select page_id, host, path, m.rule as rule, coalesce(m.action, 'allow') as verdict from p left join m on p.rid = m.rid and m.k = 1"""
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(_table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_histogram(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_quality_rules": op1_quality_rules, "op10_url_filters": op10_url_filters}
+    return {
+        "op1_quality_rules": op1_quality_rules,
+        "op4_bpe": op4_bpe,
+        "op7_packing": op7_packing,
+        "op9_token_counts": op9_token_counts,
+        "op10_url_filters": op10_url_filters,
+    }
 
 
 def oracle_sql() -> dict:
