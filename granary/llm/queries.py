@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .bpe import digests
 from .packing import pack
 from .quality_rules import RULES, STOP_WORDS, judge_quality
+from .simhash import near_duplicates
 from .token_histogram import length_histogram
 from .url_rules import judge_urls
 
@@ -74,6 +75,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
@@ -86,6 +92,7 @@ def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op4_bpe": op4_bpe,
+        "op6_simhash": op6_simhash,
         "op7_packing": op7_packing,
         "op9_token_counts": op9_token_counts,
         "op10_url_filters": op10_url_filters,
