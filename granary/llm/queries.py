@@ -8,8 +8,10 @@ from .bpe import digests
 from .packing import pack
 from .quality_rules import RULES, STOP_WORDS, judge_quality
 from .simhash import near_duplicates
+from .suffix_dedup import byte_digests
 from .token_histogram import length_histogram
 from .url_rules import judge_urls
+from .word_dedup import word_digests
 
 #: The rules of the url query: host, path, action.
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -75,6 +77,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"))
 
 
+def op5_word_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_digests(_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -84,6 +90,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_digests(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(_table(spark, sf_dir, "documents"))
 
@@ -92,8 +102,10 @@ def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op4_bpe": op4_bpe,
+        "op5_word_dedup": op5_word_dedup,
         "op6_simhash": op6_simhash,
         "op7_packing": op7_packing,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_token_counts": op9_token_counts,
         "op10_url_filters": op10_url_filters,
     }
