@@ -133,3 +133,9 @@ def judge_quality(docs: DataFrame, rules=RULES, text: str = "text", min_words: i
     df = quality_features(docs, text)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     return df.withColumns({"base_failed": failed, "kept": ~failed & _passes(rules)}).drop("_words", "_lines", "_windows", "one")
+
+
+def keep_good(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
+    """The rows of `docs` that are kept, with their own columns whatever those are called."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_document"), F.col(text))
+    return judge_quality(rows, rules, text).filter("kept").select("_document.*")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import digests
+from .knn_join import top_k
 from .packing import pack
 from .quality_rules import RULES, STOP_WORDS, judge_quality
+from .sharding import shard_documents
 from .simhash import near_duplicates
 from .suffix_dedup import byte_digests
 from .token_histogram import length_histogram
@@ -73,6 +75,23 @@ m as (select rid, concat(h, q) as rule, action, row_number() over (partition by
 select page_id, host, path, m.rule as rule, coalesce(m.action, 'allow') as verdict from p left join m on p.rid = m.rid and m.k = 1"""
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
+OP2_SQL = """
+with e as (select vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, e.vec_id as vec_id, cast(list_inner_product(q.v, e.v) as bigint) as score
+  from e as q join e on q.vec_id % 100 = 0 and q.vec_id <> e.vec_id),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 10"""
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"))
 
@@ -98,9 +117,17 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_top_k": op2_top_k,
+        "op3_sharding": op3_sharding,
         "op4_bpe": op4_bpe,
         "op5_word_dedup": op5_word_dedup,
         "op6_simhash": op6_simhash,
@@ -108,8 +135,9 @@ def queries() -> dict:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_token_counts": op9_token_counts,
         "op10_url_filters": op10_url_filters,
+        "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_quality_rules": _op1_sql(), "op10_url_filters": OP10_SQL}
+    return {"op1_quality_rules": _op1_sql(), "op2_top_k": OP2_SQL, "op10_url_filters": OP10_SQL}
