@@ -28,6 +28,9 @@ STOP_WORDS = (
 ).split()
 
 
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_shouts", "n_lines", "n_dup_lines", "n_stop_kinds", "n_repeat_words", "base_failed", "kept")
+
+
 @dataclass(frozen=True)
 class Rule:
     """A document passes when low * denominator <= numerator <= high * denominator (in hundredths)."""
@@ -132,7 +135,10 @@ def judge_quality(docs: DataFrame, rules=RULES, text: str = "text", min_words: i
     """`docs` with the features, base_failed and kept (false if base_failed, else every rule's verdict)."""
     df = quality_features(docs, text)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
-    return df.withColumns({"base_failed": failed, "kept": ~failed & _passes(rules)}).drop("_words", "_lines", "_windows", "one")
+    df = df.withColumns({"base_failed": failed, "kept": ~failed & _passes(rules)})
+    found = [c for c in df.columns if c in FEATURES]
+    # a generator of one row: filters on the verdict are not moved into the expressions it is made of
+    return df.select(*(F.col(f"`{c}`") for c in docs.columns if c not in FEATURES), F.inline(F.array(F.struct(*found))))
 
 
 def keep_good(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
