@@ -1 +1,249 @@
+"""Queries of fits, cross-validation and explanation."""
 
+from pyspark.sql import Window as W, functions as F
+
+from granary.functions.exprs import r9
+from granary.operators import fits as G, metrics as M
+
+from .base import query
+from .label_plans import LIFT, lifted
+
+X = ["x1", "x2", "x3"]
+
+
+def rows(t):
+    return lifted(t).select("row_id", "domain", "candidate_id", "kind", "chain_id", *X, F.col("lift_nll").alias("y"))
+
+
+@query("g1_ridge_fit")
+def g1(t):
+    fit = G.ridge(rows(t), X, "y", ["domain"])
+    return fit.select("domain", r9("base").alias("base"), *(r9(F.col("w")[i]).alias(f"w_{x}") for i, x in enumerate(X)))
+
+
+ONE = "avg(lift_nll) as base, stddev_pop(x2) as sd, covar_pop(x2, lift_nll) / stddev_pop(x2) * count(*) / (count(*) + 1) as w"
+
+
+@query("g1_ridge_fit_single", LIFT + f", f as (select domain, {ONE} from l group by 1) select domain, round(base, 9) + 0.0::double as base, round(w, 9) + 0.0::double as w from f")
+def g1s(t):
+    return G.ridge(rows(t), ["x2"], "y", ["domain"]).select("domain", r9("base").alias("base"), r9(F.col("w")[0]).alias("w"))
+
+
+@query(
+    "g2_ridge_single",
+    LIFT + """, f as (select domain, avg(lift_nll) as base, avg(x2) as mu, covar_pop(x2, lift_nll) / var_pop(x2) * count(*) / (count(*) + 1) as slope from l group by 1)
+select row_id, round(base + slope * (x2 - mu), 9) + 0.0::double as pred from l join f using (domain)""",
+)
+def g2(t):
+    data = rows(t)
+    fit = G.ridge(data, ["x2"], "y", ["domain"])
+    return data.join(fit, "domain").select("row_id", r9(G.predict(["x2"])).alias("pred"))
+
+
+@query("g3_gbt_fit")
+def g3(t):
+    return G.boosted_trees(rows(t), X, "y", 20).select("row_id", "pred")
+
+
+@query(
+    "g4_sign_audit",
+    LIFT + """, f as (select 'x2' as feature, covar_pop(x2, lift_nll) / stddev_pop(x2) * count(*) / (count(*) + 1) as weight, 1 as prior from l
+ union all select 'x3', covar_pop(x3, lift_nll) / stddev_pop(x3) * count(*) / (count(*) + 1), -1 from l)
+select feature, round(weight, 9) as weight, prior, sign(weight) = prior as agrees from f""",
+)
+def g4(t):
+    data = rows(t)
+    both = G.explain(G.ridge(data, ["x2"], "y"), ["x2"]).unionByName(G.explain(G.ridge(data, ["x3"], "y"), ["x3"]))
+    return G.sign_audit(both.select("feature", "weight"), {"x2": 1, "x3": -1}).withColumn("weight", r9("weight"))
+
+
+@query("g5_oof_predict")
+def g5(t):
+    return G.oof_predict(rows(t), "domain", X, "y").select("row_id", r9("pred").alias("pred"))
+
+
+OOF1 = LIFT + """, s as (select domain, count(*)::double as n, sum(x2) as x, sum(lift_nll) as y, sum(x2 * x2) as xx, sum(x2 * lift_nll) as xy from l group by 1),
+a as (select domain, sum(n) over () - n as n, sum(x) over () - x as x, sum(y) over () - y as y, sum(xx) over () - xx as xx, sum(xy) over () - xy as xy from s),
+f as (select domain, x / n as mu, y / n as base, (xy - x * y / n) / ((xx - x * x / n) / n * (n + 1)) as slope from a)"""
+
+
+@query("g5_oof_single", OOF1 + " select row_id, round(base + slope * (x2 - mu), 7) + 0.0::double as pred from l join f using (domain)")
+def g5s(t):
+    return G.oof_predict(rows(t), "domain", ["x2"], "y").select("row_id", (F.round("pred", 7) + 0.0).alias("pred"))
+
+
+@query(
+    "g6_loocv_single",
+    LIFT + """, s as (select count(*)::double as n, sum(x2) as x, sum(lift_nll) as y, sum(x2 * x2) as xx, sum(x2 * lift_nll) as xy from l),
+a as (select row_id, x2, n - 1 as n, x - x2 as x, y - lift_nll as y, xx - x2 * x2 as xx, xy - x2 * lift_nll as xy from l, s)
+select row_id, round(y / n + (xy - x * y / n) / ((xx - x * x / n) / n * (n + 1)) * (x2 - x / n), 7) + 0.0::double as pred from a""",
+)
+def g6s(t):
+    return G.oof_predict(rows(t), "row_id", ["x2"], "y").select("row_id", (F.round("pred", 7) + 0.0).alias("pred"))
+
+
+@query("g6_loocv")
+def g6(t):
+    return G.oof_predict(rows(t), "row_id", X, "y").select("row_id", r9("pred").alias("pred"))
+
+
+@query("g7_kfold_by_cohort")
+def g7(t):
+    data = rows(t).withColumn("fold", G.hash_fold("candidate_id", 5, 1))
+    return G.oof_predict(data, "fold", X, "y").select("row_id", "fold", r9("pred").alias("pred"))
+
+
+@query("g8_evaluate")
+def g8(t):
+    """Out-of-fold metrics of ridge by domain folds, its conformal interval, and whether it beats the mean."""
+    pred = G.oof_predict(rows(t), "domain", X, "y").select(F.col("row_id").alias("id"), F.col("domain").alias("grp"), "pred", F.col("y").alias("truth"))
+    errors = pred.agg(*M.error_columns(), F.count(F.lit(1)).alias("n"))
+    rank = M.within_group_spearman(pred)
+    half = G.conformal(pred.withColumn("_k", F.lit(0)), ["_k"], 0.2).drop("_k")
+    chance = pred.agg(F.stddev_pop("truth").alias("mean_rmse"))
+    one = errors.crossJoin(rank).crossJoin(half).crossJoin(chance)  # one row each
+    return one.withColumn("beats_mean", F.col("rmse") <= F.col("mean_rmse")).select("n", *(r9(c).alias(c) for c in ("rmse", "mae", "within_spearman", "q", "coverage")), "beats_mean")
+
+
+@query(
+    "g9_baselines",
+    LIFT + """, lg as (select domain, row_id, lift_nll as y, f as feature, case f when 'x2' then x2 else x3 end as x from l, (values ('x2'), ('x3')) q(f)),
+s as (select feature, domain, count(*)::double as n, sum(x) as x, sum(y) as y, sum(x * x) as xx, sum(x * y) as xy from lg group by 1, 2),
+a as (select feature, domain, sum(n) over w - n as n, sum(x) over w - x as x, sum(y) over w - y as y, sum(xx) over w - xx as xx, sum(xy) over w - xy as xy from s window w as (partition by feature)),
+f as (select feature, domain, x / n as mu, y / n as base, (xy - x * y / n) / ((xx - x * x / n) / n * (n + 1)) as slope from a)
+select feature, count(*) as n, round(sqrt(avg((base + slope * (lg.x - mu) - lg.y) * (base + slope * (lg.x - mu) - lg.y))), 7) as rmse from lg join f using (feature, domain) group by 1""",
+)
+def g9(t):
+    out = G.single_feature_baselines(rows(t).select("row_id", "domain", "y", "x2", "x3"), "domain", ["x2", "x3"], "y")
+    e = F.col("pred") - F.col("y")
+    return out.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.round(F.sqrt(F.avg(e * e)), 7).alias("rmse"))
+
+
+@query("g10_transfer")
+def g10(t):
+    data = rows(t)
+    out = G.transfer(data.filter("domain = 'BUILDING'"), data.filter("domain <> 'BUILDING'"), X, "y")
+    return out.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), r9(F.sqrt(F.avg((F.col("pred") - F.col("y")) ** 2))).alias("rmse"))
+
+
+def _spearman_by(pred, keys):
+    out = M.spearman(pred.withColumnRenamed("row_id", "id").withColumnRenamed("y", "truth"), keys)
+    return out.select(*keys, "n", r9("spearman").alias("spearman"))
+
+
+@query("g11_leave_one_domain_out")
+def g11(t):
+    return _spearman_by(G.oof_predict(rows(t), "domain", X, "y"), ["domain"])
+
+
+@query("g12_few_shot_transfer")
+def g12(t):
+    out = G.few_shot(rows(t), "domain", "row_id", [0, 5, 20], 3, X, "y", 2)
+    return out.groupBy("domain", "k").agg(F.count(F.lit(1)).alias("n"), r9(F.sqrt(F.avg((F.col("pred") - F.col("y")) ** 2))).alias("rmse"))
+
+
+@query("g13_leave_one_kind_out")
+def g13(t):
+    return _spearman_by(G.oof_predict(rows(t), "kind", X, "y"), ["kind"])
+
+
+@query(
+    "g14_conformal",
+    LIFT + """, r as (select domain, abs(lift_nll - x3 / 10) as r, abs(x3 / 10) as p, row_number() over (partition by domain order by abs(lift_nll - x3 / 10), row_id) as rn, count(*) over (partition by domain) as n from l),
+q as (select domain, r as q from r where rn = least(n, ceil((n + 1) * 0.8::double)))
+select domain, round(max(q), 9) as q, round(avg(case when r <= q then 1.0 else 0.0 end), 9) as coverage, round(avg(case when p < q then 1.0 else 0.0 end), 9) as indeterminate from r join q using (domain) group by 1""",
+)
+def g14(t):
+    data = rows(t).select(F.col("row_id").alias("id"), "domain", (F.col("x3") / 10).alias("pred"), F.col("y").alias("truth"))
+    return G.conformal(data, ["domain"], 0.2).select("domain", *(r9(c).alias(c) for c in ("q", "coverage", "indeterminate")))
+
+
+@query("g15_explain")
+def g15(t):
+    return G.explain(G.ridge(rows(t), X, "y"), X, 3).select("feature", r9("weight").alias("weight"), "rank")
+
+
+@query("g16_ridge_snapshots")
+def g16(t):
+    fit = G.snapshots(rows(t), ["candidate_id"], ["row_id"], ["x2", "x3"], "y")
+    return fit.select("candidate_id", "t", r9("base").alias("base"), r9(F.col("w")[0]).alias("w_x2"), r9(F.col("w")[1]).alias("w_x3"))
+
+
+@query("g17_prequential_ridge")
+def g17(t):
+    return G.prequential(rows(t), ["candidate_id"], ["row_id"], ["x2", "x3"], "y", fallback="x2").select("row_id", r9("pred").alias("pred"))
+
+
+WATER = {"x1": (0.3, 4.0, 3.0), "x2": (-0.2, 0.5, 0.3), "x3": (0.9, 2.0, 0.8)}
+
+
+@query(
+    "g18_contributions",
+    """, p as (select row_id, f as feature, case f when 'x1' then coalesce((x1 - 4.0::double) / 3.0::double, 0) * 0.3::double when 'x2' then (x2 - 0.5::double) / 0.3::double * -0.2::double else (x3 - 2.0::double) / 0.8::double * 0.9::double end::double as part from v_labels, (values ('x1'), ('x2'), ('x3')) q(f)),
+r as (select *, least(row_number() over (partition by row_id order by abs(part) desc, feature), 3) as place from p),
+g as (select row_id, place, case when place > 2 then 'other features' else min(feature) end as feature, sum(part) as part from r group by 1, 2)
+select row_id, place, feature, round(part, 6) + 0.0::double as part, round(0.1::double + sum(part) over (partition by row_id order by place), 6) + 0.0::double as "end" from g""",
+)
+def g18(t):
+    out = G.contributions(rows(t), "row_id", WATER, 0.1, 2)
+    return out.select("row_id", F.col("place").cast("long").alias("place"), "feature", *((F.round(c, 6) + 0.0).alias(c) for c in ("part", "end")))
+
+
+@query("g19_weight_pca")
+def g19(t):
+    e = t["embeddings"].select(F.slice("embedding", 1, 8).alias("v"))
+    return G.principal_axes(e, "v", 3).select("component", r9("explained").alias("explained"), F.transform("loadings", lambda x: F.round(x, 6)).alias("loadings"))
+
+
+@query(
+    "g20_weight_deltas",
+    """, w as (select label, vec_id, i as feature, cast(embedding[i + 1] as double) as w from embeddings, range(0, 8) q(i)),
+d as (select *, w - coalesce(lag(w) over (partition by label, feature order by vec_id), 0) as delta from w),
+r as (select *, sqrt(sum(delta * delta) over (partition by label, vec_id)) as norm, row_number() over (partition by label, vec_id order by abs(delta) desc, feature) as rank from d)
+select label, vec_id, cast(feature as int) as feature, round(delta, 9) + 0.0::double as delta, round(norm, 9) as norm, cast(rank as int) as rank from r where rank <= 3""",
+)
+def g20(t):
+    w = t["embeddings"].select("label", "vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("feature", "w")).withColumn("w", F.col("w").cast("double"))
+    return G.weight_deltas(w, ["label"], "vec_id", "feature", "w", 3).select("label", "vec_id", "feature", r9("delta").alias("delta"), r9("norm").alias("norm"), "rank")
+
+
+@query("g21_gradient_field")
+def g21(t):
+    stats = G.statistics(rows(t).withColumn("_z", F.lit(0)), ["_z"], ["x2", "x3"], "y")
+    vectors = t["embeddings"].select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double")).alias("w"))
+    return G.loss_surface(stats, vectors, 2).select("id", F.round("loss", 6).alias("loss"), F.transform("gradient", lambda x: F.round(x, 6)).alias("gradient"))
+
+
+@query("g22_feature_config_sweep")
+def g22(t):
+    data = rows(t)
+    out = None
+    for name, features in (("x1", ["x1"]), ("x2+x3", ["x2", "x3"]), ("all", X)):
+        part = _spearman_by(G.oof_predict(data, "domain", features, "y"), ["domain"]).withColumn("config", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    "g23_loo_linear",
+    LIFT + """, s as (select domain, count(*)::double as n, sum(x3) as x, sum(lift_nll) as y, sum(x3 * x3) as xx, sum(x3 * lift_nll) as xy from l group by 1),
+a as (select row_id, x3, s.n - 1 as n, s.x - x3 as x, s.y - lift_nll as y, s.xx - x3 * x3 as xx, s.xy - x3 * lift_nll as xy from l join s using (domain))
+select row_id, round(y / n + (xy / n - x / n * y / n) / (xx / n - x / n * x / n + 1e-12) * (x3 - x / n), 7) + 0.0::double as pred from a""",
+)
+def g23(t):
+    return G.loo_linear(rows(t).select("row_id", "domain", "x3", "y"), ["domain"], "x3", "y").select("row_id", (F.round("pred", 7) + 0.0).alias("pred"))
+
+
+@query("g24_zslope", LIFT + " select domain, round(covar_pop(x3, lift_nll) / (stddev_pop(x3) + 1e-9), 9) + 0.0::double as slope from l group by 1")
+def g24(t):
+    return G.zslope(rows(t), ["domain"], "x3", "y").select("domain", r9("slope").alias("slope"))
+
+
+@query("g25_backend_ablation")
+def g25(t):
+    data = rows(t)
+    fold = data.filter("chain_id = 0")
+    e = lambda c: r9(F.sqrt(F.avg((F.col(c) - F.col("y")) ** 2)))
+    ridge = G.oof_predict(fold, "domain", X, "y").agg(e("pred").alias("rmse"), F.count(F.lit(1)).alias("n")).withColumn("backend", F.lit("ridge"))
+    trees = G.boosted_trees(fold, X, "y", 10).agg(e("pred").alias("rmse"), F.count(F.lit(1)).alias("n")).withColumn("backend", F.lit("trees, in sample"))
+    return ridge.unionByName(trees)
