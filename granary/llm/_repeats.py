@@ -8,6 +8,10 @@ windows around it. Three digits of growing depth then settle all windows:
 2. the whole run: runs of one content are equal window by window;
 3. single windows, for the runs of an anchor that differ, which are few: the ends of repeats.
 
+Where anchors are short beside the window, a digit comes between: two runs that share a window agree
+on half of the window's rest either before or behind the anchor. Only those go on to the third, with
+the windows on that side.
+
 Every step is a shuffle of packed arrays. Records are bucketed by the leading bits of their digit and
 sorted inside the bucket. A task sends one record for each digit, however often that occurs in it, so
 a passage that many documents share stays as many records as there are tasks. What is settled goes
@@ -33,7 +37,8 @@ BUCKET_BYTES, GROUP_BYTES, FLUSH_BYTES = 32 << 20, 8 << 20, 8 << 20
 SETTLED, OPEN = 1, 2
 _BASE = 0xC2B2AE3D27D4EB4F
 
-_BLOBS = ("docs", "rows", "d", "s", "n", "h1", "h2", "m")
+_BLOBS = ("docs", "rows", "d", "s", "n", "h1", "h2", "m", "sides")
+_SIDES = np.dtype([("left", "<u2"), ("right", "<u2"), ("at", "<u2")])
 _RECORDS = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("kind", pa.int32()), ("many", pa.int64()), *((b, pa.binary()) for b in _BLOBS)])
 _RECORDS_SQL = "bucket int, g int, kind int, many long, " + ", ".join(f"{b} binary" for b in _BLOBS)
 
@@ -42,12 +47,18 @@ _RECORDS_SQL = "bucket int, g int, kind int, many long, " + ", ".join(f"{b} bina
 class Windows:
     """length: tokens of a window. tokens(texts) gives keys and the offsets of the texts in them.
     anchors(keys, ends, spans) gives positions, run starts, run ends (inclusive) and anchor hashes.
-    keep_first: a window is removed if an equal one starts earlier; else if an equal one is anywhere."""
+    keep_first: a window is removed if an equal one starts earlier; else if an equal one is anywhere.
+    anchor: tokens of an anchor, where runs are also told apart by the halves beside it; else 0."""
 
     length: int
     tokens: Callable
     anchors: Callable
     keep_first: bool
+    anchor: int = 0
+
+    @property
+    def half(self) -> int:
+        return (self.length - self.anchor) // 2
 
 
 def _small(x: np.ndarray) -> bytes:
@@ -65,11 +76,12 @@ class _Rows:
     def __init__(self):
         self.columns: list[list] = [[] for _ in _RECORDS]
 
-    def add(self, bucket: int, g: int, kind: int, doc: np.ndarray, row: np.ndarray, d: np.ndarray, s: np.ndarray, n: np.ndarray, h1=None, h2=None, m=None) -> None:
+    def add(self, bucket: int, g: int, kind: int, doc: np.ndarray, row: np.ndarray, d: np.ndarray, s: np.ndarray, n: np.ndarray, h1=None, h2=None, m=None, sides=None) -> None:
         used, local = np.unique(d, return_inverse=True)
         values = (
             bucket, g, kind, len(d), doc[used].astype("<i8").tobytes(), row[used].astype("<i8").tobytes(), _small(local), _small(s), _small(n),
             None if h1 is None else h1.tobytes(), None if h2 is None else h2.astype("<u8").tobytes(), None if m is None else m.astype("<u1").tobytes(),
+            None if sides is None else sides.tobytes(),
         )
         for c, v in zip(self.columns, values):
             c.append(v)
@@ -87,15 +99,16 @@ class _Rows:
 
 
 def _open_rows(table: pa.Table, kind: int | None = None):
-    """The packed records of a table as flat arrays: doc, row, s, n, h1, h2, m."""
-    out: list[list] = [[] for _ in range(7)]
-    for k, many, docs, rows, d, s, n, h1, h2, m in zip(*(table.column(c).to_pylist() for c in ("kind", "many", *_BLOBS))):
+    """The packed records of a table as flat arrays: doc, row, s, n, h1, h2, m, sides."""
+    out: list[list] = [[] for _ in range(8)]
+    for k, many, docs, rows, d, s, n, h1, h2, m, sides in zip(*(table.column(c).to_pylist() for c in ("kind", "many", *_BLOBS))):
         if kind is not None and k != kind or not many:
             continue
         d = _read(d, many)
         values = (
             np.frombuffer(docs, "<i8")[d], np.frombuffer(rows, "<i8")[d], _read(s, many), _read(n, many),
             None if h1 is None else np.frombuffer(h1, f"<u{len(h1) // many}").astype(np.uint64), None if h2 is None else np.frombuffer(h2, "<u8"), None if m is None else np.frombuffer(m, "<u1"),
+            None if sides is None else np.frombuffer(sides, _SIDES),
         )
         for c, v in zip(out, values):
             c.append(v)
@@ -136,7 +149,7 @@ def _settle(c: _Classes, m: np.ndarray, keep_first: bool) -> np.ndarray:
     return c.spread(times > 1)
 
 
-def _send(out: _Rows, windows: Windows, buckets: int, groups: int, h1, h2, doc_of, row_of, d, s, n, narrow: bool) -> None:
+def _send(out: _Rows, windows: Windows, buckets: int, groups: int, h1, h2, doc_of, row_of, d, s, n, narrow: bool, sides=None) -> None:
     """A task's records: one of each class to its bucket; what the task can settle itself to the documents' groups."""
     c = _Classes(h1, h2, doc_of[d], s)
     many = c.size > 1
@@ -148,7 +161,7 @@ def _send(out: _Rows, windows: Windows, buckets: int, groups: int, h1, h2, doc_o
     flag = c.spread(many)[i]
     bucket = ((h1[i] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
     sent = h1[i].astype("<u4") if narrow else h1[i]
-    out.add_by(bucket, "bucket", 0, doc_of, row_of, d[i], s[i], n[i], h1=sent, h2=h2[i], m=flag)
+    out.add_by(bucket, "bucket", 0, doc_of, row_of, d[i], s[i], n[i], h1=sent, h2=h2[i], m=flag, **({} if sides is None else {"sides": sides[i]}))
 
 
 def _pass_on(table: pa.Table, out: _Rows) -> None:
@@ -181,7 +194,7 @@ def remove_repeats(docs: DataFrame, windows: Windows, finish: Callable, schema:
             out = _Rows()
             columns = [np.concatenate(x) for x in zip(*held)]
             if len(columns[0]):
-                _send(out, windows, buckets, groups, columns[0], columns[1], np.concatenate(doc), np.concatenate(row), *columns[2:], True)
+                _send(out, windows, buckets, groups, columns[0], columns[1], np.concatenate(doc), np.concatenate(row), *columns[2:5], True, *columns[5:])
             return out.batch()
 
         for part in pieces(batches, text):
@@ -190,7 +203,15 @@ def remove_repeats(docs: DataFrame, windows: Windows, finish: Callable, schema:
             at, s, e, h1 = windows.anchors(keys, ends, spans)
             h2 = spans(s, e + length) + ((at - s) * 1000003 + (e - s)).astype(np.uint64) * np.uint64(_BASE)
             d = np.searchsorted(ends, s, "right") - 1
-            held.append((h1, h2, d + count, s - ends[d], e - s))
+            columns = (h1, h2, d + count, s - ends[d], e - s)
+            if windows.anchor:
+                sides = np.zeros(len(at), _SIDES)
+                sides["at"] = at - s
+                for side, begin, ok in (("left", at - windows.half, at - s >= windows.half), ("right", at + windows.anchor, e + length - at - windows.anchor >= windows.half)):
+                    b = begin[ok]
+                    sides[side][ok] = 1 + (spans(b, b + windows.half) % np.uint64(65535)).astype("<u2")
+                columns = (*columns, sides)
+            held.append(columns)
             doc.append(part.column(0).to_numpy(zero_copy_only=False))
             row.append(part.column(1).to_numpy(zero_copy_only=False))
             count, load = count + part.num_rows, load + part.column(2).nbytes
@@ -200,10 +221,21 @@ def remove_repeats(docs: DataFrame, windows: Windows, finish: Callable, schema:
         if held:
             yield flush()
 
+    def halves(c, classes, s, n, sides):
+        """Records, starts and lengths of the windows on a side where several classes of an anchor agree."""
+        rep = c.first[classes]
+        middle = s[rep] + sides["at"][rep] - windows.half  # the last window with half of its rest before the anchor
+        last = s[rep] + n[rep]
+        for side, begin, end in (("left", s[rep], np.minimum(last, middle)), ("right", np.maximum(s[rep], middle), last)):
+            mark = sides[side][rep].astype(np.uint64)
+            _, which, many = np.unique(c.group[classes] << np.uint64(16) ^ mark, return_inverse=True, return_counts=True)
+            ok = (mark > 0) & (many[which] > 1) & (begin <= end)
+            yield rep[ok], begin[ok], (end - begin)[ok]
+
     def compare(table: pa.Table) -> pa.Table:
         out = _Rows()
         _pass_on(table, out)
-        doc, row, s, n, h1, h2, m = _open_rows(table, 0)
+        doc, row, s, n, h1, h2, m, sides = _open_rows(table, 0)
         if len(doc):
             c = _Classes(h1, h2, doc, s)
             gone = _settle(c, m, keep_first)
@@ -213,8 +245,12 @@ def remove_repeats(docs: DataFrame, windows: Windows, finish: Callable, schema:
             edge = np.diff(c.group, prepend=c.group[0] + np.uint64(1)) != 0
             kinds = np.diff(np.append(np.flatnonzero(edge), len(c.group)))
             differ = np.repeat(kinds > 1, kinds)  # classes whose anchor has other runs too
-            speak = c.spread(differ) & ~c.later if keep_first else np.isin(index, c.first[differ])
-            out.add_by(g[speak], "g", OPEN, doc, row, index[speak], s[speak], n[speak])
+            if windows.anchor:
+                for i, b, m2 in halves(c, np.flatnonzero(differ), s, n, sides):
+                    out.add_by(g[i], "g", OPEN, doc, row, i, b, m2)
+            else:
+                speak = c.spread(differ) & ~c.later if keep_first else np.isin(index, c.first[differ])
+                out.add_by(g[speak], "g", OPEN, doc, row, index[speak], s[speak], n[speak])
         return pa.Table.from_batches([out.batch()])
 
     def places(table: pa.Table) -> dict:
@@ -248,7 +284,7 @@ def remove_repeats(docs: DataFrame, windows: Windows, finish: Callable, schema:
     def compare_single(table: pa.Table) -> pa.Table:
         out = _Rows()
         _pass_on(table, out)
-        doc, row, s, n, h1, h2, m = _open_rows(table, 0)
+        doc, row, s, n, h1, h2, m, _ = _open_rows(table, 0)
         if len(doc):
             gone = _settle(_Classes(h1, h2, doc, s), m, keep_first)
             g = (row.astype(np.uint64) % np.uint64(groups)).astype(np.int64)

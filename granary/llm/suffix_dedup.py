@@ -4,8 +4,8 @@ Suffixes are ordered only through their first 200 bytes, by digits taken most si
 only to tell equal from different: buckets that hold one suffix leave after each pass, and the groups
 left at full depth are the repeated 200-byte strings. To keep a pass small, suffixes that share the
 smallest 32-byte gram of their 200 bytes at one spot travel as one run. The first digit is that gram,
-the second the run's whole content, the third each suffix's 200 bytes, for runs that differ only
-(see _repeats). All occurrences of a repeated string are removed, as it also starts elsewhere.
+the second the run's whole content, then for runs that differ the 84 bytes beside the gram, and last
+each suffix's 200 bytes (see _repeats). All occurrences of a repeated string are removed, as it also starts elsewhere.
 
 Defined results: a null text has no bytes. Repeated rows are different documents and remove each
 other. Rows with a null doc_id stay whole.
@@ -59,7 +59,7 @@ def least_gram_anchors(keys, ends, spans):
     return spot, s, e, h[spot]
 
 
-BYTE_WINDOWS = Windows(DEPTH, byte_tokens, least_gram_anchors, False)
+BYTE_WINDOWS = Windows(DEPTH, byte_tokens, least_gram_anchors, False, GRAM)
 
 
 def byte_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
