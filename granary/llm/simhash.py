@@ -140,9 +140,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, key: str
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` without all but the least row of each component. Rows of one key are one document; rows without a key stay."""
     judged = near_duplicates(docs.select(key, text), shingle, radius, key, text).filter(F.col(key).isNotNull())
-    fate = judged.groupBy(key).agg(F.max(F.col("component_id") < F.col(key)).alias("_drop"), F.count(F.lit(1)).alias("_rows"))
-    fate = stored(fate, "simhash-fate")
-    again = fate.filter("_rows > 1").select(key)
-    kept = docs.join(fate.filter("_drop or _rows > 1").select(key), key, "left_anti")
-    once = docs.join(again.join(fate.filter("not _drop"), key, "left_semi"), key, "left_semi").dropDuplicates([key])
-    return kept.unionByName(once).select(docs.columns)
+    fate = stored(judged.groupBy(key).agg(F.max(F.col("component_id") < F.col(key)).alias("_drop"), F.count(F.lit(1)).alias("_rows")), "simhash-fate")
+    # both tables grow with the documents: neither is broadcast, and the documents are shuffled once
+    leave = fate.filter("_drop or _rows > 1").select(key).hint("shuffle_hash")
+    kept = docs.join(leave, key, "left_anti")
+    again = fate.filter("_rows > 1 and not _drop").select(key)
+    if again.isEmpty():
+        return kept.select(docs.columns)
+    once = docs.join(again.hint("shuffle_hash"), key, "left_semi").dropDuplicates([key])
+    return kept.select(docs.columns).unionByName(once.select(docs.columns))
