@@ -30,6 +30,8 @@ from ._shared import stored
 from .bpe import Tokenizer
 
 SEQUENCE, QUANTUM, MAX_QUEUES = 2048, 512, 1024
+#: Rows of starts, one for each task and queue, up to which they are broadcast instead of shuffling the ids.
+MAX_BROADCAST = 200_000
 
 PIECES = T.StructType(
     [T.StructField("doc_id", T.LongType())]
@@ -140,6 +142,8 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, weights: dic
     begins = parts.select("queue", "task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
     totals = sorted((r[0], r[1]) for r in encoded.groupBy("queue").agg(F.sum("n_tokens")).collect())  # at most MAX_QUEUES rows
     plan = Plan(totals, {f"={k}": v for k, v in weights.items()} if weights else None)
+    if parts.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        begins = F.broadcast(begins)  # some 50 bytes for each task and queue
     width = 2 if model.size <= 1 << 16 else 4
     placed = encoded.join(begins, ["queue", "task"]).select("doc_id", "queue", (F.col("place") + F.col("_begin")).alias("at"), "n_tokens", "ids")
 
