@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ._shared import stored
 from .bpe import token_counts
 
 BLOCK = 256
@@ -20,7 +21,7 @@ BLOCK = 256
 
 def length_histogram(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
     lengths = token_counts(docs.select(text), path, text, "length")
-    by_length = lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n_docs")).withColumn("_block", F.floor(F.col("length") / BLOCK))
+    by_length = stored(lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n_docs")), "token-lengths").withColumn("_block", F.floor(F.col("length") / BLOCK))
     tokens = F.col("n_docs") * F.col("length")
     inside = W.partitionBy("_block").orderBy(F.desc("length"))
     rows = by_length.withColumns({"_docs": F.sum("n_docs").over(inside), "_tokens": F.sum(tokens).over(inside)})
