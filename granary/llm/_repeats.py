@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ._bytes import Spans, pieces, ranges
 from ._shared import stored, text_bytes
 
-BUCKET_BYTES, GROUP_BYTES, FLUSH_BYTES = 32 << 20, 8 << 20, 8 << 20
+BUCKET_BYTES, GROUP_BYTES, FLUSH_BYTES = 16 << 20, 8 << 20, 8 << 20
 SETTLED, OPEN = 1, 2
 _BASE = 0xC2B2AE3D27D4EB4F
 
@@ -183,7 +183,7 @@ def remove_repeats(docs: DataFrame, windows: Windows, finish: Callable, schema:
     spark = docs.sparkSession
     size = text_bytes(docs, text)
     buckets = max(-(-size // BUCKET_BYTES), min(32, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    groups = max(-(-size // GROUP_BYTES), 1)
+    groups = max(-(-size // GROUP_BYTES), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     keyed = _row_key(docs, key, text)
     length, keep_first = windows.length, windows.keep_first
 
