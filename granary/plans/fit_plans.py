@@ -182,11 +182,11 @@ WATER = {"x1": (0.3, 4.0, 3.0), "x2": (-0.2, 0.5, 0.3), "x3": (0.9, 2.0, 0.8)}
     """, p as (select row_id, f as feature, case f when 'x1' then coalesce((x1 - 4.0::double) / 3.0::double, 0) * 0.3::double when 'x2' then (x2 - 0.5::double) / 0.3::double * -0.2::double else (x3 - 2.0::double) / 0.8::double * 0.9::double end::double as part from v_labels, (values ('x1'), ('x2'), ('x3')) q(f)),
 r as (select *, least(row_number() over (partition by row_id order by abs(part) desc, feature), 3) as place from p),
 g as (select row_id, place, case when place > 2 then 'other features' else min(feature) end as feature, sum(part) as part from r group by 1, 2)
-select row_id, place, feature, round(part, 6) + 0.0::double as part, round(0.1::double + sum(part) over (partition by row_id order by place), 6) + 0.0::double as "end" from g""",
+select row_id, place, feature, round(part, 10) + 0.0::double as part, round(0.1::double + sum(part) over (partition by row_id order by place), 10) + 0.0::double as "end" from g""",
 )
 def g18(t):
     out = G.contributions(rows(t), "row_id", WATER, 0.1, 2)
-    return out.select("row_id", F.col("place").cast("long").alias("place"), "feature", *((F.round(c, 6) + 0.0).alias(c) for c in ("part", "end")))
+    return out.select("row_id", F.col("place").cast("long").alias("place"), "feature", *((F.round(c, 10) + 0.0).alias(c) for c in ("part", "end")))
 
 
 @query("g19_weight_pca")

@@ -1 +1,118 @@
+"""Streaming queries: each drains what is there and returns its sink; SQL gives the batch result."""
 
+from pyspark.sql import functions as F
+
+from granary.functions.exprs import r9
+from granary.sources.scratch import scratch
+from granary.streaming import jobs as J
+
+from .base import query
+
+
+def stream(t, table):
+    """The table as a stream of its files, one in each micro-batch; event times in UTC."""
+    rows = t.spark.readStream.schema(t[table].schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", f"{table}.parquet").parquet(t.path)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
+
+
+def drained(t, df, name):
+    out = scratch(t.spark, name)
+    J.run_available(df, f"{out}/log", f"{out}/rows")
+    return t.spark.read.schema(df.schema).parquet(f"{out}/rows")
+
+
+@query("k1_ingest_labels", " select distinct user_id, event_type from events")
+def k1(t):
+    once = J.ingest(stream(t, "events").select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", "3650 days")
+    return drained(t, once, "k1").select("user_id", "event_type")
+
+
+@query("k2_progress_counts", " select event_type, count(*) as labels_done, arg_max(event_id, row(ts, event_id)) as latest_id from events group by 1")
+def k2(t):
+    out = scratch(t.spark, "k2")
+    latest = {}
+
+    def keep(batch, number):
+        batch.write.parquet(f"{out}/state-{number}")
+        latest["path"] = f"{out}/state-{number}"
+
+    J.run_available(J.progress(stream(t, "events"), "event_type", "ts", "event_id"), f"{out}/log", each=keep, mode="complete")
+    return t.spark.read.parquet(latest["path"]).select("event_type", "labels_done", F.col("latest.event_id").alias("latest_id"))
+
+
+STATUS = """, e as (select event_type, ts, event_id, value > 9 as g from events),
+c as (select event_type, ts, event_id, g, count(*) filter (g) over (partition by event_type order by ts, event_id rows between unbounded preceding and current row) as n from e),
+f as (select *, row_number() over (partition by event_type, n order by ts, event_id) - case when n > 0 then 1 else 0 end as flat from c),
+st as (select event_type, ts, event_id, n, flat, case when n >= 240 then 'DONE' when n > 0 and flat >= 4 then 'STALL' when n = 0 and flat >= 12 then 'STUCK' else 'OK' end as status from f)"""
+
+
+def ticks(t):
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    return t["events"].select("event_type", "ts", "event_id", F.count_if(F.col("value") > 9).over(w).alias("n"))
+
+
+@query("k3_stall_detector", STATUS + " select event_type, event_id, n, flat, status from st")
+def k3(t):
+    rows = stream(t, "events").select("event_type", "ts", "event_id", (F.col("value") > 9).alias("grows"))
+    return drained(t, J.stall_stream(rows, "event_type", "ts", "event_id", "grows"), "k3")
+
+
+@query("k3_stall_batch", STATUS + " select event_type, event_id, n, flat, status from st")
+def k3b(t):
+    return J.stall_status(ticks(t), "event_type", ["ts", "event_id"], "n").select("event_type", "event_id", "n", F.col("flat").cast("long").alias("flat"), "status")
+
+
+@query("k4_transition_alerts", STATUS + ", b as (select *, lag(status) over (partition by event_type order by ts, event_id) as before from st) select event_type, event_id, before, status from b where before is distinct from status")
+def k4(t):
+    s = J.stall_status(ticks(t), "event_type", ["ts", "event_id"], "n")
+    return J.transitions(s, "event_type", ["ts", "event_id"]).select("event_type", "event_id", "before", "status")
+
+
+@query("k5_online_predictor")
+def k5(t):
+    rows = stream(t, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 97 / 97.0).alias("x2"), (F.col("o_orderkey") % 13 / 13.0).alias("x3"), (F.col("o_totalprice") / 100000.0).alias("y"))
+    return drained(t, J.online_predictor(rows, "o_custkey", "o_orderkey", ["x2", "x3"], "y"), "k5").select("o_orderkey", r9("pred").alias("pred"))
+
+
+@query(
+    "k6_age_alert",
+    """, m as (select max(ts) as now from events) select event_id, cast(floor((epoch_us(now) - epoch_us(ts)) / 60e6) as bigint) as age_minutes,
+  case when event_type = 'error' then 'DEAD' when event_type in ('click', 'view') and (epoch_us(now) - epoch_us(ts)) / 60e6 > 8 then 'STUCK' else 'OK' end as alert from events, m""",
+)
+def k6(t):
+    e = t["events"].withColumn("ts", F.col("ts").cast("timestamp"))
+    now = e.agg(F.max("ts").alias("now"))  # one row
+    state = F.when(F.col("event_type").isin("click", "view"), "PROVISIONING").when(F.col("event_type") == "error", "DEAD").otherwise("ACTIVE")
+    out = J.age_alert(e.crossJoin(F.broadcast(now)).withColumn("state", state), "state", "ts", F.col("now"))
+    return out.select("event_id", F.floor("age_minutes").alias("age_minutes"), "alert")
+
+
+@query(
+    "k7_running_gate",
+    """, p as (select user_id, avg(value) as m, var_samp(value) as s, count(*) as n from events group by 1), g as (select count(*) as n_cohorts, avg(s) filter (n >= 2) as w, var_samp(m) as b from p)
+select n_cohorts, round(b / (b + w), 7) as icc, case when b / (b + w) >= 0.5 then 'strong_signal' when b / (b + w) >= 0.2 then 'usable_signal' else 'noise_dominated' end as verdict from g""",
+)
+def k7(t):
+    out = scratch(t.spark, "k7")
+    spark = t.spark
+    held = {"path": None}
+
+    def merge(batch, number):
+        old = spark.read.parquet(held["path"]) if held["path"] else spark.createDataFrame([], "user_id long, n long, s double, q double")
+        J.merge_cohort_sums(old, batch, "user_id", "value").write.parquet(f"{out}/sums-{number}")
+        held["path"] = f"{out}/sums-{number}"
+
+    J.run_available(stream(t, "events"), f"{out}/log", each=merge)
+    return J.gate_from_sums(spark.read.parquet(held["path"])).select("n_cohorts", F.round("icc", 7).alias("icc"), "verdict")
+
+
+@query("k8_windowed_label_rate", " select time_bucket(interval '1 hour', ts) as start, count(*) as n, round(sum(value), 6) as total from events group by 1")
+def k8(t):
+    return J.label_rate(t["events"], "ts", "1 hour").select("start", "n", F.round("total", 6).alias("total"))
+
+
+@query("k8_label_rate_stream")
+def k8s(t):
+    return drained(t, J.label_rate(stream(t, "events"), "ts", "1 hour", "10 minutes"), "k8")
