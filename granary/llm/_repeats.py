@@ -170,8 +170,11 @@ def _pass_on(table: pa.Table, out: _Rows) -> None:
             c.append(r[f.name])
 
 
-def _row_key(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.withColumn("_row", F.xxhash64(F.col(key), F.col(text)))
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the documents do not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
 def remove_repeats(docs: DataFrame, windows: Windows, finish: Callable, schema: T.StructType, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -184,7 +187,8 @@ def remove_repeats(docs: DataFrame, windows: Windows, finish: Callable, schema:
     size = text_bytes(docs, text)
     buckets = max(-(-size // BUCKET_BYTES), min(32, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     groups = max(-(-size // GROUP_BYTES), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keyed = _row_key(docs, key, text)
+    mark, dealt_by = _free(docs, "_row"), _free(docs, "_g")
+    keyed = docs.withColumn(mark, F.xxhash64(F.col(key), F.col(text)))
     length, keep_first = windows.length, windows.keep_first
 
     def find(batches):
@@ -255,7 +259,7 @@ def remove_repeats(docs: DataFrame, windows: Windows, finish: Callable, schema:
 
     def places(table: pa.Table) -> dict:
         found: dict = {}
-        for i, k in enumerate(zip(table.column(key).to_pylist(), table.column("_row").to_pylist())):
+        for i, k in enumerate(zip(table.column(key).to_pylist(), table.column(mark).to_pylist())):
             found.setdefault(k, []).append(i)
         return found
 
@@ -265,7 +269,7 @@ def remove_repeats(docs: DataFrame, windows: Windows, finish: Callable, schema:
         if len(doc):
             at = places(left)
             d = np.array([at[k][0] for k in zip(doc.tolist(), row.tolist())], np.int64)
-            doc_of, row_of = left.column(key).to_numpy(), left.column("_row").to_numpy()
+            doc_of, row_of = left.column(key).to_numpy(), left.column(mark).to_numpy()
             used = np.unique(d)
             held = []
             texts = left.column(text).combine_chunks()
@@ -306,20 +310,20 @@ def remove_repeats(docs: DataFrame, windows: Windows, finish: Callable, schema:
                 mask = np.cumsum(step)[:stop] > 0
                 for j in at[int(doc[i[0]]), int(row[i[0]])]:
                     removed[j] = mask
-        return finish(left.drop_columns(["_row", "_g"]), removed)
+        return finish(left.drop_columns([mark, dealt_by]), removed)
 
-    records = keyed.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), "_row", text).mapInArrow(find, _RECORDS_SQL)
+    records = keyed.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), mark, text).mapInArrow(find, _RECORDS_SQL)
     told = stored(records.groupBy("bucket").applyInArrow(compare, _RECORDS_SQL).filter("g >= 0"), "repeats")
     # both uses of the documents read one shuffle
-    dealt = keyed.withColumn("_g", _group(groups)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_g")
-    by_group = dealt.groupBy("_g")
+    dealt = keyed.withColumn(dealt_by, _group(mark, groups)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), dealt_by)
+    by_group = dealt.groupBy(dealt_by)
     ends = by_group.cogroup(told.filter(F.col("kind") == OPEN).groupBy("g")).applyInArrow(single, _RECORDS_SQL)
     more = ends.groupBy("bucket").applyInArrow(compare_single, _RECORDS_SQL).filter("g >= 0")
     all_told = told.filter(F.col("kind") == SETTLED).unionByName(more)
     return by_group.cogroup(all_told.groupBy("g")).applyInArrow(apply, schema)
 
 
-def _group(groups: int):
+def _group(row: str, groups: int):
     """The row hash as an unsigned number modulo the number of groups, as the tasks compute it."""
-    high, low = F.shiftrightunsigned("_row", 32), F.col("_row").bitwiseAND(F.lit(0xFFFFFFFF))
+    high, low = F.shiftrightunsigned(row, 32), F.col(row).bitwiseAND(F.lit(0xFFFFFFFF))
     return (((high % groups) * ((1 << 32) % groups) + low) % groups).cast("int")
