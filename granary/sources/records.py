@@ -27,8 +27,9 @@ def read_many(spark: SparkSession, globs: list[str], schema: str) -> DataFrame:
 def read_tolerant(spark: SparkSession, path, schema: str) -> tuple[DataFrame, DataFrame]:
     """Good rows, and the lines that do not parse."""
     full = T.StructType.fromDDL(schema).add(_BAD, "string")
-    rows = spark.read.schema(full).option("columnNameOfCorruptRecord", _BAD).json(path)
-    return rows.filter(F.col(_BAD).isNull()).drop(_BAD), rows.filter(F.col(_BAD).isNotNull()).select(F.col(_BAD).alias("line"))
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    rows = lines.select("value", F.from_json("value", full, {"columnNameOfCorruptRecord": _BAD}).alias("r"))
+    return rows.filter(F.col(f"r.{_BAD}").isNull()).select("r.*").drop(_BAD), rows.filter(F.col(f"r.{_BAD}").isNotNull()).select(F.col("value").alias("line"))
 
 
 def read_rollouts(spark: SparkSession, path, schema: str = ROLLOUTS) -> DataFrame:
