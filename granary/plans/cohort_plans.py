@@ -88,7 +88,7 @@ def c9(t):
 
 @query(
     "c10_candidate_schedule",
-    """, x as (select s as state, c as candidate, cast(o_orderkey as varchar) as prompt_id from orders, range(0, 9) a(s), range(0, 4) b(c)),
+    """, x as (select s as state, c as candidate, cast(o_orderkey as varchar) as prompt_id from orders, range(0, 6) a(s), range(0, 4) b(c)),
 r as (select *, row_number() over (partition by state, candidate order by md5(concat('3:', state, ':', candidate, ':', prompt_id)), prompt_id) - 1 as pos from x)
 select cast(state as int) as state, cast(candidate as int) as candidate, cast(pos as int) as pos, prompt_id from r where pos < 4""",
 )
