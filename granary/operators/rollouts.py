@@ -24,13 +24,15 @@ def group_advantages(rollouts: DataFrame, keys: list[str], reward: str = "reward
     return joined.select("r.*", value.alias("advantage"))
 
 
-def summarize_rollouts(rollouts: DataFrame, keys: list[str], group: str = "group_id") -> DataFrame:
+def summarize_rollouts(rollouts: DataFrame, keys: list[str], group: str = "group_id", accuracy: int | None = None) -> DataFrame:
     """26 statistics for each key: row moments, and statistics of groups with two or more rewards.
 
     Optional columns: reward, advantage, completion_tokens, mean_logprob, mean_entropy, early_logprob,
     late_logprob, min_logprob, comp_hash. No rows of a kind: reward_mean, reward_std and pass_rate 0,
-    all others null.
+    all others null. Quantiles are exact, holding a key's distinct values; `accuracy` asks for sketches
+    of that size instead, for keys of very many rows.
     """
+    quantile = lambda p: F.percentile("mean_logprob", F.lit(p)) if accuracy is None else F.percentile_approx("mean_logprob", p, accuracy)
     for c in ("reward", "advantage", "completion_tokens", "mean_logprob", "mean_entropy", "early_logprob", "late_logprob", "min_logprob"):
         if c not in rollouts.columns:
             rollouts = rollouts.withColumn(c, F.lit(None).cast("double"))
@@ -59,7 +61,7 @@ def summarize_rollouts(rollouts: DataFrame, keys: list[str], group: str = "group
         F.avg("mean_logprob").alias("mean_logprob"),
         (-F.avg("mean_logprob")).alias("surprisal_mean"),
         F.avg("mean_entropy").alias("entropy_mean"),
-        *(F.percentile("mean_logprob", F.lit(p)).alias(f"logprob_p{round(100 * p)}") for p in (0.1, 0.5, 0.9)),
+        *(quantile(p).alias(f"logprob_p{round(100 * p)}") for p in (0.1, 0.5, 0.9)),
         F.when(F.count("early_logprob") == F.count("late_logprob"), F.avg("late_logprob") - F.avg("early_logprob")).alias("confidence_slope"),
         F.avg(F.exp("mean_logprob")).alias("redundancy_mean"),
         F.avg("min_logprob").alias("min_logprob_mean"),
