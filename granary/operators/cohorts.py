@@ -122,27 +122,29 @@ def pass_stats(members: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def candidate_schedule(pool: DataFrame, states: int, candidates: int, batch: int, seed=0) -> DataFrame:
-    """For every state and candidate the `batch` items first in their own hash order.
+    """For every state and candidate `batch` distinct items: the first of a row of hash draws over item numbers.
 
-    Each item meets a pair only if its hash falls below a share of the pool that holds several times the
-    batch; should chance leave a pair short, the share grows until none is.
+    Draws join the numbered pool, so work grows with the pool plus the draws, not with their product.
+    Should a pair draw too few different numbers, the rows of draws are doubled.
     """
     spark = pool.sparkSession
-    pairs = spark.range(states).select(F.col("id").cast("int").alias("state")).crossJoin(spark.range(candidates).select(F.col("id").cast("int").alias("candidate")))
-    n, share = pool.count(), 0.0
+    n, draws = pool.count(), 4 * batch
     if n < batch:
         raise ValueError("the pool is smaller than a batch")
     while True:
-        share = min(1.0, max(8.0 * batch / n, 4 * share))
-        limit = F.lit(f"{min(0xFFFFFFFF, int(share * 0x100000000)):08x}")
-        keyed = pool.select("prompt_id").crossJoin(F.broadcast(pairs)).withColumn("_key", shuffle_key(seed, "state", "candidate", "prompt_id"))  # pairs are parameters
-        some = keyed.filter(F.substring("_key", 1, 8) <= limit)
-        if share >= 1 or some.groupBy("state", "candidate").count().agg(F.min("count"), F.count(F.lit(1))).first() >= (batch, states * candidates):
+        slots = spark.range(states * candidates * draws).select(
+            F.floor(F.col("id") / (candidates * draws)).cast("int").alias("state"), (F.floor(F.col("id") / draws) % candidates).cast("int").alias("candidate"), (F.col("id") % draws).alias("draw")
+        )
+        pick = F.conv(F.substring(shuffle_key(seed, "state", "candidate", "draw"), 1, 8), 16, 10).cast("long") % n
+        fresh = slots.withColumn("_i", pick).groupBy("state", "candidate", "_i").agg(F.min("draw").alias("draw"))
+        if fresh.groupBy("state", "candidate").count().agg(F.min("count")).first()[0] >= batch:
             break
+        draws *= 2
     from pyspark.sql import Window as W
 
-    w = W.partitionBy("state", "candidate").orderBy("_key", "prompt_id")
-    return some.withColumn("pos", F.row_number().over(w) - 1).filter(F.col("pos") < batch).select("state", "candidate", "pos", "prompt_id")
+    chosen = fresh.withColumn("pos", (F.row_number().over(W.partitionBy("state", "candidate").orderBy("draw")) - 1).cast("int")).filter(F.col("pos") < batch)
+    numbers = shuffled(pool.select("prompt_id"), seed).select("prompt_id", (F.col("rn") - 1).alias("_i"))
+    return chosen.join(numbers, "_i").select("state", "candidate", "pos", "prompt_id")
 
 
 def limit_cohorts(members: DataFrame, most: int) -> DataFrame:

@@ -88,12 +88,13 @@ def c9(t):
 
 @query(
     "c10_candidate_schedule",
-    """, x as (select s as state, c as candidate, cast(o_orderkey as varchar) as prompt_id from orders, range(0, 6) a(s), range(0, 4) b(c)),
-r as (select *, row_number() over (partition by state, candidate order by md5(concat('3:', state, ':', candidate, ':', prompt_id)), prompt_id) - 1 as pos from x)
-select cast(state as int) as state, cast(candidate as int) as candidate, cast(pos as int) as pos, prompt_id from r where pos < 4""",
+    """, sh as (select cast(o_orderkey as varchar) as prompt_id, row_number() over (order by md5(concat('3:', o_orderkey)), cast(o_orderkey as varchar)) - 1 as i, count(*) over () as n from orders),
+dr as (select s, c, d, cast(concat('0x', substr(md5(concat('3:', s, ':', c, ':', d)), 1, 8)) as bigint) % (select max(n) from sh) as i from range(0, 60) a(s), range(0, 4) b(c), range(0, 16) q(d)),
+f as (select s, c, i, min(d) as d from dr group by 1, 2, 3), r as (select *, row_number() over (partition by s, c order by d) - 1 as pos from f)
+select cast(s as int) as state, cast(c as int) as candidate, cast(pos as int) as pos, prompt_id from r join sh using (i) where pos < 4""",
 )
 def c10(t):
-    return C.candidate_schedule(t["orders"].select(F.col("o_orderkey").cast("string").alias("prompt_id")), 6, 4, 4, 3)
+    return C.candidate_schedule(t["orders"].select(F.col("o_orderkey").cast("string").alias("prompt_id")), 60, 4, 4, 3)
 
 
 def _noise(t):
