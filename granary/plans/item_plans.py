@@ -196,8 +196,8 @@ def b19(t):
     f""", c as ({CHOICE}), g as (select d.doc_id, lang, case when lang = 'en' then case when doc_id % 4 = 0 then null else concat('\\boxed{{', n_chars % 7, '}}') end else t end as completion,
   case when lang = 'en' then cast(n_chars % 5 as varchar) else 'B' end as answer, doc_id % 10 = 0 as noisy from documents d join c using (doc_id)),
 a as (select *, case when noisy then case when lang = 'en' then concat(answer, '1') else concat(answer, '0') end else answer end as ans from g where coalesce(completion, '') <> '')
-select doc_id as prompt_id, case when lang = 'en' then case when replace(replace(completion, '\\boxed{{', ''), '}}', '') = ans then 1.0 else 0.0 end
-  else case when coalesce(regexp_extract_all(completion, '[Aa]nswer\\b\\W*([A-D])', 1)[-1], regexp_extract_all(completion, '\\b([A-D])\\b', 1)[-1]) = ans then 1.0 else 0.0 end end as reward from a""",
+select doc_id as prompt_id, case when lang = 'en' then case when replace(replace(completion, '\\boxed{{', ''), '}}', '') = ans then 1e0 else 0e0 end
+  else case when coalesce(regexp_extract_all(completion, '[Aa]nswer\\b\\W*([A-D])', 1)[-1], regexp_extract_all(completion, '\\b([A-D])\\b', 1)[-1]) = ans then 1e0 else 0e0 end end as reward from a""",
 )
 def d1(t):
     d = t["documents"].withColumn("t", choice_text())
