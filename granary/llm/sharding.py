@@ -22,12 +22,19 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ._shared import stored
 
-SHARDS, PARTS, BUCKETS = 40, 4, 64
+SHARDS, PARTS = 40, 4
+#: Rows of a bucket that is numbered in one sort; the buckets grow with the rows.
+BUCKET_ROWS, LEAST_BUCKETS = 200_000, 64
 
 
-def gapless(df: DataFrame, keys: list[str], into: str, by: str = "_h", order: tuple[str, ...] = ()) -> DataFrame:
+def buckets_for(rows: int, groups: int = 1) -> int:
+    """Buckets of each of `groups` groups of all the rows, so that a bucket keeps to BUCKET_ROWS."""
+    return max(LEAST_BUCKETS, -(-rows // (BUCKET_ROWS * groups)))
+
+
+def gapless(df: DataFrame, keys: list[str], into: str, buckets: int, by: str = "_h", order: tuple[str, ...] = ()) -> DataFrame:
     """`into`: numbers from 0 without gaps within `keys`, in the order of buckets of `by`, then (order, by, _rid)."""
-    dealt = df.withColumn("_b", F.pmod(F.col(by), F.lit(BUCKETS)))
+    dealt = df.withColumn("_b", F.pmod(F.col(by), F.lit(buckets)))
     counts = dealt.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -52,7 +59,7 @@ def quotas(wish: np.ndarray, free: np.ndarray) -> np.ndarray:
                 break
 
 
-def propagate(rows: DataFrame, shards: int, rounds: int = 6) -> DataFrame:
+def propagate(rows: DataFrame, shards: int, rounds: int = 6, buckets: int = LEAST_BUCKETS) -> DataFrame:
     """rows (_rid, _h, _link, shard) with links moved together; every shard keeps its count."""
     spark = rows.sparkSession
     for _ in range(rounds):
@@ -73,7 +80,7 @@ def propagate(rows: DataFrame, shards: int, rounds: int = 6) -> DataFrame:
         cells = [(int(i), int(j), int(take[i, j])) for i, j in zip(*np.nonzero(take))]
         quota = spark.createDataFrame(cells, "shard int, to int, quota long")
         linked = rows.join(moving.drop("n"), ["_link", "shard"], "left")
-        asks = gapless(linked.filter("to is not null"), ["shard", "to"], "_turn", "_lh").join(F.broadcast(quota), ["shard", "to"], "left")
+        asks = gapless(linked.filter("to is not null"), ["shard", "to"], "_turn", buckets, "_lh").join(F.broadcast(quota), ["shard", "to"], "left")
         moved = asks.select("_rid", "_h", "_lh", "_link", F.when(F.col("_turn") < F.coalesce("quota", F.lit(0)), F.col("to")).otherwise(F.col("shard")).alias("shard"))
         # free documents leave shards that gained and fill those that lost, in the order of their numbers
         gains = [(int(j), int(net[j])) for j in np.flatnonzero(net > 0)]
@@ -84,7 +91,7 @@ def propagate(rows: DataFrame, shards: int, rounds: int = 6) -> DataFrame:
             fills.append((int(j), at, at - int(net[j])))
             at -= int(net[j])
         lost = spark.createDataFrame(fills or [(-1, 0, 0)], "fill int, low long, high long")
-        single = gapless(linked.filter("_link is null").drop("to", "gain"), ["shard"], "_turn").join(F.broadcast(leave), "shard", "left")
+        single = gapless(linked.filter("_link is null").drop("to", "gain"), ["shard"], "_turn", buckets).join(F.broadcast(leave), "shard", "left")
         single = single.withColumn("_place", F.when(F.col("_turn") < F.coalesce("leave", F.lit(0)), F.col("begin") + F.col("_turn")))
         single = single.join(F.broadcast(lost), (F.col("_place") >= F.col("low")) & (F.col("_place") < F.col("high")), "left")
         single = single.select("_rid", "_h", "_lh", "_link", F.coalesce("fill", "shard").alias("shard"))
@@ -99,12 +106,13 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = 6, key:
     base = docs.select(F.col(key).alias("_key"), (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"), F.sha2(raw, 256).alias("_text"))
     base = stored(base.withColumn("_rid", F.monotonically_increasing_id()).withColumn("_h", F.xxhash64("_key", "_rid")), "sharding-base")
     sizes = base.groupBy("_text").agg(F.count(F.lit(1)).alias("_many")).filter("_many > 1")
-    most = max(1, base.count() // shards // PARTS)
+    many = base.count()
+    most, buckets = max(1, many // shards // PARTS), buckets_for(many, shards)
     salt = F.pmod(F.col("_h"), F.ceil(F.col("_many") / most))
     rows = base.select("_rid", "_h", "_text").join(sizes, "_text", "left")
     link = F.when(F.col("_many").isNotNull(), F.concat_ws(":", "_text", salt.cast("string")))
     rows = rows.select("_rid", "_h", link.alias("_link"), F.xxhash64("_text").alias("_lh"))
-    start = gapless(rows, [], "_number").select("_rid", "_h", "_lh", "_link", (F.col("_number") % shards).cast("int").alias("shard"))
-    placed = propagate(stored(start, "sharding-rows"), shards, rounds)
-    slots = gapless(placed, ["shard"], "slot").select("_rid", "shard", F.col("slot").cast("long").alias("slot"))
+    start = gapless(rows, [], "_number", buckets_for(many)).select("_rid", "_h", "_lh", "_link", (F.col("_number") % shards).cast("int").alias("shard"))
+    placed = propagate(stored(start, "sharding-rows"), shards, rounds, buckets)
+    slots = gapless(placed, ["shard"], "slot", buckets).select("_rid", "shard", F.col("slot").cast("long").alias("slot"))
     return base.join(slots, "_rid").select(F.col("_key").alias(key), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
