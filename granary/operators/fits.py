@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from granary.functions.exprs import clean, shuffle_key
+from granary.functions.exprs import clean, shuffle_key, row_numbers, with_group_size
 
 
 def stat_terms(features: list[str], y: str) -> list[Column]:
@@ -176,9 +176,8 @@ def single_feature_baselines(df: DataFrame, fold: str, features: list[str], y: s
 
 def conformal(df: DataFrame, keys: list[str], alpha: float, pred: str = "pred", y: str = "truth", tie: str = "id") -> DataFrame:
     """Half-width q, the k-th smallest |residual| with k = min(n, ceil((n + 1)(1 - alpha))), coverage and the share of |pred| below q."""
-    w = W.partitionBy(*keys)
-    r = df.withColumn("_r", F.abs(F.col(y) - F.col(pred)))
-    r = r.withColumns({"_rn": F.row_number().over(w.orderBy("_r", tie)), "_n": F.count(F.lit(1)).over(w)})
+    r = row_numbers(df.withColumn("_r", F.abs(F.col(y) - F.col(pred))), keys, {"_rn": ("_r", False)}, tie)
+    r = with_group_size(r, keys, "_n")
     k = F.least(F.col("_n"), F.ceil((F.col("_n") + 1) * F.lit(1 - alpha)))
     q = r.filter(F.col("_rn") == k).select(*keys, F.col("_r").alias("q"))
     return r.join(q, keys).groupBy(*keys).agg(F.max("q").alias("q"), F.avg((F.col("_r") <= F.col("q")).cast("double")).alias("coverage"), F.avg((F.abs(pred) < F.col("q")).cast("double")).alias("indeterminate"))

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from granary.functions.exprs import erfc, pearson, ratio
+from granary.functions.exprs import LARGE_GROUP, erfc, pearson, ratio, row_numbers, with_group_size
 
 
-def ranked(df: DataFrame, keys: list[str], columns: list[str], tie: str = "id", ties: str = "order") -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], columns: list[str], tie: str = "id", ties: str = "order", large: int = LARGE_GROUP) -> DataFrame:
     """rk_<column> within keys: ordinal from 0 with ties in id order, or averaged (ties="average")."""
-    out = df
+    out = row_numbers(df, keys, {f"rk_{c}": (c, False) for c in columns}, tie, large)
     for c in columns:
-        w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
         if ties == "average":
-            out = out.withColumn(f"rk_{c}", F.when(F.col(c).isNotNull(), F.rank().over(w.orderBy(c)) - 1 + (F.count(F.lit(1)).over(W.partitionBy(*keys, c)) - 1) / 2.0))
+            own = out.filter(F.col(c).isNotNull()).groupBy(*keys, c).agg(((F.min(f"rk_{c}") + F.max(f"rk_{c}")) / 2.0 - 1).alias("_rank"))
+            names = [*keys, c]
+            own = own.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(names)), "_rank")
+            same = F.lit(True)
+            for i, k in enumerate(names):
+                same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+            out = out.drop(f"rk_{c}").join(own, same, "left").withColumnRenamed("_rank", f"rk_{c}").drop(*(f"_k{i}" for i in range(len(names))))
         else:
-            out = out.withColumn(f"rk_{c}", (F.row_number().over(w.orderBy(c, tie)) - 1).cast("double"))
+            out = out.withColumn(f"rk_{c}", (F.col(f"rk_{c}") - 1).cast("double"))
     return out
 
 
@@ -56,12 +61,12 @@ def concordance(df: DataFrame, group: list[str], p: str = "pred", y: str = "trut
     )
 
 
-def top_picks(df: DataFrame, group: list[str], share: float | Column, p: str = "pred", y: str = "truth", tie: str = "id") -> DataFrame:
+def top_picks(df: DataFrame, group: list[str], share: float | Column, p: str = "pred", y: str = "truth", tie: str = "id", large: int = LARGE_GROUP) -> DataFrame:
     """Each group's best max(1, round-half-even(n * share)) rows by prediction, later rows first on ties."""
-    w = W.partitionBy(*group)
-    n = F.count(F.lit(1)).over(w)
-    k = F.greatest(F.lit(1), F.bround(n * (F.lit(share) if isinstance(share, float) else share)).cast("int"))
-    return df.withColumns({"_rn": F.row_number().over(w.orderBy(F.desc(p), F.desc(tie))), "_k": k}).filter("_rn <= _k").drop("_rn", "_k")
+    count = F.col("_rows")
+    k = F.greatest(F.lit(1), F.bround(count * (F.lit(share) if isinstance(share, float) else share)).cast("int"))
+    placed = row_numbers(df, group, {"_rn": (p, True)}, tie, large)
+    return with_group_size(placed, group, "_rows").filter(F.col("_rn") <= k).drop("_rn", "_rows")
 
 
 def selection_lift(df: DataFrame, group: str = "grp", share: float = 0.25) -> DataFrame:
@@ -88,7 +93,7 @@ def bootstrap(df: DataFrame, keys: list[str], value: str, replicates: int, seed:
     Draw i of a replicate takes row md5(seed, replicate, i) modulo n, so it is the same in any engine
     and partitioning. Rows are numbered within keys; draws join them on keys and number.
     """
-    numbered = df.withColumn("_i", F.row_number().over(W.partitionBy(*keys).orderBy(tie)) - 1)
+    numbered = row_numbers(df, keys, {"_i": (tie, False)}, tie).withColumn("_i", (F.col("_i") - 1).cast("int"))
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     draws = sizes.select(*keys, "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_draw"))
     text = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys), F.col("rep").cast("string"), F.col("_draw").cast("string")))

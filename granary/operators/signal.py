@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from granary.functions.exprs import pearson, ratio
+from granary.functions.exprs import pearson, ratio, row_numbers, with_group_size
 from granary.operators.metrics import ranked, spearman, top_picks
 
 
@@ -63,9 +63,7 @@ def seed_projection(wide: DataFrame, keys: list[str], pred: str, unit: str, reli
 
 def topk_capture(df: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
     """Mean truth of all rows, of the best by prediction and of the best by truth, and the captured share of the gap."""
-    w = W.partitionBy(*keys)
-    n = F.count(F.lit(1)).over(w)
-    placed = df.withColumns({"_n": n, "_p": F.row_number().over(w.orderBy(F.desc("pred"), F.desc("id"))), "_t": F.row_number().over(w.orderBy(F.desc("truth"), F.desc("id")))})
+    placed = with_group_size(row_numbers(df, keys, {"_p": ("pred", True), "_t": ("truth", True)}, "id"), keys, "_n")
     rows = placed.withColumn("frac", F.explode(F.array(*map(F.lit, shares))))
     k = F.greatest(F.lit(1), F.bround(F.col("_n") * F.col("frac")).cast("int"))
     out = rows.groupBy(*keys, "frac").agg(F.avg("truth").alias("random"), F.avg(F.when(F.col("_p") <= k, F.col("truth"))).alias("pick"), F.avg(F.when(F.col("_t") <= k, F.col("truth"))).alias("oracle"))
@@ -122,9 +120,8 @@ def dose_verdict(df: DataFrame, dose: str, lift: str, tie: str) -> DataFrame:
 
 
 def within_percentile(df: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
-    w = W.partitionBy(*keys)
-    n = F.count(F.lit(1)).over(w)
-    return df.withColumn("pct", F.coalesce(F.try_divide((F.row_number().over(w.orderBy(value, tie)) - 1).cast("double"), (n - 1).cast("double")), F.lit(0.0)))
+    placed = with_group_size(row_numbers(df, keys, {"_rn": (value, False)}, tie), keys, "_n")
+    return placed.withColumn("pct", F.coalesce(F.try_divide((F.col("_rn") - 1).cast("double"), (F.col("_n") - 1).cast("double")), F.lit(0.0))).drop("_rn", "_n")
 
 
 def tercile_effects(df: DataFrame, features: list[str], pct: str = "pct") -> DataFrame:
