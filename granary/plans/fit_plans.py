@@ -4,6 +4,7 @@ from pyspark.sql import Window as W, functions as F
 
 from granary.functions.exprs import r9
 from granary.operators import fits as G, metrics as M
+from granary.sources.scratch import stored
 
 from .base import query
 from .label_plans import LIFT, lifted
@@ -97,6 +98,7 @@ def g7(t):
 def g8(t):
     """Out-of-fold metrics of ridge by domain folds, its conformal interval, and whether it beats the mean."""
     pred = G.oof_predict(rows(t), "domain", X, "y").select(F.col("row_id").alias("id"), F.col("domain").alias("grp"), "pred", F.col("y").alias("truth"))
+    pred = stored(pred, "predictions")  # four metrics read them
     errors = pred.agg(*M.error_columns(), F.count(F.lit(1)).alias("n"))
     rank = M.within_group_spearman(pred)
     half = G.conformal(pred.withColumn("_k", F.lit(0)), ["_k"], 0.2).drop("_k")
@@ -219,7 +221,7 @@ def g22(t):
     data = rows(t)
     out = None
     for name, features in (("x1", ["x1"]), ("x2+x3", ["x2", "x3"]), ("all", X)):
-        part = _spearman_by(G.oof_predict(data, "domain", features, "y"), ["domain"]).withColumn("config", F.lit(name))
+        part = _spearman_by(stored(G.oof_predict(data, "domain", features, "y"), "predictions"), ["domain"]).withColumn("config", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
