@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ._shared import stored
 
 PIVOTS, MAX_GROUPS, GROUP_QUERIES, BLOCK_ROWS = 128, 1024, 512, 8192
+#: Queries that meet a block of rows at once, and queries whose scores are held at once. Copies of a row are as many as its groups have blocks of queries.
+BLOCK_QUERIES, HELD_QUERIES = 4096, 256
 _SLACK = 1e-6
 
 
@@ -114,7 +116,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, key: str = "vec_id"
         low[g], high[g] = np.minimum(low[g], between[c] - reach), np.maximum(high[g], between[c] + reach)
         ask[g] += n
     may = np.array([sum(n for c, n in held.items() if low[g, c] <= high[g, c]) for g in range(count)])
-    data_blocks, query_blocks = np.maximum(1, -(-may // BLOCK_ROWS)), np.maximum(1, -(-ask // GROUP_QUERIES))
+    data_blocks, query_blocks = np.maximum(1, -(-may // BLOCK_ROWS)), np.maximum(1, -(-ask // BLOCK_QUERIES))
 
     def deal(batches):
         for batch in batches:
@@ -144,13 +146,15 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, key: str = "vec_id"
         ids, own, v = table.column("id").to_numpy(), table.column("is_query").to_numpy(), _matrix(table.column("v"), width)
         qi, order = np.flatnonzero(own), np.flatnonzero(~own)
         order = order[np.argsort(ids[order], kind="stable")]
-        scores, data = products(v[qi], v[order]), ids[order]
+        rows_here, data = v[order], ids[order]
         out: list[list] = [[], [], []]
-        for i, q in enumerate(ids[qi].tolist()):
-            other = np.flatnonzero(data != q)
-            at = other[best(scores[i, other], k)]
-            for c, x in zip(out, (np.full(len(at), q), data[at], scores[i, at])):
-                c.append(x)
+        for begin in range(0, len(qi), HELD_QUERIES):
+            some = qi[begin : begin + HELD_QUERIES]
+            for q, own_scores in zip(ids[some].tolist(), products(v[some], rows_here)):
+                other = np.flatnonzero(data != q)
+                at = other[best(own_scores[other], k)]
+                for c, x in zip(out, (np.full(len(at), q), data[at], own_scores[at])):
+                    c.append(x)
         columns = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 

@@ -55,6 +55,20 @@ def test_top_k_is_exact(spark, n, pivots):
     assert sorted(map(tuple, top_k(df, 10, 100, pivots=pivots).collect())) == brute_top(vectors, 10, 100)
 
 
+def test_top_k_of_more_queries_than_are_held_at_once(spark):
+    rng = np.random.default_rng(5)
+    vectors = [(i, rng.integers(-4, 4, 6).astype(float).tolist()) for i in range(600)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in top_k(df, 3, 1, pivots=16).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    scaled = np.array([v for _, v in vectors]).astype(np.int64) * 1024
+    scores = scaled @ scaled.T
+    for q in range(600):
+        want = sorted((i for i in range(600) if i != q), key=lambda i: (-scores[q, i], i))[:3]
+        assert sorted(got[q]) == [(n, i, int(scores[q, i])) for n, i in enumerate(want, 1)]
+
+
 def test_top_k_without_queries(spark):
     assert top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
