@@ -1,0 +1,60 @@
+"""MD5 of many numbered texts at once."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+
+import numpy as np
+
+# Fixed values of RFC 1321: shifts of the four rounds, sines, the state before the first block.
+SHIFTS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+WORD, STEP = 0xFFFFFFFF, 8192
+
+
+def md5_heads(prefix: bytes, first: int, end: int) -> np.ndarray:
+    """The first 8 hex digits of md5(prefix + decimal i), as numbers, for i in [first, end)."""
+    out = np.empty(end - first, np.uint32)
+    for size in range(len(str(first)), len(str(max(first, end - 1))) + 1):  # numbers of as many digits
+        low, high = max(first, 10 ** (size - 1) if size > 1 else 0), min(end, 10**size)
+        for a in range(low, high, STEP):
+            out[a - first : min(a + STEP, high) - first] = _one_block(prefix, a, min(a + STEP, high), size)
+    return out
+
+
+def _one_block(prefix: bytes, first: int, end: int, size: int) -> np.ndarray:
+    length = len(prefix) + size
+    if length > 55:  # more than one block of MD5
+        return np.array([int(hashlib.md5(prefix + str(i).encode()).hexdigest()[:8], 16) for i in range(first, end)], np.uint32)
+    fixed = prefix + bytes(size) + b"\x80" + bytes(55 - length) + (8 * length).to_bytes(8, "little")
+    words: list = [int.from_bytes(fixed[4 * i : 4 * i + 4], "little") for i in range(16)]
+    rest = np.arange(first, end, dtype=np.int64)
+    for at in range(length - 1, len(prefix) - 1, -1):
+        rest, digit = np.divmod(rest, 10)
+        words[at // 4] = ((digit + 48) << (8 * (at % 4))).astype(np.uint32) + np.asarray(words[at // 4], np.uint32)
+    a, b, c, d = (np.full(end - first, x, np.uint32) for x in START)
+    for i in range(64):
+        turn = i // 16
+        if turn == 0:
+            f, g = d ^ (b & (c ^ d)), i
+        elif turn == 1:
+            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif turn == 2:
+            f, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * i % 16
+        f += a
+        w = words[g]
+        if isinstance(w, int):
+            f += np.uint32((w + SINES[i]) & WORD)
+        else:
+            f += w
+            f += np.uint32(SINES[i])
+        s = SHIFTS[turn][i % 4]
+        turned = f << np.uint32(s)
+        turned |= f >> np.uint32(32 - s)
+        turned += b
+        a, d, c, b = d, c, b, turned
+    return (a + np.uint32(START[0])).byteswap()
