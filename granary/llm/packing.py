@@ -13,7 +13,8 @@ the row of its queue inside its task. What joins them to the row's start in the
 each task and queue. No ids are shuffled.
 
 Defined results: a null text has the end id alone; a null source is a queue of its own; repeated rows
-are packed each. More than MAX_QUEUES sources share that many queues by hash.
+are packed each. Each source is a queue of its own, however many there are; weights must be whole numbers
+of at least 1 and name sources that the documents have.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from ._bytes import flat, pieces, ranges
 from ._shared import stored
 from .bpe import Tokenizer
 
-SEQUENCE, QUANTUM, MAX_QUEUES = 2048, 512, 1024
+SEQUENCE, QUANTUM = 2048, 512
 #: Rows of starts, one for each task and queue, up to which they are broadcast instead of shuffling the ids.
 MAX_BROADCAST = 200_000
 
@@ -71,22 +72,28 @@ class Plan:
         self.index = {q: i for i, (q, _) in enumerate(totals)}
         tokens = np.array([n for _, n in totals], np.int64)
         self.chunks = tokens // QUANTUM
-        self.weights = np.array([max(1, int((weights or {}).get(q, n))) for q, n in totals], np.int64)
+        if weights and not weights.keys() <= self.index.keys():
+            raise ValueError(f"weights of sources that no document has: {sorted(q[1:] for q in weights.keys() - self.index.keys())}")
+        if any(w != int(w) or w < 1 for w in (weights or {}).values()):
+            raise ValueError("weights are whole numbers of at least 1")
+        self.weights = np.array([int((weights or {}).get(q, n)) for q, n in totals], np.int64)
+        self.long = np.flatnonzero(self.chunks)  # only queues with full chunks come before others
         tails = tokens % QUANTUM
         self.tails = int(self.chunks.sum()) * QUANTUM + np.cumsum(tails) - tails
         self.total = int(tokens.sum())
 
     def rank(self, k: np.ndarray, q: np.ndarray) -> np.ndarray:
         """How many full chunks of all queues are due before chunk k of queue q (ties: the lower queue first)."""
-        wide = len(k) and (2 * int(k.max()) + 1) * int(self.weights.max()) >= 1 << 62  # then in Python's integers
-        weights = self.weights.astype(object) if wide else self.weights
+        weights, chunks, q = self.weights[self.long], self.chunks[self.long], np.searchsorted(self.long, q)
+        wide = len(k) and (2 * int(k.max()) + 1) * int(weights.max()) >= 1 << 62  # then in Python's integers
+        weights = weights.astype(object) if wide else weights
         mine = weights[q][:, None]
         # chunks j of queue r with (2j + 1) / weight_r < (2k + 1) / mine, or <= for a lower queue
         due = (2 * k + 1)[:, None] * weights[None, :] - mine
         lower = np.arange(len(weights))[None, :] < q[:, None]
         before = (due + np.where(lower, 2 * mine, 2 * mine - 1)) // (2 * mine)
         before[np.arange(len(k)), q] = k
-        return np.minimum(np.maximum(before, 0), self.chunks[None, :]).sum(axis=1).astype(np.int64)
+        return np.minimum(np.maximum(before, 0), chunks[None, :]).sum(axis=1).astype(np.int64)
 
     def pieces(self, q: np.ndarray, start: np.ndarray, length: np.ndarray):
         """Columns (row, start in its document, length, sequence, offset) of the pieces of spans of queues' rows."""
@@ -98,7 +105,7 @@ class Plan:
         full = k < self.chunks[own]
         place = self.tails[own]
         at = np.flatnonzero(full)
-        for some in np.array_split(at, max(1, len(at) * len(self.weights) >> 20)):
+        for some in np.array_split(at, max(1, len(at) * len(self.long) >> 20)):
             place[some] = self.rank(k[some], own[some]) * QUANTUM
         place += begin - k * QUANTUM
         out = [row, begin - start[row], end - begin, place // SEQUENCE, place % SEQUENCE]
@@ -134,13 +141,11 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, weights: dic
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     queue = F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
     rows = docs.select("doc_id", "text", queue.alias("queue"))
-    if rows.select("queue").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
-        rows = rows.withColumn("queue", F.concat(F.lit("#"), F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string")))
     encoded = stored(_encoded(rows, model, end_id), "packing")
     parts = encoded.groupBy("queue", "task").agg(F.sum("n_tokens").alias("_n"))
     before = W.partitionBy("queue").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
     begins = parts.select("queue", "task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
-    totals = sorted((r[0], r[1]) for r in encoded.groupBy("queue").agg(F.sum("n_tokens")).collect())  # at most MAX_QUEUES rows
+    totals = sorted((r[0], r[1]) for r in encoded.groupBy("queue").agg(F.sum("n_tokens")).collect())  # one row for each source
     plan = Plan(totals, {f"={k}": v for k, v in weights.items()} if weights else None)
     if parts.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
         begins = F.broadcast(begins)  # some 50 bytes for each task and queue
