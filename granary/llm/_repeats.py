@@ -17,7 +17,14 @@ sorted inside the bucket. A task sends one record for each digit, however often
 a passage that many documents share stays as many records as there are tasks. What is settled goes
 back to the documents, dealt into groups by row hash; the documents themselves are shuffled once.
 
-Digits are 64-bit hashes; what decides is a pair of them (32 + bucket + 64 bits, or 128 bits).
+An anchor that a task meets in more than HOT different runs is hot there: its runs go to buckets of
+their own content and straight on to the third digit, and one of them tells the anchor's bucket that
+others exist. So the bucket of a phrase that a third of all documents hold gets HOT records of a task
+at most. Beyond FAN buckets, records are dealt twice, so that packed rows stay long at any size; in
+between, what tasks sent for one digit is merged again.
+
+Digits are hashes modulo 2**61 - 1 of independent 64-bit keys or bases; what decides is a pair of them
+(32 and 61 bits for whole runs, 61 and 61 for single windows).
 """
 
 from __future__ import annotations
@@ -30,12 +37,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ._bytes import Spans, pieces, ranges
+from ._bytes import Spans, mix, pieces, ranges
 from ._shared import stored, text_bytes
 
-BUCKET_BYTES, GROUP_BYTES, FLUSH_BYTES = 16 << 20, 8 << 20, 8 << 20
+BUCKET_BYTES, GROUP_BYTES, FLUSH_BYTES = 8 << 20, 8 << 20, 8 << 20
+#: Buckets of one deal; bytes of records merged between two deals; runs of an anchor from which it is hot in a task.
+FAN, MERGE_BYTES, HOT = 4096, 64 << 20, 64
+#: Groups of one task, and most tasks.
+GROUPS_A_TASK, MAX_TASKS = 2, 1 << 16
 SETTLED, OPEN = 1, 2
-_BASE = 0xC2B2AE3D27D4EB4F
+#: Flags of a record: it stands for several; its anchor is hot; it tells of a hot anchor and was also sent as hot.
+SEVERAL, IS_HOT, HERALD = np.uint8(1), np.uint8(2), np.uint8(4)
+_SALT = np.uint64(0xC2B2AE3D27D4EB4F)
 
 _BLOBS = ("docs", "rows", "d", "s", "n", "h1", "h2", "m", "sides")
 _SIDES = np.dtype([("left", "<u2"), ("right", "<u2"), ("at", "<u2")])
@@ -45,16 +58,22 @@ _RECORDS_SQL = "bucket int, g int, kind int, many long, " + ", ".join(f"{b} bina
 
 @dataclass(frozen=True)
 class Windows:
-    """length: tokens of a window. tokens(texts) gives keys and the offsets of the texts in them.
-    anchors(keys, ends, spans) gives positions, run starts, run ends (inclusive) and anchor hashes.
+    """length: tokens of a window. tokens(texts) gives the bytes, two keys of every token and the offsets
+    of the texts in them. anchors(body, keys, ends) gives positions, run starts, run ends (inclusive) and hashes.
     keep_first: a window is removed if an equal one starts earlier; else if an equal one is anywhere.
-    anchor: tokens of an anchor, where runs are also told apart by the halves beside it; else 0."""
+    anchor: tokens of an anchor, where runs are also told apart by the halves beside it; else 0.
+    The rest are limits that change no result."""
 
     length: int
     tokens: Callable
     anchors: Callable
     keep_first: bool
     anchor: int = 0
+    fan: int = FAN
+    hot: int = HOT
+    bucket_bytes: int = BUCKET_BYTES
+    flush_bytes: int = FLUSH_BYTES
+    merge_bytes: int = MERGE_BYTES
 
     @property
     def half(self) -> int:
@@ -141,27 +160,63 @@ class _Classes:
         return out
 
 
+def _mixed(h2: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Second digits that keep hot records apart from the one that stands for them in the anchor's bucket."""
+    return np.where(m & IS_HOT > 0, h2 ^ _SALT, h2)
+
+
 def _settle(c: _Classes, m: np.ndarray, keep_first: bool) -> np.ndarray:
     """Records whose windows are to be removed. m: the record stands for several of its task."""
     if keep_first:
         return c.later
-    times = np.add.reduceat(1 + (m[c.order] > 0), c.begin) if len(c.order) else np.zeros(0, np.int64)
+    times = np.add.reduceat(1 + (m[c.order] & SEVERAL).astype(np.int64), c.begin) if len(c.order) else np.zeros(0, np.int64)
     return c.spread(times > 1)
 
 
-def _send(out: _Rows, windows: Windows, buckets: int, groups: int, h1, h2, doc_of, row_of, d, s, n, narrow: bool, sides=None) -> None:
-    """A task's records: one of each class to its bucket; what the task can settle itself to the documents' groups."""
-    c = _Classes(h1, h2, doc_of[d], s)
-    many = c.size > 1
-    gone = c.later if windows.keep_first else c.spread(many)
+@dataclass(frozen=True)
+class _Deal:
+    """Buckets of digits and groups of documents. fan: buckets that the next shuffle tells apart."""
+
+    buckets: int
+    groups: int
+    fan: int
+    hot: int
+
+    def group(self, row: np.ndarray) -> np.ndarray:
+        return (row.astype(np.uint64) % np.uint64(self.groups)).astype(np.int64)
+
+    def bucket(self, h1: np.ndarray, h2: np.ndarray, hot: np.ndarray) -> np.ndarray:
+        digit = np.where(hot, mix(h1 ^ h2 * _SALT), h1) >> np.uint64(40)
+        return (digit % np.uint64(self.buckets) % np.uint64(self.fan)).astype(np.int64)
+
+
+def _send(out: _Rows, keep_first: bool, deal: _Deal, h1, h2, doc, row, d, s, n, narrow: bool, m=None, sides=None) -> None:
+    """A task's records: one of each class to its bucket; what the task can settle itself to the documents' groups.
+
+    doc and row are those of d's values. m: flags of records that a task has sent before.
+    """
+    m = np.zeros(len(h1), np.uint8) if m is None else m
+    c = _Classes(h1, _mixed(h2, m), doc[d], s)
+    gone = _settle(c, m, keep_first)
     if gone.any():
-        g = row_of[d[gone]].astype(np.uint64) % np.uint64(groups)
-        out.add_by(g.astype(np.int64), "g", SETTLED, doc_of, row_of, d[gone], s[gone], n[gone], buckets)
-    i = np.sort(c.order[~c.later[c.order]]) if windows.keep_first else c.first
-    flag = c.spread(many)[i]
-    bucket = ((h1[i] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-    sent = h1[i].astype("<u4") if narrow else h1[i]
-    out.add_by(bucket, "bucket", 0, doc_of, row_of, d[i], s[i], n[i], h1=sent, h2=h2[i], m=flag, **({} if sides is None else {"sides": sides[i]}))
+        out.add_by(deal.group(row[d[gone]]), "g", SETTLED, doc, row, d[gone], s[gone], n[gone], deal.fan)
+    first = ~c.later if keep_first else np.zeros(len(h1), bool)
+    if not keep_first:
+        first[c.first] = True
+    flag = m & (IS_HOT | HERALD)
+    flag[c.spread(c.size > 1) | (m & SEVERAL > 0)] |= SEVERAL
+    # classes of one anchor lie side by side
+    edge = np.flatnonzero(np.diff(c.group, prepend=c.group[:1] + np.uint64(1))) if len(c.group) else np.zeros(0, np.int64)
+    kinds = np.diff(np.append(edge, len(c.group)))
+    hot = c.spread(np.repeat(kinds > deal.hot, kinds)) & first & (flag & (IS_HOT | HERALD) == 0)
+    herald = np.zeros(len(h1), bool)
+    herald[c.first[edge[kinds > deal.hot]]] = True
+    herald &= hot
+    for some, extra in ((first & ~hot | herald, np.where(herald, HERALD, np.uint8(0))), (hot, np.full(len(h1), IS_HOT))):
+        i = np.flatnonzero(some)
+        f = flag[i] | extra[i]
+        sent = h1[i].astype("<u4") if narrow else h1[i]
+        out.add_by(deal.bucket(h1[i], h2[i], f & IS_HOT > 0), "bucket", 0, doc, row, d[i], s[i], n[i], h1=sent, h2=h2[i], m=f, **({} if sides is None else {"sides": sides[i]}))
 
 
 def _pass_on(table: pa.Table, out: _Rows) -> None:
@@ -185,8 +240,11 @@ def remove_repeats(docs: DataFrame, windows: Windows, finish: Callable, schema:
     """
     spark = docs.sparkSession
     size = text_bytes(docs, text)
-    buckets = max(-(-size // BUCKET_BYTES), min(32, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    groups = max(-(-size // GROUP_BYTES), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(-(-size // windows.bucket_bytes), min(32, tasks))
+    groups = max(-(-size // GROUP_BYTES), 2 * tasks)
+    tasks = max(tasks, min(max(groups, buckets) // GROUPS_A_TASK, MAX_TASKS))
+    deal = _Deal(buckets, groups, min(windows.fan, buckets), windows.hot)
     mark, dealt_by = _free(docs, "_row"), _free(docs, "_g")
     keyed = docs.withColumn(mark, F.xxhash64(F.col(key), F.col(text)))
     length, keep_first = windows.length, windows.keep_first
@@ -198,14 +256,14 @@ def remove_repeats(docs: DataFrame, windows: Windows, finish: Callable, schema:
             out = _Rows()
             columns = [np.concatenate(x) for x in zip(*held)]
             if len(columns[0]):
-                _send(out, windows, buckets, groups, columns[0], columns[1], np.concatenate(doc), np.concatenate(row), *columns[2:5], True, *columns[5:])
+                _send(out, keep_first, deal, *columns[:2], np.concatenate(doc), np.concatenate(row), *columns[2:5], deal.fan == buckets, None, *columns[5:])
             return out.batch()
 
         for part in pieces(batches, text):
-            keys, ends = windows.tokens(part.column(2))
-            spans = Spans(keys)
-            at, s, e, h1 = windows.anchors(keys, ends, spans)
-            h2 = spans(s, e + length) + ((at - s) * 1000003 + (e - s)).astype(np.uint64) * np.uint64(_BASE)
+            body, keys, second, ends = windows.tokens(part.column(2))
+            at, s, e, h1 = windows.anchors(body, keys, ends)
+            spans = Spans(second, 1)
+            h2 = spans(s, e + length) + ((at - s) * 1000003 + (e - s)).astype(np.uint64) * _SALT
             d = np.searchsorted(ends, s, "right") - 1
             columns = (h1, h2, d + count, s - ends[d], e - s)
             if windows.anchor:
@@ -219,12 +277,38 @@ def remove_repeats(docs: DataFrame, windows: Windows, finish: Callable, schema:
             doc.append(part.column(0).to_numpy(zero_copy_only=False))
             row.append(part.column(1).to_numpy(zero_copy_only=False))
             count, load = count + part.num_rows, load + part.column(2).nbytes
-            if load >= FLUSH_BYTES:
+            if load >= windows.flush_bytes:
                 yield flush()
                 held, doc, row, count, load = [], [], [], 0, 0
         if held:
             yield flush()
 
+    def merge(batches):
+        """Records of a few buckets, dealt on to all of them; what several tasks sent for one class is merged."""
+        wide, held, load = _Deal(buckets, groups, buckets, windows.hot), [], 0
+
+        def flush():
+            out, table = _Rows(), pa.Table.from_batches(held)
+            _pass_on(table, out)
+            doc, row, s, n, h1, h2, m, sides = _open_rows(table, 0)
+            if len(doc):
+                _send(out, keep_first, wide, h1, h2, doc, row, np.arange(len(doc)), s, n, False, m, sides if windows.anchor and len(sides) else None)
+            return out.batch()
+
+        for batch in batches:
+            held.append(batch)
+            load += batch.nbytes
+            if load >= windows.merge_bytes:
+                yield flush()
+                held, load = [], 0
+        if held:
+            yield flush()
+
+    def dealt_out(records: DataFrame) -> DataFrame:
+        if deal.fan < buckets:
+            records = records.repartition(max(tasks, deal.fan), "bucket").mapInArrow(merge, _RECORDS_SQL)
+        return records.repartition(tasks, "bucket").groupBy("bucket")
+
     def halves(c, classes, s, n, sides):
         """Records, starts and lengths of the windows on a side where several classes of an anchor agree."""
         rep = c.first[classes]
@@ -241,20 +325,21 @@ def remove_repeats(docs: DataFrame, windows: Windows, finish: Callable, schema:
         _pass_on(table, out)
         doc, row, s, n, h1, h2, m, sides = _open_rows(table, 0)
         if len(doc):
-            c = _Classes(h1, h2, doc, s)
+            c = _Classes(h1, _mixed(h2, m), doc, s)
             gone = _settle(c, m, keep_first)
-            g = (row.astype(np.uint64) % np.uint64(groups)).astype(np.int64)
+            g = deal.group(row)
             index = np.arange(len(doc))
             out.add_by(g[gone], "g", SETTLED, doc, row, index[gone], s[gone], n[gone])
             edge = np.diff(c.group, prepend=c.group[0] + np.uint64(1)) != 0
             kinds = np.diff(np.append(np.flatnonzero(edge), len(c.group)))
-            differ = np.repeat(kinds > 1, kinds)  # classes whose anchor has other runs too
+            hot = m[c.first] & IS_HOT > 0
+            differ = np.repeat(kinds > 1, kinds) | hot  # classes whose anchor has other runs too
             if windows.anchor:
-                for i, b, m2 in halves(c, np.flatnonzero(differ), s, n, sides):
+                for i, b, m2 in halves(c, np.flatnonzero(differ & ~hot), s, n, sides):
                     out.add_by(g[i], "g", OPEN, doc, row, i, b, m2)
-            else:
-                speak = c.spread(differ) & ~c.later if keep_first else np.isin(index, c.first[differ])
-                out.add_by(g[speak], "g", OPEN, doc, row, index[speak], s[speak], n[speak])
+                differ = hot
+            speak = c.spread(differ) & ~c.later if keep_first else np.isin(index, c.first[differ])
+            out.add_by(g[speak], "g", OPEN, doc, row, index[speak], s[speak], n[speak])
         return pa.Table.from_batches([out.batch()])
 
     def places(table: pa.Table) -> dict:
@@ -275,14 +360,14 @@ def remove_repeats(docs: DataFrame, windows: Windows, finish: Callable, schema:
             texts = left.column(text).combine_chunks()
             for some in np.array_split(used, max(1, left.nbytes >> 21)):
                 if len(some):
-                    keys, ends = windows.tokens(texts.take(pa.array(some)))
+                    _, keys, second, ends = windows.tokens(texts.take(pa.array(some)))
                     mine = np.isin(d, some)
                     j = np.searchsorted(some, d[mine])
                     p = np.unique(ranges(ends[j] + s[mine], n[mine] + 1))
                     own = np.searchsorted(ends, p, "right") - 1
-                    held.append((Spans(keys)(p, p + length), Spans(keys, _BASE)(p, p + length), some[own], p - ends[own]))
+                    held.append((Spans(keys)(p, p + length), Spans(second, 1)(p, p + length), some[own], p - ends[own]))
             h1, h2, d, p = (np.concatenate(x) for x in zip(*held))
-            _send(out, windows, buckets, groups, h1, h2, doc_of, row_of, d, p, np.zeros(len(p), np.int64), False)
+            _send(out, keep_first, deal, h1, h2, doc_of, row_of, d, p, np.zeros(len(p), np.int64), False)
         return pa.Table.from_batches([out.batch()])
 
     def compare_single(table: pa.Table) -> pa.Table:
@@ -291,7 +376,7 @@ def remove_repeats(docs: DataFrame, windows: Windows, finish: Callable, schema:
         doc, row, s, n, h1, h2, m, _ = _open_rows(table, 0)
         if len(doc):
             gone = _settle(_Classes(h1, h2, doc, s), m, keep_first)
-            g = (row.astype(np.uint64) % np.uint64(groups)).astype(np.int64)
+            g = deal.group(row)
             out.add_by(g[gone], "g", SETTLED, doc, row, np.arange(len(doc))[gone], s[gone], n[gone])
         return pa.Table.from_batches([out.batch()])
 
@@ -313,12 +398,12 @@ def remove_repeats(docs: DataFrame, windows: Windows, finish: Callable, schema:
         return finish(left.drop_columns([mark, dealt_by]), removed)
 
     records = keyed.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), mark, text).mapInArrow(find, _RECORDS_SQL)
-    told = stored(records.groupBy("bucket").applyInArrow(compare, _RECORDS_SQL).filter("g >= 0"), "repeats")
+    told = stored(dealt_out(records).applyInArrow(compare, _RECORDS_SQL).filter("g >= 0"), "repeats")
     # both uses of the documents read one shuffle
-    dealt = keyed.withColumn(dealt_by, _group(mark, groups)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), dealt_by)
+    dealt = keyed.withColumn(dealt_by, _group(mark, groups)).repartition(tasks, dealt_by)
     by_group = dealt.groupBy(dealt_by)
     ends = by_group.cogroup(told.filter(F.col("kind") == OPEN).groupBy("g")).applyInArrow(single, _RECORDS_SQL)
-    more = ends.groupBy("bucket").applyInArrow(compare_single, _RECORDS_SQL).filter("g >= 0")
+    more = dealt_out(ends).applyInArrow(compare_single, _RECORDS_SQL).filter("g >= 0")
     all_told = told.filter(F.col("kind") == SETTLED).unionByName(more)
     return by_group.cogroup(all_told.groupBy("g")).applyInArrow(apply, schema)
 

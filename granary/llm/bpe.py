@@ -1,12 +1,13 @@
 """Byte-level BPE: whole texts to ids and back, with batched merge rounds.
 
 Texts of an Arrow batch lie in one flat byte array. Class boundaries cut it into words in a few
-vector passes; equal words are found by sorting their hashes, so each distinct word of a piece is
-merged once, and words met before come from the worker's bounded cache. The new words' symbols lie
+vector passes; equal words are found by sorting their hashes and comparing their bytes, so each distinct word
+of a piece is merged once, and words met before come from the worker's bounded cache. The new words' symbols lie
 in one flat array; each round finds every word's lowest-ranked pair, whose rank comes from a binary
 search over the sorted keys of all pairs, and merges it in all words together.
 
-Defined results: a null text encodes as the empty text. A special token's string in a text becomes
+Defined results: a null or empty text has no ids. A text of any length is encoded whole, in a piece of
+its own, and a word of over LONG_WORD bytes by a heap. An empty table gives none. A special token's string in a text becomes
 that token's id, as the tokenizers library does. Repeated rows encode alike. Columns named like a
 result are replaced by it.
 """
@@ -23,13 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from ._bytes import BYTE_KEYS, Spans, flat, pieces, ranges
+from ._bytes import flat, pieces, ranges, word_keys
 
 OTHER, LETTER, NUMBER, BLANK = range(4)
-#: Words the worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1 << 19
+#: Words and bytes of them that the worker remembers; beyond these the memory starts anew.
+REMEMBERED, REMEMBERED_BYTES = 1 << 19, 1 << 25
 #: Words of more symbols are merged one by one with a heap.
 LONG_WORD = 4096
+#: Words of up to so many bytes have equal keys and sizes only if they are equal; longer ones are compared.
+ONE_TO_ONE = 8
 _NONE = np.int64(1 << 40)
 
 
@@ -123,6 +126,17 @@ def word_starts(body: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def _same_words(a: np.ndarray, a_begin: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_begin: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """Whether words with equal keys have equal bytes."""
+    same = a_size == b_size
+    long = np.flatnonzero(same & (a_size > ONE_TO_ONE))
+    if len(long):
+        n = a_size[long]
+        differ = a[ranges(a_begin[long], n)] != b[ranges(b_begin[long], n)]
+        same[long] = ~np.logical_or.reduceat(differ, np.cumsum(n) - n)
+    return same
+
+
 class Bpe:
     """Vocabulary and merges of one byte-level BPE file, as arrays."""
 
@@ -153,7 +167,8 @@ class Bpe:
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.at, self.many, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16 if self.size <= 1 << 16 else np.uint32)
+        self.known, self.text, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint16 if self.size <= 1 << 16 else np.uint32)
+        self.at, self.many, self.start, self.length = (np.zeros(0, np.int64) for _ in range(4))
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.size + right
@@ -236,23 +251,46 @@ class Bpe:
         return [x for x in symbols if x >= 0]
 
     def _look_up(self, body: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place and number of every word's ids in self.ids; unknown words are merged first."""
-        h = Spans(BYTE_KEYS[body])(begin, begin + size)
+        """Place and number of every word's ids in self.ids; unknown words are merged first.
+
+        Hashes only find candidates: a word takes another's ids after their bytes have been compared.
+        """
+        h = word_keys(body, begin, size)
         distinct, one, which = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > REMEMBERED:
+        if len(self.known) + len(distinct) > REMEMBERED or len(self.text) > REMEMBERED_BYTES:
             self.forget()
+        clash = ~_same_words(body, begin, size, body, begin[one[which]], size[one[which]])
         i = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
         new = self.known[i] != distinct if len(self.known) else np.ones(len(distinct), bool)
+        old = np.flatnonzero(~new)
+        if len(old):
+            wrong = np.zeros(len(distinct), bool)
+            wrong[old] = ~_same_words(body, begin[one[old]], size[one[old]], self.text, self.start[i[old]], self.length[i[old]])
+            clash |= wrong[which]
         if new.any():
             b, n = begin[one[new]], size[one[new]]
-            ids, many = self.merge(self.byte_id[body[ranges(b, n)]], n)
-            at = len(self.ids) + np.cumsum(many) - many
-            self.ids = np.concatenate([self.ids, ids.astype(self.ids.dtype)])
+            letters = body[ranges(b, n)]
+            at, many = self._append(letters, n)
+            start = len(self.text) + np.cumsum(n) - n
+            self.text = np.concatenate([self.text, letters])
             known = np.concatenate([self.known, distinct[new]])
             order = np.argsort(known, kind="stable")
-            self.known, self.at, self.many = known[order], np.concatenate([self.at, at])[order], np.concatenate([self.many, many])[order]
+            self.known = known[order]
+            for name, more in (("at", at), ("many", many), ("start", start), ("length", n)):
+                setattr(self, name, np.concatenate([getattr(self, name), more])[order])
             i = np.searchsorted(self.known, distinct)
-        return self.at[i][which], self.many[i][which]
+        at, many = self.at[i][which], self.many[i][which]
+        if clash.any():  # other words have the same hash: merged on their own
+            b, n = begin[clash], size[clash]
+            at[clash], many[clash] = self._append(body[ranges(b, n)], n)
+        return at, many
+
+    def _append(self, letters: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge words and append their ids to self.ids: places and numbers."""
+        ids, many = self.merge(self.byte_id[letters], sizes)
+        at = len(self.ids) + np.cumsum(many) - many
+        self.ids = np.concatenate([self.ids, ids.astype(self.ids.dtype)])
+        return at, many
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one flat array, and the n + 1 offsets of the texts in it."""

@@ -19,15 +19,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from ._bytes import BYTE_KEYS, flat, ranges, runs
+from ._bytes import BYTE_KEYS, flat, gram_keys, ranges, runs
 from ._repeats import Windows, remove_repeats
 
 DEPTH, GRAM = 200, 32
 
 
-def byte_tokens(texts) -> tuple[np.ndarray, np.ndarray]:
+def byte_tokens(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     body, ends = flat(texts)
-    return BYTE_KEYS[body], ends
+    keys = BYTE_KEYS[body]
+    return body, keys, keys, ends
 
 
 def _sliding_least(v: np.ndarray, width: int) -> np.ndarray:
@@ -39,7 +40,7 @@ def _sliding_least(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:many], ahead[width - 1 : width - 1 + many])
 
 
-def least_gram_anchors(keys, ends, spans):
+def least_gram_anchors(body, keys, ends):
     """For every 200-byte string the leftmost of its least grams; runs of strings that share it."""
     n = len(keys)
     empty = np.zeros(0, np.int64)
@@ -48,7 +49,7 @@ def least_gram_anchors(keys, ends, spans):
     if not fits.any():
         return empty, empty, empty, np.zeros(0, np.uint64)
     at = np.arange(n - GRAM + 1)
-    h = spans(at, at + GRAM)
+    h = gram_keys(body, GRAM)
     place = np.uint64(n.bit_length())
     least = _sliding_least(h >> place << place | at.astype(np.uint64), DEPTH - GRAM + 1)
     p = ranges(begin[fits], size[fits] - DEPTH + 1)
@@ -62,7 +63,7 @@ def least_gram_anchors(keys, ends, spans):
 BYTE_WINDOWS = Windows(DEPTH, byte_tokens, least_gram_anchors, False, GRAM)
 
 
-def byte_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def byte_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", windows: Windows = BYTE_WINDOWS) -> DataFrame:
     """key, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     schema = T.StructType([docs.schema[key], *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])
 
@@ -80,4 +81,4 @@ def byte_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         columns = [pa.array([x[i] for x in out], pa.string() if i == 3 else pa.int64()) for i in range(4)]
         return pa.table([table.column(key), *columns], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return remove_repeats(docs.select(key, text), BYTE_WINDOWS, finish, schema, key, text)
+    return remove_repeats(docs.select(key, text), windows, finish, schema, key, text)

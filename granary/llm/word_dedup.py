@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from ._bytes import BYTE_KEYS, Spans, flat
+from ._bytes import Spans, flat, word_keys
 from ._repeats import Windows, remove_repeats
 
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
@@ -29,8 +29,8 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
-def words(texts) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit key of every word, and the offsets of the texts in them."""
+def words(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes, two independent 64-bit keys of every word, and the offsets of the texts in the words."""
     body, ends = flat(texts)
     n = len(body)
     inside = np.zeros(n + 2, bool)
@@ -39,13 +39,13 @@ def words(texts) -> tuple[np.ndarray, np.ndarray]:
     cut[ends] = True
     begin = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[:-1]))
     end = np.flatnonzero(inside[1:-1] & (~inside[2:] | cut[1:])) + 1
-    return Spans(BYTE_KEYS[body])(begin, end), np.searchsorted(begin, ends)
+    return body, word_keys(body, begin, end - begin), word_keys(body, begin, end - begin, 1), np.searchsorted(begin, ends)
 
 
-def cover_anchors(keys, ends, spans):
+def cover_anchors(body, keys, ends):
     """Anchors at the cover's positions, the runs of windows that hold them, and their words' hash."""
     size = np.diff(ends)
-    at = np.arange(len(keys)) - np.repeat(ends[:-1], size)
+    at = np.arange(ends[-1]) - np.repeat(ends[:-1], size)
     room = np.repeat(size, size)
     is_cover = np.zeros(PERIOD, bool)
     is_cover[list(COVER)] = True
@@ -53,7 +53,7 @@ def cover_anchors(keys, ends, spans):
     local, base = at[pick], pick - at[pick]
     s = base + np.maximum(local - (PERIOD - 1), 0)
     e = base + np.minimum(local, room[pick] - WINDOW)
-    return pick, s, e, spans(pick, pick + ANCHOR)
+    return pick, s, e, Spans(keys)(pick, pick + ANCHOR)
 
 
 WORD_WINDOWS = Windows(WINDOW, words, cover_anchors, True)
@@ -68,7 +68,7 @@ def _kept(text, mask) -> tuple[int, int, bytes]:
     return len(own), int(len(own) - keep.sum()), b" ".join(compress(own, keep.tolist()))
 
 
-def word_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def word_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", windows: Windows = WORD_WINDOWS) -> DataFrame:
     """key, n_words, n_removed and kept_sha256 of every row."""
     schema = T.StructType([docs.schema[key], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
 
@@ -77,7 +77,7 @@ def word_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         columns = [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string()))]
         return pa.table([table.column(key), *columns], names=[key, "n_words", "n_removed", "kept_sha256"])
 
-    return remove_repeats(docs.select(key, text), WORD_WINDOWS, finish, schema, key, text)
+    return remove_repeats(docs.select(key, text), windows, finish, schema, key, text)
 
 
 def drop_repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

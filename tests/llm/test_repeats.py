@@ -1,11 +1,12 @@
 import hashlib
 import random
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
-from granary.llm.suffix_dedup import byte_digests
-from granary.llm.word_dedup import drop_repeated_words, word_digests
+from granary.llm.suffix_dedup import BYTE_WINDOWS, byte_digests
+from granary.llm.word_dedup import WORD_WINDOWS, drop_repeated_words, word_digests
 
 
 def brute_words(docs):
@@ -63,6 +64,42 @@ def test_words_and_bytes_against_brute_force(table, seed):
     assert sorted(map(tuple, byte_digests(df).collect()), key=str) == brute_bytes(docs)
 
 
+LIMITS = {"fan": 2, "hot": 2, "bucket_bytes": 1 << 10, "flush_bytes": 4 << 10, "merge_bytes": 8 << 10}
+
+
+def test_two_deals_and_hot_anchors_change_nothing(table):
+    rng = random.Random(9)
+    phrase = " ".join(f"common{i}" for i in range(9)) + " "  # an anchor of words and of bytes with other surroundings each time
+    docs = corpus(3) + [(2000 + i, " ".join(f"l{rng.randrange(3)}" for _ in range(20)) + " " + phrase + " ".join(f"r{rng.randrange(2)}" for _ in range(40))) for i in range(60)]
+    df = table(docs, parts=4)
+    assert sorted(map(tuple, word_digests(df, windows=replace(WORD_WINDOWS, **LIMITS)).collect()), key=str) == brute_words(docs)
+    assert sorted(map(tuple, byte_digests(df, windows=replace(BYTE_WINDOWS, **LIMITS)).collect()), key=str) == brute_bytes(docs)
+
+
+def test_words_whose_polynomials_collide_modulo_powers_of_two(table):
+    """A Thue-Morse word and its complement have equal polynomials modulo 2**64 for every odd base."""
+    words = []
+    for n in (1024, 2048, 4096, 8192):
+        bits = [bin(i).count("1") % 2 for i in range(n)]
+        words += ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+    sides = [f"s{i}" for i in range(30)]
+    docs = [(i, " ".join(sides[:15] + [w] + sides[15:])) for i, w in enumerate(words)] + [(100 + i, w) for i, w in enumerate(words)]
+    got = sorted(map(tuple, word_digests(table(docs)).collect()), key=str)
+    assert got == brute_words(docs) and all(r[2] == 0 for r in got)
+    assert sorted(map(tuple, byte_digests(table(docs)).collect()), key=str) == brute_bytes(docs)
+
+
+def test_very_long_texts(table):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(1 << 30)}" for _ in range(200_000)]
+    head, tail = " ".join(words[:300]), " ".join(words[-500:])
+    docs = [(1, " ".join(words)), (2, "x" * 3_000_000), (3, tail + " end"), (4, head)]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in word_digests(table(docs)).collect()}
+    assert got == {1: (200_000, 0), 2: (1, 0), 3: (501, 500), 4: (300, 300)}
+    removed = {r.doc_id: r.n_removed for r in byte_digests(table(docs)).collect()}
+    assert removed == {1: len(head) + len(tail), 2: 3_000_000, 3: len(tail), 4: len(head)}
+
+
 def test_edges(table):
     passage = " ".join(f"w{i}" for i in range(60))
     docs = [(5, passage), (5, passage), (None, passage), (2, "head " + passage), (9, passage + " tail"), (7, None)]

@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from granary.llm import bpe
 from granary.llm.bpe import Bpe, default_path, digests, token_ids
 from granary.llm.packing import SEQUENCE, pack
 from granary.llm.token_histogram import at_limits, length_histogram, quantile
@@ -36,6 +37,37 @@ def test_encode_and_decode_as_the_library(models):
         assert back[upto[i] : upto[i + 1]].decode() == theirs.decode(want.ids, skip_special_tokens=False)
 
 
+def test_words_of_equal_hashes(models, monkeypatch):
+    """Ids are right for words whose polynomials agree modulo 2**64, and even if all words had one of few hashes."""
+    ours, theirs = models
+    texts = []
+    for n in (1024, 2048, 4096, 8192):
+        bits = [bin(i).count("1") % 2 for i in range(n)]
+        texts += ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+    want = [t.ids for t in theirs.encode_batch(texts, add_special_tokens=False)]
+    for t, ids in zip(texts, want):
+        assert ours.encode(pa.array([t]))[0].tolist() == ids
+    ids, ends = ours.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == want
+    monkeypatch.setattr(bpe, "word_keys", lambda body, begin, size: (size % 3).astype(np.uint64))
+    monkeypatch.setattr(bpe, "ONE_TO_ONE", 0)
+    ours.forget()
+    for _ in range(2):
+        ids, ends = ours.encode(pa.array(TRICKY))
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [t.ids for t in theirs.encode_batch(TRICKY, add_special_tokens=False)]
+    ours.forget()
+
+
+def test_very_long_texts(table, models):
+    docs = [(1, "é" * 200_000), (2, "ab cd " * 400_000), (3, " " * 100_000)]
+    got = {r.doc_id: r for r in digests(table(docs)).collect()}
+    for i, t in docs:
+        ids = models[1].encode(t, add_special_tokens=False).ids
+        assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+    h = {r.length: r.n_docs for r in length_histogram(table(docs)).collect()}
+    assert sum(h.values()) == 3 and max(h) == max(r.n_tokens for r in got.values())
+
+
 def test_digests_and_ids(table, models):
     docs = [(i, t) for i, t in enumerate(TRICKY)] + [(100, None), (None, "x y"), (103, "again"), (103, "again")]
     got = digests(table(docs, extra=True)).collect()
