@@ -5,14 +5,17 @@ apart, in hash order. Each round counts the members of every group of linked doc
 shard with most of them is the group's target, and members elsewhere ask to move there. A quota for
 each pair of shards, from a matrix of shards x shards, accepts as many moves as the target can make
 room for; documents without links fill the places that movers leave, so every shard keeps its count
-exactly. Groups larger than a part of a shard are salted into parts that fit. Rounds end when nothing
-moves. The law that holds is `rows`.
+exactly. Groups larger than LINK_ROWS, or than a part of a shard, are salted into parts that fit. Rounds
+end when no move is accepted: each accepted move adds to the most members that a group has in one shard,
+so they do end. The law that holds is `rows`.
 
 Numbers within shards are given in two steps, counts of hash buckets first, so no window holds a
-whole shard. All tables that are used again are written to the shared folder.
+whole shard. Rows of frequent texts, at most FREQUENT of them, learn their group's size by a broadcast,
+all others by a join. All tables that are used again are written to the shared folder.
 
-Defined results: a null text counts as empty, with 16 bytes. Repeated rows are rows of their own,
-linked like all equal texts. Fewer rows than shards leave shards empty. An empty table gives none.
+Defined results: a null text counts as empty, with 16 bytes; a text of any length counts whole. Repeated rows are rows of their own,
+linked like all equal texts. Fewer rows than shards leave shards empty. Columns of the input
+beside key and text take no part, whatever their names. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -20,9 +23,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ._shared import stored
+from ._shared import stored, with_value
 
 SHARDS, PARTS = 40, 4
+#: Most rows of a part of a group that moves as one.
+LINK_ROWS = 10_000
 #: Rows of a bucket that is numbered in one sort; the buckets grow with the rows.
 BUCKET_ROWS, LEAST_BUCKETS = 200_000, 64
 
@@ -59,10 +64,10 @@ def quotas(wish: np.ndarray, free: np.ndarray) -> np.ndarray:
                 break
 
 
-def propagate(rows: DataFrame, shards: int, rounds: int = 6, buckets: int = LEAST_BUCKETS) -> DataFrame:
-    """rows (_rid, _h, _link, shard) with links moved together; every shard keeps its count."""
+def propagate(rows: DataFrame, shards: int, buckets: int = LEAST_BUCKETS) -> DataFrame:
+    """rows (_rid, _h, _lh, _link, shard) with links moved together; every shard keeps its count."""
     spark = rows.sparkSession
-    for _ in range(rounds):
+    while True:
         counts = rows.filter("_link is not null").groupBy("_link", "shard").agg(F.count(F.lit(1)).alias("n"))
         target = counts.groupBy("_link").agg(F.max(F.struct("n", F.pmod(F.xxhash64("_link", "shard"), F.lit(1 << 20)).alias("r"), "shard")).alias("t"))
         moving = counts.alias("c").join(target, "_link").filter(F.col("c.shard") != F.col("t.shard")).select("_link", "c.shard", F.col("t.shard").alias("to"), (F.col("t.n") - F.col("c.n")).alias("gain"), "n")
@@ -75,7 +80,7 @@ def propagate(rows: DataFrame, shards: int, rounds: int = 6, buckets: int = LEAS
             free[i] = n
         take = quotas(wish, free)
         if not take.sum():
-            break
+            return rows
         net = take.sum(axis=0) - take.sum(axis=1)
         cells = [(int(i), int(j), int(take[i, j])) for i, j in zip(*np.nonzero(take))]
         quota = spark.createDataFrame(cells, "shard int, to int, quota long")
@@ -97,22 +102,21 @@ def propagate(rows: DataFrame, shards: int, rounds: int = 6, buckets: int = LEAS
         single = single.select("_rid", "_h", "_lh", "_link", F.coalesce("fill", "shard").alias("shard"))
         stay = linked.filter("_link is not null and to is null").select("_rid", "_h", "_lh", "_link", "shard")
         rows = stored(moved.unionByName(single).unionByName(stay), "sharding-rows")
-    return rows
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = 6, key: str = "doc_id", text: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, size, text_crc32, law, shard, slot and grown_shard (null under the law `rows`)."""
     raw = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(F.col(key).alias("_key"), (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"), F.sha2(raw, 256).alias("_text"))
     base = stored(base.withColumn("_rid", F.monotonically_increasing_id()).withColumn("_h", F.xxhash64("_key", "_rid")), "sharding-base")
     sizes = base.groupBy("_text").agg(F.count(F.lit(1)).alias("_many")).filter("_many > 1")
     many = base.count()
-    most, buckets = max(1, many // shards // PARTS), buckets_for(many, shards)
+    most, buckets = max(1, min(many // shards // PARTS, LINK_ROWS)), buckets_for(many, shards)
     salt = F.pmod(F.col("_h"), F.ceil(F.col("_many") / most))
-    rows = base.select("_rid", "_h", "_text").join(sizes, "_text", "left")
+    rows = with_value(base.select("_rid", "_h", "_text"), sizes, "_text", "_many", many)
     link = F.when(F.col("_many").isNotNull(), F.concat_ws(":", "_text", salt.cast("string")))
     rows = rows.select("_rid", "_h", link.alias("_link"), F.xxhash64("_text").alias("_lh"))
     start = gapless(rows, [], "_number", buckets_for(many)).select("_rid", "_h", "_lh", "_link", (F.col("_number") % shards).cast("int").alias("shard"))
-    placed = propagate(stored(start, "sharding-rows"), shards, rounds, buckets)
+    placed = propagate(stored(start, "sharding-rows"), shards, buckets)
     slots = gapless(placed, ["shard"], "slot", buckets).select("_rid", "shard", F.col("slot").cast("long").alias("slot"))
     return base.join(slots, "_rid").select(F.col("_key").alias(key), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
