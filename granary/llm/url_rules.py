@@ -4,16 +4,21 @@ Each distinct URL expands to (host suffixes) x (path prefixes of the lengths tha
 Expressions and rules meet in an equi-join on a short prefix of their digest, full digests confirm
 the match, and the longest rule wins. Everything is a built-in expression; the expansion is bounded
 by labels in the host times distinct path lengths of rules, not by the number of rules. Spark
-broadcasts the rules only under its own size threshold and shuffles both sides beyond it.
+broadcasts the rules only under its own size threshold and shuffles both sides beyond it; the rules
+are repeated for SALTS parts of the URLs, so that a top-level domain's rule is no hot key there.
 
-Defined results: a null URL, or one without '://', has an empty host and path and no rule.
-Repeated rows come back as often as they came. Equal lengths: the smaller rule string wins.
+Defined results: a null URL, or one without '://', has an empty host and path and no rule. A URL of any
+length is judged whole. Repeated rows come back as often as they came. Equal lengths: the smaller rule
+string wins; of one rule with both actions, block. Rules with a null host are left out, a null path fits
+all. Hosts of URLs and rules are lower-cased in A-Z only. Other columns of the input do not come back,
+whatever their names. An empty table gives none.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+SALTS = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -32,7 +37,7 @@ def _digest(expression: Column) -> Column:
 
 def compile_rules(rules: DataFrame, prefix: int = 8) -> DataFrame:
     """Rules (host, path, action) with digest, short prefix and weight. A repeated rule: block beats allow."""
-    r = rules.filter(F.col("host").isNotNull()).select(F.lower("host").alias("host"), F.coalesce("path", F.lit("")).alias("path"), "action")
+    r = rules.filter(F.col("host").isNotNull()).select(F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "action")
     r = r.groupBy("host", "path").agg(F.max("action").alias("action"))
     full = _digest(F.concat("host", F.lit("\n"), "path"))
     return r.select(
@@ -52,16 +57,19 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
     labels = F.split("host", "\\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     heads = F.transform(F.filter("_lengths", lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    # every URL of a domain has that domain among its expressions: rules are repeated for SALTS parts of the URLs
+    part = F.pmod(F.xxhash64("_key", "_url"), F.lit(SALTS)).cast("int").alias("_part")
+    compiled = compiled.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     expressions = (
         urls.filter(F.col("host") != "")
         .crossJoin(F.broadcast(lengths))  # one row
         .select("_key", "_url", F.explode(suffixes).alias("_suffix"), heads.alias("_heads"))
         .select("_key", "_url", "_suffix", F.explode("_heads").alias("_head"))
-        .select("_key", "_url", _digest(F.concat("_suffix", F.lit("\n"), "_head")).alias("_full"))
+        .select("_key", "_url", part, _digest(F.concat("_suffix", F.lit("\n"), "_head")).alias("_full"))
         .withColumn("short", F.substring("_full", 1, prefix))
     )
     best = (
-        expressions.join(compiled, "short")
+        expressions.join(compiled, ["short", "_part"])
         .filter(F.col("_full") == F.col("digest"))
         .groupBy("_key", "_url")
         .agg(F.min(F.struct((-F.length("rule")).alias("w"), "rule", "action")).alias("_best"))
