@@ -3,9 +3,9 @@
 Every feature is a built-in column expression over the whole text; no Python runs on the executors
 and no row leaves its partition, so the job is one scan without a shuffle at any size.
 
-Defined results: a null or blank text has no words, fails the base rule and is not kept. Repeated
-rows are judged alone and stay repeated. Columns of the input that share a feature's name are
-replaced by the feature.
+Defined results: a null or blank text has no words, fails the base rule and is not kept. A text of any
+length is judged whole. Repeated rows are judged alone and stay repeated. Columns of the input that
+share a feature's name are replaced by the feature; all others come back as they were.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 SPACE = " \t\n\x0b\x0c\r"
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
+#: A word with a letter; a line that begins with a bullet; a line that ends with an ellipsis. Both engines read these alike.
+LETTER, BULLET, ELLIPSIS = r"\p{L}", r"^[*\-\x{2022}\x{2023}\x{25cf}\x{25aa}]", r"(\.\.\.|\x{2026})$"
 WINDOW = 8
 
 # Frequent function words of English, German, French and Spanish.
@@ -28,7 +30,9 @@ STOP_WORDS = (
 ).split()
 
 
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_shouts", "n_lines", "n_dup_lines", "n_stop_kinds", "n_repeat_words", "base_failed", "kept")
+FEATURES = (
+    "n_words", "word_chars", "n_symbols", "n_letter_words", "n_lines", "n_dup_lines", "n_bullet_lines", "n_ellipsis_lines", "n_stop_kinds", "n_repeat_words", "base_failed", "kept",
+)
 
 
 @dataclass(frozen=True)
@@ -47,8 +51,10 @@ class Rule:
 RULES = (
     Rule("mean_word_length", "word_chars", "n_words", low=200, high=2000),
     Rule("symbols_per_word", "n_symbols", "n_words", high=25),
-    Rule("shouts_per_word", "n_shouts", "n_words", high=50),
+    Rule("words_with_letters", "n_letter_words", "n_words", low=70),
     Rule("duplicate_lines", "n_dup_lines", "n_lines", high=50),
+    Rule("bullet_lines", "n_bullet_lines", "n_lines", high=90),
+    Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", high=30),
     Rule("stop_word_kinds", "n_stop_kinds", "one", low=100, from_words=80),
 )
 
@@ -105,13 +111,13 @@ def repeated_window_words(words: Column, hashes: str) -> Column:
 
 
 def quality_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of `docs` and the counts that rules refer to."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    """`_document` (the row of `docs`) and the counts that rules refer to."""
+    t = F.coalesce(F.col("_document").getField(text), F.lit(""))
     own = {
         "_words": F.when(F.trim(t, F.lit(SPACE)) == "", F.array().cast("array<string>")).otherwise(F.split(F.trim(t, F.lit(SPACE)), SPACES)),
         "_lines": F.filter(F.split(t, "\n"), lambda x: F.trim(x, F.lit(SPACE)) != ""),
     }
-    df = docs.withColumns(own)
+    df = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_document")).withColumns(own)
     words, lines, n = F.col("_words"), F.col("_lines"), F.size("_words")
     df = df.withColumns(
         {
@@ -121,9 +127,11 @@ def quality_features(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_words": n.cast("long"),
             "word_chars": F.length(F.array_join(words, "")).cast("long"),
             "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
-            "n_shouts": F.regexp_count(t, F.lit("!!")).cast("long"),
+            "n_letter_words": F.size(F.filter(words, lambda w: w.rlike(LETTER))).cast("long"),
             "n_lines": F.size(lines).cast("long"),
             "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+            "n_bullet_lines": F.size(F.filter(lines, lambda x: F.trim(x, F.lit(SPACE)).rlike(BULLET))).cast("long"),
+            "n_ellipsis_lines": F.size(F.filter(lines, lambda x: F.trim(x, F.lit(SPACE)).rlike(ELLIPSIS))).cast("long"),
             "n_stop_kinds": F.size(F.array_intersect(F.split(F.lower(t), SPACES), F.array(*map(F.lit, STOP_WORDS)))).cast("long"),
             "one": F.lit(1).cast("long"),
         }
@@ -136,12 +144,12 @@ def judge_quality(docs: DataFrame, rules=RULES, text: str = "text", min_words: i
     df = quality_features(docs, text)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     df = df.withColumns({"base_failed": failed, "kept": ~failed & _passes(rules)})
-    found = [c for c in df.columns if c in FEATURES]
     # a generator of one row: filters on the verdict are not moved into the expressions it is made of
-    return df.select(*(F.col(f"`{c}`") for c in docs.columns if c not in FEATURES), F.inline(F.array(F.struct(*found))))
+    own = [F.col("_document").getField(c).alias(c) for c in docs.columns if c not in FEATURES]
+    return df.select(*own, F.inline(F.array(F.struct(*FEATURES))))
 
 
 def keep_good(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     """The rows of `docs` that are kept, with their own columns whatever those are called."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_document"), F.col(text))
-    return judge_quality(rows, rules, text).filter("kept").select("_document.*")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_document"), F.col(text).alias("_text"))
+    return judge_quality(rows, rules, "_text").filter("kept").select("_document.*")

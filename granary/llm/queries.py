@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .bpe import digests
 from .knn_join import top_k
 from .packing import pack
-from .quality_rules import RULES, STOP_WORDS, judge_quality
+from .quality_rules import BULLET, ELLIPSIS, LETTER, RULES, STOP_WORDS, judge_quality
 from .sharding import shard_documents
 from .simhash import near_duplicates
 from .suffix_dedup import byte_digests
@@ -48,12 +48,14 @@ p as (select rid, count(distinct q) as n_repeat_words from r, unnest(range(i, i
 f as (
   select d.rid, doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
     cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
-    cast(len(regexp_extract_all(t, '!!')) as bigint) as n_shouts,
+    cast(len(list_filter(w, lambda x: regexp_matches(x, '{LETTER}'))) as bigint) as n_letter_words,
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
     cast(len(list_intersect(list_distinct(regexp_split_to_array(lower(t), '[\x20\x09-\x0D]+')), [{stop}])) as bigint) as n_stop_kinds,
     coalesce(n_repeat_words, 0) as n_repeat_words, 1 as one
   from d left join p on d.rid = p.rid),
 h as (select *, cast(len(lines) as bigint) as n_lines, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines,
+        cast(len(list_filter(lines, lambda x: regexp_matches(trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{BULLET}'))) as bigint) as n_bullet_lines,
+        cast(len(list_filter(lines, lambda x: regexp_matches(trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{ELLIPSIS}'))) as bigint) as n_ellipsis_lines,
         (n_words < 20 or 100 * n_repeat_words > 30 * n_words) as base_failed from f)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   (not base_failed and {' and '.join(tests)}) as kept from h"""
@@ -80,11 +82,11 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = """
-with e as (select vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as v from embeddings
+with e as (select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as v from embeddings
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, e.vec_id as vec_id, cast(list_inner_product(q.v, e.v) as bigint) as score
-  from e as q join e on q.vec_id % 100 = 0 and q.vec_id <> e.vec_id),
-r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
+s as (select q.rid as qrid, q.vec_id as query_id, e.rid as rid, e.vec_id as vec_id, cast(list_inner_product(q.v, e.v) as bigint) as score
+  from e as q join e on q.vec_id % 100 = 0 and q.rid <> e.rid),
+r as (select *, cast(row_number() over (partition by qrid order by score desc, vec_id, rid) as int) as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 10"""
 
 

@@ -1,3 +1,4 @@
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -7,6 +8,7 @@ from granary.llm.knn_join import top_k
 from granary.llm.quality_rules import judge_quality, keep_good
 from granary.llm.sharding import quotas, shard_documents
 from granary.llm.url_rules import judge_urls
+from pyspark.sql import functions as F
 
 PROSE = "The quick brown fox walks to the river and rests in the shade of an old tree while birds sing for the morning sun near. "
 
@@ -33,13 +35,13 @@ def test_quality_rules(table):
 
 
 def brute_top(vectors, k, every):
-    data = {i: np.floor(1024 * np.array(v, float)).astype(np.int64) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    width = max(map(len, data.values()))
-    data = {i: np.pad(v, (0, width - len(v))) for i, v in data.items()}
+    data = [(i, [max(-(1 << 53), min(1 << 53, math.floor(1024 * float(x)))) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    width = max(len(v) for _, v in data)
+    data = [(i, np.array(v + [0] * (width - len(v)), object)) for i, v in data]
     out = []
-    for q in data:
+    for n, (q, x) in enumerate(data):
         if q % every == 0:
-            scored = sorted((-int(data[q] @ v), i) for i, v in data.items() if i != q)[:k]
+            scored = sorted((-max(-(1 << 63), min((1 << 63) - 1, int(x @ v))), i) for m, (i, v) in enumerate(data) if m != n)[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
     return sorted(out)
 
@@ -50,11 +52,39 @@ def test_top_k_is_exact(spark, n, pivots):
     centres = rng.normal(size=(5, 8))
     vectors = [(i, (centres[i % 5] + 0.05 * rng.normal(size=8)).tolist()) for i in range(n)]
     vectors += [(n + i, vectors[1][1]) for i in range(30)]  # ties
-    vectors += [(5000, None), (5100, [1.0, None]), (5200, [float("nan")] * 8), (5300, [0.5, 0.5]), (None, [1.0] * 8), (5400, [float("inf")] * 8)]
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    vectors += [(5000, None), (5100, [1.0, None]), (5200, [float("nan")] * 8), (5300, [0.5, 0.5]), (None, [1.0] * 8), (5400, [float("inf")] * 8), (5500, [0.0] * 8), (5600, [])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumns({c: F.lit("mine") for c in ("id", "v", "rid", "g", "rank", "cell")})
     assert sorted(map(tuple, top_k(df, 10, 100, pivots=pivots).collect())) == brute_top(vectors, 10, 100)
 
 
+def test_top_k_of_repeated_ids_and_large_components(spark):
+    vectors = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [5.0, 0.0]), (100, [0.5, 1.0]), (100, [0.5, 1.0]), (100, [-2.0, 3.0]), (7, [1.0, 1.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, top_k(df, 3, 100).collect())) == brute_top(vectors, 3, 100)
+    large = [(i, [s * 4e6, s * 3e12, float(i)]) for i, s in enumerate((1, -1, 0.5, 2))] + [(200, [1e300, -1e300, 1.0]), (4, [3e38, 0.0, 0.0]), (3, [3e38, 0.0, 0.0])]
+    df = spark.createDataFrame(large, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, top_k(df, 3, 100).collect())) == brute_top(large, 3, 100)
+
+
+def test_top_k_prunes_clustered_data(spark):
+    """Each row goes to few of the groups: those of its own cluster and of clusters nearby."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 16))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    vectors = [(i, (centres[i % 40] + 0.01 * rng.normal(size=16)).tolist()) for i in range(6000)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(4)
+    report = {}
+    got = sorted(map(tuple, top_k(df, 10, 7, group_queries=32, report=report).collect()))
+    assert report["groups"] > 8 and report["copies"] < 0.4 * report["groups"] * report["rows"]
+    scaled = np.array([np.floor(1024 * np.array(v)) for _, v in vectors]).astype(np.int64)
+    want = []
+    for q in range(0, 6000, 7):
+        s = scaled @ scaled[q]
+        order = [i for i in np.lexsort((np.arange(6000), -s))[:11].tolist() if i != q][:10]
+        want += [(q, n, i, int(s[i])) for n, i in enumerate(order, 1)]
+    assert got == sorted(want)
+
+
 def test_top_k_of_more_queries_than_are_held_at_once(spark):
     rng = np.random.default_rng(5)
     vectors = [(i, rng.integers(-4, 4, 6).astype(float).tolist()) for i in range(600)]
@@ -95,6 +125,15 @@ def test_sharding(table):
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
     text = dict(docs)
     assert all(r.size == len((text[r.doc_id] or "").encode()) + 16 and r.text_crc32 == zlib.crc32((text[r.doc_id] or "").encode()) for r in rows)
+    # cut edges of the groups' stars: first as dealt in hash order, then at the end
+    def cut(shard_of):
+        groups = defaultdict(Counter)
+        for r in rows:
+            groups[text[r.doc_id] or ""][shard_of(r)] += 1
+        return sum(sum(c.values()) - max(c.values()) for t, c in groups.items() if t != "hot")  # a shard has no room for all of `hot`
+
+    placed = cut(lambda r: r.shard)
+    assert placed < 0.5 * cut(lambda r: zlib.crc32(str(r.doc_id).encode()) % 7)
     pairs = defaultdict(set)
     for r in rows:
         if 2000 <= r.doc_id < 2060:
@@ -105,6 +144,38 @@ def test_sharding(table):
     assert sorted(r.shard for r in shard_documents(table([(1, "a"), (2, "a")]), shards=4).collect()) == [0, 1]
 
 
+def test_hot_texts_are_split_into_parts(spark):
+    """A third of all rows have one text: parts of it lie together, no shard gets more rows than others."""
+    docs = [(i, "hot" if i % 3 == 0 else f"t{i // 12}") for i in range(6000)]
+    rows = shard_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), shards=10).collect()
+    assert sorted(Counter(r.shard for r in rows).values()) == [600] * 10
+    groups = defaultdict(set)
+    for r in rows:
+        if r.doc_id % 3:
+            groups[r.doc_id // 12].add(r.shard)
+    assert sum(len(v) > 1 for v in groups.values()) < 0.1 * len(groups)
+
+
+def test_url_rules_edges(spark):
+    rules = spark.createDataFrame([("ÉX.org", "/", "allow"), ("ÉX.org", "/", "block"), ("a.b", None, "block"), (None, "/", "block")], "host string, path string, action string")
+    pages = [(1, "http://Éx.ORG/a"), (2, "http://éx.org/a"), (3, "http://x.A.b?q"), (4, "http://a.b/" + "p" * 100_000), (5, "http://" + "h." * 3000 + "a.b/")]
+    df = spark.createDataFrame(pages, "page_id long, url string").withColumns({c: F.lit("mine") for c in ("host", "path", "rule", "verdict", "_key", "_part", "short", "action")})
+    got = {r.page_id: (r.rule, r.verdict) for r in judge_urls(df, rules).collect()}
+    assert got == {1: ("Éx.org/", "block"), 2: (None, "allow"), 3: ("a.b", "block"), 4: ("a.b", "block"), 5: ("a.b", "block")}
+    assert judge_urls(df.limit(0), rules).count() == 0 and judge_urls(df, rules.limit(0)).filter("verdict = 'block'").count() == 0
+
+
+def test_quality_rules_of_lines_and_clashing_names(spark):
+    lines = {1: "\n".join(f"- {PROSE} {i}" for i in range(5)), 2: "\n".join(f"{PROSE} {i}..." for i in range(5)), 3: " ".join(str(i) for i in range(40)) + " the of", 4: PROSE + "\n" + PROSE.upper()}
+    df = spark.createDataFrame(list(lines.items()), "doc_id long, text string").withColumns({c: F.lit("mine") for c in ("_words", "_lines", "_windows", "one", "_document", "_text", "kept")})
+    rows = {r.doc_id: r for r in judge_quality(df).collect()}
+    assert {i: (r.n_lines, r.n_bullet_lines, r.n_ellipsis_lines) for i, r in rows.items()} == {1: (5, 5, 0), 2: (5, 0, 5), 3: (1, 0, 0), 4: (2, 0, 0)}
+    assert {i: r.kept for i, r in rows.items()} == {1: False, 2: False, 3: False, 4: True}
+    assert all(r[c] == "mine" for r in rows.values() for c in ("_words", "_lines", "_windows", "_document", "_text"))
+    good = keep_good(df)
+    assert good.columns == df.columns and [(r.doc_id, r.kept, r._words) for r in good.collect()] == [(4, "mine", "mine")]
+
+
 def test_url_rules(spark):
     rules = spark.createDataFrame([("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/de/", "block")], "host string, path string, action string")
     pages = [
