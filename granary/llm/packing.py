@@ -1,20 +1,27 @@
 """Mixture-controlled packing: deficit round-robin over source queues, in closed form.
 
 Each source is a queue: the ids of its documents in one row, cut into chunks of QUANTUM tokens. A
-queue earns credit in proportion to its weight (its share of all tokens unless given) and the queue
-with the largest deficit sends its next chunk. That order is the order of the chunks' due times
-(2k + 1) / (2 * weight), so a chunk's rank among all queues is a sum over queues of how many of
-their chunks are due before it: every task computes it alone, and deficits carry across windows and
-partitions without a pass over the data. A queue's last, partial chunk follows all full chunks. The
-last sequence is cut at powers of two, which need no padding.
+queue earns credit in proportion to its weight (its tokens unless weights are given) and the queue
+with the largest deficit sends its next chunk. That order is the order of the chunks' due times,
+(tokens before the chunk + phase * its tokens) / weight, where phases between 0 and 1 spread the queues'
+first credit evenly. So a chunk's place among all queues is a sum over queues of the tokens they have
+due before it: every task computes it alone, and deficits carry across windows and partitions without a
+pass over the data. A queue's last, shorter chunk is due like any other, so the mixture holds through
+the last window. The last sequence is cut at powers of two, which need no padding.
+
+Due times are doubles; their order, ties going to the lower queue, is the same in every task, as each
+count of chunks due before a time is settled by comparing due times.
 
 Documents are encoded once; the ids are written to the shared folder with each document's place in
 the row of its queue inside its task. What joins them to the row's start in the queue is one row for
 each task and queue. No ids are shuffled.
 
-Defined results: a null text has the end id alone; a null source is a queue of its own; repeated rows
-are packed each. Each source is a queue of its own, however many there are; weights must be whole numbers
-of at least 1 and name sources that the documents have.
+Defined results: a null or empty text has the end id alone; a text of any length is packed whole, in as
+many pieces as it takes; a null source is a queue of its own; repeated rows are packed each; a null
+doc_id is packed like any other. doc_id comes back as a long. Each source is a queue of its own, however
+many there are. Other columns of the input take no part, whatever their names. An empty table gives no
+rows. Weights must be whole numbers of at least 1 and name sources that the documents have; the sources
+they name share what credit their tokens earn together, all others earn by their tokens.
 """
 
 from __future__ import annotations
@@ -70,30 +77,56 @@ class Plan:
 
     def __init__(self, totals: list[tuple[str, int]], weights: dict[str, int] | None = None):
         self.index = {q: i for i, (q, _) in enumerate(totals)}
-        tokens = np.array([n for _, n in totals], np.int64)
-        self.chunks = tokens // QUANTUM
-        if weights and not weights.keys() <= self.index.keys():
+        self.tokens = np.array([n for _, n in totals], np.int64)
+        self.chunks = -(-self.tokens // QUANTUM)
+        weights = weights or {}
+        if not weights.keys() <= self.index.keys():
             raise ValueError(f"weights of sources that no document has: {sorted(q[1:] for q in weights.keys() - self.index.keys())}")
-        if any(w != int(w) or w < 1 for w in (weights or {}).values()):
+        if any(w != int(w) or w < 1 for w in weights.values()):
             raise ValueError("weights are whole numbers of at least 1")
-        self.weights = np.array([int((weights or {}).get(q, n)) for q, n in totals], np.int64)
-        self.long = np.flatnonzero(self.chunks)  # only queues with full chunks come before others
-        tails = tokens % QUANTUM
-        self.tails = int(self.chunks.sum()) * QUANTUM + np.cumsum(tails) - tails
-        self.total = int(tokens.sum())
-
-    def rank(self, k: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """How many full chunks of all queues are due before chunk k of queue q (ties: the lower queue first)."""
-        weights, chunks, q = self.weights[self.long], self.chunks[self.long], np.searchsorted(self.long, q)
-        wide = len(k) and (2 * int(k.max()) + 1) * int(weights.max()) >= 1 << 62  # then in Python's integers
-        weights = weights.astype(object) if wide else weights
-        mine = weights[q][:, None]
-        # chunks j of queue r with (2j + 1) / weight_r < (2k + 1) / mine, or <= for a lower queue
-        due = (2 * k + 1)[:, None] * weights[None, :] - mine
-        lower = np.arange(len(weights))[None, :] < q[:, None]
-        before = (due + np.where(lower, 2 * mine, 2 * mine - 1)) // (2 * mine)
-        before[np.arange(len(k)), q] = k
-        return np.minimum(np.maximum(before, 0), chunks[None, :]).sum(axis=1).astype(np.int64)
+        self.weights = self.tokens.astype(np.float64)
+        named = [self.index[q] for q in weights]
+        if named:
+            own = np.array(list(weights.values()), np.float64)
+            self.weights[named] = own / own.sum() * float(self.tokens[named].sum())
+        self.total = int(self.tokens.sum())
+        # queues of one chunk in the order of their due times; the others are compared one by one
+        self.long, one = np.flatnonzero(self.chunks > 1), np.flatnonzero(self.chunks == 1)
+        self.phase = (np.arange(1, len(totals) + 1) * 0.6180339887498949) % 1.0
+        due = self.due(np.zeros(len(one), np.int64), one)
+        order = np.lexsort((one, due))
+        self.due_once, one = due[order], one[order]
+        self.tokens_once = np.append(0, np.cumsum(self.tokens[one]))
+        self.key_once = np.searchsorted(self.due_once, self.due_once, "left") * len(totals) + one
+
+    def due(self, k: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Due times of chunks k of queues q."""
+        size = np.where(k == self.chunks[q] - 1, self.tokens[q] - k * QUANTUM, QUANTUM)
+        return (k * float(QUANTUM) + self.phase[q] * size) / self.weights[q]
+
+    def place(self, k: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Tokens of all queues that come before chunk k of queue q."""
+        due = self.due(k, q)
+        low, high = np.searchsorted(self.due_once, due, "left"), np.searchsorted(self.due_once, due, "right")
+        before = self.tokens_once[np.where(high > low, np.searchsorted(self.key_once, low * len(self.index) + q), low)]
+        w, chunks, tokens = self.weights[self.long], self.chunks[self.long], self.tokens[self.long]
+        if len(self.long):
+            lower, mine, queues = self.long[None, :] < q[:, None], due[:, None], self.long[None, :]
+
+            def is_before(j):
+                t = self.due(j, queues)
+                return ((t < mine) | (t == mine) & lower) & (j < chunks[None, :])
+
+            # estimated from full chunks, then settled by the due times themselves
+            many = np.clip(np.ceil(mine * w[None, :] / QUANTUM - self.phase[queues]), 0, chunks[None, :]).astype(np.int64)
+            many -= (many > 0) & ~is_before(many - 1)
+            for _ in range(2):
+                many += is_before(many)
+            at = np.searchsorted(self.long, q)
+            own = np.flatnonzero((at < len(self.long)) & (self.long[np.minimum(at, len(self.long) - 1)] == q))
+            many[own, at[own]] = k[own]
+            before = before + np.minimum(many * QUANTUM, tokens[None, :]).sum(axis=1)
+        return before
 
     def pieces(self, q: np.ndarray, start: np.ndarray, length: np.ndarray):
         """Columns (row, start in its document, length, sequence, offset) of the pieces of spans of queues' rows."""
@@ -102,23 +135,26 @@ class Plan:
         row = np.repeat(np.arange(len(q)), many)
         k, own = ranges(first, many), q[row]
         begin, end = np.maximum(k * QUANTUM, start[row]), np.minimum((k + 1) * QUANTUM, (start + length)[row])
-        full = k < self.chunks[own]
-        place = self.tails[own]
-        at = np.flatnonzero(full)
-        for some in np.array_split(at, max(1, len(at) * len(self.long) >> 20)):
-            place[some] = self.rank(k[some], own[some]) * QUANTUM
-        place += begin - k * QUANTUM
-        out = [row, begin - start[row], end - begin, place // SEQUENCE, place % SEQUENCE]
-        # the rest may cross sequences: tails and what lies in the last one
-        odd = ~full | (place >= self.total // SEQUENCE * SEQUENCE)
+        place = begin - k * QUANTUM
+        for some in np.array_split(np.arange(len(k)), max(1, len(k) * len(self.long) >> 20)):
+            place[some] += self.place(k[some], own[some])
+        at, size = begin - start[row], end - begin
+        last = place + size > self.total // SEQUENCE * SEQUENCE  # what lies in the last sequence may be cut into many
+        room = SEQUENCE - place % SEQUENCE
+        two = np.flatnonzero((size > room) & ~last)  # a piece crosses one end of a sequence at most
+        head = np.flatnonzero(~last)
+        out = [
+            np.concatenate([row[head], row[two]]), np.concatenate([at[head], (at + room)[two]]), np.concatenate([np.minimum(size, room)[head], (size - room)[two]]),
+            np.concatenate([(place // SEQUENCE)[head], (place // SEQUENCE)[two] + 1]), np.concatenate([(place % SEQUENCE)[head], np.zeros(len(two), np.int64)]),
+        ]
         extra: list[tuple] = []
-        for r, b, n, p in zip(*(x[odd].tolist() for x in (out[0], out[1], out[2], place))):
+        for r, b, n, p in zip(*(x[last].tolist() for x in (row, at, size, place))):
             while n:
-                sequence, offset, room = self.spot(p)
-                take = min(n, room)
+                sequence, offset, left = self.spot(p)
+                take = min(n, left)
                 extra.append((r, b, take, sequence, offset))
                 b, n, p = b + take, n - take, p + take
-        return [np.concatenate([x[~odd], np.array([e[i] for e in extra], np.int64)]) for i, x in enumerate(out)]
+        return [np.concatenate([x, np.array([e[i] for e in extra], np.int64)]) for i, x in enumerate(out)]
 
     def spot(self, p: int) -> tuple[int, int, int]:
         """Sequence, offset and what is left of the sequence at place p of the packed order."""
@@ -135,12 +171,12 @@ class Plan:
 
 
 def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, weights: dict[str, int] | None = None) -> DataFrame:
-    """Pieces of every document (doc_id, text, source), as in PIECES. weights: credit by source, else its tokens."""
+    """Pieces of every document (doc_id, text, source), as in PIECES. weights: relative credit of the sources they name."""
     spark = docs.sparkSession
     model = Tokenizer(spark, path)
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     queue = F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
-    rows = docs.select("doc_id", "text", queue.alias("queue"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", queue.alias("queue"))
     encoded = stored(_encoded(rows, model, end_id), "packing")
     parts = encoded.groupBy("queue", "task").agg(F.sum("n_tokens").alias("_n"))
     before = W.partitionBy("queue").orderBy("task").rowsBetween(W.unboundedPreceding, -1)

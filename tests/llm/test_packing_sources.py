@@ -1,19 +1,44 @@
 from collections import defaultdict
 
+import numpy as np
 import pytest
-from granary.llm.packing import SEQUENCE, pack
+from granary.llm.packing import QUANTUM, SEQUENCE, Plan, pack
 
 
 def test_each_of_many_sources_is_a_queue(table):
     docs = [(i, "word", f"site-{i}") for i in range(1100)] + [(2000 + i, "alpha beta " * 300, "ab"[i % 2]) for i in range(40)]
     rows = pack(table(docs), weights={"a": 3, "b": 1}).collect()
     assert {r.queue for r in rows} == {f"={s}" for _, _, s in docs}
-    seen = defaultdict(int)
-    total = sum(r.length for r in rows)
+    total, seen = sum(r.length for r in rows), defaultdict(int)
     for r in rows:
-        if r.sequence_id < 8 and r.queue in ("=a", "=b"):
+        if r.sequence_id < 6:
             seen[r.queue] += r.length
-    assert sum(seen.values()) == 8 * SEQUENCE < total and abs(seen["=a"] - 6 * SEQUENCE) <= 512
+    named = seen["=a"] + seen["=b"]
+    assert sum(seen.values()) == 6 * SEQUENCE < total and abs(seen["=a"] - 0.75 * named) <= QUANTUM
+
+
+def test_weights_hold_over_thousands_of_sources_through_the_last_window():
+    """Every prefix of the packed order has each source's share to within two chunks, the end included."""
+    rng = np.random.default_rng(3)
+    tokens = np.concatenate([rng.integers(1, 400, 1500), rng.integers(400, 3000, 1450), rng.integers(10**4, 10**6, 50)])
+    plan = Plan([(f"q{i:05}", int(n)) for i, n in enumerate(tokens)])
+    q = np.arange(len(tokens))
+    row, at, size, sequence, offset = plan.pieces(q, np.zeros(len(q), np.int64), tokens)
+    order = np.lexsort((offset, sequence))
+    place = np.append(0, np.cumsum(size[order]))
+    full = sequence[order] < plan.total // SEQUENCE
+    assert (place[:-1][full] == (sequence[order] * SEQUENCE + offset[order])[full]).all() and place[-1] == plan.total == size.sum()
+    worst = 0.0
+    for i in np.concatenate([q[:20], q[1500:1520], q[-50:]]):
+        got = np.append(0, np.cumsum(np.where(row[order] == i, size[order], 0)))
+        worst = max(worst, np.abs(got - place * (tokens[i] / plan.total)).max())
+    assert worst < 2 * QUANTUM
+    # target weights of named sources hold until one of them has no more tokens
+    plan = Plan([(f"q{i}", 10**6) for i in range(3)], {"q0": 5, "q1": 3, "q2": 2})
+    row, _, size, sequence, _ = plan.pieces(np.arange(3), np.zeros(3, np.int64), plan.tokens)
+    for windows in (10, 100, 900):
+        got = np.bincount(row[sequence < windows], size[sequence < windows], 3)
+        assert np.abs(got - windows * SEQUENCE * np.array([0.5, 0.3, 0.2])).max() < 2 * QUANTUM
 
 
 @pytest.mark.parametrize("weights", [{"a": 3, "z": 1}, {"a": 0.5}, {"a": 0}])
