@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ._bytes import Spans, mix, pieces, ranges
-from ._shared import stored, text_bytes
+from ._shared import free_name, stored, text_bytes
 
 BUCKET_BYTES, GROUP_BYTES, FLUSH_BYTES = 8 << 20, 8 << 20, 8 << 20
 #: Buckets of one deal; bytes of records merged between two deals; runs of an anchor from which it is hot in a task.
@@ -225,13 +225,6 @@ def _pass_on(table: pa.Table, out: _Rows) -> None:
             c.append(r[f.name])
 
 
-def _free(docs: DataFrame, name: str) -> str:
-    """A column name that the documents do not have."""
-    while name in docs.columns:
-        name += "_"
-    return name
-
-
 def remove_repeats(docs: DataFrame, windows: Windows, finish: Callable, schema: T.StructType, key: str = "doc_id", text: str = "text") -> DataFrame:
     """finish(table of documents, removed): rows of `schema` for a group of documents.
 
@@ -245,7 +238,7 @@ def remove_repeats(docs: DataFrame, windows: Windows, finish: Callable, schema:
     groups = max(-(-size // GROUP_BYTES), 2 * tasks)
     tasks = max(tasks, min(max(groups, buckets) // GROUPS_A_TASK, MAX_TASKS))
     deal = _Deal(buckets, groups, min(windows.fan, buckets), windows.hot)
-    mark, dealt_by = _free(docs, "_row"), _free(docs, "_g")
+    mark, dealt_by = free_name(docs, "_row"), free_name(docs, "_g")
     keyed = docs.withColumn(mark, F.xxhash64(F.col(key), F.col(text)))
     length, keep_first = windows.length, windows.keep_first
 

@@ -45,3 +45,10 @@ def with_value(rows: DataFrame, counts: DataFrame, key: str, count: str, total:
     hot = rows.join(often, key)
     rest = rows.join(often.select(key), key, "left_anti").join(counts.filter(F.col(count) <= total / FREQUENT), key, how)
     return hot.unionByName(rest)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have."""
+    while name in df.columns:
+        name += "_"
+    return name

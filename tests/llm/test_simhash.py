@@ -1,6 +1,6 @@
 import numpy as np
 import xxhash
-from granary.llm.simhash import chain_budgets, components, keep_one, links, near_duplicates
+from granary.llm.simhash import chain_budgets, components, keep_one, key_masks, links, near_duplicates
 
 
 def brute_fingerprint(t):
@@ -45,7 +45,8 @@ def test_links_with_and_without_crowds(spark):
             values.append(v)
     df = spark.createDataFrame(list(enumerate(values)), "doc_id long, fp long")
     want = roots(values, 2)
-    for crowd in (4, 1000):
+    assert links(df.limit(0)).count() == 0 and components(links(df.limit(0))).count() == 0
+    for crowd in (1, 4, 1000):
         got = {r.node: r.root for r in components(links(df, 2, crowd=crowd)).collect()}
         assert all(got.get(v, v) == want[v] for v in want)
 
@@ -67,3 +68,13 @@ def test_near_duplicates(table):
     assert sorted((str(r.doc_id) for r in kept.collect())) == sorted(["1", "2", "6", "7", "8", "None"])
     assert near_duplicates(table([])).count() == 0
     assert sorted(r.doc_id for r in keep_one(table([(5, long), (5, long), (6, long), (7, "other text here now")])).collect()) == [5, 7]
+    # texts of one doc_id are judged one by one
+    rows = [(5, long), (5, "quite another text of its own"), (1, long + " y"), (6, "quite another text of its own"), (8, None), (8, "")]
+    kept = sorted((r.doc_id, r.text or "") for r in keep_one(table(rows, extra=True)).collect())
+    assert kept in ([(1, long + " y"), (5, "quite another text of its own"), (8, "")],)
+
+
+def test_key_masks():
+    first, second, third = key_masks(16, 2)
+    assert [bin(m).count("1") for m in first] == [28] and {bin(c).count("1") for cs in first.values() for c in cs} == {40}
+    assert {bin(c).count("1") for cs in second.values() for c in cs} == {48} and min(bin(c).count("1") for cs in third.values() for c in cs) >= 52
