@@ -5,7 +5,7 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
-from granary.llm.suffix_dedup import BYTE_WINDOWS, byte_digests
+from granary.llm.suffix_dedup import BYTE_WINDOWS, byte_digests, sorted_suffixes
 from granary.llm.word_dedup import WORD_WINDOWS, drop_repeated_words, word_digests
 
 
@@ -100,6 +100,17 @@ def test_very_long_texts(table):
     assert removed == {1: len(head) + len(tail), 2: 3_000_000, 3: len(tail), 4: len(head)}
 
 
+def test_runs_find_what_sorting_every_suffix_finds(table):
+    docs = [(i, t) for i, t in corpus(5)[:40] if t] + [(None, "q" * 300), (500, "q" * 300), (501, "é" * 150)]
+    df = table(docs)
+    covered = {}
+    for r in sorted_suffixes(df, digit=40).collect():
+        covered.setdefault((r.row, r.doc_id), set()).update(range(r.at, r.at + 200))
+    got = {r.doc_id: r.n_removed for r in byte_digests(df).collect() if r.n_removed}
+    assert got == {k: len(v) for (_, k), v in covered.items()} and got[500] == 300
+    assert sorted_suffixes(df.limit(0), digit=100).count() == 0
+
+
 def test_edges(table):
     passage = " ".join(f"w{i}" for i in range(60))
     docs = [(5, passage), (5, passage), (None, passage), (2, "head " + passage), (9, passage + " tail"), (7, None)]
