@@ -30,11 +30,20 @@ def shuffle_key(seed, *parts) -> Column:
 
 
 def clean(c) -> Column:
-    """Missing values are null: NaN and infinities become null, and numbers given as text too."""
-    x = col(c).cast("double")
+    """Numbers and booleans as doubles; null for NaN, infinities and all else, text that holds a number too."""
+    x = F.when(F.typeof(col(c)).isin("string", "binary"), None).otherwise(col(c).try_cast("double"))
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
 
 
+# The characters that count as white space in Unicode.
+WHITE = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+def strip(c) -> Column:
+    """Without white space, of any kind, at either end."""
+    return F.trim(col(c), F.lit(WHITE))
+
+
 def blank_to_null(c) -> Column:
     return F.nullif(col(c), F.lit(""))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from granary.functions.exprs import blank_to_null, col, ordinal, shuffle_key
+from granary.functions.exprs import WHITE, blank_to_null, col, ordinal, shuffle_key, strip
 
 BOX = "\\boxed{"
 
@@ -25,10 +25,10 @@ def boxed(text, strict: bool = True) -> Column:
 
 
 def normalize_answer(text) -> Column:
-    t = F.trim(boxed(text, strict=False))
+    t = strip(boxed(text, strict=False))
     for piece in ("\\left", "\\right", "$"):
         t = F.replace(t, F.lit(piece), F.lit(""))
-    return F.regexp_replace(F.regexp_replace(t, r"\s+", ""), r"\.+$", "")
+    return F.regexp_replace(F.regexp_replace(t, f"[{WHITE}]+", ""), r"\.+$", "")
 
 
 def exact_match(prediction, answer) -> Column:
@@ -51,7 +51,7 @@ def code_block(text) -> Column:
 
 
 def corrupt_answer(answer) -> Column:
-    a = F.trim(col(answer))
+    a = strip(answer)
     return F.when(a == "", F.lit("0")).when(a.rlike(r"\p{Nd}$"), F.concat(a, F.lit("1"))).otherwise(F.concat(a, F.lit("0")))
 
 
@@ -61,7 +61,7 @@ def stable_id(prefix: str, index, text) -> Column:
 
 def first_filled(*columns) -> Column:
     """The first that is neither null nor empty; blanks count as filled and are trimmed afterwards."""
-    return F.trim(F.coalesce(*(blank_to_null(c) for c in columns), F.lit("")))
+    return strip(F.coalesce(*(blank_to_null(c) for c in columns), F.lit("")))
 
 
 def normalize_items(rows: DataFrame, prefix: str, split: str, index: str) -> DataFrame:
@@ -96,9 +96,25 @@ def shuffle_choices(choices, gold, seed, key) -> tuple[Column, Column]:
     return out, (F.array_position(out, right) - 1).cast("int")
 
 
+# One quoted string of a list literal, with either quote; \ escapes the next character.
+_QUOTED = r"""(?:'[^'\\]*(?:\\.[^'\\]*)*'|"[^"\\]*(?:\\.[^"\\]*)*")"""
+
+
 def parse_choices(text) -> Column:
-    """A list of strings written with single or double quotes; null if it is none."""
-    return F.from_json(F.replace(col(text), F.lit("'"), F.lit('"')), "array<string>")
+    """A list of strings written with single or double quotes, which may hold the other quote; null if it is none."""
+    t = strip(text)
+    parts = F.regexp_extract_all(t, F.lit(_QUOTED), F.lit(0))
+    plain = lambda x: F.regexp_replace(F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit("\\n"), F.lit("\n")), r"\\(.)", "$1")
+    return F.when(t.rlike(rf"(?s)^\[\s*(?:{_QUOTED}\s*(?:,\s*{_QUOTED}\s*)*,?\s*)?\]$"), F.transform(parts, plain))
+
+
+def choice_index(choices, gold) -> Column:
+    """The index of the right choice, given as a number from 0, a letter, or the text of a choice (the first equal one)."""
+    g, c = strip(col(gold).cast("string")), col(choices)
+    by_text = F.array_position(F.transform(c, strip), g) - 1
+    by_letter = F.when(g.rlike("^[A-Da-d]$"), F.ascii(F.upper(g)) - F.ascii(F.lit("A")))
+    by_number = F.when(g.rlike("^[0-9]$"), g.try_cast("int"))
+    return F.when(by_text >= 0, by_text).otherwise(F.coalesce(by_letter, by_number)).cast("int")
 
 
 def chat_messages(system: str, user) -> Column:
@@ -148,6 +164,12 @@ def contamination(train: DataFrame, final: DataFrame, key) -> DataFrame:
     return train.withColumn("_k", key).join(final.select(key.alias("_k")).distinct(), "_k", "left_semi").drop("_k")
 
 
+def contamination_counts(final: DataFrame, train: DataFrame, final_key, train_key) -> DataFrame:
+    """`final` with n_in_train, the rows of train that have its key; train shrinks to one row for each key first."""
+    seen = train.groupBy(train_key.alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    return final.withColumn("_k", final_key).join(seen, "_k", "left").withColumn("n_in_train", F.coalesce("_n", F.lit(0))).drop("_k", "_n")
+
+
 def assert_unique(df: DataFrame, key: str) -> DataFrame:
     examples = duplicates(df, key).limit(5).collect()
     if examples:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from granary.functions.digests import md5_heads
-from granary.functions.exprs import LARGE_GROUP, erfc, pearson, ratio, row_numbers, with_group_size
+from granary.functions.exprs import FLAT, LARGE_GROUP, erfc, pearson, ratio, row_numbers, with_group_size
 from granary.sources.scratch import stored
 
 
@@ -153,5 +153,6 @@ def direction_columns(eps: float = 0.0, p: str = "pred", y: str = "truth") -> li
 
 def spearman_p(rho: Column, n: Column) -> Column:
     """Two-sided p by the normal tail of t; NaN for n < 4 or a perfect correlation."""
-    t = F.abs(rho) * F.sqrt(F.try_divide((n - 2).cast("double"), F.when(F.abs(rho) < 1, 1 - rho * rho)))
-    return F.when((n < 4) | (F.abs(rho) >= 1), F.lit(float("nan"))).otherwise(erfc(t / F.sqrt(F.lit(2.0))))
+    perfect = F.abs(rho) >= 1 - FLAT
+    t = F.abs(rho) * F.sqrt(F.try_divide((n - 2).cast("double"), F.when(~perfect, 1 - rho * rho)))
+    return F.when((n < 4) | perfect, F.lit(float("nan"))).otherwise(erfc(t / F.sqrt(F.lit(2.0))))

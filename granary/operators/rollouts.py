@@ -6,9 +6,9 @@ aggregates, so a hot candidate only adds rows to the map side.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from granary.functions.exprs import FLAT, col, ratio
+from granary.functions.exprs import FLAT, clean, col, ratio
 
 
 def group_advantages(rollouts: DataFrame, keys: list[str], reward: str = "reward", eps: float = 1e-8) -> DataFrame:
@@ -24,15 +24,17 @@ def group_advantages(rollouts: DataFrame, keys: list[str], reward: str = "reward
     return joined.select("r.*", value.alias("advantage"))
 
 
-def summarize_rollouts(rollouts: DataFrame, keys: list[str], group: str = "group_id", accuracy: int | None = None) -> DataFrame:
+def summarize_rollouts(rollouts: DataFrame, keys: list[str], group: str = "group_id", accuracy: int | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
     """26 statistics for each key: row moments, and statistics of groups with two or more rewards.
 
     Optional columns: reward, advantage, completion_tokens, mean_logprob, mean_entropy, early_logprob,
     late_logprob, min_logprob, comp_hash. No rows of a kind: reward_mean, reward_std and pass_rate 0,
     all others null. Quantiles are exact, holding a key's distinct values; `accuracy` asks for sketches
-    of that size instead, for keys of very many rows.
+    of that size instead, for keys of very many rows. `only` names the statistics to compute.
     """
-    quantile = lambda p: F.percentile("mean_logprob", F.lit(p)) if accuracy is None else F.percentile_approx("mean_logprob", p, accuracy)
+    shares = (0.1, 0.5, 0.9)
+    quantiles = F.percentile("mean_logprob", F.array(*map(F.lit, shares))) if accuracy is None else F.percentile_approx("mean_logprob", list(shares), accuracy)
+    wanted = lambda c: only is None or c in only
     for c in ("reward", "advantage", "completion_tokens", "mean_logprob", "mean_entropy", "early_logprob", "late_logprob", "min_logprob"):
         if c not in rollouts.columns:
             rollouts = rollouts.withColumn(c, F.lit(None).cast("double"))
@@ -45,38 +47,49 @@ def summarize_rollouts(rollouts: DataFrame, keys: list[str], group: str = "group
         .agg(F.count("reward").alias("_n"), F.avg(hit).alias("_pass"), F.stddev_pop("reward").alias("_sd"), F.min(hit).alias("_all"), F.max(hit).alias("_any"))
     )
     multi = lambda c: F.when(F.col("_n") >= 2, c)
-    by_group = grouped.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_groups"),
-        F.avg(multi(F.col("_pass"))).alias("group_passrate_mean"),
-        F.stddev_pop(multi(F.col("_pass"))).alias("group_passrate_std"),
-        F.avg(multi((F.col("_sd") > FLAT).cast("double"))).alias("frac_nondegenerate"),
-        F.avg(multi((F.col("_all") == 1).cast("double"))).alias("frac_all_correct"),
-        F.avg(multi((F.col("_any") == 0).cast("double"))).alias("frac_all_wrong"),
-    )
-    by_row = rollouts.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_rollouts"),
-        F.coalesce(F.avg("reward"), F.lit(0.0)).alias("reward_mean"),
-        F.coalesce(F.stddev_pop("reward"), F.lit(0.0)).alias("reward_std"),
-        F.coalesce(F.avg(hit), F.lit(0.0)).alias("pass_rate"),
-        F.avg("mean_logprob").alias("mean_logprob"),
-        (-F.avg("mean_logprob")).alias("surprisal_mean"),
-        F.avg("mean_entropy").alias("entropy_mean"),
-        *(quantile(p).alias(f"logprob_p{round(100 * p)}") for p in (0.1, 0.5, 0.9)),
-        F.when(F.count("early_logprob") == F.count("late_logprob"), F.avg("late_logprob") - F.avg("early_logprob")).alias("confidence_slope"),
-        F.avg(F.exp("mean_logprob")).alias("redundancy_mean"),
-        F.avg("min_logprob").alias("min_logprob_mean"),
-        F.avg("completion_tokens").alias("len_mean"),
-        F.stddev_pop("completion_tokens").alias("len_std"),
-        F.max("completion_tokens").alias("len_max"),
-        (F.stddev_pop("completion_tokens") / (F.avg("completion_tokens") + 1e-9)).alias("len_cv"),
-        F.stddev_pop("advantage").alias("adv_std"),
-        F.avg(F.abs("advantage")).alias("adv_absmean"),
-        (F.max("reward") - F.min("reward")).alias("reward_gap"),
-        ratio(F.count_distinct("comp_hash"), F.count("comp_hash")).alias("distinct_frac"),
-    )
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    joined = by_row.alias("a").join(by_group.alias("b"), same, "left")
-    return joined.select("a.*", *(F.col(f"b.{c}") if c != "n_groups" else F.coalesce(F.col("b.n_groups"), F.lit(0)).alias(c) for c in by_group.columns if c not in keys))
+    of_groups = {
+        "n_groups": F.count(F.lit(1)),
+        "group_passrate_mean": F.avg(multi(F.col("_pass"))),
+        "group_passrate_std": F.stddev_pop(multi(F.col("_pass"))),
+        "frac_nondegenerate": F.avg(multi((F.col("_sd") > FLAT).cast("double"))),
+        "frac_all_correct": F.avg(multi((F.col("_all") == 1).cast("double"))),
+        "frac_all_wrong": F.avg(multi((F.col("_any") == 0).cast("double"))),
+    }
+    of_rows = {
+        "n_rollouts": F.count(F.lit(1)),
+        "reward_mean": F.coalesce(F.avg("reward"), F.lit(0.0)),
+        "reward_std": F.coalesce(F.stddev_pop("reward"), F.lit(0.0)),
+        "pass_rate": F.coalesce(F.avg(hit), F.lit(0.0)),
+        "mean_logprob": F.avg("mean_logprob"),
+        "surprisal_mean": (-F.avg("mean_logprob")),
+        "entropy_mean": F.avg("mean_entropy"),
+        "confidence_slope": F.when(F.count("early_logprob") == F.count("late_logprob"), F.avg("late_logprob") - F.avg("early_logprob")),
+        "redundancy_mean": F.avg(F.exp("mean_logprob")),
+        "min_logprob_mean": F.avg("min_logprob"),
+        "len_mean": F.avg("completion_tokens"),
+        "len_std": F.stddev_pop("completion_tokens"),
+        "len_max": F.max("completion_tokens"),
+        "len_cv": (F.stddev_pop("completion_tokens") / (F.avg("completion_tokens") + 1e-9)),
+        "adv_std": F.stddev_pop("advantage"),
+        "adv_absmean": F.avg(F.abs("advantage")),
+        "reward_gap": (F.max("reward") - F.min("reward")),
+    }
+    of_rows = {c: e for c, e in of_rows.items() if wanted(c)}
+    asked = [f"logprob_p{round(100 * p)}" for p in shares]
+    more = [quantiles.alias("_quantiles")] if any(map(wanted, asked)) else []
+    rows = rollouts.groupBy(*keys).agg(*(e.alias(c) for c, e in of_rows.items()), *(more or [F.count(F.lit(1)).alias("_rows")]))
+    parts = [rows.select(*keys, *of_rows, *(F.col("_quantiles")[i].alias(c) for i, c in enumerate(asked) if wanted(c)))]
+    if wanted("distinct_frac"):  # distinct values apart from the rest, else all of it would be aggregated by value first
+        kinds = rollouts.filter(F.col("comp_hash").isNotNull()).groupBy(*keys, "comp_hash").agg(F.count(F.lit(1)).alias("_n"))
+        parts.append(kinds.groupBy(*keys).agg(ratio(F.count(F.lit(1)), F.sum("_n")).alias("distinct_frac")))
+    own = {c: e for c, e in of_groups.items() if wanted(c)}
+    if own:
+        parts.append(grouped.groupBy(*keys).agg(*(e.alias(c) for c, e in own.items())))
+    out = parts[0]
+    for p in parts[1:]:
+        same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+        out = out.alias("a").join(p.alias("b"), same, "left").select("a.*", *(F.col(f"b.{c}") for c in p.columns if c not in keys))
+    return out.withColumn("n_groups", F.coalesce("n_groups", F.lit(0))) if "n_groups" in own else out
 
 
 def token_stats(logp, empty_late: str = "zero") -> dict[str, Column]:
@@ -145,8 +158,12 @@ def kl_positions(p: Column, q: Column) -> Column:
 
 
 def reward_summary(rows: DataFrame, keys: list[str], reward: tuple[str, ...] = ("reward", "score"), tokens: tuple[str, ...] = ("completion_tokens", "num_completion_tokens", "tokens")) -> DataFrame:
-    """Count and means over the first of the given columns that has a number; null if none has."""
-    first = lambda names: F.coalesce(*(F.col(c).cast("double") for c in names if c in rows.columns), F.lit(None).cast("double"))
+    """Count and means over the first of the given columns that has a number; null if none has.
+
+    A column may be a struct with a field of its own name, as {"reward": {"reward": 1}}. Text is no number.
+    """
+    nested = lambda c: clean(F.col(c).getField(c)) if isinstance(rows.schema[c].dataType, T.StructType) else clean(c)
+    first = lambda names: F.coalesce(*(nested(c) for c in names if c in rows.columns), F.lit(None).cast("double"))
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.avg(first(reward)).alias("mean_reward"), F.avg(first(tokens)).alias("mean_tokens"))
 
 

@@ -31,9 +31,18 @@ def unpivoted(df: DataFrame, ids: list[str], columns: list[str], name: str = "la
     return df.unpivot(ids, columns, name, value)
 
 
+def seed_columns(df: DataFrame, keys: list[str], unit: str, value: str, pred: str | None = None, seed: str = "seed") -> DataFrame:
+    """keys, unit, s0, s1, s2 (the value at a unit's first three seeds, in their order) and pred at the first, of units that have three."""
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, unit, seed, value, *([pred] if pred else []))
+    rows = rows.withColumn("_turn", F.row_number().over(W.partitionBy(*keys, unit).orderBy(seed)) - 1).filter("_turn < 3")  # a unit's few seeds
+    at = lambda i, c: F.max(F.when(F.col("_turn") == i, F.col(c)))
+    out = rows.groupBy(*keys, unit).agg(*(at(i, value).alias(f"s{i}") for i in range(3)), *([at(0, pred).alias("pred")] if pred else []))
+    return out.dropna(subset=["s0", "s1", "s2"])
+
+
 def seed_pairs(df: DataFrame, keys: list[str], unit: str, value: str) -> DataFrame:
     """Mean of the Spearman correlations of the first three seeds, pair by pair."""
-    wide = df.filter("seed < 3").groupBy(*keys, unit).agg(*(F.max(F.when(F.col("seed") == s, F.col(value))).alias(f"s{s}") for s in range(3))).dropna(subset=["s0", "s1", "s2"])
+    wide = seed_columns(df, keys, unit, value)
     r = ranked(wide, keys, ["s0", "s1", "s2"], tie=unit)
     pairs = [pearson(f"rk_s{a}", f"rk_s{b}") for a, b in ((0, 1), (0, 2), (1, 2))]
     return r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (sum(pairs[1:], pairs[0]) / 3).alias("r1"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from granary.functions.exprs import shuffle_key
+from granary.functions.exprs import WHITE
 from granary.operators import items as I, labels as L
 
 from .base import query
@@ -24,14 +24,20 @@ bx as (select doc_id, t, case when e is not null then substr(rest, 1, e - 1) els
 
 
 SRC = f"select doc_id, {RAW} as t from documents"
-NORM = r""", nm as (select doc_id, regexp_replace(regexp_replace(replace(replace(replace(trim(box, ' '), '\left', ''), '\right', ''), '$', ''), '\s+', '', 'g'), '\.+$', '') as norm from bx)"""
+BLANKS = " || ".join(f"chr({ord(c)})" for c in WHITE)
+NORM = rf""", nm as (select doc_id, regexp_replace(regexp_replace(replace(replace(replace(trim(box, {BLANKS}), '\left', ''), '\right', ''), '$', ''), '[' || {BLANKS} || ']+', '', 'g'), '\.+$', '') as norm from bx)"""
 
 
-@query("b1_normalize_items", r""", i as (select source_index, trim(question, ' ') as question, solution from v_items)
+# Half of the questions have white space of other kinds at their ends.
+PADDED = "case when source_index % 2 = 0 then chr(9) || question || chr(10) || chr(8195) else question end"
+
+
+@query("b1_normalize_items", rf""", i as (select source_index, trim({PADDED}, {BLANKS}) as question, solution from v_items)
 select concat('math-', printf('%05d', source_index), '-', substr(sha1(question), 1, 12)) as id, source_index, 'train' as split, length(question) as n_question, solution,
-  replace(replace(replace(solution, 'Reasoning \boxed{', ''), '}', ''), ' ', '') as answer from i""")
+  replace(replace(replace(solution, 'Reasoning \boxed{{', ''), '}}', ''), ' ', '') as answer from i""")
 def b1(t):
-    out = I.normalize_items(t.items.select("source_index", "question", "solution"), "math", "train", "source_index")
+    padded = F.when(F.col("source_index") % 2 == 0, F.concat(F.lit("\t"), "question", F.lit("\n\u2003"))).otherwise(F.col("question"))
+    out = I.normalize_items(t.items.select("source_index", padded.alias("question"), "solution"), "math", "train", "source_index")
     return out.select("id", "source_index", "split", F.length("question").cast("long").alias("n_question"), "solution", "answer")
 
 
@@ -56,14 +62,14 @@ def b5(t):
     return t["documents"].withColumn("t", raw_text()).select("doc_id", I.exact_match("t", answer).alias("is_match"))
 
 
-CHOICE = """select doc_id, case doc_id % 5 when 0 then 'I think answer: (B) or answer is C' when 1 then 'A or D maybe' when 2 then 'none of them' when 3 then concat('The Answer -> ', substr('ABCD', n_chars % 4 + 1, 1)) else concat(substr(text, 1, 40), ' B') end as t from documents"""
+CHOICE = """select doc_id, case doc_id % 5 when 0 then 'I think answer: (B) or answer is C' when 1 then 'A or D maybe' when 2 then 'none of them' when 3 then concat('The Answer -> ', substr('ABCD', n_chars % 4 + 1, 1)) else concat(text, ' B') end as t from documents"""
 
 
 def choice_text():
     d, n = F.col("doc_id"), F.col("n_chars")
     return (
         F.when(d % 5 == 0, "I think answer: (B) or answer is C").when(d % 5 == 1, "A or D maybe").when(d % 5 == 2, "none of them")
-        .when(d % 5 == 3, F.concat(F.lit("The Answer -> "), F.substring(F.lit("ABCD"), (n % 4 + 1).cast("int"), F.lit(1)))).otherwise(F.concat(F.substring("text", 1, 40), F.lit(" B")))
+        .when(d % 5 == 3, F.concat(F.lit("The Answer -> "), F.substring(F.lit("ABCD"), (n % 4 + 1).cast("int"), F.lit(1)))).otherwise(F.concat("text", F.lit(" B")))
     )
 
 
@@ -92,6 +98,17 @@ def mcq(t):
     return t["documents"].select("doc_id", F.concat(F.lit("Q"), F.col("doc_id").cast("string")).alias("question"), choices.alias("choices"), (F.col("n_chars") % 5).cast("int").alias("gold"))
 
 
+@query(
+    "b8_choice_index",
+    MC + """, k as (select doc_id, choices, gold, case doc_id % 3 when 0 then cast(gold as varchar) when 1 then substr('ABCDE', gold + 1, 1) else choices[gold + 1] end as g from q)
+select doc_id, cast(case when g is null then null when list_position(choices, g) > 0 then list_position(choices, g) - 1 when g in ('A', 'B', 'C', 'D', '0', '1', '2', '3', '4') then gold end as int) as gold from k""",
+)
+def b8_gold(t):
+    gold, kind = F.col("gold"), F.col("doc_id") % 3
+    given = F.when(kind == 0, gold.cast("string")).when(kind == 1, F.substring(F.lit("ABCDE"), gold + 1, F.lit(1))).otherwise(F.try_element_at("choices", gold + 1))
+    return mcq(t).select("doc_id", I.choice_index("choices", given).alias("gold"))
+
+
 @query(
     "b8_render_mcq",
     MC + """ select doc_id, concat(question, chr(10), array_to_string(list_transform(choices, lambda x, i: concat(substr('ABCD', i, 1), ') ', x)), chr(10))) as body, concat('Answer: ', substr('ABCD', gold + 1, 1)) as solution
@@ -115,10 +132,12 @@ def b9(t):
 
 @query(
     "b10_parse_choice_list",
-    """, q as (select doc_id, case when doc_id % 6 = 0 then 'no list' else concat('[''', lang, ''', ''', source, ''']') end as s, lang, source from documents) select doc_id, case when doc_id % 6 = 0 then null else [lang, source] end as choices from q""",
+    """ select doc_id, case when doc_id % 6 = 0 then null when doc_id % 6 = 1 then [concat('it''s ', lang), source] when doc_id % 6 = 2 then [] else [lang, concat(chr(34), source, chr(34))] end as choices from documents""",
 )
 def b10(t):
-    text = F.when(F.col("doc_id") % 6 == 0, "no list").otherwise(F.concat(F.lit("['"), F.col("lang"), F.lit("', '"), F.col("source"), F.lit("']")))
+    kind = F.col("doc_id") % 6
+    text = F.when(kind == 0, F.lit("['open, 'list']")).when(kind == 1, F.concat(F.lit('["it\'s '), "lang", F.lit("\", '"), "source", F.lit("'] "))).when(kind == 2, F.lit("[ ]"))
+    text = text.otherwise(F.concat(F.lit("['"), "lang", F.lit("', '\""), "source", F.lit("\\\"',]")))
     return t["documents"].select("doc_id", I.parse_choices(text).alias("choices"))
 
 
@@ -174,10 +193,14 @@ def b16(t):
     return I.difficulty_filter(t.items, "level", ["en", "de"]).select("id", "level")
 
 
-@query("b17_final_split", ", f as (select md5(substr(text, 1, 60)) as k from documents where doc_id % 50 = 0) select doc_id from documents where doc_id % 50 <> 0 and md5(substr(text, 1, 60)) in (select k from f)")
+FINAL = """, f as (select concat('math500-', printf('%05d', item_id), '-', substr(sha1(trim(text, ' ')), 1, 12)) as id, item_id as source_index, 'math500' as split, md5(lower(trim(text, ' '))) as k from benchmark where coalesce(text, '') <> '')"""
+
+
+@query("b17_final_split", FINAL + " select id, source_index, split, (select count(*) from documents where md5(lower(trim(text, ' '))) = k) as n_in_train from f")
 def b17(t):
-    docs = t["documents"].select("doc_id", "text")
-    return I.contamination(docs.filter("doc_id % 50 <> 0"), docs.filter("doc_id % 50 = 0"), F.md5(F.substring("text", 1, 60))).select("doc_id")
+    """The final items under their own prefix and split, and how many training documents are the same whole text."""
+    final = I.normalize_items(t["benchmark"].withColumnRenamed("text", "question"), "math500", "math500", "item_id").filter("question <> ''")
+    return I.contamination_counts(final, t["documents"].select("doc_id", "text"), F.md5(F.lower("question")), F.md5(F.lower(I.strip("text")))).select("id", "source_index", "split", "n_in_train")
 
 
 @query("b18_dedup_keep_first", " select arg_min(doc_id, doc_id) as doc_id, md5(text) as h from documents group by md5(text)")

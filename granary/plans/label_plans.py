@@ -61,11 +61,11 @@ def e5(t):
 
 @query(
     "e6_dedup_labels",
-    LIFT + """, k as (select domain, candidate_id, kind, row_id, lift_nll, row_number() over (partition by domain, candidate_id, kind order by row_id) as k from l where row_id % 6 <> 0)
+    LIFT + """, k as (select domain, candidate_id, kind, row_id, lift_nll, row_number() over (partition by domain, candidate_id, kind order by row_id) as k from l)
 select domain, candidate_id, kind, row_id, round(lift_nll, 9) + 0.0::double as lift_nll from k where k = 1""",
 )
 def e6(t):
-    rows = lifted(t).filter("row_id % 6 <> 0").select("domain", "candidate_id", "kind", "row_id", "lift_nll")
+    rows = lifted(t).select("domain", "candidate_id", "kind", "row_id", "lift_nll")
     return L.keep_first(rows, ["domain", "candidate_id", "kind"], ["row_id"]).withColumn("lift_nll", r9("lift_nll"))
 
 

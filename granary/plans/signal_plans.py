@@ -37,7 +37,7 @@ def gate_report(t):
     """The flagship: rollouts to advantages to per-cohort features to lifts to the signal gate."""
     from granary.operators.rollouts import group_advantages, summarize_rollouts
 
-    features = summarize_rollouts(group_advantages(t.rollouts, ["candidate_id", "seed", "group_id"]), ["candidate_id", "seed"])
+    features = summarize_rollouts(group_advantages(t.rollouts, ["candidate_id", "seed", "group_id"]), ["candidate_id", "seed"], only=("reward_mean",))
     base = features.agg(F.avg("reward_mean").alias("base"))  # one row
     lifts = features.crossJoin(F.broadcast(base)).select("candidate_id", "seed", (F.col("reward_mean") - F.col("base")).alias("lift"))
     return S.gate(lifts, "candidate_id", "lift").select("n_cohorts", r9("icc").alias("icc"), r9("snr").alias("snr"), "verdict")
@@ -61,9 +61,7 @@ R1 = f""", rs as (select domain, {RK} from wd), rel as (select domain, count(*)
 
 
 def wide(t):
-    rows = lifted(t).filter("seed < 3")
-    out = rows.groupBy("domain", "candidate_id").agg(*(F.max(F.when(F.col("seed") == s, F.col("lift_nll"))).alias(f"s{s}") for s in range(3)), F.max(F.when(F.col("seed") == 0, F.col("x3"))).alias("pred"))
-    return out.dropna(subset=["s0", "s1", "s2"])
+    return S.seed_columns(lifted(t), ["domain"], "candidate_id", "lift_nll", "x3")
 
 
 def reliability(t):

@@ -47,12 +47,12 @@ def a3(t):
 
 @query(
     "a4_read_rollouts",
-    """, k as (select candidate_id as key, group_id, reward, comp_hash, row_number() over (partition by candidate_id order by group_id, comp_hash, reward) - 1 as pos from v_rollouts where seed = 1)
+    """, k as (select concat(candidate_id, '.', seed) as key, group_id, reward, comp_hash, row_number() over (partition by candidate_id, seed order by group_id, comp_hash, reward) - 1 as pos from v_rollouts)
 select key, cast(pos as int) as pos, group_id, reward from k""",
 )
 def a4(t):
     members = F.array_sort(F.collect_list(F.struct("group_id", "comp_hash", "reward")))
-    bags = t.rollouts.filter("seed = 1").groupBy(F.col("candidate_id").alias("key")).agg(members.alias("m"))
+    bags = t.rollouts.groupBy(F.concat_ws(".", "candidate_id", "seed").alias("key")).agg(members.alias("m"))
     full = bags.select("key", F.lit("math").alias("domain"), F.transform("m", lambda x: F.struct(x["group_id"].alias("group_id"), x["reward"].alias("reward"))).alias("trajs"))
     path = scratch(t.spark, "a4")
     S.write_records(full, f"{path}/all")
@@ -93,7 +93,8 @@ def a8(t):
 @query("a9_select_files", " select row_id, domain, candidate_id, seed, round(x1, 9) + 0.0::double as x1 from v_labels where row_id % 3 = 0")
 def a9(t):
     base = scratch(t.spark, "a9")
-    for i, name in enumerate(("json", "rollouts")):
-        S.write_records(rows(t).filter(F.col("row_id") % 3 == i), f"{base}/{name}")
-    good = S.select_files(t.spark, f"{base}/json", "part-*.json", "rollouts", ROW)
+    # one folder of files of three kinds: labels, rollouts that the glob fits too, and others
+    kind = F.element_at(F.array(*map(F.lit, ("labels", "labels_rollouts", "notes"))), (F.col("row_id") % 3 + 1).cast("int"))
+    rows(t).withColumn("kind", kind).write.partitionBy("kind").json(base)
+    good = S.select_files(t.spark, base, "*.json", "rollouts", ROW, "*/kind=labels*/*")
     return shown(good)

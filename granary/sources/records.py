@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import fnmatch
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 LABELS = "domain string, chain_id int, anchor_index int, candidate_id string, seed int, lift_acc double, lift_nll double, kl_drift double"
@@ -63,10 +65,13 @@ def concat_shards(*shards: DataFrame) -> DataFrame:
     return out
 
 
-def select_files(spark: SparkSession, folder: str, include: str, exclude: str, schema: str) -> DataFrame:
-    """Files whose name fits the glob `include` and does not hold `exclude`."""
+def select_files(spark: SparkSession, folder: str, include: str, exclude: str, schema: str, within: str | None = None) -> DataFrame:
+    """Files whose name fits the glob `include` and whose path, from the folder on, fits `within` and does not hold `exclude`."""
     rows = spark.read.schema(schema).option("pathGlobFilter", include).option("recursiveFileLookup", "true").json(folder)
-    return rows.filter(~F.contains(F.col("_metadata.file_name"), F.lit(exclude)))
+    path = F.substring_index(F.col("_metadata.file_path"), folder.rstrip("/").rpartition("/")[2], -1)
+    if within:
+        rows = rows.filter(path.rlike(fnmatch.translate(within)))
+    return rows.filter(~F.contains(path, F.lit(exclude)))
 
 
 def export_nested(df: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
