@@ -3,7 +3,9 @@
 The statistics of a set of rows are one flat array that adds and subtracts: counts and sums of y and
 of each feature where it is finite, cross sums of pairs, and sums and counts where one or both are
 missing. With them the mean-imputed, standardised normal equations follow for any imputation mean, so
-leave-one-group-out is total minus fold. Only p x p systems are solved in Python, a batch at a time.
+leave-one-group-out is total minus fold. Features are centred on their means over all rows first, so
+that no variance is lost in the subtraction. Tasks add up whole batches; what is shuffled is one array
+for each task and set, summed in two steps. Only p x p systems are solved in Python, a batch at a time.
 """
 
 from __future__ import annotations
@@ -12,34 +14,84 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from granary.functions.exprs import clean, shuffle_key, row_numbers, with_group_size
+from granary.functions.exprs import clean, row_numbers, shuffle_key, with_group_size
+from granary.sources.scratch import stored
 
+#: Numbers that a task holds for sums or fits at once.
+HELD = 1 << 21
 
-def stat_terms(features: list[str], y: str) -> list[Column]:
-    """The addends of one row, in the order that `solve` expects; missing features add nothing."""
-    x = [clean(f) for f in features]
-    v = F.col(y)
-    have = [c.isNotNull() for c in x]
-    zero = [F.coalesce(c, F.lit(0.0)) for c in x]
-    one = lambda b: b.cast("double")
-    p = range(len(x))
-    return (
-        [F.lit(1.0), v, v * v]
-        + [one(have[i]) for i in p]
-        + zero
-        + [zero[i] * v for i in p]
-        + [one(have[i]) * v for i in p]
-        + [zero[i] * zero[j] for i in p for j in p]
-        + [zero[i] * one(~have[j]) for i in p for j in p]
-        + [one(~have[i] & ~have[j]) for i in p for j in p]
-    )
 
+def centred(df: DataFrame, features: list[str]) -> tuple[DataFrame, list[float]]:
+    """`df` with _x, its features less their means over all rows (null where missing), and those means."""
+    means = list(df.agg(*(F.coalesce(F.avg(clean(f)), F.lit(0.0)).alias(f"_{i}") for i, f in enumerate(features))).first())
+    return df.withColumn("_x", F.array(*(clean(f) - F.lit(m) for f, m in zip(features, means)))), means
 
-def statistics(df: DataFrame, keys: list[str], features: list[str], y: str) -> DataFrame:
-    """keys and g, the sums of all terms."""
-    terms = stat_terms(features, y)
-    sums = df.groupBy(*keys).agg(*(F.sum(t).alias(f"_{i}") for i, t in enumerate(terms)))
-    return sums.select(*keys, F.array(*(F.col(f"_{i}") for i in range(len(terms)))).alias("g"))
+
+def _matrix(column, p: int) -> np.ndarray:
+    return np.array(column.tolist(), dtype=float).reshape(len(column), p)
+
+
+def _parts(x: np.ndarray):
+    have = (~np.isnan(x)).astype(float)
+    return have, np.where(have > 0, x, 0.0), 1 - have
+
+
+def sums(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The statistics of rows, in the order that `solve` expects; missing features (NaN) add nothing."""
+    have, z, none = _parts(x)
+    return np.concatenate([[len(y), y.sum(), (y * y).sum()], have.sum(0), z.sum(0), z.T @ y, have.T @ y, (z.T @ z).ravel(), (z.T @ none).ravel(), (none.T @ none).ravel()])
+
+
+def terms(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The statistics of each row alone."""
+    have, z, none = _parts(x)
+    pairs = [np.einsum("ki,kj->kij", a, b).reshape(len(y), -1) for a, b in ((z, z), (z, none), (none, none))]
+    return np.concatenate([np.stack([np.ones(len(y)), y, y * y], axis=1), have, z, z * y[:, None], have * y[:, None], *pairs], axis=1)
+
+
+def width(p: int) -> int:
+    return 3 + 4 * p + 3 * p * p
+
+
+def _ddl(df: DataFrame, keys: list[str]) -> list[str]:
+    return [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
+
+
+def statistics(df: DataFrame, keys: list[str], p: int, y: str) -> DataFrame:
+    """keys and g, the sums over rows of `df` with an array _x of p features."""
+    schema = ", ".join([*_ddl(df, keys), "g array<double>"])
+
+    def frame(held):
+        return pd.DataFrame({**{k: [h[i] for h in held] for i, k in enumerate(keys)}, "g": [g.tolist() for g in held.values()]})
+
+    def partial(frames):
+        held: dict = {}
+        for f in frames:
+            x, v = _matrix(f["_x"], p), f["_y"].to_numpy(float)
+            groups = f.groupby(keys, sort=False).indices if keys else {(): np.arange(len(f))}
+            for k, at in groups.items():
+                k = k if isinstance(k, tuple) else (k,)
+                held[k] = held.get(k, 0) + sums(x[at], v[at])
+            if len(held) * width(p) > HELD:
+                yield frame(held)
+                held = {}
+        if held:
+            yield frame(held)
+
+    rows = df.select(*keys, "_x", F.col(y).cast("double").alias("_y")).mapInPandas(partial, schema)
+    return summed(rows.withColumn("_task", F.pmod(F.spark_partition_id(), F.lit(64))), keys)
+
+
+def summed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and the sum of all arrays g, first within _task (if there is such a column)."""
+    schema = ", ".join([*_ddl(rows, keys), "g array<double>"])
+
+    def add(k, f):
+        return pd.DataFrame({**{c: [v] for c, v in zip(keys, k)}, "g": [np.array(f["g"].tolist()).sum(axis=0).tolist()]})
+
+    if "_task" in rows.columns:
+        rows = rows.groupBy(*keys, "_task").applyInPandas(add, schema)
+    return rows.groupBy(*keys).applyInPandas(add, schema)
 
 
 def minus(a: str, b: str) -> Column:
@@ -47,7 +99,7 @@ def minus(a: str, b: str) -> Column:
 
 
 def solve(g: np.ndarray, p: int, lam: float) -> dict[str, np.ndarray]:
-    """Fits for rows of statistics: base, impute, mu, sd, w. Without rows everything is 0."""
+    """Fits for rows of statistics: base, impute, mu, sd, w and rss, the squared error on the rows. Without rows everything is 0."""
     n = np.maximum(g[:, 0], 1e-300)
     sy = g[:, 1]
     c, s, u, v = (g[:, 3 + k * p : 3 + (k + 1) * p] for k in range(4))
@@ -59,43 +111,85 @@ def solve(g: np.ndarray, p: int, lam: float) -> dict[str, np.ndarray]:
     xy = u + m * (sy[:, None] - v) - mu * sy[:, None]
     var = np.maximum(np.einsum("kii->ki", cov), 0) / n[:, None]
     sd = np.where(var > 1e-18, np.sqrt(var), 1.0)
-    a = cov / (sd[:, :, None] * sd[:, None, :]) + lam * np.eye(p)
-    w = np.linalg.solve(a, (xy / sd)[:, :, None])[:, :, 0] if len(g) else np.zeros((0, p))
-    return {"base": sy / n, "impute": m, "mu": mu, "sd": sd, "w": w}
+    a, b = cov / (sd[:, :, None] * sd[:, None, :]), xy / sd
+    w = np.linalg.solve(a + lam * np.eye(p), b[:, :, None])[:, :, 0] if len(g) else np.zeros((0, p))
+    rss = g[:, 2] - sy * sy / n - 2 * (w * b).sum(axis=1) + np.einsum("ki,kij,kj->k", w, a, w)
+    return {"base": sy / n, "impute": m, "mu": mu, "sd": sd, "w": w, "rss": np.maximum(rss, 0.0)}
+
+
+def applied(fit: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """Predictions of rows, each by its own fit."""
+    z = (np.where(np.isnan(x), fit["impute"], x) - fit["mu"]) / fit["sd"]
+    return fit["base"] + (fit["w"] * z).sum(axis=1)
+
+
+_FIT = "n double, base double, impute array<double>, mu array<double>, sd array<double>, w array<double>"
+
+
+def _frame(g: np.ndarray, fit: dict[str, np.ndarray]) -> dict:
+    return {"n": g[:, 0], "base": fit["base"], **{c: list(fit[c]) for c in ("impute", "mu", "sd", "w")}}
 
 
 def fits(stats: DataFrame, keys: list[str], p: int, lam: float = 1.0) -> DataFrame:
     """keys, n, base and the arrays impute, mu, sd, w of each row of statistics."""
-    schema = ", ".join([f"`{k}` {stats.schema[k].dataType.simpleString()}" for k in keys] + ["n double, base double, impute array<double>, mu array<double>, sd array<double>, w array<double>"])
 
     def work(frames):
         for f in frames:
-            g = np.array(f["g"].tolist(), dtype=float).reshape(len(f), -1)
-            out = solve(g, p, lam)
-            yield pd.DataFrame({**{k: f[k] for k in keys}, "n": g[:, 0], "base": out["base"], **{c: list(out[c]) for c in ("impute", "mu", "sd", "w")}})
+            for at in range(0, len(f), max(1, HELD // width(p))):
+                some = f.iloc[at : at + max(1, HELD // width(p))]
+                g = np.array(some["g"].tolist(), dtype=float).reshape(len(some), -1)
+                yield pd.DataFrame({**{k: some[k].to_numpy() for k in keys}, **_frame(g, solve(g, p, lam))})
 
-    return stats.mapInPandas(work, schema)
+    return stats.mapInPandas(work, ", ".join([*_ddl(stats, keys), _FIT]))
 
 
-def predict(features: list[str]) -> Column:
-    """The prediction of a row that a fit was joined to."""
+def _predicted(x: list[Column]) -> Column:
     total = F.col("base")
-    for i, f in enumerate(features):
-        total = total + F.col("w")[i] * (F.coalesce(clean(f), F.col("impute")[i]) - F.col("mu")[i]) / F.col("sd")[i]
+    for i, c in enumerate(x):
+        total = total + F.col("w")[i] * (F.coalesce(c, F.col("impute")[i]) - F.col("mu")[i]) / F.col("sd")[i]
     return total
 
 
+def predict(features: list[str]) -> Column:
+    """The prediction of a row that a fit was joined to."""
+    return _predicted([clean(f) for f in features])
+
+
 def ridge(df: DataFrame, features: list[str], y: str, keys: list[str] = [], lam: float = 1.0) -> DataFrame:
-    return fits(statistics(df, keys, features, y), keys, len(features), lam)
+    data, means = centred(df, features)
+    shift = F.array(*map(F.lit, means))
+    back = {c: F.zip_with(c, shift, lambda a, b: a + b) for c in ("impute", "mu")}
+    return fits(statistics(data, keys, len(features), y), keys, len(features), lam).withColumns(back)
 
 
 def oof_predict(df: DataFrame, fold: str, features: list[str], y: str, lam: float = 1.0) -> DataFrame:
     """`df` with pred, each row predicted by the fit of all other folds; a single fold predicts nothing."""
-    own = statistics(df, [fold], features, y)
-    total = df.select(F.lit(0).alias("_z"), *df.columns)
-    total = statistics(total, ["_z"], features, y).select(F.col("g").alias("all"))
+    data, _ = centred(df, features)
+    own = stored(statistics(data, [fold], len(features), y), "fold-sums")
+    total = summed(own.withColumn("_task", F.pmod(F.spark_partition_id(), F.lit(64))), []).select(F.col("g").alias("all"))
     rest = own.crossJoin(F.broadcast(total)).select(fold, minus("all", "g").alias("g")).filter(F.col("g")[0] > 0.5)  # one row of totals
-    return df.join(fits(rest, [fold], len(features), lam), fold).withColumn("pred", predict(features)).select(*df.columns, "pred")
+    return data.join(fits(rest, [fold], len(features), lam), fold).withColumn("pred", _predicted([F.col("_x")[i] for i in range(len(features))])).select(*df.columns, "pred")
+
+
+def loocv(df: DataFrame, key: str, features: list[str], y: str, lam: float = 1.0) -> DataFrame:
+    """`df` with pred, each row predicted by the fit of all others. The totals are one array; nothing else is shuffled."""
+    p = len(features)
+    data, _ = centred(df, features)
+    found = statistics(data, [], p, y).first()  # one row
+    if found is None:
+        return df.withColumn("pred", F.lit(None).cast("double"))
+    total = np.array(found["g"])
+
+    def work(frames):
+        for f in frames:
+            for at in range(0, len(f), max(1, HELD // width(p))):
+                some = f.iloc[at : at + max(1, HELD // width(p))]
+                x, v = _matrix(some["_x"], p), some["_y"].to_numpy(float)
+                g = total[None, :] - terms(x, v)
+                yield pd.DataFrame({key: some[key].to_numpy(), "pred": np.where(g[:, 0] > 0.5, applied(solve(g, p, lam), x), np.nan)})
+
+    out = data.select(key, "_x", F.col(y).cast("double").alias("_y")).mapInPandas(work, ", ".join([*_ddl(df, [key]), "pred double"]))
+    return df.join(out.withColumn("pred", clean("pred")), key).filter("pred is not null")
 
 
 def hash_fold(key: str, k: int, seed=0) -> Column:
@@ -109,51 +203,91 @@ def transfer(train: DataFrame, test: DataFrame, features: list[str], y: str, lam
 
 
 def few_shot(df: DataFrame, domain: str, key: str, ks: list[int], reps: int, features: list[str], y: str, seed=0, least: int = 8, lam: float = 1.0) -> DataFrame:
-    """Fits on all other domains and k rows of the held-out one, first in the order of their hash; predictions of its other rows."""
-    spark = df.sparkSession
-    config = F.broadcast(spark.createDataFrame([(k, r) for k in ks for r in range(reps)], "k int, rep int"))
+    """Fits on all other domains and k rows of the held-out one, first in the order of their hash; predictions of its other rows.
+
+    The rows chosen are max(ks) for each domain and repetition, found by a top-k of hashes. Each row meets
+    the fits of its own domain, of which there are len(ks) * reps.
+    """
+    spark, p = df.sparkSession, len(features)
     sizes = df.groupBy(domain).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") >= least).select(domain)
-    rows = df.join(sizes, domain)
-    own = statistics(rows, [domain], features, y).withColumnRenamed("g", "own")
-    total = statistics(df.withColumn("_z", F.lit(0)), ["_z"], features, y).select(F.col("g").alias("all"))
-    placed = rows.crossJoin(config).withColumn("rn", F.row_number().over(W.partitionBy(domain, "k", "rep").orderBy(shuffle_key(seed, "rep", key), key)))
-    chosen = statistics(placed.filter("rn <= k"), [domain, "k", "rep"], features, y)
-    base = own.crossJoin(F.broadcast(total)).crossJoin(config).select(domain, "k", "rep", minus("all", "own").alias("base_g"))
-    stats = base.join(chosen, [domain, "k", "rep"], "left").select(domain, "k", "rep", F.when(F.col("g").isNull(), F.col("base_g")).otherwise(F.zip_with("base_g", "g", lambda a, b: a + b)).alias("g"))
-    fit = fits(stats, [domain, "k", "rep"], len(features), lam)
-    return placed.filter("rn > k").join(fit, [domain, "k", "rep"]).withColumn("pred", predict(features)).select(*df.columns, "k", "rep", "pred")
+    rows, _ = centred(df.join(F.broadcast(sizes) if sizes.limit(1001).count() <= 1000 else sizes, domain, "left_semi"), features)
+    others, _ = centred(df, features)
+    dealt = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_h", shuffle_key(seed, "rep", key))
+    turn = F.row_number().over(W.partitionBy(domain, "rep").orderBy("_h", key))
+    chosen = stored(dealt.withColumn("rn", turn).filter(F.col("rn") <= max(ks)).select(domain, "rep", "rn", key, *features, y), "few-shot")
+    own = stored(statistics(others, [domain], p, y), "fold-sums")
+    total = summed(own, []).select(F.col("g").alias("all"))
+    config = F.broadcast(spark.createDataFrame([(k, r) for k in ks for r in range(reps)], "k int, rep int"))
+    base = own.join(sizes, domain).crossJoin(F.broadcast(total)).crossJoin(config).select(domain, "k", "rep", minus("all", "g").alias("g"))
+    means = others.agg(*(F.coalesce(F.avg(clean(f)), F.lit(0.0)).alias(f"_{i}") for i, f in enumerate(features))).first()
+    shots = chosen.withColumn("_x", F.array(*(clean(f) - F.lit(m) for f, m in zip(features, means)))).join(config, "rep").filter("rn <= k")
+    fit = fits(summed(base.unionByName(statistics(shots, [domain, "k", "rep"], p, y)), [domain, "k", "rep"]), [domain, "k", "rep"], p, lam)
+    all_x = others.join(fit, domain).withColumn("pred", _predicted([F.col("_x")[i] for i in range(p)])).select(*df.columns, "k", "rep", "pred")
+    used = chosen.select(domain, "rep", F.col(key), "rn").join(config, "rep").filter("rn <= k").select(domain, "rep", "k", key)
+    return all_x.join(used, [domain, "rep", "k", key], "left_anti").select(*df.columns, "k", "rep", "pred")
+
 
+def _running(df: DataFrame, keys: list[str], order: list[str], p: int, extra: str, finish) -> DataFrame:
+    """finish(frame, inclusive, exclusive): columns of `extra` for rows of `df` (_x, _y) in their order within keys.
+
+    Rows are dealt by key and sorted; a task streams them some at a time, carrying the sums of the key
+    it is in, so that no key is held whole.
+    """
 
-def prefix_statistics(df: DataFrame, keys: list[str], order: list[str], features: list[str], y: str, exclusive: bool = False) -> DataFrame:
-    """keys, order and the statistics of all rows up to each (or before it), within keys."""
-    terms = stat_terms(features, y)
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1 if exclusive else 0)
-    sums = df.withColumns({f"_{i}": t for i, t in enumerate(terms)})
-    return sums.select(*df.columns, F.array(*(F.coalesce(F.sum(f"_{i}").over(w), F.lit(0.0)) for i in range(len(terms)))).alias("g"))
+    def work(frames):
+        last, carry, turn = None, np.zeros(width(p)), 0
+        for whole in frames:
+            for at in range(0, len(whole), max(1, HELD // width(p))):
+                f = whole.iloc[at : at + max(1, HELD // width(p))]
+                own = terms(_matrix(f["_x"], p), f["_y"].to_numpy(float))
+                ids = list(zip(*(f[k].tolist() for k in keys)))
+                starts = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)]
+                upto, before, t = np.empty_like(own), np.empty_like(own), np.empty(len(ids), np.int64)
+                for a, z in zip(starts, starts[1:]):
+                    first, n = (carry, turn) if ids[a] == last else (np.zeros(width(p)), 0)
+                    upto[a:z] = first + np.cumsum(own[a:z], axis=0)
+                    before[a], before[a + 1 : z], t[a:z] = first, upto[a : z - 1], np.arange(n + 1, n + 1 + z - a)
+                    last, carry, turn = ids[a], upto[z - 1].copy(), int(t[z - 1])
+                yield pd.DataFrame({**{c: f[c].to_numpy() for c in (*keys, *order)}, **finish(f.assign(_t=t), upto, before)})
+
+    ident = [*keys, *(c for c in order if c not in keys)]
+    rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return rows.mapInPandas(work, ", ".join([*_ddl(df, ident), extra]))
 
 
 def snapshots(df: DataFrame, keys: list[str], order: list[str], features: list[str], y: str, lam: float = 1.0) -> DataFrame:
-    """The fit on the first t rows of each key, for every t, with its training error."""
-    stats = prefix_statistics(df, keys, order, features, y)
-    t = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    stats = stats.select(*keys, t.alias("t"), "g")
-    fit = fits(stats, [*keys, "t"], len(features), lam)
-    return fit
+    """The fit on the first t rows of each key, for every t, with train_rmse, its error on those rows."""
+    p = len(features)
+    data, means = centred(df, features)
+    shift = np.array(means, float)
+
+    def finish(f, g, _):
+        fit = solve(g, p, lam)
+        fit["impute"], fit["mu"] = fit["impute"] + shift, fit["mu"] + shift
+        return {"t": f["_t"].to_numpy(np.int32), **_frame(g, fit), "train_rmse": np.sqrt(fit["rss"] / g[:, 0])}
+
+    rows = data.select(*keys, *order, "_x", F.col(y).cast("double").alias("_y"))
+    return _running(rows, keys, order, p, f"t int, {_FIT}, train_rmse double", finish).drop(*order)
 
 
 def prequential(df: DataFrame, keys: list[str], order: list[str], features: list[str], y: str, warm: int = 4, fallback: str | None = None, lam: float = 1.0) -> DataFrame:
-    """Each row predicted by the fit of the rows before it; the first `warm` score as the fallback feature."""
-    ident = [*keys, *order]
-    filled = df.withColumns({f: F.coalesce(clean(f), F.lit(0.0)) for f in features})
-    stats = prefix_statistics(filled, keys, order, features, y, exclusive=True).select(*ident, "g")
-    fit = fits(stats, ident, len(features), lam)
-    early = F.coalesce(F.col(fallback), F.lit(0.0)) if fallback else F.lit(0.0)
-    return filled.join(fit, ident).withColumn("pred", F.when(F.col("n") < warm, early).otherwise(predict(features))).select(*df.columns, "pred")
+    """Each row predicted by the fit of the rows before it; the first `warm` score as the fallback feature. Missing features are 0."""
+    p, ident = len(features), [*keys, *order]
+    data, _ = centred(df.withColumns({f: F.coalesce(clean(f), F.lit(0.0)) for f in features}), features)
+
+    def finish(f, _, g):
+        return {"pred": np.where(g[:, 0] < warm, f["_early"].to_numpy(float), applied(solve(g, p, lam), _matrix(f["_x"], p)))}
+
+    early = F.coalesce(clean(fallback), F.lit(0.0)) if fallback else F.lit(0.0)
+    rows = data.select(*ident, "_x", F.col(y).cast("double").alias("_y"), early.alias("_early"))
+    return df.join(_running(rows, keys, order, p, "pred double", finish), ident).select(*df.columns, "pred")
 
 
 def single_feature_baselines(df: DataFrame, fold: str, features: list[str], y: str, lam: float = 1.0) -> DataFrame:
     """Long table feature, row, pred: each feature alone under the same folds, in one plan, in closed form."""
     ids = [c for c in df.columns if c not in features]
+    means = df.agg(*(F.coalesce(F.avg(clean(f)), F.lit(0.0)).alias(f"_{i}") for i, f in enumerate(features))).first()
+    df = df.withColumns({f: clean(f) - F.lit(m) for f, m in zip(features, means)})  # no prediction depends on where a feature's zero is
     long = df.unpivot(ids, features, "feature", "x").withColumn("x", clean("x"))
     one = F.col("x").isNotNull().cast("double")
     add = long.withColumns({"_c": one, "_x": F.coalesce("x", F.lit(0.0)), "_q": F.coalesce(F.col("x") * F.col("x"), F.lit(0.0)), "_u": F.coalesce(F.col("x") * F.col(y), F.lit(0.0)), "_v": one * F.col(y), "_n": F.lit(1.0), "_y": F.col(y)})
@@ -183,6 +317,21 @@ def conformal(df: DataFrame, keys: list[str], alpha: float, pred: str = "pred",
     return r.join(q, keys).groupBy(*keys).agg(F.max("q").alias("q"), F.avg((F.col("_r") <= F.col("q")).cast("double")).alias("coverage"), F.avg((F.abs(pred) < F.col("q")).cast("double")).alias("indeterminate"))
 
 
+def predict_interval(df: DataFrame, half_width, pred: str = "pred") -> DataFrame:
+    """`df` with low, high, and below_resolution where the interval holds 0: the sign of the lift can't be told."""
+    q = F.lit(half_width) if isinstance(half_width, float) else F.col(half_width)
+    low, high = F.col(pred) - q, F.col(pred) + q
+    return df.withColumns({"low": low, "high": high, "below_resolution": (low < 0) & (high > 0)})
+
+
+def mean_baseline(df: DataFrame, fold: str, y: str) -> DataFrame:
+    """`df` with pred, the mean of all other folds."""
+    own = df.groupBy(fold).agg(F.count(y).alias("_n"), F.sum(y).alias("_s"))
+    total = own.agg(F.sum("_n").alias("_tn"), F.sum("_s").alias("_ts"))  # one row
+    rest = own.crossJoin(F.broadcast(total)).filter("_tn > _n").select(fold, ((F.col("_ts") - F.col("_s")) / (F.col("_tn") - F.col("_n"))).alias("pred"))
+    return df.join(rest, fold).select(*df.columns, "pred")
+
+
 def explain(fit: DataFrame, features: list[str], top: int | None = None) -> DataFrame:
     """feature, weight and rank by magnitude of a one-row fit."""
     rows = fit.select(F.posexplode("w").alias("i", "weight")).withColumn("feature", F.element_at(F.array(*map(F.lit, features)), F.col("i") + 1))
@@ -202,24 +351,49 @@ def contributions(df: DataFrame, key: str, weights: dict[str, tuple[float, float
 
 
 def principal_axes(df: DataFrame, vector: str, k: int = 3) -> DataFrame:
-    """Leading axes of vectors: component, explained share, loadings with the largest magnitude positive.
+    """Leading axes of vectors: component, explained share, loadings with the largest magnitude positive, and the mean.
 
-    The covariance is one p x p aggregate; p is the number of weights.
+    Tasks add up means and cross products of whole batches; p is the number of weights.
     """
-    p = len(df.select(vector).first()[0])
-    x = [F.col(vector)[i].cast("double") for i in range(p)]
-    cells = df.agg(F.count(F.lit(1)).alias("n"), *(F.covar_samp(x[i], x[j]).alias(f"c{i}_{j}") for i in range(p) for j in range(i, p))).first()
-    cov = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            cov[i, j] = cov[j, i] = cells[f"c{i}_{j}"] or 0.0
+    def partial(frames):
+        held = None
+        for f in frames:
+            x = np.array(f["v"].tolist(), dtype=float)
+            g = np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()])
+            held = g if held is None else held + g
+        if held is not None:
+            yield pd.DataFrame({"g": [held.tolist()]})
+
+    middle = df.select(F.posexplode(vector).alias("i", "w")).groupBy("i").agg(F.avg("w").alias("m")).orderBy("i").collect()  # one row for each weight
+    means = np.array([r.m for r in middle], dtype=float)
+    p = len(means)
+    near = F.zip_with(F.col(vector), F.array(*map(F.lit, means.tolist())), lambda a, b: a.cast("double") - b)
+    rows = df.select(near.alias("v")).mapInPandas(partial, "g array<double>").withColumn("_task", F.pmod(F.spark_partition_id(), F.lit(64)))
+    g = np.array(summed(rows, []).first()["g"])
+    n, s, q = g[0], g[1 : p + 1], g[p + 1 :].reshape(p, p)
+    cov = (q - np.outer(s, s) / n) / max(n - 1, 1)
     values, vectors = np.linalg.eigh(cov)
-    rows = []
+    out = []
     for c in range(min(k, p)):
         v = vectors[:, p - 1 - c]
         v = v * np.sign(v[np.abs(v).argmax()] or 1)
-        rows.append((c + 1, float(values[p - 1 - c] / max(values.sum(), 1e-300)), [float(e) for e in v]))
-    return df.sparkSession.createDataFrame(rows, "component int, explained double, loadings array<double>")
+        out.append((c + 1, float(values[p - 1 - c] / max(values.sum(), 1e-300)), [float(e) for e in v], (means + s / n).tolist()))
+    return df.sparkSession.createDataFrame(out, "component int, explained double, loadings array<double>, mean array<double>")
+
+
+def top_loadings(axes: DataFrame, names: list[str], top: int = 5) -> DataFrame:
+    """component, rank, feature and loading of the largest loadings of each axis."""
+    rows = axes.select("component", F.posexplode("loadings").alias("i", "loading")).withColumn("feature", F.element_at(F.array(*map(F.lit, names)), F.col("i") + 1))
+    rank = F.row_number().over(W.partitionBy("component").orderBy(F.desc(F.abs("loading")), "i"))
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= top).select("component", "rank", "feature", "loading")
+
+
+def projections(df: DataFrame, vector: str, axes: DataFrame) -> DataFrame:
+    """`df` with point, its vector's coordinates on the axes (a bounded table: a few rows of p numbers)."""
+    rows = axes.orderBy("component").collect()
+    mean = F.array(*map(F.lit, rows[0]["mean"]))
+    dot = lambda v: F.aggregate(F.zip_with(F.zip_with(F.col(vector), mean, lambda a, b: a - b), F.array(*map(F.lit, v)), lambda a, b: a * b), F.lit(0.0), lambda t, e: t + e)
+    return df.withColumn("point", F.array(*(dot(r["loadings"]) for r in rows)))
 
 
 def weight_deltas(rows: DataFrame, keys: list[str], step: str, feature: str, weight: str, top: int) -> DataFrame:
@@ -252,6 +426,29 @@ def loss_surface(stats: DataFrame, weights: DataFrame, p: int, lam: float = 1.0)
     return weights.select("id", "w").mapInPandas(work, f"id {weights.schema['id'].dataType.simpleString()}, loss double, gradient array<double>")
 
 
+# Steps of the grid along the three axes, and the padding of its bounds as a share of the longest side.
+GRID, PADDING = ((0.0, 0.25, 0.5, 0.75, 1.0), (0.0, 0.25, 0.5, 0.75, 1.0), (0.15, 0.5, 0.85)), 0.28
+
+
+def gradient_field(stats: DataFrame, fit_weights: DataFrame, p: int, lam: float = 1.0) -> DataFrame:
+    """id, coords, loss, descent and norm on the 5 x 5 x 3 grid of the axes of many fits' weights (a column w)."""
+    spark = fit_weights.sparkSession
+    axes = principal_axes(fit_weights, "w", 3)
+    few = axes.orderBy("component").collect()
+    k = len(few)
+    points = projections(fit_weights, "w", axes)
+    edges = points.agg(*(f(F.col("point")[i]).alias(f"{n}{i}") for i in range(k) for n, f in (("low", F.min), ("high", F.max)))).first()
+    low, high = (np.array([edges[f"{n}{i}"] for i in range(k)], dtype=float) for n in ("low", "high"))
+    pad = PADDING * max(float((high - low).max()), 1e-4)
+    low, high = low - pad, high + pad
+    loadings, mean = np.array([r["loadings"] for r in few]), np.array(few[0]["mean"])
+    cells = [(i, (low + np.array(at[:k]) * (high - low)).tolist()) for i, at in enumerate((x, y, z) for x in GRID[0] for y in GRID[1] for z in GRID[2])]
+    grid = spark.createDataFrame([(i, c, (mean + np.array(c) @ loadings).tolist()) for i, c in cells], "id int, coords array<double>, w array<double>")
+    down = [F.aggregate(F.zip_with("gradient", F.array(*map(F.lit, v)), lambda a, b: a * b), F.lit(0.0), lambda t, e: t - e) for v in loadings.tolist()]
+    out = grid.select("id", "coords").join(loss_surface(stats, grid, p, lam), "id").withColumn("descent", F.array(*down))
+    return out.select("id", "coords", "loss", "descent", F.sqrt(F.aggregate("descent", F.lit(0.0), lambda t, e: t + e * e)).alias("norm"))
+
+
 def loo_linear(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Each row predicted by the line through its key's other rows: totals minus the row's own terms."""
     t = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *(F.sum(e).alias(a) for a, e in (("_x", F.col(x)), ("_y", F.col(y)), ("_xx", F.col(x) ** 2), ("_xy", F.col(x) * F.col(y)))))
@@ -267,14 +464,24 @@ def zslope(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return df.groupBy(*keys).agg((F.covar_pop(x, y) / (F.stddev_pop(x) + 1e-9)).alias("slope"))
 
 
-def boosted_trees(df: DataFrame, features: list[str], y: str, iterations: int = 140):
-    """Gradient-boosted trees of four leaves. No monotone constraints: see sign_audit."""
+def boosted_oof(df: DataFrame, fold: str, folds: int, features: list[str], y: str, iterations: int = 140) -> DataFrame:
+    """`df` with pred, each of the folds 0, 1, ... predicted by trees trained on all others."""
+    out = None
+    for i in range(folds):
+        part = boosted_trees(df.filter(F.col(fold) != i), features, y, iterations, df.filter(F.col(fold) == i))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def boosted_trees(df: DataFrame, features: list[str], y: str, iterations: int = 140, test: DataFrame | None = None):
+    """Gradient-boosted trees of four leaves; predictions of `test`, or of `df`. No monotone constraints: see sign_audit."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    rows = VectorAssembler(inputCols=features, outputCol="_features").transform(df.withColumns({f: F.coalesce(clean(f), F.lit(0.0)) for f in features}))
+    assembled = lambda d: VectorAssembler(inputCols=[f"_{f}" for f in features], outputCol="_features").transform(d.withColumns({f"_{f}": F.coalesce(clean(f), F.lit(0.0)) for f in features}))
+    rows = assembled(df)
     model = GBTRegressor(featuresCol="_features", labelCol=y, predictionCol="pred", maxIter=iterations, maxDepth=2, stepSize=0.05, subsamplingRate=0.6, minInstancesPerNode=5, seed=7).fit(rows)
-    return model.transform(rows).drop("_features")
+    return model.transform(rows if test is None else assembled(test)).select(*df.columns, "pred")
 
 
 def sign_audit(weights: DataFrame, prior: dict[str, int]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -53,16 +54,114 @@ def within_group_spearman(df: DataFrame, group: str = "grp") -> DataFrame:
     return own.agg(F.coalesce(F.avg("spearman"), F.lit(0.0)).alias("within_spearman"), F.count(F.lit(1)).alias("n_groups"))
 
 
-def concordance(df: DataFrame, group: list[str], p: str = "pred", y: str = "truth", tie: str = "id") -> DataFrame:
-    """Pairs within groups: right, wrong, and tied in truth. Groups are a candidate's few rows; pairs never cross groups."""
-    left = df.select(*group, F.col(tie).alias("i1"), F.col(p).alias("p1"), F.col(y).alias("y1"))
-    right = df.select(*group, F.col(tie).alias("i2"), F.col(p).alias("p2"), F.col(y).alias("y2"))
-    d = (F.col("p1") - F.col("p2")) * (F.col("y1") - F.col("y2"))
-    pairs = left.join(right, group).filter("i1 < i2")
-    return pairs.groupBy(*group).agg(
-        F.count_if(d > 0).alias("right"), F.count_if((d < 0) | ((d == 0) & (F.col("y1") != F.col("y2")))).alias("wrong"), F.count_if(d < 0).alias("discordant"),
-        F.count_if(F.col("y1") != F.col("y2")).alias("pairs"), F.count(F.lit(1)).alias("all_pairs"),
-    )
+#: Ranks of a bucket that one task compares, in a group that is larger.
+PAIR_BUCKET = 1 << 16
+
+
+def _inversions(order: np.ndarray, part: np.ndarray, parts: int) -> np.ndarray:
+    """For each part of a sequence (parts lie one after another) its pairs in the wrong order, by merging sorted blocks."""
+    n, width = len(order), 1
+    ranks, place = np.empty(n, np.int64), np.arange(n)
+    ranks[np.lexsort((order, part))] = place
+    total = np.zeros(parts, np.int64)
+    while width < n:
+        block = place // (2 * width)
+        merged = np.lexsort((ranks, block))  # both halves of each block in the order of their ranks
+        left = (merged // width) % 2 == 0
+        seen = np.append(0, np.cumsum(left))
+        begin = block * 2 * width  # where a block begins
+        lefts = seen[np.minimum(begin + 2 * width, n)] - seen[begin]
+        right = np.flatnonzero(~left)
+        above = lefts[right] - (seen[right] - seen[begin[right]])
+        total += np.bincount(part[merged[right]], above, parts).astype(np.int64)
+        width *= 2
+    return total
+
+
+def inversions(df: DataFrame, keys: list[str], x: str, y: str, tie: str, bucket: int = PAIR_BUCKET, large: int = LARGE_GROUP) -> DataFrame:
+    """keys and inv: pairs of rows that stand in opposite orders by (x, tie) and by (y, tie), without forming pairs.
+
+    Ranks of both orders are cut into buckets. Pairs of one x bucket are counted there, pairs of two x
+    buckets and one y bucket in that, and all others from the counts of (x bucket, y bucket) cells. Tasks
+    stream sorted rows and hold a bucket of them.
+    """
+    placed = row_numbers(df.select(*keys, tie, x, y), keys, {"_p": (x, False), "_q": (y, False)}, tie, large)
+    cells = placed.select(*keys, F.col("_p").cast("long").alias("_p"), F.col("_q").cast("long").alias("_q"), F.floor((F.col("_p") - 1) / bucket).alias("_a"), F.floor((F.col("_q") - 1) / bucket).alias("_b"))
+    schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), "_inv long"])
+
+    def counted(own: str, other: str | None):
+        def settle(f: pd.DataFrame, new: np.ndarray):
+            part, q = np.cumsum(new) - 1, f["_q"].to_numpy()
+            total = _inversions(q, part, int(part[-1]) + 1)
+            if other:  # without the pairs that were counted in the other order's buckets
+                o = np.lexsort((f[other].to_numpy(), part))
+                fine = np.cumsum(np.append(True, (np.diff(part[o]) != 0) | (np.diff(f[other].to_numpy()[o]) != 0))) - 1
+                own_part = part[o][np.flatnonzero(np.append(True, np.diff(fine) != 0))]
+                total -= np.bincount(own_part, _inversions(q[o], fine, len(own_part)), len(total)).astype(np.int64)
+            return f[keys][new].assign(_inv=total)
+
+        def work(frames):
+            held = None
+            for f in frames:
+                f = f if held is None else pd.concat([held, f], ignore_index=True)
+                columns = [f[c] for c in (*keys, own)]
+                new = np.ones(len(f), bool)
+                new[1:] = np.any([(c != c.shift()).to_numpy()[1:] for c in columns], axis=0)
+                cut = int(np.flatnonzero(new)[-1])  # the last bucket may go on
+                if cut:
+                    yield settle(f.iloc[:cut], new[:cut])
+                held = f.iloc[cut:].reset_index(drop=True)
+            if held is not None and len(held):
+                yield settle(held, np.append(True, np.zeros(len(held) - 1, bool)))
+
+        return cells.repartition(*keys, own).sortWithinPartitions(*keys, own, "_p").mapInPandas(work, schema)
+
+    near = counted("_a", None)
+    if not cells.filter("_a > 0").isEmpty():
+        near = near.unionByName(counted("_b", "_a"))
+        # a group has (n / bucket)^2 cells at most
+        counts = cells.groupBy(*keys, "_a", "_b").agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(F.collect_list(F.struct("_a", "_b", "_n")).alias("_cells"))
+
+        def far(frames):
+            for f in frames:
+                out = []
+                for row in f["_cells"]:
+                    a, b, n = (np.array([c[i] for c in row], np.int64) for i in ("_a", "_b", "_n"))
+                    grid = np.zeros((a.max() + 1, b.max() + 1), np.int64)
+                    grid[a, b] = n
+                    earlier = np.cumsum(grid, axis=0) - grid  # x buckets before
+                    later = earlier[:, ::-1].cumsum(axis=1)[:, ::-1] - earlier  # and y buckets behind
+                    out.append(int((grid * later).sum()))
+                yield f[keys].assign(_inv=out)
+
+        near = near.unionByName(counts.mapInPandas(far, schema))
+    return near.groupBy(*keys).agg(F.sum("_inv").alias("inv"))
+
+
+def concordance(df: DataFrame, group: list[str], p: str = "pred", y: str = "truth", tie: str = "id", bucket: int = PAIR_BUCKET) -> DataFrame:
+    """Pairs within groups: right, wrong (or tied in prediction), discordant, untied in truth, and all, from ranks.
+
+    Discordant pairs are the inversions between both orders, less those of pairs that are tied in one.
+    """
+    pairs = lambda n: n * (n - 1) / 2
+
+    def tied(*columns: str) -> DataFrame:
+        own = df.groupBy(*group, *columns).agg(F.count(F.lit(1)).alias("_n"))
+        return own.groupBy(*group).agg(F.sum(pairs(F.col("_n"))).cast("long").alias("_pairs"))
+
+    def within(c: str, other: str) -> DataFrame:
+        """Inversions between the order of ids and of `other` among rows tied in c."""
+        often = df.groupBy(*group, c).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+        rows = df.join(often, [*group, c], "left_semi").withColumn("_tie", F.col(tie))
+        return inversions(rows, [*group, c], "_tie", other, tie, bucket).groupBy(*group).agg(F.sum("inv").alias("_pairs"))
+
+    parts = {"all_pairs": tied(), "_y": tied(y), "_p": tied(p), "_py": tied(p, y), "_inv": inversions(df, group, p, y, tie, bucket).withColumnRenamed("inv", "_pairs"), "_in_p": within(p, y), "_in_y": within(y, p)}
+    out = df.select(*group).distinct()
+    for name, part in parts.items():
+        out = out.join(part.withColumnRenamed("_pairs", name), group, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    out = out.withColumn("discordant", F.col("_inv") - F.col("_in_p") - F.col("_in_y")).withColumn("pairs", F.col("all_pairs") - F.col("_y"))
+    right = F.col("all_pairs") - F.col("_y") - F.col("_p") + F.col("_py") - F.col("discordant")
+    return out.withColumn("right", right).withColumn("wrong", F.col("pairs") - F.col("right")).select(*group, "right", "wrong", "discordant", "pairs", "all_pairs")
 
 
 def top_picks(df: DataFrame, group: list[str], share: float | Column, p: str = "pred", y: str = "truth", tie: str = "id", large: int = LARGE_GROUP) -> DataFrame:

@@ -80,12 +80,12 @@ a as (select row_id, x2, n - 1 as n, x - x2 as x, y - lift_nll as y, xx - x2 * x
 select row_id, round(y / n + (xy - x * y / n) / ((xx - x * x / n) / n * (n + 1)) * (x2 - x / n), 7) + 0.0::double as pred from a""",
 )
 def g6s(t):
-    return G.oof_predict(rows(t), "row_id", ["x2"], "y").select("row_id", (F.round("pred", 7) + 0.0).alias("pred"))
+    return G.loocv(rows(t), "row_id", ["x2"], "y").select("row_id", (F.round("pred", 7) + 0.0).alias("pred"))
 
 
 @query("g6_loocv")
 def g6(t):
-    return G.oof_predict(rows(t), "row_id", X, "y").select("row_id", r9("pred").alias("pred"))
+    return G.loocv(rows(t), "row_id", X, "y").select("row_id", r9("pred").alias("pred"))
 
 
 @query("g7_kfold_by_cohort")

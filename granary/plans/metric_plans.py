@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from granary.functions.exprs import pearson, r9, shuffle_key
+from granary.functions.exprs import pearson, r9, ratio
 from granary.operators import metrics as M
 
 from .base import query
@@ -67,7 +67,7 @@ PAIRS = """, pr as (select a.grp, a.pred - b.pred as dp, a.truth - b.truth as dy
 
 @query("h7_pairwise_accuracy", PAIRS + " select grp, count(*) filter (dp * dy > 0) as right_pairs, count(*) filter (dy <> 0) as pairs from pr group by 1")
 def h7(t):
-    return M.concordance(t.predictions, ["grp"]).select("grp", F.col("right").alias("right_pairs"), "pairs")
+    return M.concordance(t.predictions, ["grp"]).filter("all_pairs > 0").select("grp", F.col("right").alias("right_pairs"), "pairs")
 
 
 @query(
@@ -97,9 +97,9 @@ def h10(t):
     return out.select(*(r9(c).alias(c) for c in out.columns))
 
 
-BOOT = """, b as (select p.*, d.domain from v_predictions p join v_labels d on p.id = d.row_id where p.id % 29 = 0),
-num as (select domain, v, row_number() over (partition by domain order by id) - 1 as i, count(*) over (partition by domain) as n from (select domain, id, {v} as v from b)),
-sz as (select domain, max(n) as n from num group by 1), dr as (select domain, n, rep, d from sz, range(0, 40) r(rep), range(0, 100000) q(d) where d < n),
+BOOT = """, b as (select p.*, d.domain from v_predictions p join v_labels d on p.id = d.row_id),
+num as (select domain, v, row_number() over (partition by domain order by id) - 1 as i from (select domain, id, {v} as v from b)),
+sz as (select domain, count(*) as n, max(i) as z from num group by 1), dr as (select domain, n, rep, unnest(range(0, n)) as d from sz, range(0, 2000) r(rep)),
 pk as (select domain, rep, cast(concat('0x', substr(md5(concat('7:', domain, ':', rep, ':', d)), 1, 8)) as bigint) % n as i from dr),
 mm as (select pk.domain, rep, avg(v) as m from pk join num on pk.domain = num.domain and pk.i = num.i group by 1, 2)
 select domain, round(quantile_cont(m, 0.025), 9) as low, round(quantile_cont(m, 0.975), 9) as high, count(*) as replicates from mm group by 1"""
@@ -129,10 +129,13 @@ def h11p(t):
 
 @query(
     "h13_kendall_tau_a",
-    PAIRS + " select grp, round((count(*) filter (dp * dy > 0) - count(*) filter (dp * dy < 0))::double / count(*), 9) + 0.0::double as tau from pr group by 1",
+    """, d as (select domain, row_id, floor(x3 * 20) as x, nll_before - nll_after as y from v_labels), pr as (select a.domain, (a.x - b.x) * (a.y - b.y) as d from d a join d b on a.domain = b.domain and a.row_id < b.row_id)
+select domain, count(*) as pairs, round((count(*) filter (d > 0) - count(*) filter (d < 0))::double / count(*), 9) + 0.0::double as tau from pr group by 1""",
 )
 def h13(t):
-    return M.concordance(t.predictions, ["grp"]).select("grp", r9((F.col("right") - F.col("discordant")) / F.col("all_pairs")).alias("tau"))
+    """By domain, of a coarse feature with many ties."""
+    rows = t.labels.select("domain", F.col("row_id").alias("id"), F.floor(F.col("x3") * 20).alias("pred"), (F.col("nll_before") - F.col("nll_after")).alias("truth"))
+    return M.concordance(rows, ["domain"]).select("domain", F.col("all_pairs").alias("pairs"), r9(ratio(F.col("right") - F.col("discordant"), "all_pairs")).alias("tau"))
 
 
 @query(

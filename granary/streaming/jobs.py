@@ -70,17 +70,12 @@ def stall_stream(stream: DataFrame, key: str, ts: str, tie: str, grows: str, fla
 
 def online_predictor(stream: DataFrame, key: str, order: str, features: list[str], y: str, warm: int = 4, lam: float = 1.0) -> DataFrame:
     """Predict each row from the rows before it, then learn from it. State of a key: the additive statistics."""
-    from granary.operators.fits import solve
+    from granary.operators.fits import solve, sums, width
 
     p = len(features)
-    size = 3 + 4 * p + 3 * p * p
-
-    def terms(x, v):
-        one, cross = np.ones(p), np.outer(x, x)
-        return np.concatenate([[1.0, v, v * v], one, x, x * v, one * v, cross.ravel(), np.zeros(2 * p * p)])
 
     def step(k, frames, state):
-        g = np.array(state.get[0]) if state.exists else np.zeros(size)
+        g = np.array(state.get[0]) if state.exists else np.zeros(width(p))
         rows = pd.concat(list(frames)).sort_values(order)
         out = []
         for i, x, v in zip(rows[order], rows[features].fillna(0.0).to_numpy(float), rows[y].to_numpy(float)):
@@ -90,7 +85,7 @@ def online_predictor(stream: DataFrame, key: str, order: str, features: list[str
                 f = solve(g[None, :], p, lam)
                 pred = f["base"][0] + float((f["w"][0] * (x - f["mu"][0]) / f["sd"][0]).sum())
             out.append((k[0], i, float(pred)))
-            g = g + terms(x, v)
+            g = g + sums(x[None, :], np.array([v]))
         state.update((g.tolist(),))
         yield pd.DataFrame(out, columns=[key, order, "pred"])
 
