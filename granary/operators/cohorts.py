@@ -6,7 +6,7 @@ buckets (functions.exprs.ordinal), so a cohort does not depend on partitioning a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from granary.functions.exprs import ordinal, shuffle_key
 
@@ -91,25 +91,31 @@ def duplication_cohorts(pool: DataFrame, ks: list[int], size: int, limit: int, s
     return _members(slots, F.format_string("dup-%03d-%03d", "k", F.col("rep") + 1), "duplication", F.col("slot"))
 
 
-def build_all(pool: DataFrame, size: int, seed=0) -> DataFrame:
-    """All families in a fixed order, with `ord` numbering the cohorts. Families that the pool can't fill are left out."""
-    families = [
-        lambda: label_noise_cohorts(pool, [0.0, 0.25, 0.5, 1.0], size, 2, seed), lambda: duplication_cohorts(pool, [1, 2, 4], size, 2, seed),
-        lambda: passband_cohorts(pool, [(0.0, 0.3), (0.3, 0.7), (0.7, 1.0)], size, seed), lambda: variance_decoupled(pool, size, seed), lambda: random_cohorts(pool, 4, size, seed),
-    ]
-    parts = []
-    for i, make in enumerate(families):
+def build_all(pool: DataFrame, size: int, seed=0, random: int = 8, per_group: int = 3, per_band: int = 3) -> DataFrame:
+    """All families in build order, with `ord` numbering the cohorts. Families that the pool can't fill are left out.
+
+    pool: prompt_id and, for their families, pass_rate, level and subject. Within families: noise by chunk,
+    duplicates by k and repetition, bands and groups by value and chunk, high variance before low.
+    """
+    number = F.regexp_extract("name", r"(\d+)$", 1).cast("int")
+    first = F.regexp_extract("name", r"-(\d+)-", 1)
+    families = [(lambda: label_noise_cohorts(pool, [0.0, 0.25, 0.5, 1.0], size, 2, seed), (F.lit(""), number)), (lambda: duplication_cohorts(pool, [1, 2, 4], size, 2, seed), (first, number))]
+    if "pass_rate" in pool.columns:
+        bands = [(0.0, 0.3), (0.3, 0.7), (0.7, 1.0)]
+        families.append((lambda: passband_cohorts(pool, bands, size, seed).filter(F.regexp_extract("name", r"(\d+)$", 1).cast("int") < per_band), (first, number)))
+        families.append((lambda: variance_decoupled(pool, size, seed), (F.lit(""), F.when(F.col("name") == "var-high", 0).otherwise(1))))
+    for key in ("level", "subject"):
+        if key in pool.columns:
+            families.append((lambda key=key: grouped_cohorts(pool, key, size, per_group, seed), (F.col("name"), number)))
+    families.append((lambda: random_cohorts(pool, random, size, seed), (F.lit(""), number)))
+    out = None
+    for i, (make, turn) in enumerate(families):
         try:
-            parts.append(make().withColumn("_family", F.lit(i)))
+            part = make().withColumns({"_family": F.lit(i), "_turn": F.struct(turn[0].alias("a"), turn[1].alias("b"))})
         except ValueError:
             continue
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    names = out.groupBy("_family", "name").agg(F.count(F.lit(1)).alias("members"))
-    from pyspark.sql import Window as W
-
-    order = names.withColumn("ord", F.row_number().over(W.orderBy("_family", "name")) - 1)  # one row for each cohort
+        out = part if out is None else out.unionByName(part)
+    order = out.select("_family", "_turn", "name").distinct().withColumn("ord", (F.row_number().over(W.orderBy("_family", "_turn", "name")) - 1).cast("int"))  # one row for each cohort
     return out.join(order.select("_family", "name", "ord"), ["_family", "name"]).select(*MEMBERS, "ord")
 
 
@@ -140,8 +146,6 @@ def candidate_schedule(pool: DataFrame, states: int, candidates: int, batch: int
         if fresh.groupBy("state", "candidate").count().agg(F.min("count")).first()[0] >= batch:
             break
         draws *= 2
-    from pyspark.sql import Window as W
-
     chosen = fresh.withColumn("pos", (F.row_number().over(W.partitionBy("state", "candidate").orderBy("draw")) - 1).cast("int")).filter(F.col("pos") < batch)
     numbers = shuffled(pool.select("prompt_id"), seed).select("prompt_id", (F.col("rn") - 1).alias("_i"))
     return chosen.join(numbers, "_i").select("state", "candidate", "pos", "prompt_id")

@@ -162,12 +162,14 @@ def ridge(df: DataFrame, features: list[str], y: str, keys: list[str] = [], lam:
     return fits(statistics(data, keys, len(features), y), keys, len(features), lam).withColumns(back)
 
 
-def oof_predict(df: DataFrame, fold: str, features: list[str], y: str, lam: float = 1.0) -> DataFrame:
-    """`df` with pred, each row predicted by the fit of all other folds; a single fold predicts nothing."""
+def oof_predict(df: DataFrame, fold: str, features: list[str], y: str, lam: float = 1.0, within: str | None = None) -> DataFrame:
+    """`df` with pred, each row predicted by the fit of all other folds (of its own `within`, if given); a single fold predicts nothing."""
     data, _ = centred(df, features)
-    own = stored(statistics(data, [fold], len(features), y), "fold-sums")
-    total = summed(own.withColumn("_task", F.pmod(F.spark_partition_id(), F.lit(64))), []).select(F.col("g").alias("all"))
-    rest = own.crossJoin(F.broadcast(total)).select(fold, minus("all", "g").alias("g")).filter(F.col("g")[0] > 0.5)  # one row of totals
+    keys = [within] if within else []
+    own = stored(statistics(data, [*keys, fold], len(features), y), "fold-sums")
+    total = summed(own.withColumn("_task", F.pmod(F.spark_partition_id(), F.lit(64))), keys).withColumnRenamed("g", "all")
+    both = own.join(total, keys) if within else own.crossJoin(F.broadcast(total))  # one row of totals
+    rest = both.select(fold, minus("all", "g").alias("g")).filter(F.col("g")[0] > 0.5)
     return data.join(fits(rest, [fold], len(features), lam), fold).withColumn("pred", _predicted([F.col("_x")[i] for i in range(len(features))])).select(*df.columns, "pred")
 
 

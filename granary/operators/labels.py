@@ -7,6 +7,36 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from granary.functions.exprs import FLAT, clean, col
 
 
+# The features of a label row that a predictor may see, in order; its context; the domain-invariant ones.
+FEATURE_KEYS = (
+    "reward_mean reward_std pass_rate group_passrate_mean group_passrate_std frac_nondegenerate frac_all_correct frac_all_wrong mean_logprob surprisal_mean entropy_mean "
+    "logprob_p10 logprob_p50 logprob_p90 confidence_slope redundancy_mean len_mean len_std target_similarity n_groups adv_std adv_absmean min_logprob_mean"
+).split()
+CONTEXT_KEYS = "fingerprint_nll fingerprint_entropy step_frac".split()
+MECHANISM_KEYS = "reward_mean reward_std pass_rate group_passrate_mean group_passrate_std frac_nondegenerate frac_all_correct frac_all_wrong redundancy_mean target_similarity n_groups".split()
+# What is measured after an update, which no feature may be.
+OUTCOMES = "acc_after nll_after kl_after lift_acc lift_nll kl_drift utility delta_probe_nll kl_train".split()
+
+
+def feature_columns(df: DataFrame, keys: list[str], nested: str = "reward_summary") -> dict[str, Column]:
+    """The named features of `df`, from its columns or its struct `nested`; null where it has none. Outcomes are refused."""
+    barred = [k for k in keys if k in OUTCOMES]
+    if barred:
+        raise ValueError(f"outcomes are no features: {barred}")
+    inner = df.schema[nested].dataType.fieldNames() if nested in df.columns else []
+    pick = lambda k: clean(k) if k in df.columns else clean(F.col(nested).getField(k)) if k in inner else F.lit(None).cast("double")
+    return {k: pick(k) for k in keys}
+
+
+def build_xy(df: DataFrame, ids: list[str], mode: str, keys: list[str] = FEATURE_KEYS, context: bool = True, standardize: str | None = None) -> DataFrame:
+    """ids, anchor, the features, and y of the rows that have a target; `standardize` names the column within which features are scaled."""
+    names = [*keys, *(CONTEXT_KEYS if context else [])]
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("0")) if c in df.columns else F.lit("0")
+    anchor = F.concat_ws("::", part("chain_id"), part("anchor_index"))
+    out = df.select(*ids, anchor.alias("anchor"), *(c.alias(k) for k, c in feature_columns(df, names).items()), clean(target(df, mode)).alias("y")).filter("y is not null")
+    return zscore_by_group(out, standardize, names) if standardize else out
+
+
 def lift_columns() -> dict[str, Column]:
     return {
         "lift_acc": F.col("acc_after") - F.col("acc_before"),

@@ -22,6 +22,9 @@ VIEWS = {
   1.5e0 - (o_totalprice / 100003.7e0 - 1.5e0) * 0.1e0 as nll_after, 0.0e0 as kl_before, c_acctbal / 1000000.0e0 as kl_after,
   case when o_orderkey % 17 = 0 then null else c_acctbal / 1000.0e0 end as x1, cast(o_orderkey % 97 as double) / 97.0e0 as x2,
   o_totalprice / 100000.0e0 + cast(o_orderkey % 13 as double) / 13.0e0 as x3 from orders join customer on o_custkey = c_custkey""",
+    "v_order_rollouts": """select l_orderkey as row_id, concat(cast(l_orderkey as varchar), '-', cast(l_linenumber % 2 as varchar)) as group_id, case when l_returnflag = 'R' then 1.0e0 else 0.0e0 end as reward,
+  cast(l_quantity as double) as completion_tokens, -l_extendedprice / 19997.3e0 as mean_logprob, -l_discount * 10.0e0 as early_logprob,
+  -l_tax * 10.0e0 as late_logprob, -l_extendedprice / 9998.65e0 as min_logprob, md5(cast(l_partkey as varchar)) as comp_hash from lineitem""",
     "v_items": r"""select concat('doc-', lpad(cast(d.doc_id as varchar), 5, '0'), '-', substr(sha1(text), 1, 12)) as id, d.doc_id as source_index, lang as level,
   source as subject, text as question, concat('Reasoning \boxed{', cast(n_chars % 7 as varchar), '}') as solution, l.quality as quality, l.toxic as toxic
   from documents d left join labels l on d.doc_id = l.doc_id""",
@@ -81,6 +84,18 @@ class Tables:
             (F.col("o_totalprice") / 100000.0 + (key % 13).cast("double") / 13.0).alias("x3"),
         )
 
+    @cached_property
+    def order_rollouts(self) -> DataFrame:
+        """The lines of each order as the rollouts of its label row, in two groups."""
+        row = F.col("l_orderkey")
+        own = F.concat(row.cast("string"), F.lit("-"), (F.col("l_linenumber") % 2).cast("string"))
+        price = F.col("l_extendedprice")
+        return self["lineitem"].select(
+            row.alias("row_id"), own.alias("group_id"), F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("reward"), F.col("l_quantity").cast("double").alias("completion_tokens"),
+            (-price / 19997.3).alias("mean_logprob"), (-F.col("l_discount") * 10.0).alias("early_logprob"), (-F.col("l_tax") * 10.0).alias("late_logprob"), (-price / 9998.65).alias("min_logprob"),
+            F.md5(F.col("l_partkey").cast("string")).alias("comp_hash"),
+        )
+
     @cached_property
     def items(self) -> DataFrame:
         marks = self["labels"].select("doc_id", "quality", "toxic")

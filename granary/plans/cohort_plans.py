@@ -71,9 +71,35 @@ def c7(t):
     return C.duplication_cohorts(t.pass_rates, [1, 2, 4], 8, 10, 3)
 
 
-@query("c8_build_all_cohorts")
+def _sorted(keys: str, key: str) -> str:
+    return f"select *, row_number() over (partition by {keys} order by md5(concat('3:', {key}, ':', prompt_id)), prompt_id) as rn, count(*) over (partition by {keys}) as n"
+
+
+C8 = f""", pool as (select prompt_id, pass_rate, o_orderpriority as level, c_mktsegment as subject from v_pass_rates join orders on cast(o_orderkey as varchar) = prompt_id join customer on o_custkey = c_custkey),
+sh as (select prompt_id, row_number() over (order by md5(concat('3:', prompt_id)), prompt_id) as rn, count(*) over () as n from pool),
+f0 as (select 0 as fam, '' as a, (rn - 1) // 8 as b, printf('labelnoise-%03d-%03d', cast(round_even(([0.0, 0.25, 0.5, 1.0])[(rn - 1) // 8 % 4 + 1]::double * 100, 0) as int), (rn - 1) // 8 + 1) as name, 'label_noise' as kind, (rn - 1) % 8 as pos, prompt_id,
+  (rn - 1) % 8 < round_even(([0.0, 0.25, 0.5, 1.0])[(rn - 1) // 8 % 4 + 1]::double * 8, 0) as is_noisy from sh where rn <= 64 and ((rn - 1) // 8 + 1) * 8 <= n),
+d as (select prompt_id, (rn - 1) // 4 as cohort, (rn - 1) % 4 as place, ([1, 2, 4])[(rn - 1) // 4 % 3 + 1] as k from sh where rn <= 24),
+f1 as (select 1 as fam, printf('%03d', k) as a, cohort // 3 as b, printf('dup-%03d-%03d', k, cohort // 3 + 1) as name, 'duplication' as kind, slot as pos, prompt_id, false as is_noisy from d, range(0, 8) s(slot) where place < k and slot % k = place),
+bd(band, lo, hi) as (values (0, 0.0::double, 0.3::double), (1, 0.3, 0.7), (2, 0.7, 1.0)), j as (select * from pool join bd on pass_rate >= lo and (pass_rate < hi or (pass_rate = 1 and hi >= 1))), jb as ({_sorted('band', 'band')} from j),
+f2 as (select 2 as fam, printf('%03d', cast(round_even(lo * 100, 0) as int)) as a, (rn - 1) // 8 as b, printf('band-%03d-%03d-%03d', cast(round_even(lo * 100, 0) as int), cast(round_even(hi * 100, 0) as int), (rn - 1) // 8) as name, 'passband' as kind,
+  (rn - 1) % 8 as pos, prompt_id, false as is_noisy from jb where ((rn - 1) // 8 + 1) * 8 <= n and (rn - 1) // 8 < 3),
+vp as (select *, case when abs(pass_rate - 0.5) <= 0.15::double then 0 when pass_rate <= 0.15::double then 1 when pass_rate >= 0.85::double then 2 end as part from pool), vs as ({_sorted('part', 'part')} from vp where part is not null),
+f3 as (select 3 as fam, '' as a, case when part = 0 then 0 else 1 end as b, case when part = 0 then 'var-high' else 'var-low' end as name, 'variance' as kind, rn - 1 + case when part = 2 then 4 else 0 end as pos, prompt_id, false as is_noisy
+  from vs where rn <= case when part = 0 then 8 else 4 end),
+""" + ", ".join(
+    f"g{i} as ({_sorted(key, key)} from pool where {key} is not null), f{i} as (select {i} as fam, concat('{key}-', replace(replace({key}, ' ', '_'), '/', '-'), printf('-%03d', (rn - 1) // 8)) as a, (rn - 1) // 8 as b, a as name, 'by_{key}' as kind, (rn - 1) % 8 as pos, prompt_id, false as is_noisy from g{i} where ((rn - 1) // 8 + 1) * 8 <= n and (rn - 1) // 8 < 3)"
+    for i, key in ((4, "level"), (5, "subject"))
+) + """, f6 as (select 6 as fam, '' as a, (rn - 1) // 8 as b, printf('random-%03d', (rn - 1) // 8) as name, 'random' as kind, (rn - 1) % 8 as pos, prompt_id, false as is_noisy from sh where rn <= 64),
+u as (select * from f0 union all select * from f1 union all select * from f2 union all select * from f3 union all select * from f4 union all select * from f5 union all select * from f6)
+select name, kind, cast(pos as int) as pos, prompt_id, is_noisy, cast(dense_rank() over (order by fam, a, b, name) - 1 as int) as ord from u"""
+
+
+@query("c8_build_all_cohorts", C8)
 def c8(t):
-    return C.build_all(t.pass_rates, 8, 3)
+    orders = t["orders"].select(F.col("o_orderkey").cast("string").alias("prompt_id"), F.col("o_orderpriority").alias("level"), F.col("o_custkey").alias("c_custkey"))
+    pool = t.pass_rates.join(orders, "prompt_id").join(t["customer"].select("c_custkey", F.col("c_mktsegment").alias("subject")), "c_custkey").drop("c_custkey")
+    return C.build_all(pool, 8, 3)
 
 
 @query(

@@ -2,12 +2,14 @@
 
 from pyspark.sql import Window as W, functions as F
 
-from granary.functions.exprs import r9
-from granary.operators import fits as G, metrics as M
+from granary.functions.exprs import FLAT, pearson, r9, ratio
+from granary.operators import fits as G, labels as F_, metrics as M
 from granary.sources.scratch import stored
 
 from .base import query
-from .label_plans import LIFT, lifted
+from . import label_plans as L
+from .label_plans import ALL, FX, LIFT, lifted
+from .metric_plans import COR
 
 X = ["x1", "x2", "x3"]
 
@@ -16,6 +18,13 @@ def rows(t):
     return lifted(t).select("row_id", "domain", "candidate_id", "kind", "chain_id", *X, F.col("lift_nll").alias("y"))
 
 
+def matrix(t, keys=None, context=True, standardize=None):
+    """The matrix of all 26 features (or of `keys`), written once: fits read it several times."""
+    data = L.featured(t)
+    out = F_.build_xy(data, ["row_id", "domain", "candidate_id", "kind", "chain_id"], "nll", keys or F_.FEATURE_KEYS, context, standardize)
+    return stored(out, "matrix")
+
+
 @query("g1_ridge_fit")
 def g1(t):
     fit = G.ridge(rows(t), X, "y", ["domain"])
@@ -43,7 +52,7 @@ def g2(t):
 
 @query("g3_gbt_fit")
 def g3(t):
-    return G.boosted_trees(rows(t), X, "y", 20).select("row_id", "pred")
+    return G.boosted_trees(matrix(t), ALL, "y").select("row_id", "pred")
 
 
 @query(
@@ -94,31 +103,70 @@ def g7(t):
     return G.oof_predict(data, "fold", X, "y").select("row_id", "fold", r9("pred").alias("pred"))
 
 
-@query("g8_evaluate")
-def g8(t):
-    """Out-of-fold metrics of ridge by domain folds, its conformal interval, and whether it beats the mean."""
-    pred = G.oof_predict(rows(t), "domain", X, "y").select(F.col("row_id").alias("id"), F.col("domain").alias("grp"), "pred", F.col("y").alias("truth"))
-    pred = stored(pred, "predictions")  # four metrics read them
-    errors = pred.agg(*M.error_columns(), F.count(F.lit(1)).alias("n"))
-    rank = M.within_group_spearman(pred)
-    half = G.conformal(pred.withColumn("_k", F.lit(0)), ["_k"], 0.2).drop("_k")
-    chance = pred.agg(F.stddev_pop("truth").alias("mean_rmse"))
-    one = errors.crossJoin(rank).crossJoin(half).crossJoin(chance)  # one row each
-    return one.withColumn("beats_mean", F.col("rmse") <= F.col("mean_rmse")).select("n", *(r9(c).alias(c) for c in ("rmse", "mae", "within_spearman", "q", "coverage")), "beats_mean")
+def _metrics(pred):
+    """All metrics of predictions (id, grp, pred, truth) in one row."""
+    parts = [
+        pred.agg(F.count(F.lit(1)).alias("n"), *M.error_columns(), pearson("pred", "truth").alias("pearson"), F.avg((M.sign3(F.col("pred")) == M.sign3(F.col("truth"))).cast("double")).alias("sign_accuracy")),
+        M.spearman(pred, []).select("spearman"), M.within_group_spearman(pred).select("within_spearman"), M.top1_regret(pred).select("top1_regret"), M.selection_lift(pred),
+        M.concordance(pred, ["grp"]).agg(ratio(F.sum("right"), F.sum("pairs")).alias("pairwise_accuracy")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(F.broadcast(p))  # one row each
+    return out
 
 
-@query(
-    "g9_baselines",
-    LIFT + """, lg as (select domain, row_id, lift_nll as y, f as feature, case f when 'x2' then x2 else x3 end as x from l, (values ('x2'), ('x3')) q(f)),
-s as (select feature, domain, count(*)::double as n, sum(x) as x, sum(y) as y, sum(x * x) as xx, sum(x * y) as xy from lg group by 1, 2),
-a as (select feature, domain, sum(n) over w - n as n, sum(x) over w - x as x, sum(y) over w - y as y, sum(xx) over w - xx as xx, sum(xy) over w - xy as xy from s window w as (partition by feature)),
-f as (select feature, domain, x / n as mu, y / n as base, (xy - x * y / n) / ((xx - x * x / n) / n * (n + 1)) as slope from a)
-select feature, count(*) as n, round(sqrt(avg((base + slope * (lg.x - mu) - lg.y) * (base + slope * (lg.x - mu) - lg.y))), 7) as rmse from lg join f using (feature, domain) group by 1""",
-)
-def g9(t):
-    out = G.single_feature_baselines(rows(t).select("row_id", "domain", "y", "x2", "x3"), "domain", ["x2", "x3"], "y")
+def _as_predictions(df):
+    return df.select(F.col("row_id").alias("id"), F.col("anchor").alias("grp"), "pred", F.col("y").alias("truth"))
+
+
+def _baselines(data):
+    """baseline, n, rmse and within-anchor Spearman of each single feature and of the mean, under folds by chain."""
+    single = G.single_feature_baselines(data.select("row_id", "anchor", "chain_id", "y", *ALL), "chain_id", ALL, "y")
+    spread = data.agg(*((F.stddev_pop(k) > FLAT).alias(k) for k in ALL)).unpivot([], ALL, "feature", "varies").filter("varies").select("feature")  # constant columns are skipped
+    mean = G.mean_baseline(data.select("row_id", "anchor", "chain_id", "y"), "chain_id", "y").withColumn("feature", F.lit("predict_mean"))
+    ids = ["row_id", "anchor", "y", "feature", "pred"]
+    both = stored(single.join(F.broadcast(spread), "feature").select(ids).unionByName(mean.select(ids)), "baselines")
     e = F.col("pred") - F.col("y")
-    return out.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.round(F.sqrt(F.avg(e * e)), 7).alias("rmse"))
+    errors = both.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"))
+    ranks = M.spearman(both.select("feature", F.col("anchor").alias("grp"), F.col("row_id").alias("id"), r9("pred").alias("pred"), F.col("y").alias("truth")), ["feature", "grp"])  # equal to nine decimals is a tie
+    within = ranks.filter("n >= 2").groupBy("feature").agg(F.avg("spearman").alias("within_spearman"))
+    return errors.join(within, "feature")
+
+
+@query("g8_evaluate")
+def g8(t):
+    """Ridge on all features, out of fold by chain: every metric, the conformal interval, and whether it beats the baselines."""
+    data = matrix(t)
+    pred = stored(_as_predictions(G.oof_predict(data, "chain_id", ALL, "y")), "predictions")  # many metrics read them
+    half = G.conformal(pred.withColumn("_k", F.lit(0)), ["_k"], 0.2).select("q", "coverage", "indeterminate")
+    base = _baselines(data)
+    best = F.max(F.when(F.col("feature") != "predict_mean", F.col("within_spearman")))
+    of = lambda f, c: F.max(F.when(F.col("feature") == f, F.col(c)))
+    against = base.agg(of("predict_mean", "rmse").alias("mean_rmse"), of("pass_rate", "within_spearman").alias("difficulty"), best.alias("best_single"))
+    one = _metrics(pred).crossJoin(F.broadcast(half)).crossJoin(F.broadcast(against))  # one row each
+    beats = {"beats_mean": F.col("rmse") <= F.col("mean_rmse"), "beats_difficulty": F.col("within_spearman") >= F.coalesce("difficulty", F.lit(-2.0)), "beats_best_single": F.col("within_spearman") >= F.col("best_single")}
+    shown = [c for c in one.columns if c not in ("n", "r2_oos")]
+    return one.withColumns(beats).select("n", F.lit(len(ALL)).alias("n_features"), *(r9(c).alias(c) for c in shown), *beats)
+
+
+G9_SQL = FX + f""", lg as (select feature, chain_id, anchor, row_id, y, x from (unpivot (select row_id, chain_id, anchor, lift_nll as y, {', '.join(f'cast({k} as double) as {k}' for k in ALL)} from fx) on {', '.join(ALL)} into name feature value x)),
+mn as (select feature, avg(x) as m, stddev_pop(x) as s from lg group by 1), al as (select f.feature, r.chain_id, r.anchor, r.row_id, r.lift_nll as y, lg.x - mn.m as x from mn f join mn on mn.feature = f.feature and mn.s > 1e-9 cross join fx r left join lg on lg.feature = f.feature and lg.row_id = r.row_id),
+s as (select feature, chain_id, count(*)::double as n, sum(y) as y, count(x)::double as c, coalesce(sum(x), 0) as x, coalesce(sum(x * x), 0) as q, coalesce(sum(x * y), 0) as u, coalesce(sum(case when x is not null then y end), 0) as v from al group by 1, 2),
+a as (select feature, chain_id, sum(n) over w - n as n, sum(y) over w - y as y, sum(c) over w - c as c, sum(x) over w - x as x, sum(q) over w - q as q, sum(u) over w - u as u, sum(v) over w - v as v from s window w as (partition by feature)),
+m as (select *, case when c > 0 then x / c else 0 end as m from a), f as (select *, (x + (n - c) * m) / n as mu, sqrt(greatest(q + (n - c) * m * m - n * ((x + (n - c) * m) / n) * ((x + (n - c) * m) / n), 0) / n) as sd from m),
+sl as (select *, case when sd > 1e-9 then (u + m * (y - v) - mu * y) / (sd * sd * (n + 1)) else 0 end as slope from f),
+p as (select al.feature, anchor, row_id, al.y, sl.y / sl.n + slope * (coalesce(al.x, sl.m) - mu) as pred from al join sl using (feature, chain_id)
+ union all select 'predict_mean', anchor, row_id, lift_nll, (sum(lift_nll) over () - sum(lift_nll) over (partition by chain_id)) / (count(*) over () - count(*) over (partition by chain_id)) from fx),
+k as (select feature, anchor, cast(row_number() over (partition by feature, anchor order by round(pred, 9), row_id) as double) as rp, cast(row_number() over (partition by feature, anchor order by y, row_id) as double) as ry from p),
+w as (select feature, avg(c) as within from (select feature, anchor, {COR.format(x='rp', y='ry')} as c from k group by 1, 2 having count(*) >= 2) group by 1)
+select p.feature as baseline, count(*) as n, round(sqrt(avg((pred - y) * (pred - y))), 7) as rmse, round(max(within), 6) + 0.0::double as within_spearman from p join w on w.feature = p.feature group by 1"""
+
+
+@query("g9_baselines", G9_SQL)
+def g9(t):
+    out = _baselines(matrix(t))
+    return out.select(F.col("feature").alias("baseline"), "n", F.round("rmse", 7).alias("rmse"), (F.round("within_spearman", 6) + 0.0).alias("within_spearman"))
 
 
 @query("g10_transfer")
@@ -133,20 +181,32 @@ def _spearman_by(pred, keys):
     return out.select(*keys, "n", r9("spearman").alias("spearman"))
 
 
+def _with_overall(pred, key):
+    """Spearman by key, and a row ALL over every prediction."""
+    pred = stored(pred, "predictions")
+    return _spearman_by(pred, [key]).unionByName(_spearman_by(pred.withColumn(key, F.lit("ALL")), [key]))
+
+
 @query("g11_leave_one_domain_out")
 def g11(t):
-    return _spearman_by(G.oof_predict(rows(t), "domain", X, "y"), ["domain"])
+    """The ladder: one strong feature, a few, the mechanism, and all with context; by held-out domain and over all."""
+    data, out = matrix(t), None
+    ladder = {"adv_std": ["adv_std"], "spread": ["adv_std", "frac_nondegenerate", "group_passrate_std"], "mechanism": F_.MECHANISM_KEYS, "all": ALL}
+    for name, features in ladder.items():
+        part = _with_overall(G.oof_predict(data, "domain", features, "y").select("row_id", "domain", "pred", "y"), "domain").withColumn("setting", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("g12_few_shot_transfer")
 def g12(t):
-    out = G.few_shot(rows(t), "domain", "row_id", [0, 5, 20], 3, X, "y", 2)
-    return out.groupBy("domain", "k").agg(F.count(F.lit(1)).alias("n"), r9(F.sqrt(F.avg((F.col("pred") - F.col("y")) ** 2))).alias("rmse"))
+    pred = G.few_shot(matrix(t), "domain", "row_id", [0, 5, 10, 20], 6, ALL, "y", 2)
+    return pred.groupBy("domain", "k").agg(F.count(F.lit(1)).alias("n"), r9(F.sqrt(F.avg((F.col("pred") - F.col("y")) ** 2))).alias("rmse"))
 
 
 @query("g13_leave_one_kind_out")
 def g13(t):
-    return _spearman_by(G.oof_predict(rows(t), "kind", X, "y"), ["kind"])
+    return _with_overall(G.oof_predict(matrix(t), "kind", ALL, "y").select("row_id", "kind", "pred", "y"), "kind")
 
 
 @query(
@@ -160,15 +220,38 @@ def g14(t):
     return G.conformal(data, ["domain"], 0.2).select("domain", *(r9(c).alias(c) for c in ("q", "coverage", "indeterminate")))
 
 
-@query("g15_explain")
+INTERVAL = LIFT + """, r as (select row_id, domain, x3 / 10 as p, abs(lift_nll - x3 / 10) as r from l), k as (select *, row_number() over (partition by domain order by r, row_id) as rn, count(*) over (partition by domain) as n from r),
+q as (select domain, r as q from k where rn = least(n, ceil((n + 1) * 0.8::double)))"""
+
+
+@query("g14_predict_interval", INTERVAL + " select row_id, round(p - q, 9) + 0.0::double as low, round(p + q, 9) + 0.0::double as high, p - q < 0 and p + q > 0 as below_resolution from r join q using (domain)")
+def g14_interval(t):
+    data = rows(t).select(F.col("row_id").alias("id"), "domain", (F.col("x3") / 10).alias("pred"), F.col("y").alias("truth"))
+    out = G.predict_interval(data.join(G.conformal(data, ["domain"], 0.2).select("domain", "q"), "domain"), "q")
+    return out.select(F.col("id").alias("row_id"), r9("low").alias("low"), r9("high").alias("high"), "below_resolution")
+
+
+# two features: their normal equations have a closed form
+@query(
+    "g15_explain",
+    LIFT + """, z as (select (x2 - avg(x2) over ()) / stddev_pop(x2) over () as a, (x3 - avg(x3) over ()) / stddev_pop(x3) over () as b, lift_nll - avg(lift_nll) over () as y from l),
+c as (select sum(a * a) + 1 as aa, sum(a * b) as ab, sum(b * b) + 1 as bb, sum(a * y) as ay, sum(b * y) as dy from z),
+w as (select 'x2' as feature, (bb * ay - ab * dy) / (aa * bb - ab * ab) as weight from c union all select 'x3', (aa * dy - ab * ay) / (aa * bb - ab * ab) from c)
+select feature, round(weight, 9) + 0.0::double as weight, cast(row_number() over (order by abs(weight) desc, feature) as int) as rank from w""",
+)
 def g15(t):
-    return G.explain(G.ridge(rows(t), X, "y"), X, 3).select("feature", r9("weight").alias("weight"), "rank")
+    return G.explain(G.ridge(rows(t), ["x2", "x3"], "y"), ["x2", "x3"], 3).select("feature", r9("weight").alias("weight"), "rank")
+
+
+@query("g15_explain_all")
+def g15_all(t):
+    return G.explain(G.ridge(matrix(t), ALL, "y"), ALL, 10).select("feature", r9("weight").alias("weight"), "rank")
 
 
 @query("g16_ridge_snapshots")
 def g16(t):
     fit = G.snapshots(rows(t), ["candidate_id"], ["row_id"], ["x2", "x3"], "y")
-    return fit.select("candidate_id", "t", r9("base").alias("base"), r9(F.col("w")[0]).alias("w_x2"), r9(F.col("w")[1]).alias("w_x3"))
+    return fit.select("candidate_id", "t", r9("base").alias("base"), r9(F.col("w")[0]).alias("w_x2"), r9(F.col("w")[1]).alias("w_x3"), r9("train_rmse").alias("train_rmse"))
 
 
 @query("g17_prequential_ridge")
@@ -193,36 +276,60 @@ def g18(t):
 
 @query("g19_weight_pca")
 def g19(t):
-    e = t["embeddings"].select(F.slice("embedding", 1, 8).alias("v"))
-    return G.principal_axes(e, "v", 3).select("component", r9("explained").alias("explained"), F.transform("loadings", lambda x: F.round(x, 6)).alias("loadings"))
+    """Axes of all 64 weights: explained shares and the five largest loadings of each."""
+    axes = G.principal_axes(t["embeddings"], "embedding", 3)
+    p = len(axes.first()["loadings"])
+    top = G.top_loadings(axes, [f"w{i}" for i in range(p)], 5)
+    return top.join(axes.select("component", "explained"), "component").select("component", r9("explained").alias("explained"), "rank", "feature", F.round("loading", 6).alias("loading"))
+
+
+@query("g19_projections")
+def g19_projections(t):
+    points = G.projections(t["embeddings"], "embedding", G.principal_axes(t["embeddings"], "embedding", 3))
+    return points.select("vec_id", F.transform("point", lambda x: F.round(x, 6)).alias("point"))
 
 
 @query(
     "g20_weight_deltas",
-    """, w as (select label, vec_id, i as feature, cast(embedding[i + 1] as double) as w from embeddings, range(0, 8) q(i)),
+    """, w as (select label, vec_id, i as feature, cast(embedding[i + 1] as double) as w from embeddings, range(0, 64) q(i)),
 d as (select *, w - coalesce(lag(w) over (partition by label, feature order by vec_id), 0) as delta from w),
 r as (select *, sqrt(sum(delta * delta) over (partition by label, vec_id)) as norm, row_number() over (partition by label, vec_id order by abs(delta) desc, feature) as rank from d)
-select label, vec_id, cast(feature as int) as feature, round(delta, 9) + 0.0::double as delta, round(norm, 9) as norm, cast(rank as int) as rank from r where rank <= 3""",
+select label, vec_id, cast(feature as int) as feature, round(delta, 9) + 0.0::double as delta, round(norm, 9) as norm, cast(rank as int) as rank from r where rank <= 7""",
 )
 def g20(t):
-    w = t["embeddings"].select("label", "vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("feature", "w")).withColumn("w", F.col("w").cast("double"))
-    return G.weight_deltas(w, ["label"], "vec_id", "feature", "w", 3).select("label", "vec_id", "feature", r9("delta").alias("delta"), r9("norm").alias("norm"), "rank")
+    w = t["embeddings"].select("label", "vec_id", F.posexplode("embedding").alias("feature", "w")).withColumn("w", F.col("w").cast("double"))
+    return G.weight_deltas(w, ["label"], "vec_id", "feature", "w", 7).select("label", "vec_id", "feature", r9("delta").alias("delta"), r9("norm").alias("norm"), "rank")
 
 
 @query("g21_gradient_field")
 def g21(t):
-    stats = G.statistics(rows(t).withColumn("_z", F.lit(0)), ["_z"], ["x2", "x3"], "y")
-    vectors = t["embeddings"].select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double")).alias("w"))
-    return G.loss_surface(stats, vectors, 2).select("id", F.round("loss", 6).alias("loss"), F.transform("gradient", lambda x: F.round(x, 6)).alias("gradient"))
+    """Loss and descent on the grid of the axes of the candidates' last fits, for the rows of all."""
+    some = ["x1", "x2", "x3", "x4"]
+    data = rows(t).withColumn("x4", F.col("x2") * F.col("x3"))
+    fit = stored(G.ridge(data, some, "y", ["candidate_id"]), "fits")
+    stats = stored(G.statistics(G.centred(data, some)[0], [], 4, "y"), "field-sums")
+    out = G.gradient_field(stats, fit, 4)
+    return out.select("id", *(F.transform(c, lambda x: F.round(x, 5)).alias(c) for c in ("coords", "descent")), F.round("loss", 5).alias("loss"), F.round("norm", 5).alias("norm"))
 
 
 @query("g22_feature_config_sweep")
 def g22(t):
-    data = rows(t)
-    out = None
-    for name, features in (("x1", ["x1"]), ("x2+x3", ["x2", "x3"]), ("all", X)):
-        part = _spearman_by(stored(G.oof_predict(data, "domain", features, "y"), "predictions"), ["domain"]).withColumn("config", F.lit(name))
-        out = part if out is None else out.unionByName(part)
+    """Six feature configurations on seed means: rank correlation within domains (hash folds) against transfer to a held-out domain."""
+    data, out = L.featured(t), None
+    rest = [k for k in F_.FEATURE_KEYS if k != "frac_nondegenerate"]
+    configs = {
+        "full": (F_.FEATURE_KEYS, True, None), "standardized": (F_.FEATURE_KEYS, True, "domain"), "no frac_nondegenerate": (rest, True, None), "no frac_nondegenerate, standardized": (rest, True, "domain"),
+        "mechanism": (F_.MECHANISM_KEYS, False, None), "mechanism, standardized": (F_.MECHANISM_KEYS, False, "domain"),
+    }
+    for name, (keys, context, within) in configs.items():
+        names = [*keys, *(F_.CONTEXT_KEYS if context else [])]
+        xy = F_.build_xy(data, ["domain", "candidate_id"], "nll", keys, context, within)
+        mean = stored(F_.denoise_seeds(xy, ["domain", "candidate_id"], names, "y"), "sweep").withColumn("fold", F.concat_ws(":", "domain", G.hash_fold("candidate_id", 5, 1).cast("string")))
+        own = G.oof_predict(mean, "fold", names, "y", within="domain").select("domain", "candidate_id", "pred", "y")
+        across = G.oof_predict(mean, "domain", names, "y").select("domain", "candidate_id", "pred", "y")
+        score = lambda p, c: M.spearman(p.select("domain", F.col("candidate_id").alias("id"), "pred", F.col("y").alias("truth")), ["domain"]).agg(F.avg("spearman").alias(c))
+        row = score(own, "within").crossJoin(score(across, "transfer")).select(F.lit(name).alias("config"), r9("within").alias("within"), r9("transfer").alias("transfer"))  # one row each
+        out = row if out is None else out.unionByName(row)
     return out
 
 
@@ -243,9 +350,8 @@ def g24(t):
 
 @query("g25_backend_ablation")
 def g25(t):
-    data = rows(t)
-    fold = data.filter("chain_id = 0")
-    e = lambda c: r9(F.sqrt(F.avg((F.col(c) - F.col("y")) ** 2)))
-    ridge = G.oof_predict(fold, "domain", X, "y").agg(e("pred").alias("rmse"), F.count(F.lit(1)).alias("n")).withColumn("backend", F.lit("ridge"))
-    trees = G.boosted_trees(fold, X, "y", 10).agg(e("pred").alias("rmse"), F.count(F.lit(1)).alias("n")).withColumn("backend", F.lit("trees, in sample"))
-    return ridge.unionByName(trees)
+    """Ridge and trees out of fold on all labels, under the same two hash folds of candidates."""
+    data = matrix(t).withColumn("fold", G.hash_fold("candidate_id", 2, 1))
+    e = r9(F.sqrt(F.avg((F.col("pred") - F.col("y")) ** 2)))
+    one = lambda d, name: d.agg(e.alias("rmse"), F.count(F.lit(1)).alias("n")).withColumn("backend", F.lit(name))
+    return one(G.oof_predict(data, "fold", ALL, "y"), "ridge").unionByName(one(G.boosted_oof(data, "fold", 2, ALL, "y"), "trees"))

@@ -95,20 +95,64 @@ def e9(t):
 FEATURES = ["x1", "x2", "x3"]
 
 
-@query("f1_feature_vector", " select row_id, round(x1, 9) + 0.0::double as x1, round(x2, 9) as x2, round(x3, 9) as x3 from v_labels")
+def _features_sql() -> str:
+    """Common tables up to `fx`: labels with every feature, their lines being their rollouts."""
+    import re
+
+    from .rollout_plans import D4_BODY
+
+    body = D4_BODY.replace("v_rollouts", "v_order_rollouts").replace("candidate_id, seed", "row_id").replace("group by 1, 2, 3", "group by row_id, group_id")
+    body = re.sub(r"group by 1, 2\b", "group by row_id", body)
+    own = ", ".join(k for k in L.FEATURE_KEYS if k != "target_similarity")
+    return f"""{LIFT}{body}, ft as (select row_id, {own} from rr join g2 using (row_id)),
+fx as (select l.*, ft.* exclude (row_id), cast(l.row_id % 89 as double) / 89.0e0 as target_similarity, 1.4e0 + cast(l.row_id % 83 as double) / 83.0e0 as fingerprint_nll,
+  case when l.row_id % 5 <> 0 then cast(l.row_id % 61 as double) / 61.0e0 end as fingerprint_entropy, cast(anchor_index as double) / 3.0e0 as step_frac, concat(chain_id, '::', anchor_index) as anchor
+  from l left join ft on l.row_id = ft.row_id)"""
+
+
+FX = _features_sql()
+ALL = [*L.FEATURE_KEYS, *L.CONTEXT_KEYS]
+
+
+def featured(t):
+    """Labels with every feature: the statistics of their orders' lines, and stand-ins for the rest."""
+    from granary.operators.rollouts import group_advantages, summarize_rollouts
+
+    names = tuple(k for k in L.FEATURE_KEYS if k != "target_similarity")
+    stats = summarize_rollouts(group_advantages(t.order_rollouts, ["row_id", "group_id"]), ["row_id"], only=names).select("row_id", F.struct(*names).alias("reward_summary"))
+    row = F.col("row_id")
+    extra = {
+        "target_similarity": (row % 89).cast("double") / 89.0, "fingerprint_nll": F.lit(1.4) + (row % 83).cast("double") / 83.0,
+        "fingerprint_entropy": F.when(row % 5 != 0, (row % 61).cast("double") / 61.0), "step_frac": F.col("anchor_index").cast("double") / 3.0,
+    }
+    return lifted(t).withColumns(extra).join(stats, "row_id", "left")
+
+
+@query("f1_feature_vector", FX + " select row_id, " + ", ".join(f"round({k}, 9) + 0.0::double as {k}" for k in ALL) + " from fx")
 def f1(t):
-    return t.labels.select("row_id", *(r9(clean(f)).alias(f) for f in FEATURES))
+    rows = featured(t)
+    return rows.select("row_id", *(r9(c).alias(k) for k, c in L.feature_columns(rows, ALL).items()))
+
+
+@query("f2_build_matrix", FX + " select row_id, anchor, domain, " + ", ".join(f"round({k}, 9) + 0.0::double as {k}" for k in ALL) + ", round(lift_nll, 9) + 0.0::double as y from fx where row_id % 6 <> 0")
+def f2(t):
+    rows = featured(t).withColumn("lift_nll", F.when(F.col("row_id") % 6 != 0, F.col("lift_nll")))  # the others have no target
+    out = L.build_xy(rows, ["row_id", "domain"], "nll")
+    return out.select("row_id", "anchor", "domain", *(r9(k).alias(k) for k in [*ALL, "y"]))
+
+
+def _scaled(k: str) -> str:
+    return f"case when {k} is not null then ({k} - coalesce(avg({k}) over w, 0)) / (case when stddev_pop({k}) over w > 1e-9 then stddev_pop({k}) over w else 1 end) end"
 
 
 @query(
-    "f2_build_matrix",
-    LIFT + " select row_id, concat(chain_id, '::', anchor_index) as anchor, domain, round(x1, 9) + 0.0::double as x1, round(x2, 9) as x2, round(x3, 9) as x3, round(lift_nll, 9) + 0.0::double as y from l where row_id % 6 <> 0",
+    "f2_standardized_mechanism",
+    FX + " select row_id, anchor, domain, " + ", ".join(f"round({_scaled(k)}, 7) + 0.0::double as {k}" for k in L.MECHANISM_KEYS) + ", round(lift_nll, 9) + 0.0::double as y from fx window w as (partition by domain)",
 )
-def f2(t):
-    rows = lifted(t).withColumn("lift_nll", F.when(F.col("row_id") % 6 != 0, F.col("lift_nll")))
-    y = clean(L.target(rows, "nll"))
-    anchor = F.concat_ws("::", F.col("chain_id").cast("string"), F.col("anchor_index").cast("string"))
-    return rows.withColumn("y", y).filter("y is not null").select("row_id", anchor.alias("anchor"), "domain", *(r9(clean(f)).alias(f) for f in FEATURES), r9("y").alias("y"))
+def f2_standardized(t):
+    """The domain-invariant features, scaled within domains, without context."""
+    out = L.build_xy(featured(t), ["row_id", "domain"], "nll", L.MECHANISM_KEYS, False, "domain")
+    return out.select("row_id", "anchor", "domain", *((F.round(k, 7) + 0.0).alias(k) for k in L.MECHANISM_KEYS), r9("y").alias("y"))
 
 
 @query(
