@@ -9,10 +9,17 @@ from granary.streaming import jobs as J
 from .base import query
 
 
-def stream(t, table):
-    """The table as a stream of its files, one in each micro-batch; event times in UTC."""
-    rows = t.spark.readStream.schema(t[table].schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", f"{table}.parquet").parquet(t.path)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
+def stream(t, table, order=None, parts=4):
+    """The table as a stream of `parts` files in the order of a column, one in each micro-batch; event times in UTC."""
+    rows = t[table]
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
+    order = order or ("ts" if "ts" in rows.columns else rows.columns[0])
+    path, as_number = scratch(t.spark, "stream"), F.col(order).cast("double")
+    bounds = rows.select(as_number.alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.01)
+    part = sum(((as_number > x).cast("int") for x in bounds), F.lit(0))
+    for i in range(parts):  # files are taken in the order in which they were written
+        rows.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def drained(t, df, name):
@@ -30,14 +37,8 @@ def k1(t):
 @query("k2_progress_counts", " select event_type, count(*) as labels_done, arg_max(event_id, row(ts, event_id)) as latest_id from events group by 1")
 def k2(t):
     out = scratch(t.spark, "k2")
-    latest = {}
-
-    def keep(batch, number):
-        batch.write.parquet(f"{out}/state-{number}")
-        latest["path"] = f"{out}/state-{number}"
-
-    J.run_available(J.progress(stream(t, "events"), "event_type", "ts", "event_id"), f"{out}/log", each=keep, mode="complete")
-    return t.spark.read.parquet(latest["path"]).select("event_type", "labels_done", F.col("latest.event_id").alias("latest_id"))
+    J.run_available(J.progress(stream(t, "events"), "event_type", "ts", "event_id"), f"{out}/log", each=J.keep_state(f"{out}/state"), mode="complete")
+    return J.latest_state(t.spark, f"{out}/state").select("event_type", "labels_done", F.col("latest.event_id").alias("latest_id"))
 
 
 STATUS = """, e as (select event_type, ts, event_id, value > 9 as g from events),
@@ -70,6 +71,12 @@ def k4(t):
     return J.transitions(s, "event_type", ["ts", "event_id"]).select("event_type", "event_id", "before", "status")
 
 
+@query("k4_transition_stream", STATUS + ", b as (select *, lag(status) over (partition by event_type order by ts, event_id) as before from st) select event_type, event_id, before, status from b where before is distinct from status")
+def k4s(t):
+    rows = stream(t, "events").select("event_type", "ts", "event_id", (F.col("value") > 9).alias("grows"))
+    return drained(t, J.stall_stream(rows, "event_type", "ts", "event_id", "grows", changes=True), "k4").select("event_type", "event_id", "before", "status")
+
+
 @query("k5_online_predictor")
 def k5(t):
     rows = stream(t, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 97 / 97.0).alias("x2"), (F.col("o_orderkey") % 13 / 13.0).alias("x3"), (F.col("o_totalprice") / 100000.0).alias("y"))
@@ -96,16 +103,9 @@ select n_cohorts, round(b / (b + w), 7) as icc, case when b / (b + w) >= 0.5 the
 )
 def k7(t):
     out = scratch(t.spark, "k7")
-    spark = t.spark
-    held = {"path": None}
-
-    def merge(batch, number):
-        old = spark.read.parquet(held["path"]) if held["path"] else spark.createDataFrame([], "user_id long, n long, s double, q double")
-        J.merge_cohort_sums(old, batch, "user_id", "value").write.parquet(f"{out}/sums-{number}")
-        held["path"] = f"{out}/sums-{number}"
-
-    J.run_available(stream(t, "events"), f"{out}/log", each=merge)
-    return J.gate_from_sums(spark.read.parquet(held["path"])).select("n_cohorts", F.round("icc", 7).alias("icc"), "verdict")
+    merge = lambda old, batch: J.merge_cohort_sums(old if old is not None else batch.sparkSession.createDataFrame([], "user_id long, n long, s double, q double"), batch, "user_id", "value")
+    J.run_available(stream(t, "events"), f"{out}/log", each=J.keep_state(f"{out}/state", merge))
+    return J.gate_from_sums(J.latest_state(t.spark, f"{out}/state")).select("n_cohorts", F.round("icc", 7).alias("icc"), "verdict")
 
 
 @query("k8_windowed_label_rate", " select time_bucket(interval '1 hour', ts) as start, count(*) as n, round(sum(value), 6) as total from events group by 1")

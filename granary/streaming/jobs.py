@@ -50,22 +50,48 @@ def transitions(status: DataFrame, key: str, order: list[str]) -> DataFrame:
     return status.withColumn("before", before).filter(~F.col("before").eqNullSafe(F.col("status")))
 
 
-def stall_stream(stream: DataFrame, key: str, ts: str, tie: str, grows: str, flat_limit: int = 4, stuck_limit: int = 12, done: int = 240) -> DataFrame:
-    """The stall detector on a stream: state of a key is (count, flat). Rows of a micro-batch are taken in event order."""
+def stall_stream(stream: DataFrame, key: str, ts: str, tie: str, grows: str, flat_limit: int = 4, stuck_limit: int = 12, done: int = 240, alive: str | None = None, changes: bool = False) -> DataFrame:
+    """The stall detector on a stream: state of a key is (count, flat, status). Rows of a micro-batch are taken in event order.
+
+    alive: a boolean column; DOWN while it is false. changes: only the ticks at which the status changes
+    come out, with the status before, so DONE is told once.
+    """
 
     def step(k, frames, state):
-        n, flat = state.get if state.exists else (0, 0)
+        n, flat, last = state.get if state.exists else (0, 0, None)
         rows = pd.concat(list(frames)).sort_values([ts, tie])
         out = []
-        for g, i in zip(rows[grows], rows[tie]):
+        for g, i, up in zip(rows[grows], rows[tie], rows[alive] if alive else [True] * len(rows)):
             n, flat = (n + 1, 0) if g else (n, flat + 1)
-            status = "DONE" if n >= done else "STALL" if n > 0 and flat >= flat_limit else "STUCK" if n == 0 and flat >= stuck_limit else "OK"
-            out.append((k[0], i, n, flat, status))
-        state.update((n, flat))
-        yield pd.DataFrame(out, columns=[key, tie, "n", "flat", "status"])
+            status = "DOWN" if not up else "DONE" if n >= done else "STALL" if n > 0 and flat >= flat_limit else "STUCK" if n == 0 and flat >= stuck_limit else "OK"
+            if not changes or status != last:
+                out.append((k[0], i, n, flat, last, status))
+            last = status
+        state.update((n, flat, last))
+        yield pd.DataFrame(out, columns=[key, tie, "n", "flat", "before", "status"])
 
     kind = dict(stream.dtypes)
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind[key]}, {tie} {kind[tie]}, n long, flat long, status string", "n long, flat long", "append", "NoTimeout")
+    found = stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind[key]}, {tie} {kind[tie]}, n long, flat long, before string, status string", "n long, flat long, status string", "append", "NoTimeout")
+    return found if changes else found.drop("before")
+
+
+def latest_state(spark, path: str) -> DataFrame:
+    """The table that the last micro-batch wrote under path/batch=<number>."""
+    rows = spark.read.parquet(path)
+    return rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch").drop("batch")  # one row
+
+
+def keep_state(path: str, merge: Callable | None = None) -> Callable:
+    """A foreachBatch function that writes each micro-batch's state under its number: a restart repeats or goes on from there.
+
+    merge(old, batch): the state after a batch; old is None for the first. Without it the batch is the state.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        old = batch.sparkSession.read.parquet(f"{path}/batch={number - 1}") if merge and number else None
+        (merge(old, batch) if merge else batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return each
 
 
 def online_predictor(stream: DataFrame, key: str, order: str, features: list[str], y: str, warm: int = 4, lam: float = 1.0) -> DataFrame:
