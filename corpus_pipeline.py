@@ -2,7 +2,13 @@
 
 Quality rules reject junk; of each SimHash group one document stays; repeated passages lose all but
 their first occurrence; what is left is packed into sequences whose source proportions hold. Every
-stage reads all that its predecessor kept; all but the last return the columns of `documents`.
+stage reads all that its predecessor kept; all but the last return the columns of `documents`, whatever
+other columns those are. Texts of any length are read whole.
+
+Nulls, ties and repeats in each stage are as its operator's module defines them: quality rules reject
+null, blank and short texts; of repeated rows near-dedup keeps one, and rows without a doc_id all stay;
+substring dedup leaves rows without a doc_id whole, and a text that loses all its words is the empty
+text; packing gives such a text the end id alone. An empty table gives an empty one in every stage.
 """
 
 from __future__ import annotations
