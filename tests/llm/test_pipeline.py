@@ -41,3 +41,21 @@ def test_stages_against_brute_force(spark):
 
 def test_stage_list():
     assert [n for n, _ in C.STAGES] == ["quality rules", "SimHash near-dedup", "substring dedup", "packing"]
+
+
+def test_stages_with_odd_rows(spark):
+    prose = " ".join(f"the w{i} of" for i in range(40))
+    other = " ".join(f"and x{i} is" for i in range(40))
+    rows = [(1, prose), (2, prose), (2, prose), (3, other + " " + prose), (4, None), (5, ""), (6, " \n"), (None, prose), (7, other.upper()), (8, "short text")]
+    docs = spark.createDataFrame([(i, t, "s", len(t or "")) for i, t in rows], "doc_id long, text string, source string, n_chars long").withColumns({c: F.lit("mine") for c in ("_row", "kept", "fp", "_text_hash", "_g", "queue", "n_words", "start")})
+    good = stored(C.quality_rules(spark, docs, SF), "t")
+    assert sorted(str(r.doc_id) for r in good.collect()) == ["1", "2", "2", "3", "7", "None"] and good.columns == docs.columns
+    once = stored(C.simhash_near_dedup(spark, good, SF), "t")
+    assert sorted(str(r.doc_id) for r in once.collect()) == ["1", "3", "7", "None"] and once.columns == docs.columns and {r.kept for r in once.collect()} == {"mine"}
+    short = stored(C.substring_dedup(spark, once, SF), "t")
+    assert {str(r.doc_id): (r.text, r.n_chars) for r in short.collect()} == {str(i): (t, len(t)) for i, t in ((1, prose), (3, other), (7, other.upper()), (None, prose))} and short.columns == docs.columns
+    packed = C.packing(spark, short, SF).collect()
+    assert sorted({str(r.doc_id) for r in packed}) == ["1", "3", "7", "None"] and all(r.queue == "=s" for r in packed)
+    empty = docs.limit(0)
+    for _, stage in C.STAGES:
+        assert stage(spark, empty, SF).count() == 0
