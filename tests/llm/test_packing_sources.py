@@ -2,7 +2,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from granary.llm.packing import QUANTUM, SEQUENCE, Plan, pack
+from granary.llm.packing import QUANTUM, SEQUENCE, Plan, chunk_places, pack
 
 
 def test_each_of_many_sources_is_a_queue(table):
@@ -41,7 +41,28 @@ def test_weights_hold_over_thousands_of_sources_through_the_last_window():
         assert np.abs(got - windows * SEQUENCE * np.array([0.5, 0.3, 0.2])).max() < 2 * QUANTUM
 
 
+@pytest.mark.parametrize("weights", [None, {"big": 3, "site-7": 2}])
+def test_more_sources_than_a_task_may_hold_pack_the_same(table, weights):
+    """Chunks placed by Spark are where the closed form puts them: many sources, a hot one, a null one, long and empty texts."""
+    docs = [(i, "word " * (i % 7), f"site-{i % 60}") for i in range(300)] + [(1000 + i, f"alpha {i} beta " * 200, "big") for i in range(30)]
+    docs += [(2000, "gamma " * 9000, "long"), (2001, None, None), (2002, "", None), (2003, "x", "null"), (2003, "x", "null"), (None, "y", "big")]
+    rows = table(docs)
+    few, many = (sorted(map(str, pack(rows, weights=weights, most_sources=n).collect())) for n in (4096, 5))
+    assert few == many and len(few) >= len(docs)
+
+
+def test_chunk_places_over_many_blocks_and_ranges(spark):
+    rng = np.random.default_rng(5)
+    totals = [(f"={i:04}", int(n)) for i, n in enumerate(np.concatenate([rng.integers(1, 3000, 300), [10**6, 400_000]]))]
+    for weights in ({}, {"=0001": 4, "=0300": 1}):
+        plan = Plan(totals, weights)
+        found = chunk_places(spark.createDataFrame(totals, "queue string, tokens long"), weights, block=100, span=500).collect()
+        q, k, first = (np.array(x) for x in zip(*((plan.index[r.queue], r.k, r.first) for r in found)))
+        assert len(found) == plan.chunks.sum() and (plan.place(k, q) == first).all()
+
+
+@pytest.mark.parametrize("most", [4096, 1])
 @pytest.mark.parametrize("weights", [{"a": 3, "z": 1}, {"a": 0.5}, {"a": 0}])
-def test_weights_that_cannot_hold_are_refused(table, weights):
+def test_weights_that_cannot_hold_are_refused(table, weights, most):
     with pytest.raises(ValueError):
-        pack(table([(1, "x", "a"), (2, "y", "b")]), weights=weights)
+        pack(table([(1, "x", "a"), (2, "y", "b")]), weights=weights, most_sources=most)
