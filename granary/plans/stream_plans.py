@@ -65,6 +65,27 @@ def k3b(t):
     return J.stall_status(ticks(t), "event_type", ["ts", "event_id"], "n").select("event_type", "event_id", "n", F.col("flat").cast("long").alias("flat"), "status")
 
 
+@query(
+    "k3_best_pod",
+    """, b as (select event_type, user_id % 5 as pod, time_bucket(interval '1 hour', ts) as hour, count(*) filter (value > 9) as up, max(value) > 5 as alive from events group by 1, 2, 3),
+c as (select *, sum(up) over (partition by event_type, pod order by hour) as n from b),
+o as (select *, row_number() over (partition by event_type, hour order by n desc, pod) as i from c),
+g as (select *, n > coalesce(lag(n) over (partition by event_type order by hour), 0) as grew from o where i = 1),
+s as (select *, sum(grew::int) over (partition by event_type order by hour) as island from g),
+f as (select *, row_number() over (partition by event_type, island order by hour) - case when island > 0 then 1 else 0 end as flat from s)
+select event_type, hour, pod, cast(n as bigint) as n, flat, case when not alive then 'DOWN' when n >= 240 then 'DONE' when n > 0 and flat >= 4 then 'STALL' when n = 0 and flat >= 12 then 'STUCK' else 'OK' end as status from f""",
+)
+def k3p(t):
+    from pyspark.sql import Window as W
+
+    e = t["events"].select("event_type", (F.col("user_id") % 5).alias("pod"), F.date_trunc("hour", "ts").alias("hour"), "value")
+    rows = e.groupBy("event_type", "pod", "hour").agg(F.count_if(F.col("value") > 9).alias("up"), (F.max("value") > 5).alias("alive"))
+    so_far = W.partitionBy("event_type", "pod").orderBy("hour").rowsBetween(W.unboundedPreceding, 0)
+    best = J.best_of_tick(rows.withColumn("n", F.sum("up").over(so_far)), ["event_type", "hour"], "pod", "n", ("alive",))
+    out = J.stall_status(best, "event_type", ["hour"], "n", alive=F.col("alive"))
+    return out.select("event_type", "hour", "pod", "n", F.col("flat").cast("long").alias("flat"), "status")
+
+
 @query("k4_transition_alerts", STATUS + ", b as (select *, lag(status) over (partition by event_type order by ts, event_id) as before from st) select event_type, event_id, before, status from b where before is distinct from status")
 def k4(t):
     s = J.stall_status(ticks(t), "event_type", ["ts", "event_id"], "n")

@@ -28,6 +28,13 @@ def progress(rows: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("labels_done"), F.max(F.struct(ts, tie)).alias("latest"))
 
 
+def best_of_tick(rows: DataFrame, keys: list[str], pod: str, count: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The pod with the most labels at each tick of a domain, ties to the smaller name, unknown counts last; the same for a stream and a table."""
+    columns = [pod, count, *keep]
+    best = F.min_by(F.struct(*columns), F.struct(F.col(count).isNull().alias("unknown"), (-F.col(count)).alias("most"), F.col(pod).alias("tie")))
+    return rows.groupBy(*keys).agg(best.alias("_best")).select(*keys, *(F.col("_best")[c].alias(c) for c in columns))
+
+
 def stall_status(ticks: DataFrame, key: str, order: list[str], count: str, flat_limit: int = 4, stuck_limit: int = 12, done: int = 240, alive: Column | None = None) -> DataFrame:
     """Batch twin of the stall detector: `flat` ticks since the count last grew, and a status."""
     w = W.partitionBy(key).orderBy(*order)

@@ -142,3 +142,11 @@ def test_kept_state_goes_on_after_a_restart(spark, tmp_path):
     J.keep_state(path, merge)(spark.range(3, 5), 1)  # the last batch again, by a new driver
     J.keep_state(path, merge)(spark.range(5, 6), 2)
     assert sorted(r.id for r in J.latest_state(spark, path).collect()) == [0, 1, 2, 3, 4, 5]
+
+
+def test_best_pod_of_a_tick(spark):
+    rows = [("d", 1, "b", 3, True), ("d", 1, "a", 3, False), ("d", 1, "c", 2, True), ("d", 2, "c", 9, True), ("e", 1, "a", 0, True), ("e", 1, "b", None, True)]
+    df = spark.createDataFrame(rows, "domain string, tick int, pod string, n long, alive boolean")
+    got = {(r.domain, r.tick): (r.pod, r.n, r.alive) for r in J.best_of_tick(df, ["domain", "tick"], "pod", "n", ("alive",)).collect()}
+    assert got[("d", 1)] == ("a", 3, False) and got[("d", 2)] == ("c", 9, True)
+    assert got[("e", 1)] == ("a", 0, True)
