@@ -117,6 +117,21 @@ def k6(t):
     return out.select("event_id", F.floor("age_minutes").alias("age_minutes"), "alert")
 
 
+@query(
+    "k6_age_stream",
+    """, e as (select user_id, event_id, ts, case when event_type in ('click', 'view') then 'PROVISIONING' when event_type = 'error' then 'DEAD' else 'ACTIVE' end as state from events),
+b as (select *, lag(state) over w as before, count(*) filter (state <> 'PROVISIONING') over (w rows between unbounded preceding and current row) as island from e window w as (partition by user_id order by ts, event_id)),
+i as (select user_id, island, min(ts) as since from b where state = 'PROVISIONING' group by 1, 2),
+o as (select user_id, island, ts as ended from b where state <> 'PROVISIONING'),
+s as (select i.user_id, since from i left join o on o.user_id = i.user_id and o.island = i.island + 1, (select max(ts) as now from events) where coalesce(ended, now) > since + interval '8 minutes')
+select user_id, since, 'STUCK' as alert from s union all select user_id, ts as since, 'DEAD' as alert from b where state = 'DEAD' and before is distinct from 'DEAD'""",
+)
+def k6s(t):
+    state = F.when(F.col("event_type").isin("click", "view"), "PROVISIONING").when(F.col("event_type") == "error", "DEAD").otherwise("ACTIVE")
+    rows = stream(t, "events").select("user_id", "event_id", "ts", state.alias("state"))
+    return drained(t, J.age_stream(rows, "user_id", "state", "ts", "event_id"), "k6")
+
+
 @query(
     "k7_running_gate",
     """, p as (select user_id, avg(value) as m, var_samp(value) as s, count(*) as n from events group by 1), g as (select count(*) as n_cohorts, avg(s) filter (n >= 2) as w, var_samp(m) as b from p)

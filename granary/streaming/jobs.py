@@ -133,6 +133,43 @@ def age_alert(rows: DataFrame, state: str, ts: str, now: Column, minutes: int =
     return rows.withColumns({"age_minutes": age, "alert": status})
 
 
+def age_stream(stream: DataFrame, key: str, state: str, ts: str, tie: str, minutes: int = 8, lateness: str = "0 seconds", terminal: tuple[str, ...] = ("DEAD",)) -> DataFrame:
+    """The age alert on a stream: key, since (when its state began) and alert, each told once.
+
+    STUCK comes when a key has been provisioning for longer than the limit, by its own next row or by a
+    timer on the watermark if it falls silent; DEAD comes when it enters a terminal state.
+    """
+    limit = minutes * 60_000_000
+
+    def step(k, frames, kept):
+        since, told, dead = kept.get if kept.exists else (-1, False, False)
+        out = []
+        if kept.hasTimedOut:
+            out.append((since, "STUCK"))
+            told = True
+        else:
+            rows = pd.concat(list(frames)).sort_values(["_at", tie])
+            for at, now in zip(rows["_at"].tolist(), rows[state]):
+                if since >= 0 and not told and at > since + limit:
+                    out.append((since, "STUCK"))
+                    told = True
+                if now == "PROVISIONING":
+                    since, told = (at, False) if since < 0 else (since, told)
+                else:
+                    since, told = -1, False
+                if now in terminal and not dead:
+                    out.append((at, "DEAD"))
+                dead = now in terminal
+        kept.update((int(since), bool(told), bool(dead)))
+        if since >= 0 and not told:
+            kept.setTimeoutTimestamp(int(max((since + limit) // 1000 + 1, kept.getCurrentWatermarkMs() + 1)))
+        yield pd.DataFrame({key: [k[0]] * len(out), "since": [int(a) for a, _ in out], "alert": [b for _, b in out]})
+
+    rows = stream.withWatermark(ts, lateness).select(key, state, tie, ts, F.unix_micros(ts).alias("_at"))
+    found = rows.groupBy(key).applyInPandasWithState(step, f"{key} {dict(stream.dtypes)[key]}, since long, alert string", "since long, told boolean, dead boolean", "append", "EventTimeTimeout")
+    return found.withColumn("since", F.timestamp_micros("since"))
+
+
 def merge_cohort_sums(table: DataFrame, batch: DataFrame, cohort: str, value: str) -> DataFrame:
     """n, sum and sum of squares of each cohort, old and new together."""
     new = batch.groupBy(cohort).agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"))

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-NAMES = "gate_report a7_export_nested b4_normalize_answer b9_shuffle_choices c4_passband_cohorts c6_label_noise_cohorts d4_summarize_rollouts d17_policy_loss e3_target f4_zscore_by_group g5_oof_single h10_selection_lift i6_seed_projection j6_rows_by_step k3_stall_batch".split()
+NAMES = "gate_report a7_export_nested b4_normalize_answer b9_shuffle_choices c4_passband_cohorts c6_label_noise_cohorts d4_summarize_rollouts d17_policy_loss e3_target f4_zscore_by_group g5_oof_single h10_selection_lift i6_seed_projection j6_rows_by_step k3_stall_batch k3_best_pod k6_age_stream".split()
 
 
 @pytest.fixture(scope="module")
