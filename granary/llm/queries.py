@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .alignment import align
 from .bpe import digests
 from .knn_join import top_k
+from .markov_model import markov_scores
 from .packing import pack
 from .quality_rules import BULLET, ELLIPSIS, LETTER, RULES, STOP_WORDS, judge_quality
+from .resampling import resample
 from .sharding import shard_documents
 from .simhash import near_duplicates
 from .suffix_dedup import byte_digests
@@ -119,6 +122,18 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(_table(spark, sf_dir, "documents"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(_table(spark, sf_dir, "documents"))
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markov_scores(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -137,6 +152,9 @@ def queries() -> dict:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_token_counts": op9_token_counts,
         "op10_url_filters": op10_url_filters,
+        "op11_resampling": op11_resampling,
+        "op12_alignment": op12_alignment,
+        "op13_lm_scoring": op13_lm_scoring,
         "pipeline": pipeline,
     }
 
