@@ -108,13 +108,22 @@ def parse_choices(text) -> Column:
     return F.when(t.rlike(rf"(?s)^\[\s*(?:{_QUOTED}\s*(?:,\s*{_QUOTED}\s*)*,?\s*)?\]$"), F.transform(parts, plain))
 
 
-def choice_index(choices, gold) -> Column:
-    """The index of the right choice, given as a number from 0, a letter, or the text of a choice (the first equal one)."""
+def choice_index(choices, gold, form: str) -> Column:
+    """The index of the right choice; null if there is none.
+
+    form: how the source states it. index: a number from 0; letter: A, B, ... in either case; text: the text
+    of a choice (the first equal one). The forms are never guessed from the value, as a choice may read "1" or "A".
+    """
     g, c = strip(col(gold).cast("string")), col(choices)
-    by_text = F.array_position(F.transform(c, strip), g) - 1
-    by_letter = F.when(g.rlike("^[A-Da-d]$"), F.ascii(F.upper(g)) - F.ascii(F.lit("A")))
-    by_number = F.when(g.rlike("^[0-9]$"), g.try_cast("int"))
-    return F.when(by_text >= 0, by_text).otherwise(F.coalesce(by_letter, by_number)).cast("int")
+    if form == "index":
+        at = F.when(g.rlike("^[0-9]{1,9}$"), g.try_cast("int"))
+    elif form == "letter":
+        at = F.when(g.rlike("^[A-Za-z]$"), F.ascii(F.upper(g)) - F.ascii(F.lit("A")))
+    elif form == "text":
+        at = F.array_position(F.transform(c, strip), F.nullif(g, F.lit(""))) - 1
+    else:
+        raise ValueError(f"unknown form {form!r}: index, letter or text")
+    return F.when((at >= 0) & (at < F.size(c)), at).cast("int")
 
 
 def chat_messages(system: str, user) -> Column:

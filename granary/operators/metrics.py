@@ -4,12 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from granary.functions.digests import md5_heads
 from granary.functions.exprs import FLAT, LARGE_GROUP, erfc, pearson, ratio, row_numbers, with_group_size
-from granary.sources.scratch import stored
 
 
 def ranked(df: DataFrame, keys: list[str], columns: list[str], tie: str = "id", ties: str = "order", large: int = LARGE_GROUP) -> DataFrame:
@@ -190,57 +187,6 @@ def top1_regret(df: DataFrame, group: str = "grp") -> DataFrame:
     return own.agg(F.avg("regret").alias("top1_regret"), F.count(F.lit(1)).alias("n_groups"))
 
 
-#: Draws that one row of the plan stands for, and numbered rows that are broadcast to the draws instead of shuffling those.
-DRAWS, MAX_BROADCAST = 1 << 16, 1_000_000
-
-
-def _drawn(batches):
-    """Rows (_key, rep, _i), one for each draw, of rows (_key, rep, _n, _first, _end, _text): the row's number that each draw takes."""
-    for batch in batches:
-        for key, rep, n, first, end, text in zip(*(c.to_pylist() for c in batch.columns)):
-            picks = md5_heads(text.encode(), first, end).astype(np.int64) % n
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(picks), key)), pa.array(np.full(len(picks), rep, np.int32)), pa.array(picks)], names=["_key", "rep", "_i"])
-
-
-def bootstrap(df: DataFrame, keys: list[str], value: str, replicates: int, seed: int = 0, tie: str = "id", alpha: float = 0.05) -> DataFrame:
-    """Percentile interval of the mean by resampling with replacement within keys.
-
-    Draw i of a replicate takes row md5(seed, keys, replicate, i) modulo n, so it is the same in any engine
-    and partitioning. Rows are numbered within keys; draws, dealt in blocks of DRAWS, join them on keys and number.
-    """
-    df = stored(df.select(*keys, tie, value), "bootstrap")  # sizes and numbers read it
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = stored(sizes.withColumn("_key", F.monotonically_increasing_id()), "bootstrap-keys")
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    own = sizes.select("_key", *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)))
-    numbered = row_numbers(df, keys, {"_i": (tie, False)}, tie).join(own, same).select("_key", (F.col("_i") - 1).cast("long").alias("_i"), value)
-    if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
-        numbered = F.broadcast(numbered)  # some 24 bytes a row
-    text = F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys), F.col("rep").cast("string"), F.lit(""))
-    blocks = F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(DRAWS).cast("long"))
-    dealt = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).select("_key", "rep", "_n", F.explode(blocks).alias("_first"), text.alias("_text"))
-    dealt = dealt.select("_key", "rep", "_n", "_first", F.least("_n", F.col("_first") + DRAWS).alias("_end"), "_text")
-    parts = 4 * df.sparkSession.sparkContext.defaultParallelism
-    draws = dealt.repartition(parts, "_key", "rep", "_first").mapInArrow(_drawn, "_key long, rep int, _i long")
-    means = draws.join(numbered, ["_key", "_i"]).groupBy("_key", "rep").agg(F.avg(value).alias("m"))
-    low, high = F.percentile("m", F.lit(alpha / 2)), F.percentile("m", F.lit(1 - alpha / 2))
-    out = means.groupBy("_key").agg(low.alias("low"), high.alias("high"), F.count(F.lit(1)).alias("replicates"))
-    return out.join(sizes, "_key").select(*keys, "low", "high", "replicates")
-
-
-def poisson_bootstrap(df: DataFrame, keys: list[str], value: str, replicates: int, seed: int = 0, tie: str = "id") -> DataFrame:
-    """The same interval in one pass for large groups: each row weighs Poisson(1) in each replicate, from its hash."""
-    # Cumulative probabilities of a Poisson variable of mean 1, for counts 0 to 6.
-    steps = (0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406, 0.999917)
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("rep"), F.col(tie)), F.lit(1 << 30)) / float(1 << 30)).cast("double")
-    weight = sum(((u >= s).cast("int") for s in steps), F.lit(0))
-    rows = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_w", weight)
-    means = rows.groupBy(*keys, "rep").agg(ratio(F.sum(F.col("_w") * F.col(value)), F.sum("_w")).alias("m"))
-    return means.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
-
-
 def direction_columns(eps: float = 0.0, p: str = "pred", y: str = "truth") -> list[Column]:
     up, said = F.col(y) > eps, F.col(p) > eps
     rate = lambda a, b: ratio(F.count_if(a), F.count_if(b))

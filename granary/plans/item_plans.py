@@ -98,15 +98,23 @@ def mcq(t):
     return t["documents"].select("doc_id", F.concat(F.lit("Q"), F.col("doc_id").cast("string")).alias("question"), choices.alias("choices"), (F.col("n_chars") % 5).cast("int").alias("gold"))
 
 
+# choices that read like indexes and letters of others: only the form says which one is meant
+NUMERIC = """, q as (select doc_id, [cast(3 - doc_id % 4 as varchar), substr('BADC', cast(doc_id % 4 as int) + 1, 1), lang, concat(' ', source)][1:cast(2 + doc_id % 3 as int)] as choices, cast(n_chars % 5 as int) as i from documents)"""
+
+
 @query(
     "b8_choice_index",
-    MC + """, k as (select doc_id, choices, gold, case doc_id % 3 when 0 then cast(gold as varchar) when 1 then substr('ABCDE', gold + 1, 1) else choices[gold + 1] end as g from q)
-select doc_id, cast(case when g is null then null when list_position(choices, g) > 0 then list_position(choices, g) - 1 when g in ('A', 'B', 'C', 'D', '0', '1', '2', '3', '4') then gold end as int) as gold from k""",
+    NUMERIC + """ select doc_id, case when i < len(choices) then i end as by_index, case when i < len(choices) then i end as by_letter,
+  cast(list_position(list_transform(choices, lambda x: trim(x)), trim(case when i < len(choices) then choices[i + 1] else 'none' end)) - 1 as int) as by_text from q""",
 )
 def b8_gold(t):
-    gold, kind = F.col("gold"), F.col("doc_id") % 3
-    given = F.when(kind == 0, gold.cast("string")).when(kind == 1, F.substring(F.lit("ABCDE"), gold + 1, F.lit(1))).otherwise(F.try_element_at("choices", gold + 1))
-    return mcq(t).select("doc_id", I.choice_index("choices", given).alias("gold"))
+    at, k = F.col("at"), F.col("doc_id") % 4
+    choices = F.slice(F.array((3 - k).cast("string"), F.substring(F.lit("BADC"), k.cast("int") + 1, F.lit(1)), "lang", F.concat(F.lit(" "), "source")), F.lit(1), (2 + F.col("doc_id") % 3).cast("int"))
+    rows = t["documents"].withColumn("at", (F.col("n_chars") % 5).cast("int")).withColumn("choices", choices)
+    text = F.coalesce(F.get("choices", at), F.lit("none"))
+    return rows.select(
+        "doc_id", I.choice_index("choices", at, "index").alias("by_index"), I.choice_index("choices", F.concat(F.lit(" "), F.substring(F.lit("AbCdE"), at + 1, F.lit(1))), "letter").alias("by_letter"), I.choice_index("choices", text, "text").alias("by_text")
+    )
 
 
 @query(

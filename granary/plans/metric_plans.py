@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from granary.functions.exprs import pearson, r9, ratio
-from granary.operators import metrics as M
+from granary.operators import bootstrap as B, metrics as M
 
 from .base import query
 
@@ -97,34 +97,69 @@ def h10(t):
     return out.select(*(r9(c).alias(c) for c in out.columns))
 
 
-BOOT = """, b as (select p.*, d.domain from v_predictions p join v_labels d on p.id = d.row_id),
-num as (select domain, v, row_number() over (partition by domain order by id) - 1 as i from (select domain, id, {v} as v from b)),
-sz as (select domain, count(*) as n, max(i) as z from num group by 1), dr as (select domain, n, rep, unnest(range(0, n)) as d from sz, range(0, 2000) r(rep)),
-pk as (select domain, rep, cast(concat('0x', substr(md5(concat('7:', domain, ':', rep, ':', d)), 1, 8)) as bigint) % n as i from dr),
-mm as (select pk.domain, rep, avg(v) as m from pk join num on pk.domain = num.domain and pk.i = num.i group by 1, 2)
-select domain, round(quantile_cont(m, 0.025), 9) as low, round(quantile_cont(m, 0.975), 9) as high, count(*) as replicates from mm group by 1"""
+# a row's weight in a replicate: its number and the replicate's, mixed, then steps of the Poisson distribution
+_MIXED = "((xor({x}, {x} >> 16)) * 73244475) % 4294967296"
+_STEPS = " ".join(f"when u < {step} then {k}" for k, step in enumerate(B.STEPS))
+WEIGHTED = f""", r0 as (select domain, v, cast(concat('0x', substr(md5(concat('7:', domain, ':', id)), 1, 8)) as bigint) as num from b),
+r1 as (select domain, v, rep, {_MIXED.format(x="((num + rep * 2654435769) % 4294967296)")} as x from r0, range(0, 2000) q(rep)),
+r2 as (select domain, v, rep, ({_MIXED.format(x="x")}) >> 16 as u from r1), w as (select domain, v, rep, case {_STEPS} else {len(B.STEPS)} end as w from r2)"""
+BY_DOMAIN = ", b as (select p.*, d.domain, {v} as v from v_predictions p join v_labels d on p.id = d.row_id)"
+
+
+def _interval(out):
+    return out.select("domain", "n", *(r9(c).alias(c) for c in ("point", "low", "high")), "replicates")
 
 
 def _boot_rows(t):
     return t.predictions.join(t.labels.select(F.col("row_id").alias("id"), "domain"), "id")
 
 
-@query("h11_bootstrap_ci", BOOT.format(v="truth"), ("v_labels", "v_predictions"))
+def _interval_sql(stat: str, point: str) -> str:
+    return f"{stat}, pt as (select domain, count(*) as n, {point} as point from b group by 1) select domain, any_value(n) as n, round(any_value(point), 9) as point, round(quantile_cont(m, 0.025), 9) as low, round(quantile_cont(m, 0.975), 9) as high, count(*) as replicates from mm join pt using (domain) group by 1"
+
+
+MEANS = ", mm as (select domain, rep, sum(w * v) / sum(w) as m from w group by 1, 2)"
+MEDIANS = """, cu as (select domain, rep, v, sum(w) over (partition by domain, rep order by v) as upto, sum(w) over (partition by domain, rep) as total from w where w > 0),
+mm as (select domain, rep, (min(v) filter (upto > floor((total - 1) / 2.0)) + min(v) filter (upto > ceil((total - 1) / 2.0))) / 2 as m from cu group by 1, 2)"""
+
+
+@query("h11_bootstrap_ci", BY_DOMAIN.format(v="truth") + WEIGHTED + _interval_sql(MEANS, "avg(v)"), ("v_labels", "v_predictions"))
 def h11(t):
-    out = M.bootstrap(_boot_rows(t), ["domain"], "truth", 2000, 7)
-    return out.select("domain", r9("low").alias("low"), r9("high").alias("high"), "replicates")
+    return _interval(B.bootstrap_ci(_boot_rows(t), ["domain"], ["truth"], "mean", seed=7))
 
 
-@query("h12_paired_bootstrap_ci", BOOT.format(v="truth - pred"), ("v_labels", "v_predictions"))
+@query("h11_bootstrap_median", BY_DOMAIN.format(v="truth") + WEIGHTED + _interval_sql(MEDIANS, "median(v)"), ("v_labels", "v_predictions"))
+def h11m(t):
+    return _interval(B.bootstrap_ci(_boot_rows(t), ["domain"], ["truth"], "median", seed=7))
+
+
+@query(
+    "h12_paired_bootstrap_ci",
+    """, g as (select p.*, d.domain, row_number() over (partition by d.domain, grp order by pred desc, id desc) as rn, count(*) over (partition by d.domain, grp) as size from v_predictions p join v_labels d on p.id = d.row_id),
+b as (select domain, grp as id, avg(truth) filter (rn <= greatest(1, round_even(size * 0.25, 0))) - avg(truth) as v from g group by 1, 2)"""
+    + WEIGHTED
+    + _interval_sql(MEANS, "avg(v)"),
+    ("v_labels", "v_predictions"),
+)
 def h12(t):
-    rows = _boot_rows(t).withColumn("d", F.col("truth") - F.col("pred"))
-    out = M.bootstrap(rows, ["domain"], "d", 2000, 7)
-    return out.select("domain", r9("low").alias("low"), r9("high").alias("high"), "replicates")
+    """What picking each candidate's best quarter by prediction gains over picking at random, paired by candidate."""
+    rows = _boot_rows(t)
+    picked = M.top_picks(rows, ["domain", "grp"], 0.25).groupBy("domain", "grp").agg(F.avg("truth").alias("lift"))
+    chance = rows.groupBy("domain", "grp").agg(F.avg("truth").alias("lift"))
+    return _interval(B.paired_bootstrap_ci(picked, chance, ["domain"], "grp", "lift", seed=7))
 
 
-@query("h11_poisson_bootstrap")
+@query(
+    "h11_poisson_bootstrap",
+    BY_DOMAIN.format(v="truth") + """, pc as (select domain, id, pred as px, truth as py from b)""" + WEIGHTED.replace("domain, v, ", "domain, px, py, ").replace("from b)", "from pc)")
+    + """, ss as (select domain, rep, sum(w)::double as n, sum(w * px) as sx, sum(w * py) as sy, sum(w * px * px) as sxx, sum(w * py * py) as syy, sum(w * px * py) as sxy from w group by 1, 2),
+mm as (select domain, rep, (sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)) as m from ss)"""
+    + _interval_sql("", "corr(pred, truth)"),
+    ("v_labels", "v_predictions"),
+)
 def h11p(t):
-    return M.poisson_bootstrap(t.predictions.join(t.labels.select(F.col("row_id").alias("id"), "domain"), "id"), ["domain"], "truth", 100, 7)
+    """Of a statistic of two columns: the correlation of prediction and truth."""
+    return _interval(B.bootstrap_ci(_boot_rows(t), ["domain"], ["pred", "truth"], "pearson", seed=7))
 
 
 @query(

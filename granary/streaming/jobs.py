@@ -2,84 +2,175 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
-from granary.functions.exprs import clean
+from granary.functions.exprs import LARGE_GROUP, clean
+from granary.functions.scans import running
 
 
-def run_available(stream: DataFrame, checkpoint: str, sink: str | None = None, each: Callable | None = None, mode: str = "append") -> None:
-    """Processes all that is there now, into a Parquet sink or a function of (batch, number), and ends."""
+class Totals(StreamingQueryListener):
+    """What one query has read and what its watermark has dropped, from its progress reports."""
+
+    def __init__(self):
+        self.rows = self.late = 0
+        self.query, self.ended = None, threading.Event()
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        if self.query in (None, str(event.progress.id)):
+            self.rows += event.progress.numInputRows
+            self.late += sum(s.numRowsDroppedByWatermark for s in event.progress.stateOperators)
+
+    def onQueryTerminated(self, event):
+        if self.query in (None, str(event.id)):
+            self.ended.set()
+
+
+@contextmanager
+def own_state_store(spark):
+    """Queries that start inside keep their state in RocksDB, which timers and typed state need; the session's setting comes back."""
+    name, own = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, own)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def run_available(stream: DataFrame, checkpoint: str, sink: str | None = None, each: Callable | None = None, mode: str = "append") -> Totals:
+    """Processes all that is there now, into a Parquet sink or a function of (batch, number), and ends: rows read and rows dropped as late."""
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     w = w.foreachBatch(each) if each else w.format("parquet").option("path", sink)
-    w.start().awaitTermination()
+    streams, totals = stream.sparkSession.streams, Totals()
+    streams.addListener(totals)
+    try:
+        with own_state_store(stream.sparkSession):
+            q = w.start()
+        totals.query = str(q.id)
+        q.awaitTermination()
+        totals.ended.wait(60)
+    finally:
+        streams.removeListener(totals)
+    return totals
 
 
 def ingest(stream: DataFrame, keys: list[str], ts: str, lateness: str) -> DataFrame:
-    """Exactly one row for each key among rows within the lateness of each other."""
+    """Exactly one row for each key among rows within the lateness of each other; a key's state goes when the watermark has passed it."""
     return stream.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(keys)
 
 
+def append_once(path: str) -> Callable:
+    """A foreachBatch function whose rows lie under their batch's number: a batch that is replayed after a failure replaces itself."""
+    return keep_state(path)
+
+
 def progress(rows: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
     """Rows so far and the latest state of each key; the same for a stream and a table."""
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("labels_done"), F.max(F.struct(ts, tie)).alias("latest"))
 
 
-def best_of_tick(rows: DataFrame, keys: list[str], pod: str, count: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The pod with the most labels at each tick of a domain, ties to the smaller name, unknown counts last; the same for a stream and a table."""
-    columns = [pod, count, *keep]
-    best = F.min_by(F.struct(*columns), F.struct(F.col(count).isNull().alias("unknown"), (-F.col(count)).alias("most"), F.col(pod).alias("tie")))
-    return rows.groupBy(*keys).agg(best.alias("_best")).select(*keys, *(F.col("_best")[c].alias(c) for c in columns))
+ALIVE, TERMINAL = ("ACTIVE", "PROVISIONING"), ("TERMINATED", "ERROR", "FAILED", "CANCELLED")
+#: Ticks without growth until a count stalls, until none at all is stuck, and labels of a finished domain.
+FLAT, STUCK, DONE = 4, 12, 240
 
 
-def stall_status(ticks: DataFrame, key: str, order: list[str], count: str, flat_limit: int = 4, stuck_limit: int = 12, done: int = 240, alive: Column | None = None) -> DataFrame:
-    """Batch twin of the stall detector: `flat` ticks since the count last grew, and a status."""
-    w = W.partitionBy(key).orderBy(*order)
-    grew = F.col(count) > F.coalesce(F.lag(count).over(w), F.lit(0))
-    rows = ticks.withColumns({"_grew": grew.cast("int"), "tick": F.row_number().over(w)})
-    rows = rows.withColumn("_island", F.sum("_grew").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    inside = W.partitionBy(key, "_island").orderBy(*order)
-    flat = F.row_number().over(inside) - F.when(F.col("_island") > 0, 1).otherwise(0)
-    return rows.withColumn("flat", flat).withColumn("status", _status(F.col(count), F.col("flat"), flat_limit, stuck_limit, done, alive)).drop("_grew", "_island")
+def seen_labels(state: Column, count: Column) -> Column:
+    """Labels that a pod shows: its count while ACTIVE, none yet while PROVISIONING; -1 where it can't be asked."""
+    return F.when(state == "ACTIVE", F.coalesce(count.cast("long"), F.lit(-1))).when(state == "PROVISIONING", 0).otherwise(-1)
 
 
-def _status(n: Column, flat: Column, flat_limit: int, stuck_limit: int, done: int, alive: Column | None) -> Column:
-    down = F.lit(False) if alive is None else ~alive
-    return F.when(down, "DOWN").when(n >= done, "DONE").when((n > 0) & (flat >= flat_limit), "STALL").when((n == 0) & (flat >= stuck_limit), "STUCK").otherwise("OK")
+def best_of_tick(rows: DataFrame, keys: list[str | Column], pod: str, state: str, count: str, tie: tuple[str, ...] = ()) -> DataFrame:
+    """keys, pod, n, alive and active: the pod that shows the most labels at each tick of a domain, ties to the smaller name.
 
-
-def transitions(status: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Only the ticks at which the status changes."""
-    before = F.lag("status").over(W.partitionBy(key).orderBy(*order))
-    return status.withColumn("before", before).filter(~F.col("before").eqNullSafe(F.col("status")))
+    alive: any pod of the tick is ACTIVE or PROVISIONING; active: the best one is ACTIVE. The same for a stream and a table.
+    """
+    own = rows.withColumn("_n", seen_labels(F.col(state), F.col(count)))
+    best = F.min_by(F.struct(F.col(pod).alias("pod"), F.col("_n").alias("n"), (F.col(state) == "ACTIVE").alias("active")), F.struct((-F.col("_n")).alias("most"), *(F.col(c) for c in (pod, *tie))))
+    out = own.groupBy(*keys).agg(best.alias("_best"), F.coalesce(F.bool_or(F.col(state).isin(*ALIVE)), F.lit(False)).alias("alive"))
+    kept = [c for c in out.columns if c not in ("_best", "alive")]
+    return out.select(*kept, F.col("_best.pod").alias("pod"), F.col("_best.n").alias("n"), "alive", F.coalesce("_best.active", F.lit(False)).alias("active"))
 
 
-def stall_stream(stream: DataFrame, key: str, ts: str, tie: str, grows: str, flat_limit: int = 4, stuck_limit: int = 12, done: int = 240, alive: str | None = None, changes: bool = False) -> DataFrame:
-    """The stall detector on a stream: state of a key is (count, flat, status). Rows of a micro-batch are taken in event order.
+def stall_status(ticks: DataFrame, key: str, order: list[str], flat_limit: int = FLAT, stuck_limit: int = STUCK, done: int = DONE, block: int = LARGE_GROUP) -> DataFrame:
+    """Batch twin of the stall detector, on rows of key, order, n, alive and active: `flat`, `status` and `done`.
 
-    alive: a boolean column; DOWN while it is false. changes: only the ticks at which the status changes
-    come out, with the status before, so DONE is told once.
+    flat: ticks since the labels last grew or the domain was down, from a count of -1 before the first tick. DOWN while
+    nothing is alive; STALL with some labels and flat_limit flat ticks; STUCK if ACTIVE without a label for
+    stuck_limit flat ticks. done marks the ticks at which the labels reach the target, whatever the status. Ticks of one
+    domain spread over tasks in runs of `block`.
     """
+    rows = running(ticks, [key], order, {"_before": ("lag", "n"), "_tick": ("count", None)}, block)
+    reset = ~F.col("alive") | (F.col("n") > F.coalesce("_before", F.lit(-1)))
+    rows = rows.withColumns({"_reset": F.when(reset, F.col("_tick")), "_done": F.col("n") >= done, "_was": F.coalesce(F.col("_before") >= done, F.lit(False))})
+    rows = running(rows, [key], order, {"_last": ("max", "_reset")}, block)
+    flat = F.col("_tick") - F.coalesce("_last", F.lit(0))
+    status = F.when(~F.col("alive"), "DOWN").when((F.col("n") > 0) & (flat >= flat_limit), "STALL").when((F.col("n") == 0) & F.col("active") & (flat >= stuck_limit), "STUCK").otherwise("OK")
+    return rows.withColumns({"flat": flat, "status": status, "done": F.col("_done") & ~F.col("_was")}).drop("_before", "_tick", "_reset", "_done", "_was", "_last")
 
-    def step(k, frames, state):
-        n, flat, last = state.get if state.exists else (0, 0, None)
-        rows = pd.concat(list(frames)).sort_values([ts, tie])
-        out = []
-        for g, i, up in zip(rows[grows], rows[tie], rows[alive] if alive else [True] * len(rows)):
-            n, flat = (n + 1, 0) if g else (n, flat + 1)
-            status = "DOWN" if not up else "DONE" if n >= done else "STALL" if n > 0 and flat >= flat_limit else "STUCK" if n == 0 and flat >= stuck_limit else "OK"
-            if not changes or status != last:
-                out.append((k[0], i, n, flat, last, status))
-            last = status
-        state.update((n, flat, last))
-        yield pd.DataFrame(out, columns=[key, tie, "n", "flat", "before", "status"])
 
+def transitions(status: DataFrame, key: str, order: list[str], block: int = LARGE_GROUP) -> DataFrame:
+    """The ticks at which the status changes or the target is reached, with the status before."""
+    before = running(status, [key], order, {"before": ("lag", "status")}, block)
+    return before.filter(~F.col("before").eqNullSafe(F.col("status")) | F.col("done"))
+
+
+class _Stalls(StatefulProcessor):
+    """State of a domain: labels, flat ticks, last status."""
+
+    def __init__(self, key: str, tick: str, limits: tuple[int, int, int], changes: bool):
+        self.key, self.tick, self.limits, self.changes = key, tick, limits, changes
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getValueState("domain", "n long, flat long, status string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        last, flat, status = self.kept.get() if self.kept.exists() else (-1, 0, None)
+        flat_limit, stuck_limit, done = self.limits
+        out = []
+        for r in pd.concat(list(rows)).sort_values(self.tick).itertuples(index=False):
+            flat = 0 if not r.alive or r.n > last else flat + 1
+            now = "DOWN" if not r.alive else "STALL" if r.n > 0 and flat >= flat_limit else "STUCK" if r.n == 0 and r.active and flat >= stuck_limit else "OK"
+            reached = bool(r.n >= done > last)
+            if not self.changes or now != status or reached:
+                out.append((key[0], getattr(r, self.tick), r.pod, r.n, flat, status, now, reached))
+            last, status = int(r.n), now
+        self.kept.update((last, int(flat), status))
+        if out:
+            yield pd.DataFrame(out, columns=[self.key, self.tick, "pod", "n", "flat", "before", "status", "done"])
+
+    def close(self) -> None:
+        pass
+
+
+def stall_stream(
+    stream: DataFrame, key: str, pod: str, state: str, count: str, ts: str, width: str, lateness: str, tie: tuple[str, ...] = (), flat_limit: int = FLAT, stuck_limit: int = STUCK, done: int = DONE, changes: bool = False
+) -> DataFrame:
+    """The stall detector on a stream of pods' reports, in two keyed levels.
+
+    Reports meet by domain and tick, a window of `width`, whose best pod is known once the watermark has passed it, so rows
+    that come late (up to `lateness`) or out of order change nothing. The domains' state then takes the finished ticks in their order, which
+    are one row each. changes: only ticks at which the status changes or the target is reached.
+    """
+    window = F.window(ts, width).alias("_window")
+    ticks = best_of_tick(stream.withWatermark(ts, lateness), [F.col(key), window], pod, state, count, tie)
+    ticks = ticks.select(key, F.col("_window.start").alias("tick"), "pod", "n", "alive", "active")
     kind = dict(stream.dtypes)
-    found = stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind[key]}, {tie} {kind[tie]}, n long, flat long, before string, status string", "n long, flat long, status string", "append", "NoTimeout")
-    return found if changes else found.drop("before")
+    schema = f"{key} {kind[key]}, tick timestamp, pod {kind[pod]}, n long, flat long, before string, status string, done boolean"
+    return ticks.groupBy(key).transformWithStateInPandas(_Stalls(key, "tick", (flat_limit, stuck_limit, done), changes), schema, "append", "None")
 
 
 def latest_state(spark, path: str) -> DataFrame:
@@ -126,50 +217,104 @@ def online_predictor(stream: DataFrame, key: str, order: str, features: list[str
     return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind[key]}, {order} {kind[order]}, pred double", "g array<double>", "append", "NoTimeout")
 
 
-def age_alert(rows: DataFrame, state: str, ts: str, now: Column, minutes: int = 8, terminal: tuple[str, ...] = ("DEAD",)) -> DataFrame:
+def age_alert(rows: DataFrame, state: str, ts: str, now: Column, minutes: int = 8, terminal: tuple[str, ...] = TERMINAL) -> DataFrame:
     """STUCK when provisioning for longer than the limit; terminal states are DEAD."""
     age = (F.unix_micros(now) - F.unix_micros(F.col(ts))) / 60e6
     status = F.when(F.col(state).isin(*terminal), "DEAD").when((F.col(state) == "PROVISIONING") & (age > minutes), "STUCK").otherwise("OK")
     return rows.withColumns({"age_minutes": age, "alert": status})
 
 
-def age_stream(stream: DataFrame, key: str, state: str, ts: str, tie: str, minutes: int = 8, lateness: str = "0 seconds", terminal: tuple[str, ...] = ("DEAD",)) -> DataFrame:
-    """The age alert on a stream: key, since (when its state began) and alert, each told once.
+class _Ages(StatefulProcessor):
+    """State of a pod: since when it has been provisioning (-1: it is not), whether that was told, whether it is dead."""
 
-    STUCK comes when a key has been provisioning for longer than the limit, by its own next row or by a
-    timer on the watermark if it falls silent; DEAD comes when it enters a terminal state.
-    """
-    limit = minutes * 60_000_000
+    def __init__(self, key: str, state: str, tie: str, limit: int, terminal: tuple[str, ...], clock: bool):
+        self.key, self.state, self.tie, self.limit, self.terminal, self.clock = key, state, tie, limit, terminal, clock
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.kept = handle, handle.getValueState("pod", "since long, told boolean, dead boolean")
+
+    def _now(self, timers) -> int:
+        """Milliseconds of the clock, or of the watermark."""
+        return timers.getCurrentProcessingTimeInMs() if self.clock else timers.getCurrentWatermarkInMs()
 
-    def step(k, frames, kept):
-        since, told, dead = kept.get if kept.exists else (-1, False, False)
+    def _frame(self, key, out) -> pd.DataFrame:
+        return pd.DataFrame({self.key: [key[0]] * len(out), "since": [int(a) for a, _ in out], "alert": [b for _, b in out]})
+
+    def handleInputRows(self, key, rows, timerValues):
+        since, told, dead = self.kept.get() if self.kept.exists() else (-1, False, False)
         out = []
-        if kept.hasTimedOut:
-            out.append((since, "STUCK"))
-            told = True
-        else:
-            rows = pd.concat(list(frames)).sort_values(["_at", tie])
-            for at, now in zip(rows["_at"].tolist(), rows[state]):
-                if since >= 0 and not told and at > since + limit:
-                    out.append((since, "STUCK"))
-                    told = True
-                if now == "PROVISIONING":
-                    since, told = (at, False) if since < 0 else (since, told)
-                else:
-                    since, told = -1, False
-                if now in terminal and not dead:
-                    out.append((at, "DEAD"))
-                dead = now in terminal
-        kept.update((int(since), bool(told), bool(dead)))
+        frame = pd.concat(list(rows)).sort_values(["at_micros", self.tie])
+        for at, now in zip(frame["at_micros"].tolist(), frame[self.state]):
+            if since >= 0 and not told and at > since + self.limit:
+                out.append((since, "STUCK"))
+                told = True
+            if now == "PROVISIONING":
+                since, told = (at, False) if since < 0 else (since, told)
+            else:
+                since, told = -1, False
+            if now in self.terminal and not dead:
+                out.append((at, "DEAD"))
+            dead = now in self.terminal
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
         if since >= 0 and not told:
-            kept.setTimeoutTimestamp(int(max((since + limit) // 1000 + 1, kept.getCurrentWatermarkMs() + 1)))
-        yield pd.DataFrame({key: [k[0]] * len(out), "since": [int(a) for a, _ in out], "alert": [b for _, b in out]})
+            due, passed = (since + self.limit) // 1000 + 1, self._now(timerValues)
+            if self.clock and due <= passed:
+                out.append((since, "STUCK"))
+                told = True
+            else:
+                self.handle.registerTimer(max(due, passed + 1))
+        self.kept.update((int(since), bool(told), bool(dead)))
+        if out:  # an empty frame of texts can't be sent on
+            yield self._frame(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        since, told, dead = self.kept.get()
+        out = [(since, "STUCK")] if since >= 0 and not told else []
+        self.kept.update((since, True, dead))
+        if out:  # an empty frame of texts can't be sent on
+            yield self._frame(key, out)
+
+    def close(self) -> None:
+        pass
 
-    rows = stream.withWatermark(ts, lateness).select(key, state, tie, ts, F.unix_micros(ts).alias("_at"))
-    found = rows.groupBy(key).applyInPandasWithState(step, f"{key} {dict(stream.dtypes)[key]}, since long, alert string", "since long, told boolean, dead boolean", "append", "EventTimeTimeout")
+
+def age_stream(stream: DataFrame, key: str, state: str, ts: str, tie: str, minutes: float = 8, lateness: str = "0 seconds", terminal: tuple[str, ...] = TERMINAL, clock: bool = False) -> DataFrame:
+    """The age alert on a stream: key, since (when its state began) and alert, each told once.
+
+    STUCK comes when a key has been provisioning for longer than the limit, by its own next row or by a timer if it
+    falls silent: on the watermark, so that a restart tells the same alerts, or with clock=True on the wall clock, which needs
+    no other key's rows. DEAD comes when it enters a terminal state.
+    """
+    rows = stream.withWatermark(ts, lateness).select(key, state, tie, ts, F.unix_micros(ts).alias("at_micros"))
+    schema = f"{key} {dict(stream.dtypes)[key]}, since long, alert string"
+    found = rows.groupBy(key).transformWithStateInPandas(_Ages(key, state, tie, int(minutes * 60_000_000), terminal, clock), schema, "append", "ProcessingTime" if clock else "EventTime")
     return found.withColumn("since", F.timestamp_micros("since"))
 
 
+def watch_until_active(stream: DataFrame, key: str, state: str, ts: str, tie: str, checkpoint: str, seconds: float, every: str = "1 second") -> bool:
+    """Follows the latest state of every key and ends by itself once all are ACTIVE (true), or after so many seconds."""
+    done = threading.Event()
+
+    def look(batch: DataFrame, number: int) -> None:
+        one = batch.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("state") == "ACTIVE").alias("active")).first()
+        if one.n and one.n == one.active:
+            done.set()
+
+    latest = stream.groupBy(key).agg(F.max_by(state, F.struct(ts, tie)).alias("state"))
+    with own_state_store(stream.sparkSession):
+        q = latest.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(look).start()
+    try:
+        end = time.monotonic() + seconds
+        while not done.wait(0.1) and q.isActive and time.monotonic() < end:
+            pass
+        if q.exception():
+            raise q.exception()
+        return done.is_set()
+    finally:
+        q.stop()
+
+
 def merge_cohort_sums(table: DataFrame, batch: DataFrame, cohort: str, value: str) -> DataFrame:
     """n, sum and sum of squares of each cohort, old and new together."""
     new = batch.groupBy(cohort).agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"))
@@ -184,7 +329,17 @@ def gate_from_sums(sums: DataFrame, min_seeds: int = 2) -> DataFrame:
     return gate_columns(per.agg(F.count(F.lit(1)).alias("n_cohorts"), F.avg("v").alias("within"), F.var_samp("m").alias("between")))
 
 
-def label_rate(rows: DataFrame, ts: str, width: str, lateness: str | None = None) -> DataFrame:
-    """Rows in tumbling windows; with a lateness it may be a stream in append mode."""
+def label_rate(rows: DataFrame, ts: str, width: str, lateness: str | None = None, arrival: str | None = None, late: str = "1 minute") -> DataFrame:
+    """Rows and their total in tumbling windows of event time; with a lateness it may be a stream in append mode.
+
+    arrival: a column of when a row came; then also the median and the 95th percentile of its delay in seconds, and the
+    share of rows that came later than `late`, from a sketch that merges across tasks and micro-batches.
+    """
     source = rows.withWatermark(ts, lateness) if lateness else rows
-    return source.groupBy(F.window(ts, width).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum(clean("value")).alias("total")).select(F.col("w.start").alias("start"), "n", "total")
+    values = [F.count(F.lit(1)).alias("n"), F.sum(clean("value")).alias("total")]
+    if arrival:
+        delay = (F.unix_micros(F.col(arrival).cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))) / 1e6
+        values += [F.percentile_approx(delay, F.lit(p), F.lit(10_000)).alias(f"p{int(100 * p)}") for p in (0.5, 0.95)]
+        values.append(F.avg((F.col(arrival) > F.col(ts) + F.expr(f"interval {late}")).cast("double")).alias("late_share"))
+    out = source.groupBy(F.window(ts, width).alias("w")).agg(*values)
+    return out.select(F.col("w.start").alias("start"), *out.columns[1:])

@@ -1,52 +1,118 @@
-"""The bootstrap's draws against brute force, and its queries on whole tables."""
+"""Bootstrap intervals against brute force from the weights, and what they shuffle."""
 
 import hashlib
-import os
+import math
 
-import duckdb
 import numpy as np
 import pytest
+from granary.operators import bootstrap as B
+from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
-from granary.functions.digests import md5_heads
-from granary.operators import metrics as M
 
-SF = "/root/testdata/sf0.001"
+def weight(number: int, rep: int) -> int:
+    x = (number + rep * 0x9E3779B9) % 2**32
+    for _ in range(2):
+        x = (x ^ (x >> 16)) * 0x45D9F3B % 2**32
+    return sum(x >> 16 >= s for s in B.STEPS)
 
 
-def head(text: str) -> int:
-    return int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+def number(*parts) -> int:
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16)
 
 
-@pytest.mark.parametrize("prefix", ["", "7:a:0:", "7:BUILDING:1999:", "x" * 49, "x" * 54, "é" * 40])
-@pytest.mark.parametrize("first,end", [(0, 1), (0, 25), (95, 10_105), (65_536, 65_600)])
-def test_md5_heads(prefix, first, end):
-    assert md5_heads(prefix.encode(), first, end).tolist() == [head(f"{prefix}{i}") for i in range(first, end)]
+def replicates(rows, stat, reps, seed=7):
+    """stat of each replicate's list of resampled rows."""
+    own = [number(seed, g, i) for g, i, *_ in rows]
+    out = []
+    for r in range(reps):
+        picked = [row for row, n in zip(rows, own) for _ in range(weight(n, r))]
+        if picked:
+            out.append(stat(picked))
+    return out
 
 
-@pytest.mark.parametrize("broadcast,draws", [(1_000_000, 1 << 16), (0, 16)])
-def test_bootstrap_equals_brute_force(spark, monkeypatch, broadcast, draws):
-    monkeypatch.setattr(M, "MAX_BROADCAST", broadcast)
-    monkeypatch.setattr(M, "DRAWS", draws)
-    rng = np.random.default_rng(1)
-    rows = [("ab"[i % 3 == 0], i, float(rng.normal())) for i in range(120)] + [("c", 500, 2.5)]
-    got = {r.g: r for r in M.bootstrap(spark.createDataFrame(rows, "g string, id long, v double"), ["g"], "v", 50, 7).collect()}
+def table(spark, n=200, seed=1):
+    rng = np.random.default_rng(seed)
+    rows = [("ab"[i % 3 == 0], i, float(np.round(rng.normal(), 1)), float(rng.normal())) for i in range(n)] + [("c", 500, 2.5, 1.0), (None, 7, 1.0, 2.0), (None, 8, 3.0, 1.0)]
+    extra = [("a", 900, None, 1.0), ("a", 901, float("nan"), 1.0), ("b", 902, float("inf"), 2.0)]
+    return rows, spark.createDataFrame(rows + extra, "g string, id long, x double, y double").repartition(3)
+
+
+STATS = {
+    "mean": lambda r: np.mean([v[2] for v in r]),
+    "std": lambda r: np.std([v[2] for v in r]),
+    "sum": lambda r: np.sum([v[2] for v in r]),
+    "median": lambda r: np.median([v[2] for v in r]),
+    0.9: lambda r: np.quantile([v[2] for v in r], 0.9),
+    "ratio": lambda r: np.sum([v[2] for v in r]) / np.sum([v[3] for v in r]),
+    "pearson": lambda r: np.corrcoef([v[2] for v in r], [v[3] for v in r])[0, 1] if np.std([v[2] for v in r]) * np.std([v[3] for v in r]) > 1e-9 else 0.0,
+}
+
+
+def test_weights_are_those_of_the_rule():
+    rows = np.array([0, 1, 12345, 2**32 - 1])
+    assert B.weights(rows, 3, 40).tolist() == [[weight(int(n), r) for r in range(3, 40)] for n in rows]
+    many = B.weights(np.random.default_rng(2).integers(0, 2**32, 5000), 0, 200).astype(float)
+    assert abs(many.mean() - 1) < 0.01 and abs(many.var() - 1) < 0.01
+    assert abs(np.corrcoef(many[:, 0], many[:, 1])[0, 1]) < 0.05 and abs(np.corrcoef(many[0], many[1])[0, 1]) < 0.2
+
+
+@pytest.mark.parametrize("stat", STATS)
+def test_equals_brute_force(spark, stat):
+    rows, df = table(spark)
+    columns = ["x", "y"] if stat in ("ratio", "pearson") else ["x"]
+    got = {r.g: r for r in B.bootstrap_ci(df, ["g"], columns, stat, 60, 7).collect()}
+    assert set(got) == {"a", "b", "c", None}
     for g in "abc":
-        v = [x for k, _, x in rows if k == g]
-        means = [np.mean([v[head(f"7:{g}:{rep}:{i}") % len(v)] for i in range(len(v))]) for rep in range(50)]
-        assert np.allclose([got[g].low, got[g].high], np.quantile(means, [0.025, 0.975])) and got[g].replicates == 50
-
-
-@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["h11_bootstrap_ci", "h12_paired_bootstrap_ci"])
-def test_queries_use_all_rows_and_2000_replicates(spark, name):
-    """The registered SQL with its filter and its 40 replicates taken out."""
-    con = duckdb.connect()
-    for f in os.listdir(SF):
-        con.execute(f"create view {f.split('.')[0]} as select * from '{SF}/{f}'")
-    sql = entry.oracle_sql()[name].replace(" where p.id % 29 = 0", "").replace("range(0, 40)", "range(0, 2000)")
-    want = {r[0]: r[1:] for r in con.execute(sql).fetchall()}
-    got = {r.domain: (r.low, r.high, r.replicates) for r in entry.queries()[name](spark, SF).collect()}
-    assert got.keys() == want.keys() and len(got) == 5
-    for k in got:
-        assert np.allclose(got[k], want[k], rtol=0, atol=1e-8) and got[k][2] == 2000
+        own = [r for r in rows if r[0] == g]
+        want = replicates(own, STATS[stat], 60)
+        r = got[g]
+        assert r.n == len(own) and r.replicates == len(want)
+        assert np.allclose([r.point, r.low, r.high], [STATS[stat](own), *np.quantile(want, [0.025, 0.975])])
+
+
+@pytest.mark.parametrize("p", [0.5, 0.02])
+def test_windows_of_large_keys(spark, monkeypatch, p):
+    rows, df = table(spark, 3000)
+    whole = sorted(map(str, B.bootstrap_ci(df, ["g"], ["x"], p, 80, 7).collect()))
+    monkeypatch.setattr(B, "WHOLE", 10)
+    monkeypatch.setattr(B, "GRID", 64)
+    assert sorted(map(str, B.bootstrap_ci(df, ["g"], ["x"], p, 80, 7).collect())) == whole
+    # a window that is too narrow for some replicates is widened
+    narrow = []
+    settle = B.replicate_sums
+    monkeypatch.setattr(B, "replicate_sums", lambda *a: narrow.append(1) or settle(*a))
+    monkeypatch.setattr(B, "GRID", 4096)
+    monkeypatch.setattr(B.math, "sqrt", lambda x: 0.01 * x**0.5)
+    assert sorted(map(str, B.bootstrap_ci(df, ["g"], ["x"], p, 80, 7).collect())) == whole and len(narrow) > 1
+
+
+@pytest.mark.parametrize("stat", ["mean", "median"])
+def test_without_keys_and_empty(spark, stat):
+    rows, df = table(spark, 40)
+    (r,) = B.bootstrap_ci(df.filter("g = 'a'"), [], ["x"], stat, 30, 7).collect()
+    own = [r[2] for r in rows if r[0] == "a"]
+    assert r.n == len(own) and math.isclose(r.point, np.mean(own) if stat == "mean" else np.median(own)) and r.low <= r.point <= r.high
+    (r,) = B.bootstrap_ci(df.limit(0), [], ["x"], stat, 30, 7).collect()
+    assert (r.n, r.replicates) == (0, 0) and math.isnan(r.point) and math.isnan(r.low) and math.isnan(r.high)
+    assert B.bootstrap_ci(df.limit(0), ["g"], ["x"], stat, 30, 7).collect() == []
+
+
+def test_paired_arms(spark):
+    a = spark.createDataFrame([("d", i, float(i % 5)) for i in range(50)] + [("d", 70, None), ("e", 1, 2.0)], "k string, grp long, v double")
+    b = spark.createDataFrame([("d", i, float(i % 3)) for i in range(60)] + [("d", 70, 1.0)], "k string, grp long, v double")
+    rows = [("d", i, float(i % 5 - i % 3)) for i in range(50)]
+    (r,) = B.paired_bootstrap_ci(a, b, ["k"], "grp", "v", replicates=50, seed=3).collect()
+    want = replicates(rows, STATS["mean"], 50, 3)
+    assert (r.k, r.n) == ("d", 50) and np.allclose([r.point, r.low, r.high], [np.mean([x[2] for x in rows]), *np.quantile(want, [0.025, 0.975])])
+
+
+def test_shuffled_rows_do_not_grow(spark):
+    """A task hands on one row for each key and replicate, whatever it has read."""
+    for n in (1000, 100_000):
+        df = spark.range(n, numPartitions=4).select(F.lit("a").alias("g"), (F.col("id") * 7919).alias("num"), F.col("id").cast("double").alias("v"))
+        plan = B.replicate_sums(df, ["g"], "num", ["v"], 50)
+        before = plan._jdf.queryExecution().toString()
+        assert "MapInArrow" in before and "Join" not in before and "Generate" not in before
+        assert B._few_tasks(df).rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+        assert plan.count() == 51

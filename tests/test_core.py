@@ -145,8 +145,19 @@ def test_kept_state_goes_on_after_a_restart(spark, tmp_path):
 
 
 def test_best_pod_of_a_tick(spark):
-    rows = [("d", 1, "b", 3, True), ("d", 1, "a", 3, False), ("d", 1, "c", 2, True), ("d", 2, "c", 9, True), ("e", 1, "a", 0, True), ("e", 1, "b", None, True)]
-    df = spark.createDataFrame(rows, "domain string, tick int, pod string, n long, alive boolean")
-    got = {(r.domain, r.tick): (r.pod, r.n, r.alive) for r in J.best_of_tick(df, ["domain", "tick"], "pod", "n", ("alive",)).collect()}
-    assert got[("d", 1)] == ("a", 3, False) and got[("d", 2)] == ("c", 9, True)
-    assert got[("e", 1)] == ("a", 0, True)
+    rows = [("d", 1, "b", "ACTIVE", 3), ("d", 1, "a", "ACTIVE", 3), ("d", 1, "c", "TERMINATED", 9), ("d", 2, "c", "ACTIVE", 9), ("e", 1, "a", "PROVISIONING", 7), ("e", 1, "b", "ACTIVE", None), ("f", 1, "a", "ERROR", 5)]
+    df = spark.createDataFrame(rows, "domain string, tick int, pod string, state string, labels long")
+    got = {(r.domain, r.tick): (r.pod, r.n, r.alive, r.active) for r in J.best_of_tick(df, ["domain", "tick"], "pod", "state", "labels").collect()}
+    assert got["d", 1] == ("a", 3, True, True) and got["d", 2] == ("c", 9, True, True)
+    assert got["e", 1] == ("a", 0, True, False) and got["f", 1] == ("a", -1, False, False)
+
+
+def test_choice_index_is_read_by_its_form(spark):
+    """A choice that reads like an index or a letter of another is not mistaken for it."""
+    at = lambda choices, gold, form: values(spark.range(1), I.choice_index(F.array(*map(F.lit, choices)), F.lit(gold), form))
+    assert at(["1", "0"], 0, "index") == 0 and at(["1", "0"], "1", "index") == 1 and at(["1", "0"], "0", "text") == 1
+    assert at(["B", "A"], "A", "letter") == 0 and at(["B", "A"], " b ", "letter") == 1 and at(["B", "A"], "A", "text") == 1
+    assert at(["x", "y ", "y"], " y", "text") == 1
+    assert [at(["x", "y"], g, f) for g, f in ((2, "index"), (-1, "index"), ("C", "letter"), ("AB", "letter"), ("", "letter"), ("z", "text"), (None, "index"))] == [None] * 7
+    with pytest.raises(ValueError):
+        I.choice_index(F.array(F.lit("x")), F.lit(0), "guess")
