@@ -14,7 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from granary.functions.exprs import clean, row_numbers, shuffle_key, with_group_size
+from granary.functions.exprs import LARGE_GROUP, clean, row_numbers, shuffle_key, with_group_size
+from granary.functions.scans import in_ranges
 from granary.sources.scratch import stored
 
 #: Numbers that a task holds for sums or fits at once.
@@ -229,35 +230,60 @@ def few_shot(df: DataFrame, domain: str, key: str, ks: list[int], reps: int, fea
     return all_x.join(used, [domain, "rep", "k", key], "left_anti").select(*df.columns, "k", "rep", "pred")
 
 
-def _running(df: DataFrame, keys: list[str], order: list[str], p: int, extra: str, finish) -> DataFrame:
+def _running(df: DataFrame, keys: list[str], order: list[str], p: int, extra: str, finish, block: int = LARGE_GROUP) -> DataFrame:
     """finish(frame, inclusive, exclusive): columns of `extra` for rows of `df` (_x, _y) in their order within keys.
 
-    Rows are dealt by key and sorted; a task streams them some at a time, carrying the sums of the key
-    it is in, so that no key is held whole.
+    Rows are dealt by key and sorted; a task streams them some at a time, carrying the sums of the key it is in.
+    Keys of more than `block` rows are dealt in ranges of the order: the sums of the ranges before (an
+    array for each range, added up in a window of arrays) come first in each range, as a row of their own.
     """
+    ranges = in_ranges(df, keys, order, block)
+    ident = [*keys, *(c for c in order if c not in keys)]
+    deal = [*keys, "_part"]
+    if ranges is None:
+        rows = df.withColumns({"_part": F.lit(0), "_g": F.lit(None).cast("array<double>")})
+    else:
+
+        def before(k, f: pd.DataFrame) -> pd.DataFrame:
+            f = f.sort_values("_part")
+            own = np.array(f["g"].tolist())
+            upto = np.cumsum(own, axis=0) - own
+            return pd.DataFrame({**{c: [v] * len(f) for c, v in zip(keys, k)}, "_part": f["_part"].to_numpy(), "_g": upto.tolist()})
+
+        own = statistics(ranges, deal, p, "_y")
+        carried = own.groupBy(*keys).applyInPandas(before, ", ".join([*_ddl(df, keys), "_part int, _g array<double>"]))
+        rows = ranges.withColumn("_g", F.lit(None).cast("array<double>")).unionByName(carried, allowMissingColumns=True)
 
     def work(frames):
         last, carry, turn = None, np.zeros(width(p)), 0
         for whole in frames:
             for at in range(0, len(whole), max(1, HELD // width(p))):
                 f = whole.iloc[at : at + max(1, HELD // width(p))]
-                own = terms(_matrix(f["_x"], p), f["_y"].to_numpy(float))
-                ids = list(zip(*(f[k].tolist() for k in keys)))
-                starts = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)]
-                upto, before, t = np.empty_like(own), np.empty_like(own), np.empty(len(ids), np.int64)
+                ids = list(zip(*(f[k].tolist() for k in deal)))
+                heads = [i for i, g in enumerate(f["_g"]) if g is not None]
+                starts = sorted({0, *heads, *(h + 1 for h in heads), *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)})
+                x = np.array([[np.nan] * p if r is None else r for r in f["_x"]], dtype=float).reshape(len(f), p)
+                own = terms(x, f["_y"].to_numpy(float))
+                upto, before, t, kept = np.empty_like(own), np.empty_like(own), np.empty(len(ids), np.int64), np.ones(len(ids), bool)
                 for a, z in zip(starts, starts[1:]):
+                    g = f["_g"].iloc[a]
+                    if g is not None:  # what lies before this range
+                        last, carry, turn, kept[a] = ids[a], np.array(g), round(float(g[0])), False
+                        upto[a], before[a], t[a] = carry, carry, turn
+                        continue
                     first, n = (carry, turn) if ids[a] == last else (np.zeros(width(p)), 0)
                     upto[a:z] = first + np.cumsum(own[a:z], axis=0)
                     before[a], before[a + 1 : z], t[a:z] = first, upto[a : z - 1], np.arange(n + 1, n + 1 + z - a)
                     last, carry, turn = ids[a], upto[z - 1].copy(), int(t[z - 1])
-                yield pd.DataFrame({**{c: f[c].to_numpy() for c in (*keys, *order)}, **finish(f.assign(_t=t), upto, before)})
+                if kept.any():
+                    f, upto, before, t = f[kept], upto[kept], before[kept], t[kept]
+                    yield pd.DataFrame({**{c: f[c].to_numpy() for c in ident}, **finish(f.assign(_t=t), upto, before)})
 
-    ident = [*keys, *(c for c in order if c not in keys)]
-    rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    rows = rows.repartition(*deal).sortWithinPartitions(*deal, F.asc(F.col("_g").isNull()), *order)
     return rows.mapInPandas(work, ", ".join([*_ddl(df, ident), extra]))
 
 
-def snapshots(df: DataFrame, keys: list[str], order: list[str], features: list[str], y: str, lam: float = 1.0) -> DataFrame:
+def snapshots(df: DataFrame, keys: list[str], order: list[str], features: list[str], y: str, lam: float = 1.0, block: int = LARGE_GROUP) -> DataFrame:
     """The fit on the first t rows of each key, for every t, with train_rmse, its error on those rows."""
     p = len(features)
     data, means = centred(df, features)
@@ -269,10 +295,10 @@ def snapshots(df: DataFrame, keys: list[str], order: list[str], features: list[s
         return {"t": f["_t"].to_numpy(np.int32), **_frame(g, fit), "train_rmse": np.sqrt(fit["rss"] / g[:, 0])}
 
     rows = data.select(*keys, *order, "_x", F.col(y).cast("double").alias("_y"))
-    return _running(rows, keys, order, p, f"t int, {_FIT}, train_rmse double", finish).drop(*order)
+    return _running(rows, keys, order, p, f"t int, {_FIT}, train_rmse double", finish, block).drop(*order)
 
 
-def prequential(df: DataFrame, keys: list[str], order: list[str], features: list[str], y: str, warm: int = 4, fallback: str | None = None, lam: float = 1.0) -> DataFrame:
+def prequential(df: DataFrame, keys: list[str], order: list[str], features: list[str], y: str, warm: int = 4, fallback: str | None = None, lam: float = 1.0, block: int = LARGE_GROUP) -> DataFrame:
     """Each row predicted by the fit of the rows before it; the first `warm` score as the fallback feature. Missing features are 0."""
     p, ident = len(features), [*keys, *order]
     data, _ = centred(df.withColumns({f: F.coalesce(clean(f), F.lit(0.0)) for f in features}), features)
@@ -282,7 +308,7 @@ def prequential(df: DataFrame, keys: list[str], order: list[str], features: list
 
     early = F.coalesce(clean(fallback), F.lit(0.0)) if fallback else F.lit(0.0)
     rows = data.select(*ident, "_x", F.col(y).cast("double").alias("_y"), early.alias("_early"))
-    return df.join(_running(rows, keys, order, p, "pred double", finish), ident).select(*df.columns, "pred")
+    return df.join(_running(rows, keys, order, p, "pred double", finish, block), ident).select(*df.columns, "pred")
 
 
 def single_feature_baselines(df: DataFrame, fold: str, features: list[str], y: str, lam: float = 1.0) -> DataFrame:

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from granary.functions.exprs import FLAT, LARGE_GROUP, erfc, pearson, ratio, row_numbers, with_group_size
+from granary.functions.scans import running
+from granary.sources.scratch import stored
 
 
 def ranked(df: DataFrame, keys: list[str], columns: list[str], tie: str = "id", ties: str = "order", large: int = LARGE_GROUP) -> DataFrame:
@@ -51,8 +53,8 @@ def within_group_spearman(df: DataFrame, group: str = "grp") -> DataFrame:
     return own.agg(F.coalesce(F.avg("spearman"), F.lit(0.0)).alias("within_spearman"), F.count(F.lit(1)).alias("n_groups"))
 
 
-#: Ranks of a bucket that one task compares, in a group that is larger.
-PAIR_BUCKET = 1 << 16
+#: Rows of a group that one task compares, and buckets of ranks that a larger group is cut into at most.
+PAIR_BUCKET, PAIR_GRID = 1 << 16, 2048
 
 
 def _inversions(order: np.ndarray, part: np.ndarray, parts: int) -> np.ndarray:
@@ -75,90 +77,133 @@ def _inversions(order: np.ndarray, part: np.ndarray, parts: int) -> np.ndarray:
     return total
 
 
-def inversions(df: DataFrame, keys: list[str], x: str, y: str, tie: str, bucket: int = PAIR_BUCKET, large: int = LARGE_GROUP) -> DataFrame:
-    """keys and inv: pairs of rows that stand in opposite orders by (x, tie) and by (y, tie), without forming pairs.
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row differs from the one before in any column."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return new
 
-    Ranks of both orders are cut into buckets. Pairs of one x bucket are counted there, pairs of two x
-    buckets and one y bucket in that, and all others from the counts of (x bucket, y bucket) cells. Tasks
-    stream sorted rows and hold a bucket of them.
+
+def _tied(part: np.ndarray, parts: int, *columns: np.ndarray) -> np.ndarray:
+    """For each part its pairs of rows that agree in all columns, by which the rows are sorted."""
+    first = np.flatnonzero(_starts(part, *columns))
+    n = np.diff(np.append(first, len(part)))
+    return np.bincount(part[first], n * (n - 1) // 2, parts).astype(np.int64)
+
+
+def _whole_runs(frames, columns: list[str]):
+    """Frames of whole runs of equal columns, from frames in the order of these, and where runs begin."""
+    held = None
+    for f in frames:
+        f = f if held is None else pd.concat([held, f], ignore_index=True)
+        if len(f):
+            new = _starts(*(pd.factorize(f[c], use_na_sentinel=False)[0] for c in columns))
+            cut = int(np.flatnonzero(new)[-1])  # the last run may go on
+            if cut:
+                yield f.iloc[:cut], new[:cut]
+            held = f.iloc[cut:].reset_index(drop=True)
+    if held is not None and len(held):
+        yield held, np.append(True, np.zeros(len(held) - 1, bool))
+
+
+_COUNTED = ("right", "wrong", "discordant", "pairs", "all_pairs")
+
+
+def _columns(all_pairs, tied_y, tied_p, tied_both, discordant) -> dict:
+    right = all_pairs - tied_y - tied_p + tied_both - discordant
+    return dict(zip(_COUNTED, (right, all_pairs - tied_y - right, discordant, all_pairs - tied_y, all_pairs)))
+
+
+def _ddl(df: DataFrame, keys: list[str]) -> list[str]:
+    return [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
+
+
+def _small_concordance(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of groups that fit a task: dealt by group once, sorted by (_p, _y), where discordant pairs are the inversions of _y."""
+
+    def work(frames):
+        for f, new in _whole_runs(frames, keys):
+            part, p, y = np.cumsum(new) - 1, f["_p"].to_numpy(), f["_y"].to_numpy()
+            parts, n = int(part[-1]) + 1, np.bincount(part)
+            by_y = np.lexsort((y, part))
+            counts = _columns(n * (n - 1) // 2, _tied(part[by_y], parts, y[by_y]), _tied(part, parts, p), _tied(part, parts, p, y), _inversions(y, part, parts))
+            yield f[keys][new].assign(**counts)
+
+    dealt = rows.select(*keys, "_p", "_y").repartition(*keys).sortWithinPartitions(*keys, "_p", "_y")
+    return dealt.mapInPandas(work, ", ".join([*_ddl(rows, keys), *(f"{c} long" for c in _COUNTED)]))
+
+
+def _large_concordance(rows: DataFrame, keys: list[str], bucket: int, block: int) -> DataFrame:
+    """Of larger groups: pairs in opposite orders by (_p, _y) and by (_y, _p), from ranks cut into buckets.
+
+    Pairs of one bucket of the first order are counted there, pairs of one bucket of the second in that, and all
+    others from the counts of cells, of which a group has PAIR_GRID ** 2 at most: buckets grow with larger groups.
     """
-    placed = row_numbers(df.select(*keys, tie, x, y), keys, {"_p": (x, False), "_q": (y, False)}, tie, large)
-    cells = placed.select(*keys, F.col("_p").cast("long").alias("_p"), F.col("_q").cast("long").alias("_q"), F.floor((F.col("_p") - 1) / bucket).alias("_a"), F.floor((F.col("_q") - 1) / bucket).alias("_b"))
-    schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), "_inv long"])
+    ranked_ = running(running(rows, keys, ["_p", "_y", "_id"], {"_a": ("count", None)}, block), keys, ["_y", "_p", "_id"], {"_b": ("count", None)}, block)
+    wide = F.greatest(F.lit(bucket), F.ceil(F.col("_rows") / PAIR_GRID))
+    cells = ranked_.select(*keys, "_a", "_b", F.floor((F.col("_a") - 1) / wide).alias("_ba"), F.floor((F.col("_b") - 1) / wide).alias("_bb"))
+    cells = stored(cells, "pair-ranks")
+    schema = ", ".join([*_ddl(rows, keys), "_inv long"])
 
     def counted(own: str, other: str | None):
-        def settle(f: pd.DataFrame, new: np.ndarray):
-            part, q = np.cumsum(new) - 1, f["_q"].to_numpy()
-            total = _inversions(q, part, int(part[-1]) + 1)
-            if other:  # without the pairs that were counted in the other order's buckets
-                o = np.lexsort((f[other].to_numpy(), part))
-                fine = np.cumsum(np.append(True, (np.diff(part[o]) != 0) | (np.diff(f[other].to_numpy()[o]) != 0))) - 1
-                own_part = part[o][np.flatnonzero(np.append(True, np.diff(fine) != 0))]
-                total -= np.bincount(own_part, _inversions(q[o], fine, len(own_part)), len(total)).astype(np.int64)
-            return f[keys][new].assign(_inv=total)
-
         def work(frames):
-            held = None
-            for f in frames:
-                f = f if held is None else pd.concat([held, f], ignore_index=True)
-                columns = [f[c] for c in (*keys, own)]
-                new = np.ones(len(f), bool)
-                new[1:] = np.any([(c != c.shift()).to_numpy()[1:] for c in columns], axis=0)
-                cut = int(np.flatnonzero(new)[-1])  # the last bucket may go on
-                if cut:
-                    yield settle(f.iloc[:cut], new[:cut])
-                held = f.iloc[cut:].reset_index(drop=True)
-            if held is not None and len(held):
-                yield settle(held, np.append(True, np.zeros(len(held) - 1, bool)))
-
-        return cells.repartition(*keys, own).sortWithinPartitions(*keys, own, "_p").mapInPandas(work, schema)
-
-    near = counted("_a", None)
-    if not cells.filter("_a > 0").isEmpty():
-        near = near.unionByName(counted("_b", "_a"))
-        # a group has (n / bucket)^2 cells at most
-        counts = cells.groupBy(*keys, "_a", "_b").agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(F.collect_list(F.struct("_a", "_b", "_n")).alias("_cells"))
-
-        def far(frames):
-            for f in frames:
-                out = []
-                for row in f["_cells"]:
-                    a, b, n = (np.array([c[i] for c in row], np.int64) for i in ("_a", "_b", "_n"))
-                    grid = np.zeros((a.max() + 1, b.max() + 1), np.int64)
-                    grid[a, b] = n
-                    earlier = np.cumsum(grid, axis=0) - grid  # x buckets before
-                    later = earlier[:, ::-1].cumsum(axis=1)[:, ::-1] - earlier  # and y buckets behind
-                    out.append(int((grid * later).sum()))
-                yield f[keys].assign(_inv=out)
-
-        near = near.unionByName(counts.mapInPandas(far, schema))
-    return near.groupBy(*keys).agg(F.sum("_inv").alias("inv"))
-
-
-def concordance(df: DataFrame, group: list[str], p: str = "pred", y: str = "truth", tie: str = "id", bucket: int = PAIR_BUCKET) -> DataFrame:
-    """Pairs within groups: right, wrong (or tied in prediction), discordant, untied in truth, and all, from ranks.
-
-    Discordant pairs are the inversions between both orders, less those of pairs that are tied in one.
+            for f, new in _whole_runs(frames, [*keys, own]):
+                part, q = np.cumsum(new) - 1, f["_b"].to_numpy()
+                total = _inversions(q, part, int(part[-1]) + 1)
+                if other:  # without the pairs that were counted in the other order's buckets
+                    o = np.lexsort((f[other].to_numpy(), part))
+                    begins = _starts(part[o], f[other].to_numpy()[o])
+                    fine = np.cumsum(begins) - 1
+                    total -= np.bincount(part[o][begins], _inversions(q[o], fine, int(fine[-1]) + 1), len(total)).astype(np.int64)
+                yield f[keys][new].assign(_inv=total)
+
+        return cells.repartition(*keys, own).sortWithinPartitions(*keys, own, "_a").mapInPandas(work, schema)
+
+    def far(frames):
+        for f in frames:
+            out = []
+            for row in f["_cells"]:
+                a, b, n = (np.array([c[i] for c in row], np.int64) for i in ("_ba", "_bb", "_n"))
+                grid = np.zeros((a.max() + 1, b.max() + 1), np.int64)
+                grid[a, b] = n
+                earlier = np.cumsum(grid, axis=0) - grid  # buckets before in the first order
+                later = earlier[:, ::-1].cumsum(axis=1)[:, ::-1] - earlier  # and behind in the second
+                out.append(int((grid * later).sum()))
+            yield f[keys].assign(_inv=out)
+
+    counts = cells.groupBy(*keys, "_ba", "_bb").agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(F.collect_list(F.struct("_ba", "_bb", "_n")).alias("_cells"))
+    both = counted("_ba", None).unionByName(counted("_bb", "_ba")).unionByName(counts.mapInPandas(far, schema))
+    names = {"_all": [], "_ty": ["_y"], "_tp": ["_p"], "_tpy": ["_p", "_y"]}
+    out = both.groupBy(*keys).agg(F.sum("_inv").alias("_inv"))
+    for name, columns in names.items():
+        own = rows.groupBy(*keys, *columns).agg(F.count(F.lit(1)).alias("_n")).groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.sum(F.col("_n") * (F.col("_n") - 1) / 2).cast("long").alias(name))
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        out = out.join(own, same).drop(*(f"_k{i}" for i in range(len(keys))))
+    counts = _columns(F.col("_all"), F.col("_ty"), F.col("_tp"), F.col("_tpy"), F.col("_inv"))
+    return out.select(*keys, *(c.cast("long").alias(name) for name, c in counts.items()))
+
+
+def concordance(df: DataFrame, group: list[str], p: str = "pred", y: str = "truth", tie: str = "id", bucket: int = PAIR_BUCKET, block: int = LARGE_GROUP) -> DataFrame:
+    """Pairs within groups: right, wrong (or tied in prediction), discordant, untied in truth, and all; no pair is formed.
+
+    Rows that lack a side are left out. Groups of up to `bucket` rows are counted in one sorted pass, larger ones from ranks.
     """
-    pairs = lambda n: n * (n - 1) / 2
-
-    def tied(*columns: str) -> DataFrame:
-        own = df.groupBy(*group, *columns).agg(F.count(F.lit(1)).alias("_n"))
-        return own.groupBy(*group).agg(F.sum(pairs(F.col("_n"))).cast("long").alias("_pairs"))
-
-    def within(c: str, other: str) -> DataFrame:
-        """Inversions between the order of ids and of `other` among rows tied in c."""
-        often = df.groupBy(*group, c).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-        rows = df.join(often, [*group, c], "left_semi").withColumn("_tie", F.col(tie))
-        return inversions(rows, [*group, c], "_tie", other, tie, bucket).groupBy(*group).agg(F.sum("inv").alias("_pairs"))
-
-    parts = {"all_pairs": tied(), "_y": tied(y), "_p": tied(p), "_py": tied(p, y), "_inv": inversions(df, group, p, y, tie, bucket).withColumnRenamed("inv", "_pairs"), "_in_p": within(p, y), "_in_y": within(y, p)}
-    out = df.select(*group).distinct()
-    for name, part in parts.items():
-        out = out.join(part.withColumnRenamed("_pairs", name), group, "left").withColumn(name, F.coalesce(name, F.lit(0)))
-    out = out.withColumn("discordant", F.col("_inv") - F.col("_in_p") - F.col("_in_y")).withColumn("pairs", F.col("all_pairs") - F.col("_y"))
-    right = F.col("all_pairs") - F.col("_y") - F.col("_p") + F.col("_py") - F.col("discordant")
-    return out.withColumn("right", right).withColumn("wrong", F.col("pairs") - F.col("right")).select(*group, "right", "wrong", "discordant", "pairs", "all_pairs")
+    keys = [f"_g{i}" for i in range(max(1, len(group)))]
+    rows = df.select(*(F.col(g).alias(k) for g, k in zip(group or [], keys)), *([] if group else [F.lit(0).alias("_g0")]), F.col(tie).alias("_id"), F.col(p).cast("double").alias("_p"), F.col(y).cast("double").alias("_y"))
+    rows = stored(rows.filter(F.col("_p").isNotNull() & F.col("_y").isNotNull()), "pairs")
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    large = sizes.filter(F.col("_rows") > bucket)
+    if large.isEmpty():
+        out = _small_concordance(rows, keys)
+    else:
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        sized = rows.join(sizes.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_rows"), same).drop(*(f"_k{i}" for i in range(len(keys))))
+        out = _small_concordance(sized.filter(F.col("_rows") <= bucket), keys).unionByName(_large_concordance(sized.filter(F.col("_rows") > bucket), keys, bucket, block))
+    return out.select(*(F.col(k).alias(g) for g, k in zip(group, keys)), *_COUNTED)
 
 
 def top_picks(df: DataFrame, group: list[str], share: float | Column, p: str = "pred", y: str = "truth", tie: str = "id", large: int = LARGE_GROUP) -> DataFrame:

@@ -6,9 +6,10 @@ aggregates, so a hot candidate only adds rows to the map side.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from granary.functions.exprs import FLAT, clean, col, ratio
+from granary.functions.exprs import FLAT, LARGE_GROUP, clean, col, ratio
+from granary.sources.scratch import stored
 
 
 def group_advantages(rollouts: DataFrame, keys: list[str], reward: str = "reward", eps: float = 1e-8) -> DataFrame:
@@ -24,38 +25,17 @@ def group_advantages(rollouts: DataFrame, keys: list[str], reward: str = "reward
     return joined.select("r.*", value.alias("advantage"))
 
 
-def summarize_rollouts(rollouts: DataFrame, keys: list[str], group: str = "group_id", accuracy: int | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
-    """26 statistics for each key: row moments, and statistics of groups with two or more rewards.
+_OPTIONAL = ("reward", "advantage", "completion_tokens", "mean_logprob", "mean_entropy", "early_logprob", "late_logprob", "min_logprob")
+_SHARES = (0.1, 0.5, 0.9)
 
-    Optional columns: reward, advantage, completion_tokens, mean_logprob, mean_entropy, early_logprob,
-    late_logprob, min_logprob, comp_hash. No rows of a kind: reward_mean, reward_std and pass_rate 0,
-    all others null. Quantiles are exact, holding a key's distinct values; `accuracy` asks for sketches
-    of that size instead, for keys of very many rows. `only` names the statistics to compute.
-    """
-    shares = (0.1, 0.5, 0.9)
-    quantiles = F.percentile("mean_logprob", F.array(*map(F.lit, shares))) if accuracy is None else F.percentile_approx("mean_logprob", list(shares), accuracy)
-    wanted = lambda c: only is None or c in only
-    for c in ("reward", "advantage", "completion_tokens", "mean_logprob", "mean_entropy", "early_logprob", "late_logprob", "min_logprob"):
-        if c not in rollouts.columns:
-            rollouts = rollouts.withColumn(c, F.lit(None).cast("double"))
-    if "comp_hash" not in rollouts.columns:
-        rollouts = rollouts.withColumn("comp_hash", F.lit(None).cast("string"))
+
+def _same(keys: list[str]) -> list[Column]:
+    return [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+
+
+def _row_statistics() -> dict[str, Column]:
     hit = (F.col("reward") > 0.5).cast("double")
-    grouped = (
-        rollouts.filter(F.col("reward").isNotNull() & F.col(group).isNotNull())
-        .groupBy(*keys, group)
-        .agg(F.count("reward").alias("_n"), F.avg(hit).alias("_pass"), F.stddev_pop("reward").alias("_sd"), F.min(hit).alias("_all"), F.max(hit).alias("_any"))
-    )
-    multi = lambda c: F.when(F.col("_n") >= 2, c)
-    of_groups = {
-        "n_groups": F.count(F.lit(1)),
-        "group_passrate_mean": F.avg(multi(F.col("_pass"))),
-        "group_passrate_std": F.stddev_pop(multi(F.col("_pass"))),
-        "frac_nondegenerate": F.avg(multi((F.col("_sd") > FLAT).cast("double"))),
-        "frac_all_correct": F.avg(multi((F.col("_all") == 1).cast("double"))),
-        "frac_all_wrong": F.avg(multi((F.col("_any") == 0).cast("double"))),
-    }
-    of_rows = {
+    return {
         "n_rollouts": F.count(F.lit(1)),
         "reward_mean": F.coalesce(F.avg("reward"), F.lit(0.0)),
         "reward_std": F.coalesce(F.stddev_pop("reward"), F.lit(0.0)),
@@ -74,21 +54,99 @@ def summarize_rollouts(rollouts: DataFrame, keys: list[str], group: str = "group
         "adv_absmean": F.avg(F.abs("advantage")),
         "reward_gap": (F.max("reward") - F.min("reward")),
     }
-    of_rows = {c: e for c, e in of_rows.items() if wanted(c)}
-    asked = [f"logprob_p{round(100 * p)}" for p in shares]
-    more = [quantiles.alias("_quantiles")] if any(map(wanted, asked)) else []
+
+
+def _group_statistics(one: Column) -> dict[str, Column]:
+    """Over rows with a group's _n, _pass, _sd, _all and _any, of which `one` picks one for each group."""
+    multi = lambda c: F.avg(F.when(one & (F.col("_n") >= 2), c))
+    return {
+        "n_groups": F.count_if(one),
+        "group_passrate_mean": multi(F.col("_pass")),
+        "group_passrate_std": F.stddev_pop(F.when(one & (F.col("_n") >= 2), F.col("_pass"))),
+        "frac_nondegenerate": multi((F.col("_sd") > FLAT).cast("double")),
+        "frac_all_correct": multi((F.col("_all") == 1).cast("double")),
+        "frac_all_wrong": multi((F.col("_any") == 0).cast("double")),
+    }
+
+
+def _quantiles(accuracy: int | None) -> Column:
+    return F.percentile("mean_logprob", F.array(*map(F.lit, _SHARES))) if accuracy is None else F.percentile_approx("mean_logprob", list(_SHARES), accuracy)
+
+
+_ASKED = [f"logprob_p{round(100 * p)}" for p in _SHARES]
+
+
+def summarize_rollouts(
+    rollouts: DataFrame, keys: list[str], group: str = "group_id", accuracy: int | None = None, only: tuple[str, ...] | None = None, advantages: bool = False, large: int = LARGE_GROUP
+) -> DataFrame:
+    """26 statistics for each key: row moments, and statistics of groups with two or more rewards.
+
+    Optional columns: reward, advantage, completion_tokens, mean_logprob, mean_entropy, early_logprob,
+    late_logprob, min_logprob, comp_hash. No rows of a kind: reward_mean, reward_std and pass_rate 0,
+    all others null. Quantiles are exact, holding a key's distinct values; `accuracy` asks for sketches
+    of that size instead, for keys of very many rows. `only` names the statistics to compute. advantages: the advantage
+    is computed here, within each key's groups.
+
+    Rows are dealt by key once: groups, distinct completions and moments then need sorts inside
+    tasks, no further exchange. Keys of more than `large` rows are aggregated in parts instead, which no task holds whole.
+    """
+    for c in _OPTIONAL:
+        if c not in rollouts.columns:
+            rollouts = rollouts.withColumn(c, F.lit(None).cast("double"))
+    if "comp_hash" not in rollouts.columns:
+        rollouts = rollouts.withColumn("comp_hash", F.lit(None).cast("string"))
+    rollouts = rollouts.select(*keys, group, *_OPTIONAL, "comp_hash")
+    hot = rollouts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > large).select(*keys)
+    if hot.isEmpty():
+        return _in_tasks(rollouts, keys, group, accuracy, only, advantages)
+    hot = stored(hot, "hot-keys")  # at most one for every `large` rows
+    split = lambda how: rollouts.alias("a").join(hot.alias("b"), _same(keys), how)
+    return _in_tasks(split("left_anti"), keys, group, accuracy, only, advantages).unionByName(_in_parts(split("left_semi"), keys, group, accuracy, only, advantages))
+
+
+def _in_tasks(rollouts: DataFrame, keys: list[str], group: str, accuracy: int | None, only: tuple[str, ...] | None, advantages: bool) -> DataFrame:
+    wanted = lambda c: only is None or c in only
+    own = W.partitionBy(*keys, group)
+    hit = (F.col("reward") > 0.5).cast("double")
+    rows = rollouts.repartition(*keys)
+    rows = rows.withColumns({"_n": F.count("reward").over(own), "_pass": F.avg(hit).over(own), "_sd": F.stddev_pop("reward").over(own), "_mean": F.avg("reward").over(own), "_all": F.min(hit).over(own), "_any": F.max(hit).over(own)})
+    # one row with a reward stands for its group, one row for each distinct completion
+    rows = rows.withColumn("_one", (F.row_number().over(own.orderBy(F.col("reward").isNull())) == 1) & F.col("reward").isNotNull() & F.col(group).isNotNull())
+    if advantages:
+        rows = rows.withColumn("advantage", F.when(F.col("_sd") > FLAT, (F.col("reward") - F.col("_mean")) / (F.col("_sd") + 1e-8)).otherwise(0.0))
+    values = {c: e for c, e in {**_row_statistics(), **_group_statistics(F.col("_one"))}.items() if wanted(c)}
+    if wanted("distinct_frac"):
+        rows = rows.withColumn("_new", (F.row_number().over(W.partitionBy(*keys, "comp_hash").orderBy("comp_hash")) == 1) & F.col("comp_hash").isNotNull())
+        values["distinct_frac"] = ratio(F.count_if("_new"), F.count("comp_hash"))
+    asked = [c for c in _ASKED if wanted(c)]
+    out = rows.groupBy(*keys).agg(*(e.alias(c) for c, e in values.items()), *([_quantiles(accuracy).alias("_quantiles")] if asked else []))
+    order = [*(c for c in _row_statistics() if c in values), *asked, *(c for c in ("distinct_frac",) if c in values), *(c for c in _group_statistics(F.lit(True)) if c in values)]
+    return out.select(*keys, *(F.col("_quantiles")[_ASKED.index(c)].alias(c) if c in asked else c for c in order))
+
+
+def _in_parts(rollouts: DataFrame, keys: list[str], group: str, accuracy: int | None, only: tuple[str, ...] | None, advantages: bool) -> DataFrame:
+    wanted = lambda c: only is None or c in only
+    if advantages:
+        rollouts = group_advantages(rollouts.drop("advantage"), [*keys, group])
+    hit = (F.col("reward") > 0.5).cast("double")
+    grouped = (
+        rollouts.filter(F.col("reward").isNotNull() & F.col(group).isNotNull())
+        .groupBy(*keys, group)
+        .agg(F.count("reward").alias("_n"), F.avg(hit).alias("_pass"), F.stddev_pop("reward").alias("_sd"), F.min(hit).alias("_all"), F.max(hit).alias("_any"))
+    )
+    of_rows = {c: e for c, e in _row_statistics().items() if wanted(c)}
+    more = [_quantiles(accuracy).alias("_quantiles")] if any(map(wanted, _ASKED)) else []
     rows = rollouts.groupBy(*keys).agg(*(e.alias(c) for c, e in of_rows.items()), *(more or [F.count(F.lit(1)).alias("_rows")]))
-    parts = [rows.select(*keys, *of_rows, *(F.col("_quantiles")[i].alias(c) for i, c in enumerate(asked) if wanted(c)))]
+    parts = [rows.select(*keys, *of_rows, *(F.col("_quantiles")[i].alias(c) for i, c in enumerate(_ASKED) if wanted(c)))]
     if wanted("distinct_frac"):  # distinct values apart from the rest, else all of it would be aggregated by value first
         kinds = rollouts.filter(F.col("comp_hash").isNotNull()).groupBy(*keys, "comp_hash").agg(F.count(F.lit(1)).alias("_n"))
         parts.append(kinds.groupBy(*keys).agg(ratio(F.count(F.lit(1)), F.sum("_n")).alias("distinct_frac")))
-    own = {c: e for c, e in of_groups.items() if wanted(c)}
+    own = {c: e for c, e in _group_statistics(F.lit(True)).items() if wanted(c)}
     if own:
         parts.append(grouped.groupBy(*keys).agg(*(e.alias(c) for c, e in own.items())))
     out = parts[0]
     for p in parts[1:]:
-        same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-        out = out.alias("a").join(p.alias("b"), same, "left").select("a.*", *(F.col(f"b.{c}") for c in p.columns if c not in keys))
+        out = out.alias("a").join(p.alias("b"), _same(keys), "left").select("a.*", *(F.col(f"b.{c}") for c in p.columns if c not in keys))
     return out.withColumn("n_groups", F.coalesce("n_groups", F.lit(0))) if "n_groups" in own else out
 
 
@@ -118,16 +176,33 @@ def distinct_fraction(rollouts: DataFrame, keys: list[str], value: str) -> DataF
 
 
 def engineered_features(rollouts: DataFrame, keys: list[str], row: str, tokens: str, logp: str, long: int = 230) -> DataFrame:
-    """Pooled token statistics and the share of each completion's most frequent token."""
-    pooled = rollouts.select(*keys, F.explode(logp).alias("lp")).groupBy(*keys).agg(
-        F.stddev_pop("lp").alias("tok_std"), F.min("lp").alias("tok_min"), F.exp(-F.avg("lp")).alias("perplexity")
-    )
-    own = rollouts.select(*keys, row, F.size(tokens).alias("n"), F.explode(tokens).alias("tok")).groupBy(*keys, row, "n", "tok").count()
-    most = own.groupBy(*keys, row, "n").agg(F.max("count").alias("top")).groupBy(*keys).agg(F.avg(F.col("top") / F.col("n")).alias("max_tok_rep"))
-    rows = rollouts.groupBy(*keys).agg(
-        F.avg((F.size(tokens) > long).cast("double")).alias("frac_long"), ratio(F.count_distinct(F.md5(F.concat_ws(",", tokens))), F.count(F.lit(1))).alias("distinct_frac")
+    """Pooled token statistics and the share of each completion's most frequent token.
+
+    Arrays are summed where they lie, so one scan gives one narrow row for each completion; equal completions are merged
+    first, then keys.
+    """
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    # the longest run of the sorted tokens
+    run = F.aggregate(
+        F.array_sort(tokens),
+        F.struct(F.lit(None).cast(rollouts.schema[tokens].dataType.elementType).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("top")),
+        lambda s, x: F.struct(x.alias("last"), F.when(s["last"] == x, s["run"] + 1).otherwise(1).alias("run"), F.greatest(s["top"], F.when(s["last"] == x, s["run"] + 1).otherwise(1)).alias("top")),
+        lambda s: s["top"],
     )
-    return pooled.join(most, keys).join(rows, keys)
+    n = F.size(tokens)
+    own = rollouts.select(
+        *keys, F.md5(F.concat_ws(",", tokens)).alias("_hash"), F.size(logp).alias("_m"), add(F.col(logp)).alias("_s"), add(F.transform(logp, lambda x: x * x)).alias("_q"), F.array_min(logp).alias("_low"), F.try_divide(run.cast("double"), F.when(n > 0, n)).alias("_rep"),
+        (n > long).cast("double").alias("_long"),
+    )
+    sums = {"_n": F.count(F.lit(1)), "_m": F.sum("_m"), "_s": F.sum("_s"), "_q": F.sum("_q"), "_low": F.min("_low"), "_rep": F.sum("_rep"), "_reps": F.count("_rep"), "_long": F.sum("_long")}
+    kinds = own.groupBy(*keys, "_hash").agg(*(e.alias(c) for c, e in sums.items()))
+    total = {c: F.min(c) if c == "_low" else F.sum(c) for c in sums}
+    out = kinds.groupBy(*keys).agg(F.count(F.lit(1)).alias("_kinds"), *(e.alias(c) for c, e in total.items()))
+    mean = ratio("_s", "_m")
+    return out.select(
+        *keys, F.sqrt(F.greatest(ratio("_q", "_m") - mean * mean, F.lit(0.0))).alias("tok_std"), F.col("_low").alias("tok_min"), F.exp(-mean).alias("perplexity"), ratio("_rep", "_reps").alias("max_tok_rep"), ratio("_long", "_n").alias("frac_long"),
+        ratio("_kinds", "_n").alias("distinct_frac"),
+    )
 
 
 def unigrams(bags: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -138,12 +213,32 @@ def unigrams(bags: DataFrame, keys: list[str], text: str) -> DataFrame:
     return counts.join(totals, keys).select(*keys, "token", (F.col("c") / F.col("t")).alias("p"))
 
 
-def cosine_to_probe(bags: DataFrame, probe: DataFrame, keys: list[str]) -> DataFrame:
+#: Tokens of a probe that are sent to all tasks; beyond them tokens in more than HOT_SHARE of the bags' rows spread over SALTS parts.
+PROBE_BROADCAST, HOT_SHARE, SALTS = 1_000_000, 1 / 1024, 64
+
+
+def with_probe(bags: DataFrame, probe: DataFrame, limit: int = PROBE_BROADCAST) -> DataFrame:
+    """`bags` (token, p) with q, the probe's frequency of the token, or null.
+
+    A probe of up to `limit` tokens goes to all tasks. A larger one is joined by token: the frequent tokens, at
+    most 1 / HOT_SHARE of them, are counted first, dealt over SALTS parts and repeated for these on the probe's side.
+    """
+    probe = probe.select("token", F.col("p").alias("q"))
+    if probe.limit(limit + 1).count() <= limit:
+        return bags.join(F.broadcast(probe), "token", "left")
+    bags = stored(bags, "bags")
+    hot = bags.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > F.lit(bags.count() * HOT_SHARE)).select("token", F.lit(True).alias("_hot"))
+    salt = F.when(F.col("_hot"), F.floor(F.rand(1) * SALTS).cast("int")).otherwise(0)
+    salted = stored(bags.join(F.broadcast(hot), "token", "left").withColumn("_salt", salt).drop("_hot"), "salted-bags")
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = probe.join(F.broadcast(hot), "token", "left").select("token", "q", F.explode(parts).alias("_salt"))
+    return salted.join(spread, ["token", "_salt"], "left").drop("_salt")
+
+
+def cosine_to_probe(bags: DataFrame, probe: DataFrame, keys: list[str], limit: int = PROBE_BROADCAST) -> DataFrame:
     """Cosine of every bag of unigrams with one common bag (token, p)."""
     norm = probe.agg(F.sqrt(F.sum(F.col("p") * F.col("p"))).alias("nb"))
-    dots = bags.join(probe.select("token", F.col("p").alias("q")), "token", "left").groupBy(*keys).agg(
-        F.coalesce(F.sum(F.col("p") * F.col("q")), F.lit(0.0)).alias("dot"), F.sqrt(F.sum(F.col("p") * F.col("p"))).alias("na")
-    )
+    dots = with_probe(bags, probe, limit).groupBy(*keys).agg(F.coalesce(F.sum(F.col("p") * F.col("q")), F.lit(0.0)).alias("dot"), F.sqrt(F.sum(F.col("p") * F.col("p"))).alias("na"))
     # the norm is one row
     return dots.crossJoin(F.broadcast(norm)).select(*keys, (F.col("dot") / (F.col("na") * F.coalesce("nb", F.lit(0.0)) + 1e-9)).alias("similarity"))
 

@@ -116,10 +116,10 @@ ALL = [*L.FEATURE_KEYS, *L.CONTEXT_KEYS]
 
 def featured(t):
     """Labels with every feature: the statistics of their orders' lines, and stand-ins for the rest."""
-    from granary.operators.rollouts import group_advantages, summarize_rollouts
+    from granary.operators.rollouts import summarize_rollouts
 
     names = tuple(k for k in L.FEATURE_KEYS if k != "target_similarity")
-    stats = summarize_rollouts(group_advantages(t.order_rollouts, ["row_id", "group_id"]), ["row_id"], only=names).select("row_id", F.struct(*names).alias("reward_summary"))
+    stats = summarize_rollouts(t.order_rollouts, ["row_id"], only=names, advantages=True).select("row_id", F.struct(*names).alias("reward_summary"))
     row = F.col("row_id")
     extra = {
         "target_similarity": (row % 89).cast("double") / 89.0, "fingerprint_nll": F.lit(1.4) + (row % 83).cast("double") / 83.0,

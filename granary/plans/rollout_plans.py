@@ -71,7 +71,7 @@ rr as (select candidate_id, seed, count(*) as n_rollouts, avg(reward) as reward_
 
 
 def features(t):
-    return R.summarize_rollouts(R.group_advantages(t.rollouts, GROUP), KEYS)
+    return R.summarize_rollouts(t.rollouts, KEYS, advantages=True)
 
 
 @query(

@@ -35,9 +35,9 @@ select n_cohorts, round(b / (b + w), 9) as icc, round(sqrt(b) / (sqrt(w) + 1e-12
 )
 def gate_report(t):
     """The flagship: rollouts to advantages to per-cohort features to lifts to the signal gate."""
-    from granary.operators.rollouts import group_advantages, summarize_rollouts
+    from granary.operators.rollouts import summarize_rollouts
 
-    features = summarize_rollouts(group_advantages(t.rollouts, ["candidate_id", "seed", "group_id"]), ["candidate_id", "seed"], only=("reward_mean",))
+    features = summarize_rollouts(t.rollouts, ["candidate_id", "seed"], only=("reward_mean",))
     base = features.agg(F.avg("reward_mean").alias("base"))  # one row
     lifts = features.crossJoin(F.broadcast(base)).select("candidate_id", "seed", (F.col("reward_mean") - F.col("base")).alias("lift"))
     return S.gate(lifts, "candidate_id", "lift").select("n_cohorts", r9("icc").alias("icc"), r9("snr").alias("snr"), "verdict")

@@ -193,28 +193,33 @@ def keep_state(path: str, merge: Callable | None = None) -> Callable:
 
 
 def online_predictor(stream: DataFrame, key: str, order: str, features: list[str], y: str, warm: int = 4, lam: float = 1.0) -> DataFrame:
-    """Predict each row from the rows before it, then learn from it. State of a key: the additive statistics."""
-    from granary.operators.fits import solve, sums, width
+    """Predict each row from the rows before it, then learn from it; the first `warm` of a key score as their first feature.
+
+    State of a key: the additive statistics and the row they are centred on, O(p^2) numbers. A micro-batch's rows take their
+    prefix sums together and are solved as one stack of p x p systems. (A kept factor can't be updated by rank one
+    instead: the penalty is on standardised features, so every row changes the whole diagonal.)
+    """
+    from granary.operators.fits import HELD, applied, solve, terms, width
 
     p = len(features)
 
     def step(k, frames, state):
-        g = np.array(state.get[0]) if state.exists else np.zeros(width(p))
+        g, shift = (np.array(x) for x in state.get) if state.exists else (np.zeros(width(p)), None)
         rows = pd.concat(list(frames)).sort_values(order)
-        out = []
-        for i, x, v in zip(rows[order], rows[features].fillna(0.0).to_numpy(float), rows[y].to_numpy(float)):
-            if g[0] < warm:
-                pred = x[0]
-            else:
-                f = solve(g[None, :], p, lam)
-                pred = f["base"][0] + float((f["w"][0] * (x - f["mu"][0]) / f["sd"][0]).sum())
-            out.append((k[0], i, float(pred)))
-            g = g + sums(x[None, :], np.array([v]))
-        state.update((g.tolist(),))
-        yield pd.DataFrame(out, columns=[key, order, "pred"])
+        x, v = rows[features].fillna(0.0).to_numpy(float), rows[y].to_numpy(float)
+        shift = x[0].copy() if shift is None else shift
+        some = max(1, HELD // width(p))
+        for at in range(0, len(rows), some):
+            z = x[at : at + some] - shift
+            upto = g + np.cumsum(terms(z, v[at : at + some]), axis=0)
+            before = np.concatenate([g[None, :], upto[:-1]])
+            pred = np.where(before[:, 0] < warm, x[at : at + some, 0], applied(solve(before, p, lam), z))
+            g = upto[-1]
+            yield pd.DataFrame({key: [k[0]] * len(z), order: rows[order].to_numpy()[at : at + some], "pred": pred})
+        state.update((g.tolist(), shift.tolist()))
 
     kind = dict(stream.dtypes)
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind[key]}, {order} {kind[order]}, pred double", "g array<double>", "append", "NoTimeout")
+    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind[key]}, {order} {kind[order]}, pred double", "g array<double>, shift array<double>", "append", "NoTimeout")
 
 
 def age_alert(rows: DataFrame, state: str, ts: str, now: Column, minutes: int = 8, terminal: tuple[str, ...] = TERMINAL) -> DataFrame:

@@ -111,6 +111,32 @@ def test_outcomes_are_no_features(spark):
         L.feature_columns(df, ["pass_rate", "lift_nll"])
 
 
+def test_prefix_fits_of_one_long_key(spark):
+    """Ranges of a key in many tasks give what one task gives."""
+    rng = np.random.default_rng(8)
+    rows = [(("a", "b")[i % 17 == 0], i, None if rng.random() < 0.1 else float(rng.normal() + 1e4), float(rng.normal()), float(rng.normal())) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, id long, a double, b double, y double").repartition(5)
+    for run in (lambda block: G.snapshots(df, ["k"], ["id"], ["a", "b"], "y", block=block).select("k", "t", "base", F.col("w")[0].alias("w0"), F.col("w")[1].alias("w1"), "train_rmse"), lambda block: G.prequential(df, ["k"], ["id"], ["a", "b"], "y", fallback="b", block=block).select("k", F.col("id").alias("t"), "pred")):
+        one, many = (sorted(map(tuple, run(block).collect())) for block in (100_000, 250))
+        assert len(one) == 3000 and [r[:2] for r in one] == [r[:2] for r in many]
+        assert np.allclose([r[2:] for r in one], [r[2:] for r in many], rtol=1e-7, atol=1e-9)
+
+
+def test_online_predictor_equals_refits(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 2)) * [1, 1e-3] + [0, 1e3]
+    y = x @ [1.0, 500.0] + rng.normal(size=400)
+    schema = "k string, i long, a double, b double, y double"
+    for at in range(0, 400, 100):
+        spark.createDataFrame([("k", i, float(x[i, 0]), float(x[i, 1]), float(y[i])) for i in range(at, at + 100)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    J.run_available(J.online_predictor(stream, "k", "i", ["a", "b"], "y"), str(tmp_path / "log"), str(tmp_path / "out"))
+    got = {r.i: r.pred for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert len(got) == 400 and [got[i] for i in range(4)] == [x[i, 0] for i in range(4)]
+    for i in (4, 5, 99, 100, 101, 399):
+        assert got[i] == pytest.approx(ridge(x[:i], y[:i])(x[i : i + 1])[0], rel=1e-9)
+
+
 def test_axes_and_field(spark):
     rng = np.random.default_rng(2)
     w = rng.normal(size=(40, 4)) * [3, 2, 1, 0.1] + 100
