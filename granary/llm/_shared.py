@@ -27,7 +27,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared folder and read back: lineage ends there and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes what `stored` wrote for a table that nothing reads any more."""
+    path = getattr(df, "stored_at", None)
+    if path:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:

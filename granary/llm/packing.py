@@ -1,6 +1,7 @@
 """Mixture-controlled packing: deficit round-robin over source queues, in closed form.
 
-Each source is a queue: the ids of its documents in one row, cut into chunks of QUANTUM tokens. A
+Each source is a queue: the ids of its documents in one row, cut into chunks of QUANTUM tokens, 32 to a
+window, so that the mixture holds in each window and not only over many. A
 queue earns credit in proportion to its weight (its tokens unless weights are given) and the queue
 with the largest deficit sends its next chunk. That order is the order of the chunks' due times,
 (tokens before the chunk + phase * its tokens) / weight, where phases between 0 and 1 spread the queues'
@@ -42,7 +43,9 @@ from ._bytes import flat, pieces, ranges
 from ._shared import stored
 from .bpe import Tokenizer
 
-SEQUENCE, QUANTUM = 2048, 512
+#: Tokens of a sequence, and of a chunk: a window has room for a chunk of each of SEQUENCE // QUANTUM queues, so
+#: a queue with a share of QUANTUM / SEQUENCE or more is in every window.
+SEQUENCE, QUANTUM = 2048, 64
 #: Rows of starts, one for each task and queue, up to which they are broadcast instead of shuffling the ids.
 MAX_BROADCAST = 200_000
 #: Queues up to which each task gets all totals and computes places alone: some 50 bytes each.

@@ -114,6 +114,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def packing_target_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packing with a target mixture: of the credit of three sources' tokens the first gets three parts, the next two, the last one."""
+    return pack(_table(spark, sf_dir, "documents"), weights={"src0": 3, "src1": 2, "src2": 1})
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_digests(_table(spark, sf_dir, "documents"))
 
@@ -149,6 +154,7 @@ def queries() -> dict:
         "op5_word_dedup": op5_word_dedup,
         "op6_simhash": op6_simhash,
         "op7_packing": op7_packing,
+        "packing_target_mixture": packing_target_mixture,
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_token_counts": op9_token_counts,
         "op10_url_filters": op10_url_filters,

@@ -14,7 +14,7 @@ whole shard. Rows of frequent texts, at most FREQUENT of them, learn their group
 all others by a join. All tables that are used again are written to the shared folder.
 
 Defined results: a null text counts as empty, with 16 bytes; a text of any length counts whole. Repeated rows are rows of their own,
-linked like all equal texts. Fewer rows than shards leave shards empty. Columns of the input
+linked like all equal texts, as are rows with a null key. Fewer rows than shards leave shards empty. Columns of the input
 beside key and text take no part, whatever their names. An empty table gives none.
 """
 
@@ -23,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ._shared import stored, with_value
+from ._shared import release, stored, with_value
 
 SHARDS, PARTS = 40, 4
 #: Most rows of a part of a group that moves as one.
@@ -80,11 +80,13 @@ def propagate(rows: DataFrame, shards: int, buckets: int = LEAST_BUCKETS) -> Dat
             free[i] = n
         take = quotas(wish, free)
         if not take.sum():
+            release(moving)
             return rows
         net = take.sum(axis=0) - take.sum(axis=1)
         cells = [(int(i), int(j), int(take[i, j])) for i, j in zip(*np.nonzero(take))]
         quota = spark.createDataFrame(cells, "shard int, to int, quota long")
-        linked = rows.join(moving.drop("n"), ["_link", "shard"], "left")
+        # documents without links take no part in the join: they have no key to be dealt by
+        linked = rows.filter("_link is not null").join(moving.drop("n"), ["_link", "shard"], "left")
         asks = gapless(linked.filter("to is not null"), ["shard", "to"], "_turn", buckets, "_lh").join(F.broadcast(quota), ["shard", "to"], "left")
         moved = asks.select("_rid", "_h", "_lh", "_link", F.when(F.col("_turn") < F.coalesce("quota", F.lit(0)), F.col("to")).otherwise(F.col("shard")).alias("shard"))
         # free documents leave shards that gained and fill those that lost, in the order of their numbers
@@ -96,12 +98,15 @@ def propagate(rows: DataFrame, shards: int, buckets: int = LEAST_BUCKETS) -> Dat
             fills.append((int(j), at, at - int(net[j])))
             at -= int(net[j])
         lost = spark.createDataFrame(fills or [(-1, 0, 0)], "fill int, low long, high long")
-        single = gapless(linked.filter("_link is null").drop("to", "gain"), ["shard"], "_turn", buckets).join(F.broadcast(leave), "shard", "left")
+        single = gapless(rows.filter("_link is null"), ["shard"], "_turn", buckets).join(F.broadcast(leave), "shard", "left")
         single = single.withColumn("_place", F.when(F.col("_turn") < F.coalesce("leave", F.lit(0)), F.col("begin") + F.col("_turn")))
         single = single.join(F.broadcast(lost), (F.col("_place") >= F.col("low")) & (F.col("_place") < F.col("high")), "left")
         single = single.select("_rid", "_h", "_lh", "_link", F.coalesce("fill", "shard").alias("shard"))
-        stay = linked.filter("_link is not null and to is null").select("_rid", "_h", "_lh", "_link", "shard")
-        rows = stored(moved.unionByName(single).unionByName(stay), "sharding-rows")
+        stay = linked.filter("to is null").select("_rid", "_h", "_lh", "_link", "shard")
+        after = stored(moved.unionByName(single).unionByName(stay), "sharding-rows")
+        for old in (rows, moving):  # a round leaves one table behind, however many there are
+            release(old)
+        rows = after
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str = "text") -> DataFrame:
