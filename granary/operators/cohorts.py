@@ -41,18 +41,22 @@ def chunk(df: DataFrame, size: int, keys: list[str] = []) -> DataFrame:
 def grouped_cohorts(pool: DataFrame, key: str, size: int, limit: int, seed=0) -> DataFrame:
     rows = chunk(shuffled(pool.filter(F.col(key).isNotNull()), seed, [key]), size, [key]).filter(F.col("chunk") < limit)
     label = F.regexp_replace(F.replace(F.col(key).cast("string"), F.lit(" "), F.lit("_")), "/", "-")
-    return _members(rows, F.concat(F.lit(f"{key}-"), label, F.format_string("-%03d", "chunk")), f"by_{key}", (F.col("rn") - 1) % size)
+    return _members(rows, F.concat(F.lit(f"by_{key}-"), label, F.format_string("-%03d", "chunk")), f"by_{key}", (F.col("rn") - 1) % size)
 
 
-def passband_cohorts(pool: DataFrame, bands: list[tuple[float, float]], size: int, seed=0) -> DataFrame:
-    """lo <= rate < hi, and a rate of 1 in any band with hi >= 1. The bands are a short parameter: a broadcast range join."""
+#: Bands of pass rates, shares of corrupted answers and numbers of distinct prompts that the study compares.
+BANDS, NOISE, DISTINCT = ((0.0, 0.2), (0.2, 0.5), (0.5, 0.8), (0.8, 1.0)), (0.0, 0.25, 0.5, 1.0), (1, 2, 4, 8)
+
+
+def passband_cohorts(pool: DataFrame, size: int, bands=BANDS, limit: int | None = None, seed=0) -> DataFrame:
+    """lo <= rate < hi, and a rate of 1 in any band with hi >= 1; `limit` cohorts of a band. The bands are a short parameter: a broadcast range join."""
     spark = pool.sparkSession
     table = F.broadcast(spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(bands)], "band int, lo double, hi double"))
     r = F.col("pass_rate")
     inside = pool.join(table, (r >= F.col("lo")) & ((r < F.col("hi")) | ((r == 1.0) & (F.col("hi") >= 1.0))))
     rows = chunk(shuffled(inside, seed, ["band"]), size, ["band"])
-    name = F.format_string("band-%03d-%03d-%03d", F.bround(F.col("lo") * 100).cast("int"), F.bround(F.col("hi") * 100).cast("int"), "chunk")
-    return _members(rows, name, "passband", (F.col("rn") - 1) % size)
+    rows = rows if limit is None else rows.filter(F.col("chunk") < limit)
+    return _members(rows, F.format_string("passband-%.1f_%.1f-%03d", "lo", "hi", "chunk"), "passband", (F.col("rn") - 1) % size)
 
 
 def variance_decoupled(pool: DataFrame, size: int, seed=0, middle: float = 0.15, low: float = 0.15, high: float = 0.85) -> DataFrame:
@@ -63,9 +67,14 @@ def variance_decoupled(pool: DataFrame, size: int, seed=0, middle: float = 0.15,
     have = {p: n for p, n in rows.groupBy("part").count().collect()}  # three rows at most
     if size % 2 or have.get(0, 0) < size or min(have.get(1, 0), have.get(2, 0)) < half:
         raise ValueError("too few rows of a kind, or an odd size")
-    name = F.when(F.col("part") == 0, "var-high").otherwise("var-low")
+    name = F.when(F.col("part") == 0, "vardecouple-highvar").otherwise("vardecouple-lowvar")
     pos = F.col("rn") - 1 + F.when(F.col("part") == 2, half).otherwise(0)
-    return _members(rows, name, "variance", pos)
+    return _members(rows, name, "variance_decoupled", pos)
+
+
+def with_pass_stats(members: DataFrame, rates: DataFrame) -> DataFrame:
+    """Members with their cohort's statistics of pass rates; null where no member has a rate."""
+    return members.join(pass_stats(members, rates), "name", "left")
 
 
 def label_noise_cohorts(pool: DataFrame, fracs: list[float], size: int, limit: int, seed=0) -> DataFrame:
@@ -75,36 +84,42 @@ def label_noise_cohorts(pool: DataFrame, fracs: list[float], size: int, limit: i
     rows = chunk(rows, size)
     frac = F.element_at(F.array(*map(F.lit, fracs)), (F.col("chunk") % n + 1).cast("int"))
     pos = (F.col("rn") - 1) % size
-    name = F.format_string("labelnoise-%03d-%03d", F.bround(frac * 100).cast("int"), (F.col("chunk") + 1).cast("int"))
+    name = F.format_string("labelnoise-%03d-%03d", (frac * 100).cast("int"), (F.col("chunk") + 1).cast("int"))
     return _members(rows, name, "label_noise", pos, pos < F.bround(frac * size))
 
 
 def duplication_cohorts(pool: DataFrame, ks: list[int], size: int, limit: int, seed=0) -> DataFrame:
-    """k distinct prompts cycled over `size` slots, `limit` times for each k; cohorts the pool can't fill are skipped."""
-    spark, most = pool.sparkSession, max(ks)
-    plan = [(rep * len(ks) + i, k, rep) for rep in range(limit) for i, k in enumerate(ks)]
-    table = F.broadcast(spark.createDataFrame(plan, "cohort int, k int, rep int"))
-    rows = shuffled(pool, seed).filter(F.col("rn") <= most * len(plan)).withColumns({"cohort": F.floor((F.col("rn") - 1) / most).cast("int"), "place": ((F.col("rn") - 1) % most).cast("int")})
-    picked = rows.join(table, "cohort").filter("place < k")
-    full = picked.groupBy("cohort").agg(F.count(F.lit(1)).alias("n"), F.first("k").alias("k2")).filter("n = k2").select("cohort")
-    slots = picked.join(full, "cohort").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).filter("slot % k = place")
-    return _members(slots, F.format_string("dup-%03d-%03d", "k", F.col("rep") + 1), "duplication", F.col("slot"))
+    """k distinct prompts cycled over `size` slots, `limit` times for each k; a k that the pool can't fill is skipped.
 
-
-def build_all(pool: DataFrame, size: int, seed=0, random: int = 8, per_group: int = 3, per_band: int = 3) -> DataFrame:
-    """All families in build order, with `ord` numbering the cohorts. Families that the pool can't fill are left out.
-
-    pool: prompt_id and, for their families, pass_rate, level and subject. Within families: noise by chunk,
+    Every cohort has its own order of the whole pool, so a pool of k prompts is enough for all of them. A task keeps no
+    more than the first max(ks) rows of each order.
+    """
+    spark, most = pool.sparkSession, max(ks)
+    table = F.broadcast(spark.createDataFrame([(k, rep) for k in ks for rep in range(limit)], "k int, rep int"))
+    keyed = pool.select("prompt_id").crossJoin(table).withColumn("_key", shuffle_key(seed, "k", "rep", "prompt_id"))  # ks x limit is a parameter
+    first = keyed.withColumn("rn", F.row_number().over(W.partitionBy("k", "rep").orderBy("_key", "prompt_id"))).filter(F.col("rn") <= most)
+    picked = first.filter(F.col("rn") <= F.col("k"))
+    full = picked.groupBy("k", "rep").agg(F.count(F.lit(1)).alias("n")).filter("n = k").select("k", "rep")  # one row for each cohort
+    cycled = picked.join(F.broadcast(full), ["k", "rep"]).filter(F.col("rn") <= size)
+    slots = cycled.withColumn("slot", F.explode(F.sequence(F.col("rn") - 1, F.lit(size - 1), F.col("k"))))
+    return _members(slots, F.format_string("dup-k%02d-%03d", "k", "rep"), "duplication", F.col("slot"))
+
+
+def build_all(
+    pool: DataFrame, size: int, seed=0, random: int = 8, per_group: int = 3, per_band: int = 3, per_noise: int = 2, per_k: int = 2, fracs=NOISE, ks=DISTINCT, bands=BANDS, keys: tuple[str, ...] = ("level", "subject")
+) -> DataFrame:
+    """All families in build order, with `ord` numbering the cohorts and the statistics of their pass rates. Families that the pool can't fill are left out.
+
+    pool: prompt_id and, for their families, pass_rate and the columns `keys`. Within families: noise by chunk,
     duplicates by k and repetition, bands and groups by value and chunk, high variance before low.
     """
     number = F.regexp_extract("name", r"(\d+)$", 1).cast("int")
-    first = F.regexp_extract("name", r"-(\d+)-", 1)
-    families = [(lambda: label_noise_cohorts(pool, [0.0, 0.25, 0.5, 1.0], size, 2, seed), (F.lit(""), number)), (lambda: duplication_cohorts(pool, [1, 2, 4], size, 2, seed), (first, number))]
+    first = F.regexp_extract("name", r"-(?:k)?([0-9.]+)[-_]", 1)
+    families = [(lambda: label_noise_cohorts(pool, list(fracs), size, per_noise, seed), (F.lit(""), number)), (lambda: duplication_cohorts(pool, list(ks), size, per_k, seed), (first, number))]
     if "pass_rate" in pool.columns:
-        bands = [(0.0, 0.3), (0.3, 0.7), (0.7, 1.0)]
-        families.append((lambda: passband_cohorts(pool, bands, size, seed).filter(F.regexp_extract("name", r"(\d+)$", 1).cast("int") < per_band), (first, number)))
-        families.append((lambda: variance_decoupled(pool, size, seed), (F.lit(""), F.when(F.col("name") == "var-high", 0).otherwise(1))))
-    for key in ("level", "subject"):
+        families.append((lambda: passband_cohorts(pool, size, bands, per_band, seed), (first, number)))
+        families.append((lambda: variance_decoupled(pool, size, seed), (F.lit(""), F.when(F.col("name") == "vardecouple-highvar", 0).otherwise(1))))
+    for key in keys:
         if key in pool.columns:
             families.append((lambda key=key: grouped_cohorts(pool, key, size, per_group, seed), (F.col("name"), number)))
     families.append((lambda: random_cohorts(pool, random, size, seed), (F.lit(""), number)))
@@ -116,7 +131,8 @@ def build_all(pool: DataFrame, size: int, seed=0, random: int = 8, per_group: in
             continue
         out = part if out is None else out.unionByName(part)
     order = out.select("_family", "_turn", "name").distinct().withColumn("ord", (F.row_number().over(W.orderBy("_family", "_turn", "name")) - 1).cast("int"))  # one row for each cohort
-    return out.join(order.select("_family", "name", "ord"), ["_family", "name"]).select(*MEMBERS, "ord")
+    out = out.join(order.select("_family", "name", "ord"), ["_family", "name"]).select(*MEMBERS, "ord")
+    return with_pass_stats(out, pool.select("prompt_id", "pass_rate")) if "pass_rate" in pool.columns else out
 
 
 def pass_stats(members: DataFrame, rates: DataFrame) -> DataFrame:

@@ -108,3 +108,28 @@ def impute_mean(train: DataFrame, rows: DataFrame, features: list[str]) -> DataF
 
 def denoise_seeds(df: DataFrame, keys: list[str], features: list[str], y: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(clean(y)).alias(y), *(F.avg(clean(f)).alias(f) for f in features), F.count(F.lit(1)).alias("n_seeds"))
+
+
+# The columns of an enriched label, beside its features.
+ENRICHED = "domain candidate_id seed chain_id anchor_index cohort lift_nll lift_acc nll_before nll_after kl_drift step_frac target_similarity rollout_count".split()
+
+
+def backfill_features(labels: DataFrame, rollouts: DataFrame, keys: list[str], group: str = "group_id", stored_as: str = "reward_summary") -> DataFrame:
+    """The 14 columns of enriched labels, `features` and `matched`: features computed again from the rollouts of each label's keys.
+
+    Labels without rollouts keep their stored summary, read into the same fields; labels without lift_nll are left out;
+    a column that the labels lack is null. advantage is taken from the rollouts, where they have it.
+    """
+    from granary.operators.rollouts import summarize_rollouts
+
+    again = summarize_rollouts(rollouts, keys, group)
+    names = [c for c in again.columns if c not in keys]
+    new = again.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.struct(*names).alias("_new"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    kept = labels.schema[stored_as].dataType.names if stored_as in labels.columns else []
+    old = F.struct(*((F.col(stored_as)[c] if c in kept else F.lit(None)).cast(again.schema[c].dataType).alias(c) for c in names))
+    rows = labels.filter(F.col("lift_nll").isNotNull()).join(new, same, "left")
+    columns = [F.col(c) if c in labels.columns else F.lit(None).cast("string").alias(c) for c in ENRICHED]
+    return rows.select(*columns, F.coalesce("_new", old).alias("features"), F.col("_new").isNotNull().alias("matched"))

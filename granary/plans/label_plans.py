@@ -69,17 +69,35 @@ def e6(t):
     return L.keep_first(rows, ["domain", "candidate_id", "kind"], ["row_id"]).withColumn("lift_nll", r9("lift_nll"))
 
 
-@query(
-    "e7_backfill_features",
-    LIFT + """, r as (select candidate_id, seed, avg(reward) as m, count(*) as n from v_rollouts group by 1, 2), k as (select row_id, x1, concat('cand-', right(candidate_id, 5)) as c, seed from l)
-select row_id, round(coalesce(m, x1), 9) + 0.0::double as reward_mean, n is not null as matched from k left join r on r.candidate_id = k.c and r.seed = k.seed""",
-)
+E7_FEATURES = ["n_rollouts", "n_groups", *(k for k in L.FEATURE_KEYS if k not in ("n_groups", "target_similarity"))]
+
+
+def _e7_sql() -> str:
+    from .rollout_plans import D4_BODY
+
+    old = {"pass_rate": "pass_old", "mean_logprob": "lp_old"}
+    return f"""{LIFT}{D4_BODY}, ft as (select rr.*, g2.* exclude (candidate_id, seed) from rr join g2 using (candidate_id, seed)),
+k as (select *, concat('cand-', right(candidate_id, 5)) as c, concat('cohort-', kind) as cohort, 0.2::double as pass_old, x1 as lp_old, cast(row_id % 5 as bigint) as groups_old from l)
+select k.domain, k.c as candidate_id, k.seed, chain_id, anchor_index, cohort, round(lift_nll, 9) + 0.0::double as lift_nll, round(acc_after - acc_before, 9) + 0.0::double as lift_acc, round(nll_before, 9) as nll_before, round(nll_after, 9) as nll_after,
+  round(greatest(kl_after - kl_before, 0), 9) as kl_drift, round(anchor_index / 3.0::double, 9) as step_frac, round(x2, 9) as target_similarity, cast(row_id % 300 as bigint) as rollout_count, ft.candidate_id is not null as matched,
+  """ + ", ".join(f"ft.{f}" if f == "n_rollouts" else f"coalesce(ft.{f}, groups_old) as {f}" if f == "n_groups" else f"round(case when ft.candidate_id is not null then ft.{f} else {old.get(f, 'null')} end, 9) + 0.0::double as {f}" for f in E7_FEATURES
+    ) + " from k left join ft on ft.candidate_id = k.c and ft.seed = k.seed"
+
+
+@query("e7_backfill_features", _e7_sql())
 def e7(t):
-    from granary.operators.rollouts import summarize_rollouts
+    from granary.operators.rollouts import group_advantages
 
-    again = summarize_rollouts(t.rollouts, ["candidate_id", "seed"]).select("candidate_id", "seed", "reward_mean", "n_rollouts")
-    rows = t.labels.select("row_id", "x1", F.concat(F.lit("cand-"), F.substring("candidate_id", -5, 5)).alias("candidate_id"), "seed")
-    return rows.join(again, ["candidate_id", "seed"], "left").select("row_id", r9(F.coalesce("reward_mean", "x1")).alias("reward_mean"), F.col("n_rollouts").isNotNull().alias("matched"))
+    row = F.col("row_id")
+    labels = lifted(t).select(
+        "domain", F.concat(F.lit("cand-"), F.substring("candidate_id", -5, 5)).alias("candidate_id"), "seed", "chain_id", "anchor_index", F.concat(F.lit("cohort-"), "kind").alias("cohort"), "lift_nll", (F.col("acc_after") - F.col("acc_before")).alias("lift_acc"),
+        "nll_before", "nll_after", F.greatest(F.col("kl_after") - F.col("kl_before"), F.lit(0.0)).alias("kl_drift"), (F.col("anchor_index") / F.lit(3.0)).alias("step_frac"), F.col("x2").alias("target_similarity"), (row % 300).alias("rollout_count"),
+        F.struct(F.lit(0.2).alias("pass_rate"), F.col("x1").alias("mean_logprob"), (row % 5).alias("n_groups")).alias("reward_summary"),
+    )
+    out = L.backfill_features(labels, group_advantages(t.rollouts, ["candidate_id", "seed", "group_id"]), ["candidate_id", "seed"])
+    numbers = ("lift_nll", "lift_acc", "nll_before", "nll_after", "kl_drift", "step_frac", "target_similarity")
+    features = [F.col("features")[f].alias(f) if f in ("n_rollouts", "n_groups") else r9(F.col("features")[f]).alias(f) for f in E7_FEATURES]
+    return out.select(*(r9(c).alias(c) if c in numbers else c for c in L.ENRICHED), "matched", *features)
 
 
 @query("e8_step_frac", " select row_id, round(anchor_index::double / greatest(max(anchor_index) over (partition by chain_id, domain), 1), 9) as step_frac from v_labels")

@@ -56,8 +56,17 @@ def test_cohorts(spark):
     assert len(share) == 12 and set(share.values()) == {0.0, 0.25, 0.5, 1.0}
     dup = C.duplication_cohorts(pool, [1, 4], 8, 2, 1).groupBy("name").agg(F.count_distinct("prompt_id").alias("k"), F.count(F.lit(1)).alias("n")).collect()
     assert sorted((r.k, r.n) for r in dup) == [(1, 8), (1, 8), (4, 8), (4, 8)]
+    # a pool of five prompts fills every cohort of one, two or four of them, and none of eight
+    small = C.duplication_cohorts(pool.limit(5), [1, 2, 4, 8], 8, 2, 1).orderBy("name", "pos").collect()
+    orders = {n: [r.prompt_id for r in small if r.name == n] for n in {r.name for r in small}}
+    assert sorted(orders) == [f"dup-k{k:02}-{j:03}" for k in (1, 2, 4) for j in (0, 1)]
+    assert all(o == o[:k] * (8 // k) and len(set(o)) == k for n, o in orders.items() for k in [int(n[5:7])])
+    every = C.build_all(pool.withColumn("level", F.col("prompt_id").substr(2, 1)), 8, 1).select("ord", "name", "kind", "n_with_rate").distinct().orderBy("ord").collect()
+    kinds = list(dict.fromkeys(r.kind for r in every))
+    assert kinds == ["label_noise", "duplication", "passband", "variance_decoupled", "by_level", "random"] and [r.ord for r in every] == list(range(len(every)))
+    assert [r.name for r in every if r.kind == "duplication"] == [f"dup-k{k:02}-{j:03}" for k in (1, 2, 4, 8) for j in (0, 1)] and all(r.n_with_rate == 8 for r in every)
     stats = {r.name: r for r in C.pass_stats(C.variance_decoupled(pool, 32, 1), pool).collect()}
-    assert stats["var-high"].within_group_var_mean > stats["var-low"].within_group_var_mean
+    assert stats["vardecouple-highvar"].within_group_var_mean > stats["vardecouple-lowvar"].within_group_var_mean
     plan = C.candidate_schedule(pool.limit(20), 48, 16, 4, 1).groupBy("state", "candidate").agg(F.count_distinct("prompt_id").alias("k")).collect()
     assert len(plan) == 48 * 16 and {r.k for r in plan} == {4}
     with pytest.raises(ValueError):
