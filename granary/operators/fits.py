@@ -311,31 +311,6 @@ def prequential(df: DataFrame, keys: list[str], order: list[str], features: list
     return df.join(_running(rows, keys, order, p, "pred double", finish, block), ident).select(*df.columns, "pred")
 
 
-def single_feature_baselines(df: DataFrame, fold: str, features: list[str], y: str, lam: float = 1.0) -> DataFrame:
-    """Long table feature, row, pred: each feature alone under the same folds, in one plan, in closed form."""
-    ids = [c for c in df.columns if c not in features]
-    means = df.agg(*(F.coalesce(F.avg(clean(f)), F.lit(0.0)).alias(f"_{i}") for i, f in enumerate(features))).first()
-    df = df.withColumns({f: clean(f) - F.lit(m) for f, m in zip(features, means)})  # no prediction depends on where a feature's zero is
-    long = df.unpivot(ids, features, "feature", "x").withColumn("x", clean("x"))
-    one = F.col("x").isNotNull().cast("double")
-    add = long.withColumns({"_c": one, "_x": F.coalesce("x", F.lit(0.0)), "_q": F.coalesce(F.col("x") * F.col("x"), F.lit(0.0)), "_u": F.coalesce(F.col("x") * F.col(y), F.lit(0.0)), "_v": one * F.col(y), "_n": F.lit(1.0), "_y": F.col(y)})
-    names = ["_n", "_y", "_c", "_x", "_q", "_u", "_v"]
-    own = add.groupBy("feature", fold).agg(*(F.sum(c).alias(c) for c in names))
-    total = own.groupBy("feature").agg(*(F.sum(c).alias(f"t{c}") for c in names))
-    r = {c: F.col(f"t{c}") - F.col(c) for c in names}
-    rest = own.join(total, "feature").select("feature", fold, *(e.alias(f"r{c}") for c, e in r.items())).filter("r_n > 0.5")
-    m = F.when(F.col("r_c") > 0, F.try_divide("r_x", "r_c")).otherwise(0.0)
-    fit = rest.withColumn("_m", m)
-    mu = (F.col("r_x") + (F.col("r_n") - F.col("r_c")) * F.col("_m")) / F.col("r_n")
-    fit = fit.withColumn("_mu", mu)
-    sq = F.col("r_q") + (F.col("r_n") - F.col("r_c")) * F.col("_m") * F.col("_m") - F.col("r_n") * F.col("_mu") * F.col("_mu")
-    fit = fit.withColumn("_sd", F.sqrt(F.greatest(sq, F.lit(0.0)) / F.col("r_n")))
-    sxy = F.col("r_u") + F.col("_m") * (F.col("r_y") - F.col("r_v")) - F.col("_mu") * F.col("r_y")
-    fit = fit.withColumn("_slope", F.when(F.col("_sd") > 1e-9, F.try_divide(sxy, F.when(F.col("_sd") > 1e-9, F.col("_sd") * F.col("_sd") * (F.col("r_n") + lam)))).otherwise(0.0))
-    pred = F.col("r_y") / F.col("r_n") + F.col("_slope") * (F.coalesce("x", F.col("_m")) - F.col("_mu"))
-    return long.join(fit, ["feature", fold]).withColumn("pred", pred).select(*ids, "feature", "pred")
-
-
 def conformal(df: DataFrame, keys: list[str], alpha: float, pred: str = "pred", y: str = "truth", tie: str = "id") -> DataFrame:
     """Half-width q, the k-th smallest |residual| with k = min(n, ceil((n + 1)(1 - alpha))), coverage and the share of |pred| below q."""
     r = row_numbers(df.withColumn("_r", F.abs(F.col(y) - F.col(pred))), keys, {"_rn": ("_r", False)}, tie)

@@ -2,8 +2,8 @@
 
 from pyspark.sql import Window as W, functions as F
 
-from granary.functions.exprs import FLAT, pearson, r9, ratio
-from granary.operators import fits as G, labels as F_, metrics as M
+from granary.functions.exprs import r9
+from granary.operators import evaluation as E, fits as G, labels as F_
 from granary.sources.scratch import stored
 
 from .base import query
@@ -103,51 +103,38 @@ def g7(t):
     return G.oof_predict(data, "fold", X, "y").select("row_id", "fold", r9("pred").alias("pred"))
 
 
-def _metrics(pred):
-    """All metrics of predictions (id, grp, pred, truth) in one row."""
-    parts = [
-        pred.agg(F.count(F.lit(1)).alias("n"), *M.error_columns(), pearson("pred", "truth").alias("pearson"), F.avg((M.sign3(F.col("pred")) == M.sign3(F.col("truth"))).cast("double")).alias("sign_accuracy")),
-        M.spearman(pred, []).select("spearman"), M.within_group_spearman(pred).select("within_spearman"), M.top1_regret(pred).select("top1_regret"), M.selection_lift(pred),
-        M.concordance(pred, ["grp"]).agg(ratio(F.sum("right"), F.sum("pairs")).alias("pairwise_accuracy")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.crossJoin(F.broadcast(p))  # one row each
-    return out
-
-
-def _as_predictions(df):
-    return df.select(F.col("row_id").alias("id"), F.col("anchor").alias("grp"), "pred", F.col("y").alias("truth"))
-
-
-def _baselines(data):
-    """baseline, n, rmse and within-anchor Spearman of each single feature and of the mean, under folds by chain."""
-    single = G.single_feature_baselines(data.select("row_id", "anchor", "chain_id", "y", *ALL), "chain_id", ALL, "y")
-    spread = data.agg(*((F.stddev_pop(k) > FLAT).alias(k) for k in ALL)).unpivot([], ALL, "feature", "varies").filter("varies").select("feature")  # constant columns are skipped
-    mean = G.mean_baseline(data.select("row_id", "anchor", "chain_id", "y"), "chain_id", "y").withColumn("feature", F.lit("predict_mean"))
-    ids = ["row_id", "anchor", "y", "feature", "pred"]
-    both = stored(single.join(F.broadcast(spread), "feature").select(ids).unionByName(mean.select(ids)), "baselines")
-    e = F.col("pred") - F.col("y")
-    errors = both.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"))
-    ranks = M.spearman(both.select("feature", F.col("anchor").alias("grp"), F.col("row_id").alias("id"), r9("pred").alias("pred"), F.col("y").alias("truth")), ["feature", "grp"])  # equal to nine decimals is a tie
-    within = ranks.filter("n >= 2").groupBy("feature").agg(F.avg("spearman").alias("within_spearman"))
-    return errors.join(within, "feature")
-
-
 @query("g8_evaluate")
 def g8(t):
-    """Ridge on all features, out of fold by chain: every metric, the conformal interval, and whether it beats the baselines."""
-    data = matrix(t)
-    pred = stored(_as_predictions(G.oof_predict(data, "chain_id", ALL, "y")), "predictions")  # many metrics read them
-    half = G.conformal(pred.withColumn("_k", F.lit(0)), ["_k"], 0.2).select("q", "coverage", "indeterminate")
-    base = _baselines(data)
-    best = F.max(F.when(F.col("feature") != "predict_mean", F.col("within_spearman")))
-    of = lambda f, c: F.max(F.when(F.col("feature") == f, F.col(c)))
-    against = base.agg(of("predict_mean", "rmse").alias("mean_rmse"), of("pass_rate", "within_spearman").alias("difficulty"), best.alias("best_single"))
-    one = _metrics(pred).crossJoin(F.broadcast(half)).crossJoin(F.broadcast(against))  # one row each
-    beats = {"beats_mean": F.col("rmse") <= F.col("mean_rmse"), "beats_difficulty": F.col("within_spearman") >= F.coalesce("difficulty", F.lit(-2.0)), "beats_best_single": F.col("within_spearman") >= F.col("best_single")}
-    shown = [c for c in one.columns if c not in ("n", "r2_oos")]
-    return one.withColumns(beats).select("n", F.lit(len(ALL)).alias("n_features"), *(r9(c).alias(c) for c in shown), *beats)
+    """Ridge on all features and the baselines, out of fold by chain: every metric, the conformal interval, and what the model beats."""
+    out = E.evaluate(matrix(t).withColumnRenamed("y", "nll"), ALL, label="nll")
+    kept = ("name", "n", "scheme", "label", "n_features", "best_single_feature", "beats_difficulty", "beats_best_single_feature")
+    return out.select(*kept, *(r9(c).alias(c) for c in out.columns if c not in kept and c != "frac_of_oracle"))
+
+
+_EVAL = """, fo as (select chain_id, count(*)::double as n, sum(x3) as x, sum(lift_nll) as y, sum(x3 * x3) as xx, sum(x3 * lift_nll) as xy from l group by 1),
+rs as (select a.chain_id, sum(b.n) as n, sum(b.x) as x, sum(b.y) as y, sum(b.xx) as xx, sum(b.xy) as xy from fo a join fo b on a.chain_id <> b.chain_id group by 1),
+pm as (select 'model' as name, row_id, concat(chain_id, '::', anchor_index) as grp, lift_nll as truth, y / n + (xy - x * y / n) / ((xx - x * x / n) * (n + 1) / n) * (x3 - x / n) as pred from l join rs using (chain_id)
+ union all select 'predict_mean', row_id, concat(chain_id, '::', anchor_index), lift_nll, y / n from l join rs using (chain_id)),
+rk as (select *, cast(row_number() over (partition by name order by pred, row_id) as double) as rp, cast(row_number() over (partition by name order by truth, row_id) as double) as ry,
+  cast(row_number() over (partition by name, grp order by pred, row_id) as double) as gp, cast(row_number() over (partition by name, grp order by truth, row_id) as double) as gy, count(*) over (partition by name, grp) as size,
+  row_number() over (partition by name, grp order by pred desc, row_id desc) as tp, row_number() over (partition by name, grp order by pred desc, row_id) as t1, row_number() over (partition by name, grp order by truth desc, row_id desc) as ty from pm),
+w as (select name, avg(c) as within_anchor_spearman, avg(regret) as top1_regret, avg(m) as selection_random, avg(o) as selection_oracle from (select name, grp, {group} as c, max(truth) - max(truth) filter (t1 = 1) as regret, avg(truth) as m,
+  avg(truth) filter (ty <= greatest(1, round_even(size * 0.25, 0))) as o from rk group by 1, 2) group by 1),
+q as (select abs(truth - pred) as r, abs(pred) as p, row_number() over (order by abs(truth - pred), row_id) as rn, count(*) over () as n from pm where name = 'model'),
+h as (select max(r) filter (rn = least(n, ceil((n + 1) * 0.8::double))) as q from q), cv as (select max(h.q) as q, avg((r <= h.q)::int) as coverage, avg((p < h.q)::int) as indeterminate from q, h),
+ag as (select name, count(*) as n, sqrt(avg((pred - truth) ** 2)) as rmse, {plain} as pearson, {ranks} as spearman, avg((sign(pred) = sign(truth))::int) as sign_accuracy, avg(truth) filter (tp <= greatest(1, round_even(size * 0.25, 0))) as selection_model from rk group by 1)
+select ag.name, ag.n, round(rmse, 7) as rmse, round(pearson, 7) + 0.0::double as pearson, round(spearman, 7) + 0.0::double as spearman, round(sign_accuracy, 7) as sign_accuracy, round(within_anchor_spearman, 7) + 0.0::double as within_anchor_spearman,
+  round(top1_regret, 7) as top1_regret, round(selection_model, 7) as selection_model, round(selection_random, 7) as selection_random, round(selection_oracle, 7) as selection_oracle, round(case when ag.name = 'model' then q end, 7) as q,
+  round(case when ag.name = 'model' then coverage end, 7) as coverage, round(case when ag.name = 'model' then indeterminate end, 7) as indeterminate from ag join w using (name), cv"""
+
+
+@query("g8_evaluate_single", LIFT + _EVAL.format(group=COR.format(x="gp", y="gy"), plain=COR.format(x="pred", y="truth"), ranks=COR.format(x="rp", y="ry")))
+def g8s(t):
+    """The same evaluation of a model of one feature, whose fit has a closed form."""
+    data = lifted(t).withColumn("anchor", F.concat_ws("::", "chain_id", "anchor_index"))
+    out = E.evaluate(data, ["x3"], label="lift_nll")
+    kept = ("rmse", "pearson", "spearman", "sign_accuracy", "within_anchor_spearman", "top1_regret", "selection_model", "selection_random", "selection_oracle", "q", "coverage", "indeterminate")
+    return out.select("name", "n", *((F.round(c, 7) + 0.0).alias(c) for c in kept))
 
 
 G9_SQL = FX + f""", lg as (select feature, chain_id, anchor, row_id, y, x from (unpivot (select row_id, chain_id, anchor, lift_nll as y, {', '.join(f'cast({k} as double) as {k}' for k in ALL)} from fx) on {', '.join(ALL)} into name feature value x)),
@@ -165,8 +152,8 @@ select p.feature as baseline, count(*) as n, round(sqrt(avg((pred - y) * (pred -
 
 @query("g9_baselines", G9_SQL)
 def g9(t):
-    out = _baselines(matrix(t))
-    return out.select(F.col("feature").alias("baseline"), "n", F.round("rmse", 7).alias("rmse"), (F.round("within_spearman", 6) + 0.0).alias("within_spearman"))
+    out = E.baseline_scores(matrix(t), "chain_id", ALL)
+    return out.select(F.col("feature").alias("baseline"), "n", F.round("rmse", 7).alias("rmse"), (F.round("within_anchor_spearman", 6) + 0.0).alias("within_spearman"))
 
 
 @query("g10_transfer")
@@ -176,26 +163,11 @@ def g10(t):
     return out.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), r9(F.sqrt(F.avg((F.col("pred") - F.col("y")) ** 2))).alias("rmse"))
 
 
-def _spearman_by(pred, keys):
-    out = M.spearman(pred.withColumnRenamed("row_id", "id").withColumnRenamed("y", "truth"), keys)
-    return out.select(*keys, "n", r9("spearman").alias("spearman"))
-
-
-def _with_overall(pred, key):
-    """Spearman by key, and a row ALL over every prediction."""
-    pred = stored(pred, "predictions")
-    return _spearman_by(pred, [key]).unionByName(_spearman_by(pred.withColumn(key, F.lit("ALL")), [key]))
-
-
 @query("g11_leave_one_domain_out")
 def g11(t):
     """The ladder: one strong feature, a few, the mechanism, and all with context; by held-out domain and over all."""
-    data, out = matrix(t), None
     ladder = {"adv_std": ["adv_std"], "spread": ["adv_std", "frac_nondegenerate", "group_passrate_std"], "mechanism": F_.MECHANISM_KEYS, "all": ALL}
-    for name, features in ladder.items():
-        part = _with_overall(G.oof_predict(data, "domain", features, "y").select("row_id", "domain", "pred", "y"), "domain").withColumn("setting", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return E.leave_one_out_ladder(matrix(t), "domain", ladder).withColumn("spearman", r9("spearman"))
 
 
 @query("g12_few_shot_transfer")
@@ -206,7 +178,7 @@ def g12(t):
 
 @query("g13_leave_one_kind_out")
 def g13(t):
-    return _with_overall(G.oof_predict(matrix(t), "kind", ALL, "y").select("row_id", "kind", "pred", "y"), "kind")
+    return E.leave_one_out_ladder(matrix(t), "kind", {"all": ALL}).drop("setting").withColumn("spearman", r9("spearman"))
 
 
 @query(
@@ -315,22 +287,13 @@ def g21(t):
 @query("g22_feature_config_sweep")
 def g22(t):
     """Six feature configurations on seed means: rank correlation within domains (hash folds) against transfer to a held-out domain."""
-    data, out = L.featured(t), None
     rest = [k for k in F_.FEATURE_KEYS if k != "frac_nondegenerate"]
     configs = {
         "full": (F_.FEATURE_KEYS, True, None), "standardized": (F_.FEATURE_KEYS, True, "domain"), "no frac_nondegenerate": (rest, True, None), "no frac_nondegenerate, standardized": (rest, True, "domain"),
         "mechanism": (F_.MECHANISM_KEYS, False, None), "mechanism, standardized": (F_.MECHANISM_KEYS, False, "domain"),
     }
-    for name, (keys, context, within) in configs.items():
-        names = [*keys, *(F_.CONTEXT_KEYS if context else [])]
-        xy = F_.build_xy(data, ["domain", "candidate_id"], "nll", keys, context, within)
-        mean = stored(F_.denoise_seeds(xy, ["domain", "candidate_id"], names, "y"), "sweep").withColumn("fold", F.concat_ws(":", "domain", G.hash_fold("candidate_id", 5, 1).cast("string")))
-        own = G.oof_predict(mean, "fold", names, "y", within="domain").select("domain", "candidate_id", "pred", "y")
-        across = G.oof_predict(mean, "domain", names, "y").select("domain", "candidate_id", "pred", "y")
-        score = lambda p, c: M.spearman(p.select("domain", F.col("candidate_id").alias("id"), "pred", F.col("y").alias("truth")), ["domain"]).agg(F.avg("spearman").alias(c))
-        row = score(own, "within").crossJoin(score(across, "transfer")).select(F.lit(name).alias("config"), r9("within").alias("within"), r9("transfer").alias("transfer"))  # one row each
-        out = row if out is None else out.unionByName(row)
-    return out
+    out = E.feature_sweep(L.featured(t), configs)
+    return out.select("config", r9("within").alias("within"), r9("transfer").alias("transfer"))
 
 
 @query(
