@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from granary.functions.exprs import pearson, ratio, row_numbers, with_group_size
+from granary.functions.exprs import clean, pearson, ratio, row_numbers, with_group_size
 from granary.operators.metrics import ranked, spearman, top_picks
+from granary.sources.scratch import stored
 
 
 def gate(df: DataFrame, cohort: str, label: str, keys: list[str] = [], min_seeds: int = 2) -> DataFrame:
@@ -109,23 +110,36 @@ def partial_rank_correlation(df: DataFrame, keys: list[str], x: str, y: str, z:
     return r.filter("n >= 8").select(*keys, "n", F.coalesce(ratio(F.col("xy") - F.col("xz") * F.col("yz"), F.sqrt(F.when(rest > 1e-12, rest))), F.lit(0.0)).alias("partial"))
 
 
-def feature_screen(df: DataFrame, features: list[str], y: str, domain: str, tie: str = "id") -> DataFrame:
-    """Spearman of each feature with y by domain and POOLED; needs more than 5 rows."""
-    long = df.unpivot([tie, domain, y], features, "feature", "x").filter(F.col("x").isNotNull())
-    own = spearman(long, ["feature", domain], "x", y, tie)
-    pooled = spearman(long, ["feature"], "x", y, tie).withColumn(domain, F.lit("POOLED"))
-    return own.unionByName(pooled).filter("n > 5")
+def feature_screen(df: DataFrame, features: list[str], y: str, domain: str, tie: str = "id", least: int = 6) -> DataFrame:
+    """feature, domain, n, spearman and place: the rank correlation of each feature with y by domain, POOLED, and the AVERAGE over domains.
 
+    Domains (and the pool) of fewer than `least` rows with the feature are left out. place orders the features by the magnitude
+    of their average, to nine decimals and then by name. Domains and the pool are ranked in one pass.
+    """
+    long = df.unpivot([tie, domain, y], features, "feature", "x").filter(F.col("x").isNotNull() & F.col(y).isNotNull())
+    both = long.withColumn(domain, F.explode(F.array(F.col(domain).cast("string"), F.lit("POOLED"))))
+    own = stored(spearman(both, ["feature", domain], "x", y, tie).filter(F.col("n") >= least), "screen")  # a row for each feature and domain
+    mean = own.filter(F.col(domain) != "POOLED").groupBy("feature").agg(F.sum("n").alias("n"), F.avg("spearman").alias("spearman"))
+    placed = mean.withColumn("place", F.row_number().over(W.orderBy(F.desc(F.round(F.abs("spearman"), 9)), "feature")))  # one row for each feature
+    out = own.unionByName(mean.select("feature", F.lit("AVERAGE").alias(domain), "n", "spearman"))
+    return out.join(F.broadcast(placed.select("feature", "place")), "feature", "left").select("feature", domain, "n", "spearman", "place")
 
-def dose_response(df: DataFrame, dose: str, lift: str, others: list[str] = []) -> DataFrame:
-    """Per dose: n, mean and deviation of the lift, whether the means never rise with the dose."""
-    per = df.groupBy(dose).agg(F.count(F.lit(1)).alias("n"), F.avg(lift).alias("mean_lift"), F.stddev_pop(lift).alias("sd_lift"), *(F.avg(c).alias(f"mean_{c}") for c in others))
-    w = W.partitionBy(F.lit(0)).orderBy(dose)  # one row for each dose
-    return per.withColumn("rises", F.coalesce(F.col("mean_lift") > F.lag("mean_lift").over(w) + 1e-9, F.lit(False)))
 
+def dose_of(fraction: Column, name: Column) -> Column:
+    """The share of corrupted answers: stated, or read from a cohort's name; null for other cohorts."""
+    return F.coalesce(fraction, F.try_divide(F.nullif(F.regexp_extract(name, r"^labelnoise-(\d+)", 1), F.lit("")).try_cast("double"), F.lit(100.0)))
 
-def dose_verdict(df: DataFrame, dose: str, lift: str, tie: str) -> DataFrame:
-    return spearman(df, [], dose, lift, tie).withColumn("verdict", F.when(F.col("spearman") < -0.3, "dose_response").otherwise("no_dose_response"))
+
+def dose_response(df: DataFrame, dose: str, lift: str, others: list[str] = [], tie: str = "id") -> DataFrame:
+    """Per dose: n, mean and deviation of the lift and means of `others` (missing counts as 0); in every row the rank correlation of all
+    rows, whether the means never rise with the dose, and the verdict: confirmed below -0.3. Rows without a dose are left out."""
+    rows = df.filter(F.col(dose).isNotNull()).withColumn(lift, F.coalesce(clean(lift), F.lit(0.0)))
+    per = rows.groupBy(dose).agg(F.count(F.lit(1)).alias("n"), F.avg(lift).alias("mean_lift"), F.coalesce(F.stddev_pop(lift), F.lit(0.0)).alias("sd_lift"), *(F.avg(F.coalesce(clean(c), F.lit(0.0))).alias(f"mean_{c}") for c in others))
+    w = W.partitionBy(F.lit(0)).orderBy(dose)  # one row for each dose
+    per = per.withColumn("rises", F.coalesce(F.col("mean_lift") > F.lag("mean_lift").over(w) + 1e-9, F.lit(False)))
+    per = per.withColumn("non_increasing", ~F.bool_or("rises").over(W.partitionBy(F.lit(0))))
+    rho = spearman(rows, [], dose, lift, tie).select("spearman")  # one row
+    return per.crossJoin(F.broadcast(rho)).withColumn("verdict", F.when(F.col("spearman") < -0.3, "confirmed").otherwise("weak_or_absent"))
 
 
 def within_percentile(df: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:

@@ -318,3 +318,68 @@ def g25(t):
     e = r9(F.sqrt(F.avg((F.col("pred") - F.col("y")) ** 2)))
     one = lambda d, name: d.agg(e.alias("rmse"), F.count(F.lit(1)).alias("n")).withColumn("backend", F.lit(name))
     return one(G.oof_predict(data, "fold", ALL, "y"), "ridge").unionByName(one(G.boosted_oof(data, "fold", 2, ALL, "y"), "trees"))
+
+
+_ONE = "sum({x}) as x, sum(lift_nll) as y, sum({x} * {x}) as xx, sum({x} * lift_nll) as xy, count(*)::double as n"
+
+
+def _oof_sql(fold: str, x: str = "x3") -> str:
+    """Common table pr (row_id, fold, pred, truth): a ridge of one feature, every fold predicted from all others."""
+    return f""", fd as (select *, {fold} as fold from l), fs as (select fold, {_ONE.format(x=x)} from fd group by 1), al as (select sum(n) as n, sum(x) as x, sum(y) as y, sum(xx) as xx, sum(xy) as xy from fs),
+rs as (select fold, al.n - fs.n as n, al.x - fs.x as x, al.y - fs.y as y, al.xx - fs.xx as xx, al.xy - fs.xy as xy from fs, al where al.n > fs.n),
+pr as (select row_id, fold, lift_nll as truth, y / n + (xy - x * y / n) / ((xx - x * x / n) * (n + 1) / n) * ({x} - x / n) as pred from fd join rs using (fold))"""
+
+
+@query("g7_kfold_single", LIFT + _oof_sql("cast(cast(concat('0x', substr(md5(concat('1:', candidate_id)), 1, 8)) as bigint) % 5 as int)") + " select row_id, fold, round(pred, 9) + 0.0::double as pred from pr")
+def g7s(t):
+    data = rows(t).withColumn("fold", G.hash_fold("candidate_id", 5, 1))
+    return G.oof_predict(data, "fold", ["x3"], "y").select("row_id", "fold", r9("pred").alias("pred"))
+
+
+@query(
+    "g10_transfer_single",
+    LIFT + f""", s as (select {_ONE.format(x='x3')} from l where domain = 'BUILDING'), p as (select domain, lift_nll as truth, s.y / n + (s.xy - s.x * s.y / n) / ((s.xx - s.x * s.x / n) * (n + 1) / n) * (x3 - s.x / n) as pred from l, s where domain <> 'BUILDING')
+select domain, count(*) as n, round(sqrt(avg((pred - truth) * (pred - truth))), 9) as rmse from p group by 1""",
+)
+def g10s(t):
+    data = rows(t)
+    out = G.transfer(data.filter("domain = 'BUILDING'"), data.filter("domain <> 'BUILDING'"), ["x3"], "y")
+    return out.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), r9(F.sqrt(F.avg((F.col("pred") - F.col("y")) ** 2))).alias("rmse"))
+
+
+_BY_FOLD = f""", g as (select row_id, fold, pred, truth from pr union all select row_id, 'ALL', pred, truth from pr),
+k as (select fold, cast(row_number() over (partition by fold order by pred, row_id) as double) as rp, cast(row_number() over (partition by fold order by truth, row_id) as double) as ry from g)
+select fold as {{name}}, count(*) as n, round({COR.format(x='rp', y='ry')}, 9) + 0.0::double as spearman from k group by 1"""
+
+
+@query("g11_leave_one_domain_out_single", LIFT + _oof_sql("domain") + _BY_FOLD.format(name="domain"))
+def g11s(t):
+    return E.leave_one_out_ladder(rows(t), "domain", {"x3": ["x3"]}).drop("setting").withColumn("spearman", r9("spearman"))
+
+
+@query("g13_leave_one_kind_out_single", LIFT + _oof_sql("kind") + _BY_FOLD.format(name="kind"))
+def g13s(t):
+    return E.leave_one_out_ladder(rows(t), "kind", {"x3": ["x3"]}).drop("setting").withColumn("spearman", r9("spearman"))
+
+
+_PREFIX = """, w as (select candidate_id, row_id, x3, lift_nll as truth, count(*) over p as t, count(*) over p::double as n, sum(x3) over p as x, sum(lift_nll) over p as y, sum(x3 * x3) over p as xx, sum(x3 * lift_nll) over p as xy, sum(lift_nll * lift_nll) over p as yy
+  from l window p as (partition by candidate_id order by row_id rows between unbounded preceding and current row)),
+f as (select *, xx - x * x / n as c, xy - x * y / n as b from w), s as (select *, c / n as v from f)"""
+
+
+@query(
+    "g16_snapshots_single",
+    LIFT + _PREFIX + """ select candidate_id, cast(t as int) as t, round(y / n, 9) + 0.0::double as base, round(case when v > 1e-9 then b / sqrt(v) / (n + 1) else 0 end, 7) + 0.0::double as w from s""",
+)
+def g16s(t):
+    fit = G.snapshots(rows(t), ["candidate_id"], ["row_id"], ["x3"], "y")
+    return fit.select("candidate_id", "t", r9("base").alias("base"), (F.round(F.when(F.col("sd")[0] != 1.0, F.col("w")[0]).otherwise(0.0), 7) + 0.0).alias("w"))
+
+
+@query(
+    "g17_prequential_single",
+    LIFT + _PREFIX + """, e as (select candidate_id, row_id, x3, lag(n) over q as n, lag(x) over q as x, lag(y) over q as y, lag(c) over q as c, lag(b) over q as b from s window q as (partition by candidate_id order by row_id))
+select row_id, round(case when coalesce(n, 0) < 4 then x3 else y / n + case when c / n > 1e-9 then b / (c * (n + 1) / n) * (x3 - x / n) else 0 end end, 7) + 0.0::double as pred from e""",
+)
+def g17s(t):
+    return G.prequential(rows(t), ["candidate_id"], ["row_id"], ["x3"], "y", fallback="x3").select("row_id", (F.round("pred", 7) + 0.0).alias("pred"))

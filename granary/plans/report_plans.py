@@ -47,16 +47,27 @@ def j4(t):
     return first.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+_CLIMB = " ".join(
+    f"cast(count(*) filter (arm = '{a}') as bigint) as n_{a}, " + ", ".join(f"round(avg({c}) filter (arm = '{a}'), 9) + 0.0::double as {n}_{a}" for n, c in (("nll", "nll"), ("acc", "acc_so_far"), ("realized_lift", "realized"), ("predicted_lift", "predicted_lift"), ("gens", "so_far"))) + ","
+    for a in ("online", "random")
+)
+
+
 @query(
     "j5_climb_comparison",
-    """, g as (select case when chain_id = 0 then 'online' else 'random' end as arm, candidate_id, seed as step, nll_after as nll, x2 as predicted_lift, 32 as gens from v_labels),
-r as (select *, lag(nll) over w - nll as realized, sum(gens) over (w rows between unbounded preceding and current row) as so_far from g window w as (partition by arm, candidate_id order by step))
-select arm, step, count(*) as n, round(avg(nll), 9) as nll, round(avg(realized), 9) + 0.0::double as realized_lift, round(avg(predicted_lift), 9) as predicted_lift, round(avg(so_far), 9) as gens_so_far from r group by 1, 2""",
+    """, g as (select case when chain_id = 0 then 'online' else 'random' end as arm, candidate_id, seed as step, nll_after as nll, case when seed % 3 = 0 then acc_after end as acc, x2 as predicted_lift, 32 as gens, row_id from v_labels where row_id % 50 <> 7),
+r as (select *, lag(nll) over w - nll as realized, last_value(acc ignore nulls) over (w rows between unbounded preceding and current row) as acc_so_far, sum(gens) over (w rows between unbounded preceding and current row) as so_far, step = coalesce(lag(step) over w + 1, 0) as ok
+  from g window w as (partition by arm, candidate_id order by step))
+select step, """ + _CLIMB + """ bool_and(ok) as in_order, round(avg(nll) filter (arm = 'random') - avg(nll) filter (arm = 'online'), 9) + 0.0::double as nll_gap from r group by 1""",
 )
 def j5(t):
-    log = t.labels.select(F.when(F.col("chain_id") == 0, "online").otherwise("random").alias("arm"), F.col("candidate_id").alias("seed"), F.col("seed").alias("step"), F.col("nll_after").alias("nll"), F.col("x2").alias("predicted_lift"), F.lit(32).alias("gens"))
+    """Some steps are missing, as in a log that broke off."""
+    arm = F.when(F.col("chain_id") == 0, "online").otherwise("random")
+    rows = t.labels.filter("row_id % 50 <> 7")
+    log = rows.select(arm.alias("arm"), F.col("candidate_id").alias("seed"), F.col("seed").alias("step"), F.col("nll_after").alias("nll"), F.when(F.col("seed") % 3 == 0, F.col("acc_after")).alias("acc"), F.col("x2").alias("predicted_lift"), F.lit(32).alias("gens"))
     out = P.climb_comparison(log)
-    return out.select("arm", "step", "n", *(r9(c).alias(c) for c in ("nll", "realized_lift", "predicted_lift", "gens_so_far")))
+    plain = ("step", "n_online", "n_random", "in_order")
+    return out.select(*(c if c in plain else r9(c).alias(c) for c in out.columns))
 
 
 @query(
@@ -67,5 +78,5 @@ select candidate_id, cast(t as int) as t, count(*) as n, round(sum((x3 - mu) / s
 def j6(t):
     w = W.partitionBy("candidate_id").orderBy("seed").rowsBetween(W.unboundedPreceding, 0)
     snaps = t.labels.select("candidate_id", (F.col("seed") + 1).alias("t"), F.avg("x3").over(w).alias("mu"), F.stddev_pop("x3").over(w).alias("sd")).filter("sd > 1e-6")
-    out = P.rows_by_step(t.labels.select("candidate_id", "seed", "x3"), snaps, ["candidate_id"], "seed", "x3")
-    return out.groupBy("candidate_id", "t").agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum("z"), 6) + 0.0).alias("z_sum"), (F.round(F.max("z"), 6) + 0.0).alias("z_max"))
+    out = P.step_summary(t.labels.select("candidate_id", "seed", "x3"), snaps, ["candidate_id"], "seed", "x3")
+    return out.select("candidate_id", F.col("t").cast("int").alias("t"), "n", (F.round("z_sum", 6) + 0.0).alias("z_sum"), (F.round("z_max", 6) + 0.0).alias("z_max"))

@@ -6,7 +6,7 @@ from granary.functions.exprs import pearson, r9
 from granary.operators import labels as L, signal as S
 
 from .base import query
-from .label_plans import LIFT, lifted
+from .label_plans import ALL, FX, LIFT, featured, lifted
 from .metric_plans import COR
 
 GATE = """, u as (select domain, candidate_id, lab as label, case lab when 'acc' then lift_acc when 'nll' then lift_nll else x3 end as v from l, (values ('acc'), ('nll'), ('x3')) q(lab)),
@@ -135,29 +135,42 @@ def i9(t):
     return out.select("domain", "n", r9("partial").alias("partial"))
 
 
-LONG = LIFT + """, lg as (select domain, row_id, lift_nll as y, f as feature, case f when 'x1' then x1 when 'x2' then x2 else x3 end as x from l, (values ('x1'), ('x2'), ('x3')) q(f)), lf as (select * from lg where x is not null)"""
-
-
 @query(
     "i10_single_feature_screen",
-    LONG + f""", a as (select feature, domain, cast(row_number() over (partition by feature, domain order by x, row_id) as double) as rx, cast(row_number() over (partition by feature, domain order by y, row_id) as double) as ry from lf
- union all select feature, 'POOLED', cast(row_number() over (partition by feature order by x, row_id) as double), cast(row_number() over (partition by feature order by y, row_id) as double) from lf)
-select feature, domain, count(*) as n, round({COR.format(x='rx', y='ry')}, 9) + 0.0::double as spearman from a group by 1, 2""",
+    FX + f""", lg as (select feature, domain, row_id, y, x from (unpivot (select row_id, domain, lift_nll as y, {', '.join(f'round(cast({k} as double), 9) as {k}' for k in ALL)} from fx) on {', '.join(ALL)} into name feature value x)),
+bo as (select feature, unnest([domain, 'POOLED']) as domain, row_id, x, y from lg),
+a as (select *, cast(row_number() over (partition by feature, domain order by x, row_id) as double) as rx, cast(row_number() over (partition by feature, domain order by y, row_id) as double) as ry from bo),
+c as (select feature, domain, count(*) as n, {COR.format(x='rx', y='ry')} as s from a group by 1, 2 having count(*) > 5), m as (select feature, cast(sum(n) as bigint) as n, avg(s) as s from c where domain <> 'POOLED' group by 1),
+pl as (select feature, cast(row_number() over (order by round(abs(s), 9) desc, feature) as int) as place from m)
+select feature, domain, n, round(s, 9) + 0.0::double as spearman, place from (select * from c union all select feature, 'AVERAGE', n, s from m) left join pl using (feature)""",
 )
 def i10(t):
-    rows = lifted(t).select(F.col("row_id").alias("id"), "domain", "lift_nll", "x1", "x2", "x3")
-    return S.feature_screen(rows, ["x1", "x2", "x3"], "lift_nll", "domain").select("feature", "domain", "n", r9("spearman").alias("spearman"))
+    data = L.build_xy(featured(t), ["row_id", "domain"], "nll")
+    data = data.withColumns({k: F.round(k, 9) for k in ALL})  # equal to nine decimals is a tie
+    return S.feature_screen(data, ALL, "y", "domain", "row_id").withColumn("spearman", r9("spearman"))
 
 
 @query(
     "i11_dose_response",
-    LIFT + """, d as (select cast(left(kind, 1) as int) as dose, lift_nll, x3 from l), p as (select dose, count(*) as n, avg(lift_nll) as m, stddev_pop(lift_nll) as s, avg(x3) as x from d group by 1)
-select dose, n, round(m, 9) + 0.0::double as mean_lift, round(s, 9) as sd_lift, round(x, 9) as mean_x3, coalesce(m > lag(m) over (order by dose) + 1e-9, false) as rises from p""",
+    LIFT + """, d as (select row_id, case when row_id % 3 = 0 then left(kind, 1)::double / 4 - 0.25 when row_id % 3 = 1 then cast(regexp_extract(printf('labelnoise-%03d-001', (left(kind, 1)::int - 1) * 25), '^labelnoise-([0-9]+)', 1) as double) / 100 end as dose,
+  lift_nll - left(kind, 1)::double / 20 as lift, x1, x2, x3, acc_after from l),
+p as (select dose, count(*) as n, avg(lift) as m, stddev_pop(lift) as s, avg(coalesce(x1, 0)) as a, avg(x2) as b, avg(x3) as c, avg(acc_after) as e from d where dose is not null group by 1),
+r as (select *, coalesce(m > lag(m) over (order by dose) + 1e-9, false) as rises from p),
+k as (select cast(row_number() over (order by dose, row_id) as double) as rd, cast(row_number() over (order by lift, row_id) as double) as rl from d where dose is not null), q as (select """
+    + COR.format(x="rd", y="rl")
+    + """ as rho from k)
+select dose, n, round(m, 9) + 0.0::double as mean_lift, round(s, 9) as sd_lift, round(a, 9) + 0.0::double as mean_x1, round(b, 9) as mean_x2, round(c, 9) as mean_x3, round(e, 9) as mean_acc_after, rises, not bool_or(rises) over () as non_increasing,
+  round(rho, 9) + 0.0::double as spearman, case when rho < -0.3 then 'confirmed' else 'weak_or_absent' end as verdict from r, q""",
 )
 def i11(t):
-    rows = lifted(t).withColumn("dose", F.regexp_extract("kind", r"^(\d)", 1).cast("int"))
-    out = S.dose_response(rows, "dose", "lift_nll", ["x3"])
-    return out.select("dose", "n", *(r9(c).alias(c) for c in ("mean_lift", "sd_lift", "mean_x3")), "rises")
+    """A third of the cohorts state their dose, a third have it in their name, the others have none."""
+    step, third = F.substring("kind", 1, 1).cast("int"), F.col("row_id") % 3
+    stated = F.when(third == 0, step.cast("double") / 4 - 0.25)
+    name = F.when(third == 1, F.format_string("labelnoise-%03d-001", (step - 1) * 25)).otherwise("random-001")
+    rows = lifted(t).withColumns({"dose": S.dose_of(stated, name), "lift": F.col("lift_nll") - step.cast("double") / 20})
+    out = S.dose_response(rows, "dose", "lift", ["x1", "x2", "x3", "acc_after"], "row_id")
+    plain = ("dose", "n", "rises", "non_increasing", "verdict")
+    return out.select(*(c if c in plain else r9(c).alias(c) for c in out.columns))
 
 
 PCT = LIFT + """, pc as (select *, (row_number() over (partition by domain order by lift_nll, row_id) - 1)::double / greatest(count(*) over (partition by domain) - 1, 1) as pct from l)"""
