@@ -15,7 +15,8 @@ Defined results: rows with a null id, or whose vector is null or holds null or n
 take no part. Shorter vectors count as padded with zeros. Rows that share an id are rows of their own:
 each is a candidate for all but itself, and each query row has its own ranks. Components beyond 2**53
 count as 2**53 and scores beyond a long as the long's ends. Ties go to the smaller id; with fewer
-candidates than k all are returned. A zero query scores 0 with every row.
+candidates than k all are returned. A zero query scores 0 with every row. An empty table, or one without queries,
+gives no rows. Other columns, whatever their names, take no part.
 """
 
 from __future__ import annotations

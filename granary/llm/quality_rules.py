@@ -5,7 +5,9 @@ and no row leaves its partition, so the job is one scan without a shuffle at any
 
 Defined results: a null or blank text has no words, fails the base rule and is not kept. A text of any
 length is judged whole. Repeated rows are judged alone and stay repeated. Columns of the input that
-share a feature's name are replaced by the feature; all others come back as they were.
+share a feature's name are replaced by the feature; all others come back as they were. An empty table gives an
+empty one. The rule on stop words knows English, German, French and Spanish: a text of its length or more in another
+language fails it and is not kept, so such corpora need their own list.
 """
 
 from __future__ import annotations

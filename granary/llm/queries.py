@@ -131,6 +131,26 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+# checksums of runs are made a byte at a time, from a table that list_reduce makes first
+OP11_SQL = r"""
+with tb as (select list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+al as (select true as own, row_number() over () as rid, doc_id, text from documents union all select false, -row_number() over (), null, text from benchmark),
+d as (select own, rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from al),
+g as (select own, rid, array_to_string(list_slice(w, i, i + n - 1), ' ') as x from d, (values (1), (2), (3)) r(n), unnest(range(1, len(w) - n + 2)) as u(i)),
+c as (select own, rid, x, count(*) as k from g group by 1, 2, 3),
+h as (select x, hex(encode(x)) as b from (select distinct x from c)),
+b as (select x, xor(list_reduce(list_concat([4294967295], list_transform(range(0, len(b) // 2), lambda j: cast(concat('0x', substr(b, cast(2 * j + 1 as int), 2)) as bigint))), lambda s, v: xor(s >> 8, t[(xor(s, v) & 255) + 1])), 4294967295) % 10000 as bucket from h, tb),
+f as (select own, rid, bucket, sum(k) as k from c join b using (x) group by 1, 2, 3),
+q as (select bucket, coalesce(sum(k) filter (own), 0) as s, coalesce(sum(k) filter (not own), 0) as t from f group by 1),
+z as (select coalesce(sum(k) filter (own), 0)::double as s, coalesce(sum(k) filter (not own), 0)::double as t from f),
+ga as (select bucket, cast(floor(1000 * ln((q.t + 1)::double * (z.s + 10000) / ((q.s + 1)::double * (z.t + 10000)))) as bigint) as gain from q, z),
+w as (select rid, cast(sum(k) as bigint) as n_features, cast(sum(k * gain) as bigint) as weight from f join ga using (bucket) where own group by 1),
+p as (select d.rid, doc_id, len(w) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight, cast(concat('0x', substr(sha256(concat('42:', doc_id)), 1, 8)) as bigint) as h from d left join w on d.rid = w.rid where own),
+s as (select *, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296))) as bigint) as score, n_words >= 20 as able from p),
+r as (select *, row_number() over (partition by able order by score desc, doc_id nulls last, n_features desc) as k, count(*) over (partition by able) as n from s)
+select doc_id, n_features, weight, score, case when able and k <= 5 * n // 100 then k end as rank from r"""
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(_table(spark, sf_dir, "documents"))
 
@@ -166,4 +186,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_quality_rules": _op1_sql(), "op2_top_k": OP2_SQL, "op10_url_filters": OP10_SQL}
+    return {"op1_quality_rules": _op1_sql(), "op2_top_k": OP2_SQL, "op10_url_filters": OP10_SQL, "op11_resampling": OP11_SQL}

@@ -6,7 +6,8 @@ tokens of length L or more, tokens left when every document is cut at L, and the
 of length L or less (from which any quantile is read). Suffix sums run in blocks of lengths, whose
 totals are carried over in a second, far smaller sum: no window spans the whole histogram.
 
-Defined results: a null text has length 0. Repeated rows count each. An empty table gives no rows.
+Defined results: a null or empty text has length 0; a text of any length is encoded whole. Repeated rows count
+each. Columns other than the text take no part, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@ corpus and then extended to the run of windows around it (see _repeats). The fir
 window stays: smaller doc_id, or earlier start.
 
 Defined results: a null or blank text has no words. Rows of one doc_id: windows at the same start
-are equally early, so neither removes the other. Rows with a null doc_id stay whole. Extra columns
-are kept.
+are equally early, so neither removes the other. Rows with a null doc_id stay whole. Ids are whole numbers, as
+their order says which text is earlier. A text of any length is cut whole, in runs of windows that no task has to
+hold at once. Extra columns are kept, whatever their names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
