@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from granary.sources.scratch import stored
 
@@ -75,53 +75,37 @@ def ordinal(df: DataFrame, keys: list[str], key: str, into: str = "rn", tie: tup
     return out.drop("_b", "_ob", "_before", "_i", *(f"_k{i}" for i in range(len(keys))))
 
 
-#: Rows of a group that one task may sort for its ranks, bounds of a larger one, and bounds rows that are broadcast.
-LARGE_GROUP, RANK_BOUNDS, MAX_BROADCAST = 200_000, 255, 1000
+#: Rows of a group that one task may sort for its ranks.
+LARGE_GROUP = 200_000
 
 
 def row_numbers(df: DataFrame, keys: list[str], orders: dict[str, tuple[str, bool]], tie: str, large: int = LARGE_GROUP) -> DataFrame:
     """Columns into -> (value, descending): 1, 2, ... within keys by value, then tie, both reversed if descending.
 
-    Groups of up to `large` rows are sorted whole. A larger one is split at approximate quantiles of the
-    value; rows equal to a quantile, as heavy ties are, and nulls are split again at quantiles of a
-    numeric tie. Counts of the parts before give each row its offset, so the numbers are exact.
+    Groups of up to `large` rows are sorted whole. If one is larger, rows are dealt in ranges of keys, value and tie, each
+    written once; the counts of a group's ranges before give each row its offset, so the numbers are exact and
+    rows tied in value, as many as there may be, are cut by their ties, numbers or texts.
     """
 
     def by(down: bool, *columns: str) -> list[Column]:
         return [F.desc(c) if down else F.asc(c) for c in columns]
 
     whole = W.partitionBy(*(keys or [F.lit(0)]))
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > large)
-    if sizes.isEmpty():
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n"), F.sum("_n")).first()
+    if not largest[0] or largest[0] <= large:
         return df.withColumns({into: F.row_number().over(whole.orderBy(*by(down, value, tie))) for into, (value, down) in orders.items()})
-    df = stored(df, "ranks")
-    shares = F.array(*(F.lit(i / (RANK_BOUNDS + 1)) for i in range(1, RANK_BOUNDS + 1)))
-    numeric = isinstance(df.schema[tie].dataType, T.NumericType)
-    own = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
-
-    def same(extra: Column) -> Column:
-        for i, k in enumerate(keys):
-            extra &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
-        return extra
-
-    def below(bounds: str, c: str) -> Column:
-        return F.size(F.filter(F.coalesce(bounds, F.array()), lambda b: b < F.col(c)))
-
     for into, (value, down) in orders.items():
-        quantiles = lambda c: F.array_distinct(F.percentile_approx(c, shares))
-        cuts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), quantiles(value).alias("_cuts"), *([quantiles(tie).alias("_ties")] if numeric else []))
-        cuts = stored(cuts.filter(F.col("_n") > large).select(*own, "_cuts", *(["_ties"] if numeric else [])), "rank-cuts")
-        cuts = F.broadcast(cuts) if cuts.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else cuts
-        at = F.coalesce(F.array_contains("_cuts", F.col(value)), F.lit(False))
-        part = F.when(F.col(value).isNull(), -1).otherwise(2 * below("_cuts", value) + at.cast("int"))
-        sub = F.when(F.col(value).isNull() | at, below("_ties", tie)).otherwise(0) if numeric else F.lit(0)
-        dealt = df.join(cuts, same(F.lit(True)), "left").withColumns({"_part": part, "_sub": sub}).select(*df.columns, "_part", "_sub")
-        counts = dealt.groupBy(*keys, "_part", "_sub").agg(F.count(F.lit(1)).alias("_n"))
-        before = whole.orderBy(*by(down, "_part", "_sub")).rowsBetween(W.unboundedPreceding, -1)
-        offsets = counts.select(*own, F.col("_part").alias("_p"), F.col("_sub").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-        inside = W.partitionBy(*keys, "_part", "_sub").orderBy(*by(down, value, tie))
-        placed = dealt.withColumn("_i", F.row_number().over(inside)).join(offsets, same((F.col("_part") == F.col("_p")) & (F.col("_sub") == F.col("_s"))))
-        df = placed.select(*df.columns, (F.col("_before") + F.col("_i")).alias(into))
+        ranges = df.repartitionByRange(-(-largest[1] // large) + 1, *keys, *by(down, value, tie))
+        df = stored(ranges.withColumn("_part", F.spark_partition_id()), "rank-ranges")
+        counts = df.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+        before = whole.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+        offsets = counts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        same = F.col("_part") == F.col("_p")
+        for i, k in enumerate(keys):
+            same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        columns = [c for c in df.columns if c != "_part"]
+        inside = W.partitionBy(*keys, "_part").orderBy(*by(down, value, tie))
+        df = df.withColumn("_i", F.row_number().over(inside)).join(offsets, same).select(*columns, (F.col("_before") + F.col("_i")).alias(into))
     return df
 
 

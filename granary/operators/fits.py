@@ -244,7 +244,7 @@ def _running(df: DataFrame, keys: list[str], order: list[str], p: int, extra: st
         rows = df.withColumns({"_part": F.lit(0), "_g": F.lit(None).cast("array<double>")})
     else:
 
-        def before(k, f: pd.DataFrame) -> pd.DataFrame:
+        def before(k, f):
             f = f.sort_values("_part")
             own = np.array(f["g"].tolist())
             upto = np.cumsum(own, axis=0) - own

@@ -383,3 +383,44 @@ select row_id, round(case when coalesce(n, 0) < 4 then x3 else y / n + case when
 )
 def g17s(t):
     return G.prequential(rows(t), ["candidate_id"], ["row_id"], ["x3"], "y", fallback="x3").select("row_id", (F.round("pred", 7) + 0.0).alias("pred"))
+
+
+# the same fits on all features of the matrix, which have no SQL
+@query("g5_oof_all")
+def g5_all(t):
+    return G.oof_predict(matrix(t), "chain_id", ALL, "y").select("row_id", r9("pred").alias("pred"))
+
+
+@query("g6_loocv_all")
+def g6_all(t):
+    return G.loocv(matrix(t), "row_id", ALL, "y").select("row_id", r9("pred").alias("pred"))
+
+
+@query("g7_kfold_all")
+def g7_all(t):
+    data = matrix(t).withColumn("fold", G.hash_fold("candidate_id", 5, 1))
+    return G.oof_predict(data, "fold", ALL, "y").select("row_id", "fold", r9("pred").alias("pred"))
+
+
+@query("g10_transfer_all")
+def g10_all(t):
+    data = matrix(t)
+    out = G.transfer(data.filter("domain = 'BUILDING'"), data.filter("domain <> 'BUILDING'"), ALL, "y")
+    return out.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), r9(F.sqrt(F.avg((F.col("pred") - F.col("y")) ** 2))).alias("rmse"))
+
+
+@query("g16_snapshots_all")
+def g16_all(t):
+    """One candidate's fits after each of its labels, on all features: base, error and the weights' length."""
+    fit = G.snapshots(matrix(t), ["candidate_id"], ["row_id"], ALL, "y")
+    length = F.sqrt(F.aggregate("w", F.lit(0.0), lambda s, x: s + x * x))
+    return fit.select("candidate_id", "t", r9("base").alias("base"), (F.round("train_rmse", 6) + 0.0).alias("train_rmse"), (F.round(length, 6) + 0.0).alias("length"))
+
+
+#: The features of the study's online predictor; the first one scores while it is cold.
+ONLINE = ["adv_std", "frac_nondegenerate", "reward_std", "group_passrate_std", "mean_logprob", "len_mean"]
+
+
+@query("g17_prequential_six")
+def g17_six(t):
+    return G.prequential(matrix(t), ["candidate_id"], ["row_id"], ONLINE, "y", fallback="adv_std").select("row_id", (F.round("pred", 7) + 0.0).alias("pred"))

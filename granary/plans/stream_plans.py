@@ -113,8 +113,11 @@ def k4s(t):
 
 @query("k5_online_predictor")
 def k5(t):
-    rows = stream(t, "orders", "o_orderkey").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 97 / 97.0).alias("x2"), (F.col("o_orderkey") % 13 / 13.0).alias("x3"), (F.col("o_totalprice") / 100000.0).alias("y"))
-    return drained(t, J.online_predictor(rows, "o_custkey", "o_orderkey", ["x2", "x3"], "y"), "k5").select("o_orderkey", r9("pred").alias("pred"))
+    """The study's six features; missing ones are 0, and the first scores until there are four labels."""
+    from .fit_plans import ONLINE, matrix
+
+    rows = stream(t, matrix(t).select("candidate_id", "row_id", *ONLINE, "y"), "row_id")
+    return drained(t, J.online_predictor(rows, "candidate_id", "row_id", ONLINE, "y"), "k5").select("row_id", (F.round("pred", 7) + 0.0).alias("pred"))
 
 
 @query(

@@ -9,7 +9,11 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-NAMES = "gate_report a7_export_nested b4_normalize_answer b9_shuffle_choices c4_passband_cohorts c6_label_noise_cohorts d4_summarize_rollouts d17_policy_loss e3_target f4_zscore_by_group g5_oof_single h10_selection_lift i6_seed_projection j6_rows_by_step k3_stall_batch k3_best_pod k6_age_stream".split()
+NAMES = (
+    "gate_report a7_export_nested b4_normalize_answer b8_choice_index b9_shuffle_choices c4_passband_cohorts c6_label_noise_cohorts c7_duplication_cohorts c8_build_all_cohorts d4_summarize_rollouts d9_engineered_features d11_cosine "
+    "d17_policy_loss e3_target e7_backfill_features f4_zscore_by_group g5_oof_single g8_evaluate_single g16_snapshots_single g17_prequential_single h7_pairwise_accuracy h10_selection_lift h11_bootstrap_ci h11_bootstrap_median "
+    "h12_paired_bootstrap_ci h13_kendall_tau_a i6_seed_projection i10_single_feature_screen i11_dose_response j5_climb_comparison j6_rows_by_step k3_stall_batch k3_best_pod k4_transition_alerts k6_age_stream k8_windowed_label_rate"
+).split()
 
 
 @pytest.fixture(scope="module")
