@@ -20,7 +20,7 @@ def test_each_of_many_sources_is_a_queue(table):
 def test_weights_hold_over_thousands_of_sources_through_the_last_window():
     """Every prefix of the packed order has each source's share to within four chunks, the end included."""
     rng = np.random.default_rng(3)
-    tokens = np.concatenate([rng.integers(1, 400, 1500), rng.integers(400, 3000, 1450), rng.integers(10**4, 10**6, 50)])
+    tokens = np.concatenate([rng.integers(1, 400, 1500), rng.integers(400, 3000, 1450), rng.integers(10**4, 10**5, 50)])
     plan = Plan([(f"q{i:05}", int(n)) for i, n in enumerate(tokens)])
     q = np.arange(len(tokens))
     row, at, size, sequence, offset = plan.pieces(q, np.zeros(len(q), np.int64), tokens)
