@@ -82,9 +82,10 @@ LARGE_GROUP = 200_000
 def row_numbers(df: DataFrame, keys: list[str], orders: dict[str, tuple[str, bool]], tie: str, large: int = LARGE_GROUP) -> DataFrame:
     """Columns into -> (value, descending): 1, 2, ... within keys by value, then tie, both reversed if descending.
 
-    Groups of up to `large` rows are sorted whole. If one is larger, rows are dealt in ranges of keys, value and tie, each
-    written once; the counts of a group's ranges before give each row its offset, so the numbers are exact and
-    rows tied in value, as many as there may be, are cut by their ties, numbers or texts.
+    Groups of up to `large` rows are sorted whole. If one is larger, rows are dealt in sorted ranges of keys, value and tie, each
+    written once with the row's place in its range; where a key begins in a range and the counts of its ranges before turn places
+    into numbers, so they are exact, rows tied in value, as many as there may be, are cut by their ties, numbers or texts, and
+    each order costs one exchange.
     """
 
     def by(down: bool, *columns: str) -> list[Column]:
@@ -95,17 +96,18 @@ def row_numbers(df: DataFrame, keys: list[str], orders: dict[str, tuple[str, boo
     if not largest[0] or largest[0] <= large:
         return df.withColumns({into: F.row_number().over(whole.orderBy(*by(down, value, tie))) for into, (value, down) in orders.items()})
     for into, (value, down) in orders.items():
-        ranges = df.repartitionByRange(-(-largest[1] // large) + 1, *keys, *by(down, value, tie))
-        df = stored(ranges.withColumn("_part", F.spark_partition_id()), "rank-ranges")
-        counts = df.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
-        before = whole.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-        offsets = counts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-        same = F.col("_part") == F.col("_p")
+        columns, order = df.columns, [*keys, *by(down, value, tie)]
+        ranges = df.repartitionByRange(-(-largest[1] // large) + 1, *order).sortWithinPartitions(*order)
+        df = stored(ranges.withColumn("_range_place", F.monotonically_increasing_id()), "rank-ranges")  # the range's number in the bits above 33
+        df = df.withColumn("_range", F.shiftright("_range_place", 33))
+        counts = df.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_range_place").alias("_first"))
+        before = whole.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+        shift = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1
+        offsets = stored(counts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_range").alias("_range_of"), shift.alias("_shift")), "rank-offsets")
+        same = F.col("_range") == F.col("_range_of")
         for i, k in enumerate(keys):
             same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
-        columns = [c for c in df.columns if c != "_part"]
-        inside = W.partitionBy(*keys, "_part").orderBy(*by(down, value, tie))
-        df = df.withColumn("_i", F.row_number().over(inside)).join(offsets, same).select(*columns, (F.col("_before") + F.col("_i")).alias(into))
+        df = df.join(offsets, same).select(*columns, (F.col("_range_place") + F.col("_shift")).alias(into))
     return df
 
 

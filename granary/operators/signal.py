@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from granary.functions.exprs import clean, pearson, ratio, row_numbers, with_group_size
+from granary.functions.exprs import LARGE_GROUP, clean, pearson, ratio, row_numbers, with_group_size
 from granary.operators.metrics import ranked, spearman, top_picks
 from granary.sources.scratch import stored
 
@@ -71,9 +71,9 @@ def seed_projection(wide: DataFrame, keys: list[str], pred: str, unit: str, reli
     return out.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).withColumn("projected", true * F.sqrt(spearman_brown(F.col("r1"), F.col("k"), 1e-6)))
 
 
-def topk_capture(df: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
+def topk_capture(df: DataFrame, keys: list[str], shares: list[float], large: int = LARGE_GROUP) -> DataFrame:
     """Mean truth of all rows, of the best by prediction and of the best by truth, and the captured share of the gap."""
-    placed = with_group_size(row_numbers(df, keys, {"_p": ("pred", True), "_t": ("truth", True)}, "id"), keys, "_n")
+    placed = with_group_size(row_numbers(df.select(*keys, "id", "pred", "truth"), keys, {"_p": ("pred", True), "_t": ("truth", True)}, "id", large), keys, "_n")
     rows = placed.withColumn("frac", F.explode(F.array(*map(F.lit, shares))))
     k = F.greatest(F.lit(1), F.bround(F.col("_n") * F.col("frac")).cast("int"))
     out = rows.groupBy(*keys, "frac").agg(F.avg("truth").alias("random"), F.avg(F.when(F.col("_p") <= k, F.col("truth"))).alias("pick"), F.avg(F.when(F.col("_t") <= k, F.col("truth"))).alias("oracle"))

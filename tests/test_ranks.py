@@ -48,3 +48,23 @@ def test_top_picks_of_a_large_group(spark):
     df = spark.createDataFrame([("a", i, float(i % 7), float(i)) for i in range(300)] + [("b", 1, 1.0, 2.0)], "g string, id long, pred double, truth double")
     few, many = (sorted((r.g, r.id) for r in M.top_picks(df, ["g"], 0.1, large=large).collect()) for large in (10_000, 50))
     assert few == many and len(few) == 31
+
+
+def test_top_k_capture_of_a_large_group(spark):
+    from granary.operators.signal import topk_capture
+
+    df = spark.createDataFrame([("ab"[i % 2], i, float(i * 7 % 31), float(i * 11 % 53)) for i in range(300)], "g string, id long, pred double, truth double")
+    whole, split = (sorted(map(tuple, topk_capture(df, ["g"], [0.1, 0.3], large).collect())) for large in (10_000, 50))
+    assert len(whole) == 4 and all(a[:2] == b[:2] and a[2:] == pytest.approx(b[2:]) for a, b in zip(whole, split))
+
+
+@pytest.mark.parametrize("group", [[], ["g"]])
+def test_pairs_of_a_group_beyond_one_range(spark, group):
+    rng = np.random.default_rng(5)
+    rows = [("ab"[i % 2], i, float(rng.integers(0, 40)), float(rng.integers(0, 60))) for i in range(240)]
+    df = spark.createDataFrame(rows, "g string, id long, pred double, truth double")
+    for r in M.concordance(df, group, bucket=20, block=40).collect():
+        own = [x for x in rows if not group or x[0] == r.g]
+        signs = [(a[2] - b[2]) * (a[3] - b[3]) for i, a in enumerate(own) for b in own[:i]]
+        untied = sum(a[3] != b[3] for i, a in enumerate(own) for b in own[:i])
+        assert (r.right, r.discordant, r.pairs, r.all_pairs) == (sum(s > 0 for s in signs), sum(s < 0 for s in signs), untied, len(signs))
