@@ -49,10 +49,10 @@ def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str,
     parts = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_part")
     before = parts.rowsBetween(W.unboundedPreceding, -1)
     merge = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.sum}
-    carried = own.select(
-        *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_part").alias("_p"), *((F.lag(f"_t{i}").over(parts) if kind == "lag" else merge[kind](f"_t{i}").over(before)).alias(f"_c{i}") for i, (kind, _) in enumerate(values.values()))
-    )
-    same = F.col("_part") == F.col("_p")
+    carried = stored(own.select(
+        *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_part").alias("_range_of"), *((F.lag(f"_t{i}").over(parts) if kind == "lag" else merge[kind](f"_t{i}").over(before)).alias(f"_c{i}") for i, (kind, _) in enumerate(values.values()))
+    ), "range-sums")
+    same = F.col("_part") == F.col("_range_of")
     for i, k in enumerate(keys):
         same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
     inside = W.partitionBy(*keys, "_part").orderBy(*order)
