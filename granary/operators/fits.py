@@ -58,21 +58,50 @@ def _ddl(df: DataFrame, keys: list[str]) -> list[str]:
     return [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
 
 
+def _segments(codes: np.ndarray) -> np.ndarray:
+    """Where runs of equal codes begin."""
+    return np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+
+
+def _codes(f: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Equal numbers for rows of equal keys, nulls included."""
+    code = np.zeros(len(f), np.int64)
+    for k in keys:
+        own, values = pd.factorize(f[k], use_na_sentinel=False)
+        code = pd.factorize(code * (len(values) + 1) + own)[0]
+    return code
+
+
 def statistics(df: DataFrame, keys: list[str], p: int, y: str) -> DataFrame:
-    """keys and g, the sums over rows of `df` with an array _x of p features."""
-    schema = ", ".join([*_ddl(df, keys), "g array<double>"])
+    """keys and g, the sums over rows of `df` with an array _x of p features.
+
+    Tasks add up keys of many rows. Rows of keys with so few in a batch that an array of sums would be larger go on as they are, so that
+    what is shuffled never exceeds the rows by much, however many keys there are.
+    """
+    schema = ", ".join([*_ddl(df, keys), "_x array<double>", "_y double", "g array<double>"])
+    few = width(p) // (p + 1)
 
     def frame(held):
-        return pd.DataFrame({**{k: [h[i] for h in held] for i, k in enumerate(keys)}, "g": [g.tolist() for g in held.values()]})
+        return pd.DataFrame({**{k: [h[i] for h in held] for i, k in enumerate(keys)}, "_x": None, "_y": np.nan, "g": [g.tolist() for g in held.values()]})
 
     def partial(frames):
         held: dict = {}
         for f in frames:
-            x, v = _matrix(f["_x"], p), f["_y"].to_numpy(float)
-            groups = f.groupby(keys, sort=False).indices if keys else {(): np.arange(len(f))}
-            for k, at in groups.items():
-                k = k if isinstance(k, tuple) else (k,)
-                held[k] = held.get(k, 0) + sums(x[at], v[at])
+            if not len(f):
+                continue
+            code = _codes(f, keys)
+            n = np.bincount(code)
+            rare = (n < few)[code] if keys else np.zeros(len(f), bool)
+            if rare.any():
+                yield f[rare].assign(g=None)
+            f, code = f[~rare], code[~rare]
+            if len(f):
+                order = np.argsort(code, kind="stable")
+                f = f.iloc[order]
+                x, v, at = _matrix(f["_x"], p), f["_y"].to_numpy(float), _segments(code[order])
+                for a, z in zip(at, np.append(at[1:], len(f))):
+                    k = tuple(f[c].iloc[a] for c in keys)
+                    held[k] = held.get(k, 0) + sums(x[a:z], v[a:z])
             if len(held) * width(p) > HELD:
                 yield frame(held)
                 held = {}
@@ -80,19 +109,51 @@ def statistics(df: DataFrame, keys: list[str], p: int, y: str) -> DataFrame:
             yield frame(held)
 
     rows = df.select(*keys, "_x", F.col(y).cast("double").alias("_y")).mapInPandas(partial, schema)
-    return summed(rows.withColumn("_task", F.pmod(F.spark_partition_id(), F.lit(64))), keys)
+    return _added(rows, keys, p)
 
 
 def summed(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and the sum of all arrays g, first within _task (if there is such a column)."""
+    """keys and the sum of all arrays g, first within the partitions as they are."""
+    return _added(rows, keys, None)
+
+
+def _added(rows: DataFrame, keys: list[str], p: int | None) -> DataFrame:
+    """`summed`, for rows that have an array g or, if p is given, their own _x and _y: sorted by key, then added run by run over whole batches."""
     schema = ", ".join([*_ddl(rows, keys), "g array<double>"])
 
-    def add(k, f):
-        return pd.DataFrame({**{c: [v] for c, v in zip(keys, k)}, "g": [np.array(f["g"].tolist()).sum(axis=0).tolist()]})
+    def arrays(f):
+        if p is None:
+            return np.array(f["g"].tolist(), dtype=float).reshape(len(f), -1)
+        own = f["g"].isna().to_numpy()
+        out = np.empty((len(f), width(p)))
+        if own.any():
+            out[own] = terms(_matrix(f["_x"][own], p), f["_y"][own].to_numpy(float))
+        if not own.all():
+            out[~own] = np.array(f["g"][~own].tolist(), dtype=float)
+        return out
 
-    if "_task" in rows.columns:
-        rows = rows.groupBy(*keys, "_task").applyInPandas(add, schema)
-    return rows.groupBy(*keys).applyInPandas(add, schema)
+    def work(frames):
+        last = total = None  # the key that the batch before ended with
+        for whole in frames:
+            step = max(1, HELD // (width(p) if p else max(1, len(whole["g"].iloc[0])))) if len(whole) else 1
+            for begin in range(0, len(whole), step):
+                f = whole.iloc[begin : begin + step]
+                at = _segments(_codes(f, keys))
+                g, heads = np.add.reduceat(arrays(f), at, axis=0), f[keys].iloc[at]
+                if last is not None:
+                    if all((a == b) or (pd.isna(a) and pd.isna(b)) for a, b in zip(last.iloc[0], heads.iloc[0])):
+                        g[0] += total
+                    else:
+                        yield last.assign(g=[total.tolist()])
+                last, total = heads.iloc[-1:], g[-1].copy()
+                if len(at) > 1:
+                    yield heads.iloc[:-1].assign(g=g[:-1].tolist())
+        if last is not None:
+            yield last.assign(g=[total.tolist()])
+
+    if p is None:
+        rows = (rows.sortWithinPartitions(*keys) if keys else rows).mapInPandas(work, schema)
+    return (rows.repartition(*keys).sortWithinPartitions(*keys) if keys else rows.repartition(1)).mapInPandas(work, schema)
 
 
 def minus(a: str, b: str) -> Column:
@@ -168,7 +229,7 @@ def oof_predict(df: DataFrame, fold: str, features: list[str], y: str, lam: floa
     data, _ = centred(df, features)
     keys = [within] if within else []
     own = stored(statistics(data, [*keys, fold], len(features), y), "fold-sums")
-    total = summed(own.withColumn("_task", F.pmod(F.spark_partition_id(), F.lit(64))), keys).withColumnRenamed("g", "all")
+    total = summed(own, keys).withColumnRenamed("g", "all")
     both = own.join(total, keys) if within else own.crossJoin(F.broadcast(total))  # one row of totals
     rest = both.select(fold, minus("all", "g").alias("g")).filter(F.col("g")[0] > 0.5)
     return data.join(fits(rest, [fold], len(features), lam), fold).withColumn("pred", _predicted([F.col("_x")[i] for i in range(len(features))])).select(*df.columns, "pred")
@@ -371,7 +432,7 @@ def principal_axes(df: DataFrame, vector: str, k: int = 3) -> DataFrame:
     means = np.array([r.m for r in middle], dtype=float)
     p = len(means)
     near = F.zip_with(F.col(vector), F.array(*map(F.lit, means.tolist())), lambda a, b: a.cast("double") - b)
-    rows = df.select(near.alias("v")).mapInPandas(partial, "g array<double>").withColumn("_task", F.pmod(F.spark_partition_id(), F.lit(64)))
+    rows = df.select(near.alias("v")).mapInPandas(partial, "g array<double>")
     g = np.array(summed(rows, []).first()["g"])
     n, s, q = g[0], g[1 : p + 1], g[p + 1 :].reshape(p, p)
     cov = (q - np.outer(s, s) / n) / max(n - 1, 1)

@@ -185,3 +185,22 @@ def test_backfill_keeps_stored_features_of_unmatched_labels(spark):
     assert set(got) == {"c1", "c2"} and list(got["c1"].asDict())[:14] == L.ENRICHED
     assert got["c1"].matched and got["c1"].features.pass_rate == 0.5 and got["c1"].features.n_groups == 1
     assert not got["c2"].matched and got["c2"].features.pass_rate == 0.8 and got["c2"].features.reward_mean is None and got["c2"].cohort is None
+
+
+def test_statistics_shuffle_rows_of_rare_keys(spark):
+    """Keys with few rows, with many, and null: the sums of a direct pass, in one exchange by key and without a call for each."""
+    import numpy as np
+    from granary.operators import fits as G
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    rows = [("hot" if i % 3 else None if i % 5 == 0 else f"k{i // 6}", None if i % 7 == 0 else float(rng.normal()), float(rng.normal()), float(rng.normal())) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, a double, b double, y double").withColumn("_x", F.array("a", "b")).repartition(3)
+    found = G.statistics(df, ["k"], 2, "y")
+    plan = found._jdf.queryExecution().toString()
+    assert plan.count("MapInPandas") and "FlatMapGroupsInPandas" not in plan
+    got = {r.k: np.array(r.g) for r in found.collect()}
+    assert set(got) == {r[0] for r in rows}
+    for k, g in got.items():
+        own = np.array([r[1:] for r in rows if r[0] == k], dtype=float)
+        assert np.allclose(g, G.sums(own[:, :2], own[:, 2]))
