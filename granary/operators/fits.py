@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from granary.functions.exprs import LARGE_GROUP, clean, row_numbers, shuffle_key, with_group_size
+from granary.functions.exprs import FLAT, LARGE_GROUP, clean, row_numbers, shuffle_key, with_group_size
 from granary.functions.scans import in_ranges
 from granary.sources.scratch import stored
 
@@ -160,8 +160,11 @@ def minus(a: str, b: str) -> Column:
     return F.zip_with(a, b, lambda x, y: x - y)
 
 
-def solve(g: np.ndarray, p: int, lam: float) -> dict[str, np.ndarray]:
-    """Fits for rows of statistics: base, impute, mu, sd, w and rss, the squared error on the rows. Without rows everything is 0."""
+def solve(g: np.ndarray, p: int, lam: float, flat: float = FLAT * FLAT) -> dict[str, np.ndarray]:
+    """Fits for rows of statistics: base, impute, mu, sd, w and rss, the squared error on the rows. Without rows everything is 0.
+
+    A feature whose variance on the rows is `flat` or less is constant: sd 1 and weight 0.
+    """
     n = np.maximum(g[:, 0], 1e-300)
     sy = g[:, 1]
     c, s, u, v = (g[:, 3 + k * p : 3 + (k + 1) * p] for k in range(4))
@@ -172,8 +175,9 @@ def solve(g: np.ndarray, p: int, lam: float) -> dict[str, np.ndarray]:
     cov = full - n[:, None, None] * mu[:, :, None] * mu[:, None, :]
     xy = u + m * (sy[:, None] - v) - mu * sy[:, None]
     var = np.maximum(np.einsum("kii->ki", cov), 0) / n[:, None]
-    sd = np.where(var > 1e-18, np.sqrt(var), 1.0)
-    a, b = cov / (sd[:, :, None] * sd[:, None, :]), xy / sd
+    varies = var > flat
+    sd = np.where(varies, np.sqrt(var), 1.0)
+    a, b = np.where(varies[:, :, None] & varies[:, None, :], cov / (sd[:, :, None] * sd[:, None, :]), 0.0), np.where(varies, xy / sd, 0.0)
     w = np.linalg.solve(a + lam * np.eye(p), b[:, :, None])[:, :, 0] if len(g) else np.zeros((0, p))
     rss = g[:, 2] - sy * sy / n - 2 * (w * b).sum(axis=1) + np.einsum("ki,kij,kj->k", w, a, w)
     return {"base": sy / n, "impute": m, "mu": mu, "sd": sd, "w": w, "rss": np.maximum(rss, 0.0)}
@@ -266,29 +270,63 @@ def transfer(train: DataFrame, test: DataFrame, features: list[str], y: str, lam
     return test.crossJoin(F.broadcast(fit)).withColumn("pred", predict(features)).select(*test.columns, "pred")  # one fit
 
 
-def few_shot(df: DataFrame, domain: str, key: str, ks: list[int], reps: int, features: list[str], y: str, seed=0, least: int = 8, lam: float = 1.0) -> DataFrame:
+def few_shot(df: DataFrame, domain: str, key: str, ks: list[int], reps: int, features: list[str], y: str, seed=0, least: int = 8, lam: float = 1.0, keep: list[str] | None = None, few: int = 1000) -> DataFrame:
     """Fits on all other domains and k rows of the held-out one, first in the order of their hash; predictions of its other rows.
 
-    The rows chosen are max(ks) for each domain and repetition, found by a top-k of hashes. Each row meets
-    the fits of its own domain, of which there are len(ks) * reps.
+    Rows of `keep` (all columns of `df`), k, rep and pred. The rows chosen are max(ks) for each domain and repetition, found by a top-k
+    of hashes of ids alone. The fits and the rows that they used are few for each domain: with up to `few` domains all tasks get
+    them and a row's predictions are one product of matrices, without a shuffle; with more, rows are joined with them by domain.
     """
-    spark, p = df.sparkSession, len(features)
-    sizes = df.groupBy(domain).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") >= least).select(domain)
-    rows, _ = centred(df.join(F.broadcast(sizes) if sizes.limit(1001).count() <= 1000 else sizes, domain, "left_semi"), features)
-    others, _ = centred(df, features)
-    dealt = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_h", shuffle_key(seed, "rep", key))
+    spark, p, keep = df.sparkSession, len(features), keep or df.columns
+    sizes = stored(df.groupBy(domain).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") >= least).select(domain), "domains")
+    n_domains = sizes.count()
+    sizes = F.broadcast(sizes) if n_domains <= few else sizes
+    others, means = centred(df, features)
+    dealt = df.select(domain, key).join(sizes, domain).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_h", shuffle_key(seed, "rep", key))
     turn = F.row_number().over(W.partitionBy(domain, "rep").orderBy("_h", key))
-    chosen = stored(dealt.withColumn("rn", turn).filter(F.col("rn") <= max(ks)).select(domain, "rep", "rn", key, *features, y), "few-shot")
+    first = stored(dealt.withColumn("rn", turn).filter(F.col("rn") <= max(ks)).select(domain, "rep", "rn", key), "few-shot-ids")
+    rows_of = first.select(domain, key).distinct()
+    chosen = stored(others.join(F.broadcast(rows_of) if n_domains <= few else rows_of, [domain, key]).select(domain, key, "_x", y), "few-shot")
     own = stored(statistics(others, [domain], p, y), "fold-sums")
     total = summed(own, []).select(F.col("g").alias("all"))
     config = F.broadcast(spark.createDataFrame([(k, r) for k in ks for r in range(reps)], "k int, rep int"))
     base = own.join(sizes, domain).crossJoin(F.broadcast(total)).crossJoin(config).select(domain, "k", "rep", minus("all", "g").alias("g"))
-    means = others.agg(*(F.coalesce(F.avg(clean(f)), F.lit(0.0)).alias(f"_{i}") for i, f in enumerate(features))).first()
-    shots = chosen.withColumn("_x", F.array(*(clean(f) - F.lit(m) for f, m in zip(features, means)))).join(config, "rep").filter("rn <= k")
-    fit = fits(summed(base.unionByName(statistics(shots, [domain, "k", "rep"], p, y)), [domain, "k", "rep"]), [domain, "k", "rep"], p, lam)
-    all_x = others.join(fit, domain).withColumn("pred", _predicted([F.col("_x")[i] for i in range(p)])).select(*df.columns, "k", "rep", "pred")
-    used = chosen.select(domain, "rep", F.col(key), "rn").join(config, "rep").filter("rn <= k").select(domain, "rep", "k", key)
-    return all_x.join(used, [domain, "rep", "k", key], "left_anti").select(*df.columns, "k", "rep", "pred")
+    used = first.join(config, "rep").filter("rn <= k").select(domain, "rep", "k", key)
+    shots = statistics(chosen.join(used, [domain, key]), [domain, "k", "rep"], p, y)
+    fit = fits(summed(base.unionByName(shots), [domain, "k", "rep"]), [domain, "k", "rep"], p, lam)
+    if n_domains > few:
+        all_x = others.join(fit, domain).withColumn("pred", _predicted([F.col("_x")[i] for i in range(p)])).select(*df.columns, "k", "rep", "pred")
+        return all_x.join(used, [domain, "rep", "k", key], "left_anti").select(*keep, "k", "rep", "pred")
+    held = fit.toPandas()  # len(ks) * reps fits for each of a few domains
+    by_domain = {d: f.sort_values(["k", "rep"]) for d, f in held.groupby(domain)}
+    settings = sorted((k, r) for k in ks for r in range(reps))
+    spent: dict = {}
+    for d, rep, k, own_key in used.select(domain, "rep", "k", key).toPandas().itertuples(index=False):
+        spent.setdefault(d, {}).setdefault(own_key, []).append(settings.index((k, rep)))
+
+    def work(frames):
+        at = {d: tuple(np.stack(f[c].to_list()) for c in ("impute", "mu", "sd", "w")) + (f["base"].to_numpy(),) for d, f in by_domain.items()}
+        ids = {d: pd.Index(list(own)) for d, own in spent.items()}
+        for f in frames:
+            f = f[f[domain].isin(list(at))].reset_index(drop=True)
+            if not len(f):
+                continue
+            x, out, skip = _matrix(f["_x"], p), np.empty((len(f), len(settings))), [[] for _ in range(len(f))]
+            for d, rows in f.groupby(domain).indices.items():
+                impute, mu, sd, w, start = at[d]
+                slope, none = w / sd, np.isnan(x[rows])
+                out[rows] = start - (slope * mu).sum(axis=1) + np.where(none, 0.0, x[rows]) @ slope.T + none @ (slope * impute).T
+                if d in ids:
+                    found = ids[d].get_indexer(f[key].iloc[rows])
+                    for i in np.flatnonzero(found >= 0):
+                        skip[rows[i]] = spent[d][ids[d][found[i]]]
+            yield f[keep].assign(_preds=out.tolist(), _skip=skip)
+
+    schema = ", ".join([*_ddl(df, keep), "_preds array<double>", "_skip array<int>"])
+    out = others.select(*dict.fromkeys([*keep, domain, key]), "_x").mapInPandas(work, schema)
+    names = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(r).alias("rep")) for k, r in settings))
+    out = out.select(*keep, "_skip", F.posexplode("_preds").alias("_i", "pred")).filter(~F.array_contains("_skip", F.col("_i")))
+    return out.withColumn("_s", F.element_at(names, F.col("_i") + 1)).select(*keep, "_s.k", "_s.rep", "pred")
 
 
 def _running(df: DataFrame, keys: list[str], order: list[str], p: int, extra: str, finish, block: int = LARGE_GROUP) -> DataFrame:
@@ -344,14 +382,14 @@ def _running(df: DataFrame, keys: list[str], order: list[str], p: int, extra: st
     return rows.mapInPandas(work, ", ".join([*_ddl(df, ident), extra]))
 
 
-def snapshots(df: DataFrame, keys: list[str], order: list[str], features: list[str], y: str, lam: float = 1.0, block: int = LARGE_GROUP) -> DataFrame:
+def snapshots(df: DataFrame, keys: list[str], order: list[str], features: list[str], y: str, lam: float = 1.0, block: int = LARGE_GROUP, flat: float = FLAT * FLAT) -> DataFrame:
     """The fit on the first t rows of each key, for every t, with train_rmse, its error on those rows."""
     p = len(features)
     data, means = centred(df, features)
     shift = np.array(means, float)
 
     def finish(f, g, _):
-        fit = solve(g, p, lam)
+        fit = solve(g, p, lam, flat)
         fit["impute"], fit["mu"] = fit["impute"] + shift, fit["mu"] + shift
         return {"t": f["_t"].to_numpy(np.int32), **_frame(g, fit), "train_rmse": np.sqrt(fit["rss"] / g[:, 0])}
 
@@ -359,13 +397,13 @@ def snapshots(df: DataFrame, keys: list[str], order: list[str], features: list[s
     return _running(rows, keys, order, p, f"t int, {_FIT}, train_rmse double", finish, block).drop(*order)
 
 
-def prequential(df: DataFrame, keys: list[str], order: list[str], features: list[str], y: str, warm: int = 4, fallback: str | None = None, lam: float = 1.0, block: int = LARGE_GROUP) -> DataFrame:
+def prequential(df: DataFrame, keys: list[str], order: list[str], features: list[str], y: str, warm: int = 4, fallback: str | None = None, lam: float = 1.0, block: int = LARGE_GROUP, flat: float = FLAT * FLAT) -> DataFrame:
     """Each row predicted by the fit of the rows before it; the first `warm` score as the fallback feature. Missing features are 0."""
     p, ident = len(features), [*keys, *order]
     data, _ = centred(df.withColumns({f: F.coalesce(clean(f), F.lit(0.0)) for f in features}), features)
 
     def finish(f, _, g):
-        return {"pred": np.where(g[:, 0] < warm, f["_early"].to_numpy(float), applied(solve(g, p, lam), _matrix(f["_x"], p)))}
+        return {"pred": np.where(g[:, 0] < warm, f["_early"].to_numpy(float), applied(solve(g, p, lam, flat), _matrix(f["_x"], p)))}
 
     early = F.coalesce(clean(fallback), F.lit(0.0)) if fallback else F.lit(0.0)
     rows = data.select(*ident, "_x", F.col(y).cast("double").alias("_y"), early.alias("_early"))
