@@ -204,3 +204,28 @@ def test_statistics_shuffle_rows_of_rare_keys(spark):
     for k, g in got.items():
         own = np.array([r[1:] for r in rows if r[0] == k], dtype=float)
         assert np.allclose(g, G.sums(own[:, :2], own[:, 2]))
+
+
+def test_nearly_equal_features_are_flat(spark):
+    """Two rows whose feature differs by less than the root of `flat`: no weight, and the mean as the next row's prediction."""
+    from granary.operators import fits as G
+
+    df = spark.createDataFrame([("a", i, 1.0 + 2e-5 * (i % 2) if i < 4 else 3.0, float(i)) for i in range(5)], "k string, i long, x double, y double")
+    w = {r.t: r.w[0] for r in G.snapshots(df, ["k"], ["i"], ["x"], "y", flat=1e-9).collect()}
+    assert [w[t] for t in range(1, 5)] == [0.0] * 4 and w[5] > 0.1
+    pred = {r.i: r.pred for r in G.prequential(df, ["k"], ["i"], ["x"], "y", warm=2, flat=1e-9).collect()}
+    assert abs(pred[4] - 1.5) < 1e-12
+    assert abs({r.t: r.w[0] for r in G.snapshots(df, ["k"], ["i"], ["x"], "y").collect()}[2]) > 0.01
+
+
+def test_few_shot_by_products_equals_the_join(spark):
+    """Held by all tasks or joined by domain: the same predictions, of rows that the fit did not use; ids may repeat across domains."""
+    from granary.operators import fits as G
+
+    rows = [(d, i, None if i % 6 == 0 else float(i * 7 % 11), float(i * 5 % 13), float(i * 3 % 7) + (d == "b")) for d in "abc" for i in range(20)]
+    df = spark.createDataFrame(rows, "d string, i long, u double, v double, y double").repartition(3)
+    few = lambda n: G.few_shot(df, "d", "i", [0, 3], 2, ["u", "v"], "y", 1, keep=["d", "i", "y"], few=n)
+    held = few(1000)
+    assert "MapInPandas" in held._jdf.queryExecution().toString() and "SortMergeJoin" not in held._jdf.queryExecution().toString()
+    one, other = ({(r.d, r.i, r.k, r.rep): r.pred for r in x.collect()} for x in (held, few(0)))
+    assert len(one) == 3 * 2 * (20 + 17) and set(one) == set(other) and max(abs(one[k] - other[k]) for k in one) < 1e-9
