@@ -30,7 +30,7 @@ def ranked(df: DataFrame, keys: list[str], columns: list[str], tie: str = "id",
 
 def spearman(df: DataFrame, keys: list[str], x: str = "pred", y: str = "truth", tie: str = "id", ties: str = "order") -> DataFrame:
     """keys, n, spearman: correlation of ranks within keys; rows that lack a side are left out first."""
-    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*dict.fromkeys([*keys, tie, x, y]))  # large groups are written for each rank
     out = ranked(both, keys, [x, y], tie, ties)
     return out.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pearson(f"rk_{x}", f"rk_{y}").alias("spearman"))
 

@@ -100,10 +100,10 @@ def parametric_oracle(mean: Column, sd: Column, r1: Column, share: float) -> Col
     return mean + TOP_MEAN[share] * F.sqrt(spearman_brown(r1, 3, 1e-6)) * sd
 
 
-def partial_rank_correlation(df: DataFrame, keys: list[str], x: str, y: str, z: str, tie: str = "id") -> DataFrame:
+def partial_rank_correlation(df: DataFrame, keys: list[str], x: str, y: str, z: str, tie: str = "id", large: int = LARGE_GROUP) -> DataFrame:
     """Rank correlation of x and y without what z explains; keys of fewer than 8 rows are left out."""
-    rows = df.dropna(subset=[x, y, z])
-    r = ranked(rows, keys, [x, y, z], tie).groupBy(*keys).agg(
+    rows = df.dropna(subset=[x, y, z]).select(*dict.fromkeys([*keys, tie, x, y, z]))  # large groups are written for each rank
+    r = ranked(rows, keys, [x, y, z], tie, large=large).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), pearson(f"rk_{x}", f"rk_{y}").alias("xy"), pearson(f"rk_{x}", f"rk_{z}").alias("xz"), pearson(f"rk_{y}", f"rk_{z}").alias("yz")
     )
     rest = (1 - F.col("xz") ** 2) * (1 - F.col("yz") ** 2)

@@ -68,3 +68,15 @@ def test_pairs_of_a_group_beyond_one_range(spark, group):
         signs = [(a[2] - b[2]) * (a[3] - b[3]) for i, a in enumerate(own) for b in own[:i]]
         untied = sum(a[3] != b[3] for i, a in enumerate(own) for b in own[:i])
         assert (r.right, r.discordant, r.pairs, r.all_pairs) == (sum(s > 0 for s in signs), sum(s < 0 for s in signs), untied, len(signs))
+
+
+def test_partial_correlation_writes_only_what_it_ranks(spark, monkeypatch):
+    from granary.functions import exprs
+    from granary.operators.signal import partial_rank_correlation
+
+    df = spark.createDataFrame([("ab"[i % 2], i, float(i * 7 % 31), float(i * 11 % 53), float(i * 5 % 43), "wide") for i in range(300)], "g string, id long, x double, y double, z double, other string")
+    seen = []
+    stored = exprs.stored
+    monkeypatch.setattr(exprs, "stored", lambda d, name: seen.append(d.columns) or stored(d, name))
+    whole, split = ({r.g: r.partial for r in partial_rank_correlation(df, ["g"], "x", "y", "z", large=large).collect()} for large in (10_000, 50))
+    assert seen and not any("other" in c for c in seen) and whole == pytest.approx(split)
