@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from granary.functions.exprs import FLAT, clean, pearson, r9, ratio
 from granary.operators import fits as G, labels as L, metrics as M
+from granary.operators.metrics import screened
 from granary.sources.scratch import stored
 
 # Baselines of one feature each, by name.
@@ -45,8 +46,8 @@ def all_metrics(pred: DataFrame, keys: list[str], group: str = "grp", deadband:
     return out.withColumns({"selection_lift": gain, "frac_of_oracle": F.coalesce(ratio(gain, F.when(F.abs(room) > 1e-15, room)), F.lit(float("nan")))})
 
 
-def single_feature_predictions(df: DataFrame, fold: str, ids: list[str], features: list[str], y: str, lam: float = 1.0) -> DataFrame:
-    """ids, feature, pred: each feature alone, every fold predicted from all others, in closed form from one pass of sums."""
+def single_feature_columns(df: DataFrame, fold: str, ids: list[str], features: list[str], y: str, lam: float = 1.0) -> DataFrame:
+    """ids and _p0, _p1, ...: each feature alone, every fold predicted from all others, in closed form from one pass of sums; last their mean."""
     p = len(features)
     data, means = G.centred(df, features)
     own = stored(G.statistics(data, [fold], p, y), "fold-sums")
@@ -66,9 +67,16 @@ def single_feature_predictions(df: DataFrame, fold: str, ids: list[str], feature
             slope = np.where(np.sqrt(var) > FLAT, (u + m * (sy - v) - mu * sy) / np.where(np.sqrt(var) > FLAT, var * (n + lam), 1), 0.0)
             yield pd.DataFrame({fold: f[fold].to_numpy(), "_base": (sy / n)[:, 0], "_m": m.tolist(), "_mu": mu.tolist(), "_slope": slope.tolist()})
 
-    fit = rest.mapInPandas(fitted, f"`{fold}` {kind}, _base double, _m array<double>, _mu array<double>, _slope array<double>")
-    each = [F.struct(F.lit(f).alias("feature"), (F.col("_base") + F.col("_slope")[i] * (F.coalesce(F.col("_x")[i], F.col("_m")[i]) - F.col("_mu")[i])).alias("pred")) for i, f in enumerate(features)]
-    return data.join(fit, fold).select(*ids, F.explode(F.array(*each)).alias("_each")).select(*ids, "_each.feature", "_each.pred")
+    fit = stored(rest.mapInPandas(fitted, f"`{fold}` {kind}, _base double, _m array<double>, _mu array<double>, _slope array<double>"), "fold-fits")  # of known size: few are broadcast
+    each = [F.col("_base") + F.col("_slope")[i] * (F.coalesce(F.col("_x")[i], F.col("_m")[i]) - F.col("_mu")[i]) for i in range(p)]
+    return data.join(fit, fold).select(*ids, *(e.alias(f"_p{i}") for i, e in enumerate([*each, F.col("_base")])))
+
+
+def single_feature_predictions(df: DataFrame, fold: str, ids: list[str], features: list[str], y: str, lam: float = 1.0) -> DataFrame:
+    """ids, feature, pred: `single_feature_columns` without the mean, as one row for each feature."""
+    wide = single_feature_columns(df, fold, ids, features, y, lam)
+    each = F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"_p{i}").alias("pred")) for i, f in enumerate(features)))
+    return wide.select(*ids, F.explode(each).alias("_each")).select(*ids, "_each.feature", "_each.pred")
 
 
 def _long(df: DataFrame, name: str | None = None) -> DataFrame:
@@ -85,12 +93,13 @@ def baseline_scores(df: DataFrame, fold: str, features: list[str], y: str = "y",
     """feature, n, rmse and within-anchor Spearman of each single feature and of the mean (predict_mean), under the same folds; constant features are left out."""
     named = df.select(fold, F.col(key).alias("id"), F.col(anchor).alias("grp"), F.col(y).cast("double").alias("truth"), *features)
     ids, varying = ["id", "grp", "truth"], _varying(df, features)
-    single = single_feature_predictions(named, fold, ids, varying, "truth").select(*ids, "feature", "pred")
-    mean = G.mean_baseline(named.select(fold, *ids), fold, "truth").select(*ids, F.lit("predict_mean").alias("feature"), "pred")
-    both = stored(single.unionByName(mean), "baselines")
-    e = F.col("pred") - F.col("truth")
-    errors = both.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"))
-    ranks = M.spearman(both.withColumn("pred", r9("pred")), ["feature", "grp"])  # equal to nine decimals is a tie
+    names = [*varying, "predict_mean"]
+    columns = [f"_p{i}" for i in range(len(names))]
+    wide = single_feature_columns(named, fold, ids, varying, "truth").select(*ids, *columns)
+    of = F.array(*(F.struct(F.lit(f).alias("feature"), F.count(c).alias("n"), F.sqrt(F.avg((F.col(c) - F.col("truth")) * (F.col(c) - F.col("truth")))).alias("rmse")) for f, c in zip(names, columns)))
+    errors = wide.agg(of.alias("_of")).select(F.inline("_of")).filter("n > 0")
+    rounded = wide.select(*ids, *(r9(c).alias(f) for f, c in zip(names, columns)))  # equal to nine decimals is a tie
+    ranks = screened(rounded, "grp", names, "truth")
     return errors.join(ranks.filter("n >= 2").groupBy("feature").agg(F.avg("spearman").alias("within_anchor_spearman")), "feature", "left").withColumn("within_anchor_spearman", F.coalesce("within_anchor_spearman", F.lit(0.0)))
 
 

@@ -236,7 +236,8 @@ def oof_predict(df: DataFrame, fold: str, features: list[str], y: str, lam: floa
     total = summed(own, keys).withColumnRenamed("g", "all")
     both = own.join(total, keys) if within else own.crossJoin(F.broadcast(total))  # one row of totals
     rest = both.select(fold, minus("all", "g").alias("g")).filter(F.col("g")[0] > 0.5)
-    return data.join(fits(rest, [fold], len(features), lam), fold).withColumn("pred", _predicted([F.col("_x")[i] for i in range(len(features))])).select(*df.columns, "pred")
+    fit = stored(fits(rest, [fold], len(features), lam), "fold-fits")  # of known size: few are broadcast and the rows stay where they are
+    return data.join(fit, fold).withColumn("pred", _predicted([F.col("_x")[i] for i in range(len(features))])).select(*df.columns, "pred")
 
 
 def loocv(df: DataFrame, key: str, features: list[str], y: str, lam: float = 1.0) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from granary.functions.exprs import FLAT, LARGE_GROUP, erfc, pearson, ratio, row_numbers, with_group_size
 from granary.functions.scans import running
+from granary.operators.rank_sums import rank_correlations
 from granary.sources.scratch import stored
 
 
@@ -35,6 +36,17 @@ def spearman(df: DataFrame, keys: list[str], x: str = "pred", y: str = "truth",
     return out.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pearson(f"rk_{x}", f"rk_{y}").alias("spearman"))
 
 
+def screened(df: DataFrame, group: str, columns: list[str], y: str, tie: str = "id", pool: str | None = None, block: int = LARGE_GROUP) -> DataFrame:
+    """feature, `group`, n, spearman: of each column with y, within groups and, if it has a name, over the pool of all rows. `df` is read several times."""
+    found = rank_correlations(df, group, columns, y, tie, pool, block)
+    if found is not None:
+        return found
+    long = df.unpivot([tie, group, y], columns, "feature", "x").filter(F.col("x").isNotNull() & F.col(y).isNotNull())
+    if pool is not None:
+        long = long.withColumn(group, F.explode(F.array(F.col(group).cast("string"), F.lit(pool))))
+    return spearman(long, ["feature", group], "x", y, tie)
+
+
 def error_columns(p: str = "pred", y: str = "truth") -> list[Column]:
     e = F.col(p) - F.col(y)
     return [
