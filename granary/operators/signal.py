@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from granary.functions.exprs import LARGE_GROUP, clean, pearson, ratio, row_numbers, with_group_size
-from granary.operators.metrics import ranked, spearman, top_picks
+from granary.operators.metrics import ranked, screened, spearman, top_picks
 from granary.sources.scratch import stored
 
 
@@ -114,11 +114,10 @@ def feature_screen(df: DataFrame, features: list[str], y: str, domain: str, tie:
     """feature, domain, n, spearman and place: the rank correlation of each feature with y by domain, POOLED, and the AVERAGE over domains.
 
     Domains (and the pool) of fewer than `least` rows with the feature are left out. place orders the features by the magnitude
-    of their average, to nine decimals and then by name. Domains and the pool are ranked in one pass.
+    of their average, to nine decimals and then by name. Domains and the pool are ranked in one pass; `df` is written once before.
     """
-    long = df.unpivot([tie, domain, y], features, "feature", "x").filter(F.col("x").isNotNull() & F.col(y).isNotNull())
-    both = long.withColumn(domain, F.explode(F.array(F.col(domain).cast("string"), F.lit("POOLED"))))
-    own = stored(spearman(both, ["feature", domain], "x", y, tie).filter(F.col("n") >= least), "screen")  # a row for each feature and domain
+    data = stored(df.select(tie, F.col(domain).cast("string").alias(domain), y, *features), "screen-rows")
+    own = stored(screened(data, domain, features, y, tie, "POOLED").filter(F.col("n") >= least), "screen")  # a row for each feature and domain
     mean = own.filter(F.col(domain) != "POOLED").groupBy("feature").agg(F.sum("n").alias("n"), F.avg("spearman").alias("spearman"))
     placed = mean.withColumn("place", F.row_number().over(W.orderBy(F.desc(F.round(F.abs("spearman"), 9)), "feature")))  # one row for each feature
     out = own.unionByName(mean.select("feature", F.lit("AVERAGE").alias(domain), "n", "spearman"))
