@@ -158,3 +158,18 @@ def test_watching_ends_when_all_are_active(spark):
     assert not J.watch_until_active(stream, "pod", "state", "ts", "id", f"{folder}/log", seconds=8, every="200 milliseconds")
     write([("a", "ACTIVE", START + timedelta(minutes=1), 3)])
     assert J.watch_until_active(stream, "pod", "state", "ts", "id", f"{folder}/log", seconds=60, every="200 milliseconds")
+
+
+def test_online_predictor_keeps_keys_together(spark, tmp_path):
+    rows = spark.range(900).selectExpr("concat('k', id % 300) as k", "id as i", "cast(id % 7 as double) as a", "cast(id % 11 as double) as y")
+    rows.filter("i < 500").coalesce(1).write.parquet(str(tmp_path / "in"))
+    rows.filter("i >= 500").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    with J.own_state_store(spark):
+        q = J.online_predictor(stream, "k", "i", ["a"], "y", 1, groups=8).writeStream.option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).format("parquet").option("path", str(tmp_path / "out")).start()
+        q.awaitTermination()
+    assert q.lastProgress.stateOperators[0].numRowsTotal <= 8
+    got = {r.i: r.pred for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert len(got) == 900 and all(got[i] == i % 7 for i in range(300))
+    # the second row of a key: one row before it, whose y is its mean and which has no slope
+    assert all(abs(got[i] - (i - 300) % 11) < 1e-9 for i in range(300, 600))
