@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from granary.functions.exprs import FLAT, clean, col
+from granary.sources.scratch import stored
 
 
 # The features of a label row that a predictor may see, in order; its context; the domain-invariant ones.
@@ -92,7 +93,8 @@ def label_key(*parts) -> Column:
 
 
 def zscore_by_group(df: DataFrame, group: str, features: list[str]) -> DataFrame:
-    """Features scaled within groups by mean and population deviation (too small: 1); missing stays missing."""
+    """Features scaled within groups by mean and population deviation (too small: 1); missing stays missing. `df` is written once, as it is read twice."""
+    df = stored(df, "unscaled")
     stats = df.groupBy(group).agg(*(a for f in features for a in (F.avg(f).alias(f"_m_{f}"), F.stddev_pop(f).alias(f"_s_{f}"))))
     joined = df.join(stats, group)
     scaled = {f: (F.col(f) - F.coalesce(f"_m_{f}", F.lit(0.0))) / F.when(F.col(f"_s_{f}") > FLAT, F.col(f"_s_{f}")).otherwise(1.0) for f in features}
