@@ -27,6 +27,8 @@ def group_advantages(rollouts: DataFrame, keys: list[str], reward: str = "reward
 
 _OPTIONAL = ("reward", "advantage", "completion_tokens", "mean_logprob", "mean_entropy", "early_logprob", "late_logprob", "min_logprob")
 _SHARES = (0.1, 0.5, 0.9)
+#: Rows of a key, on average, up to which one more sort for its quantiles costs less than percentile.
+SMALL_KEY = 16
 
 
 def _same(keys: list[str]) -> list[Column]:
@@ -73,6 +75,11 @@ def _quantiles(accuracy: int | None) -> Column:
     return F.percentile("mean_logprob", F.array(*map(F.lit, _SHARES))) if accuracy is None else F.percentile_approx("mean_logprob", list(_SHARES), accuracy)
 
 
+def _between(low: Column, high: Column, at: Column) -> Column:
+    """The value at a place between two neighbours, as percentile gives it."""
+    return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+
+
 _ASKED = [f"logprob_p{round(100 * p)}" for p in _SHARES]
 
 
@@ -96,15 +103,17 @@ def summarize_rollouts(
     if "comp_hash" not in rollouts.columns:
         rollouts = rollouts.withColumn("comp_hash", F.lit(None).cast("string"))
     rollouts = rollouts.select(*keys, group, *_OPTIONAL, "comp_hash")
-    hot = rollouts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > large).select(*keys)
-    if hot.isEmpty():
-        return _in_tasks(rollouts, keys, group, accuracy, only, advantages)
-    hot = stored(hot, "hot-keys")  # at most one for every `large` rows
+    sizes = rollouts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    largest, mean = sizes.agg(F.max("_rows"), F.avg("_rows")).first()
+    few = (mean or 0) <= SMALL_KEY
+    if not largest or largest <= large:
+        return _in_tasks(rollouts, keys, group, accuracy, only, advantages, few)
+    hot = stored(sizes.filter(F.col("_rows") > large).select(*keys), "hot-keys")  # at most one for every `large` rows
     split = lambda how: rollouts.alias("a").join(hot.alias("b"), _same(keys), how)
-    return _in_tasks(split("left_anti"), keys, group, accuracy, only, advantages).unionByName(_in_parts(split("left_semi"), keys, group, accuracy, only, advantages))
+    return _in_tasks(split("left_anti"), keys, group, accuracy, only, advantages, few).unionByName(_in_parts(split("left_semi"), keys, group, accuracy, only, advantages))
 
 
-def _in_tasks(rollouts: DataFrame, keys: list[str], group: str, accuracy: int | None, only: tuple[str, ...] | None, advantages: bool) -> DataFrame:
+def _in_tasks(rollouts: DataFrame, keys: list[str], group: str, accuracy: int | None, only: tuple[str, ...] | None, advantages: bool, few: bool) -> DataFrame:
     wanted = lambda c: only is None or c in only
     own = W.partitionBy(*keys, group)
     hit = (F.col("reward") > 0.5).cast("double")
@@ -119,7 +128,17 @@ def _in_tasks(rollouts: DataFrame, keys: list[str], group: str, accuracy: int |
         rows = rows.withColumn("_new", (F.row_number().over(W.partitionBy(*keys, "comp_hash").orderBy("comp_hash")) == 1) & F.col("comp_hash").isNotNull())
         values["distinct_frac"] = ratio(F.count_if("_new"), F.count("comp_hash"))
     asked = [c for c in _ASKED if wanted(c)]
-    out = rows.groupBy(*keys).agg(*(e.alias(c) for c, e in values.items()), *([_quantiles(accuracy).alias("_quantiles")] if asked else []))
+    exact = bool(asked) and accuracy is None and few
+    if exact:  # by places in the sorted key: with percentile, which is no plain aggregate, Spark would compile none of the others
+        key = W.partitionBy(*keys)
+        rows = rows.withColumns({"_turn": F.row_number().over(key.orderBy(F.asc_nulls_last("mean_logprob"))) - 1, "_values": F.count("mean_logprob").over(key)})
+        for c, share in zip(_ASKED, _SHARES):
+            at = (F.col("_values") - 1) * F.lit(share)
+            values |= {f"_{part}_{c}": F.max(F.when((F.col("_turn") == place(at)) & (F.col("_values") > 0), F.col("mean_logprob"))) for part, place in (("low", F.floor), ("high", F.ceil))}
+        values["_values"] = F.max("_values")
+    out = rows.groupBy(*keys).agg(*(e.alias(c) for c, e in values.items()), *([_quantiles(accuracy).alias("_quantiles")] if asked and not exact else []))
+    if exact:
+        out = out.withColumn("_quantiles", F.array(*(_between(F.col(f"_low_{c}"), F.col(f"_high_{c}"), (F.col("_values") - 1) * F.lit(share)) for c, share in zip(_ASKED, _SHARES))))
     order = [*(c for c in _row_statistics() if c in values), *asked, *(c for c in ("distinct_frac",) if c in values), *(c for c in _group_statistics(F.lit(True)) if c in values)]
     return out.select(*keys, *(F.col("_quantiles")[_ASKED.index(c)].alias(c) if c in asked else c for c in order))
 

@@ -124,3 +124,15 @@ def test_stream_equals_batch(spark):
     got = {r.i: r.pred for r in spark.read.parquet(f"{path}/out").collect()}
     want = {r.i: r.pred for r in G.prequential(rows, ["k"], ["i"], ["x", "z"], "y", fallback="x").collect()}
     assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_exact_quantiles_are_plain_aggregates(spark):
+    """Quantiles by places equal percentile, nulls and ties among the values, and no aggregate of the plan runs uncompiled."""
+    from granary.operators.rollouts import summarize_rollouts
+
+    rows = spark.range(500).selectExpr("id % 61 as k", "id % 3 as group_id", "cast(id % 2 as double) as reward", "case when id % 61 = 5 or id % 4 = 0 then null else cast(id * 37 % 11 as double) / 7 end as mean_logprob")
+    names = ("logprob_p10", "logprob_p50", "logprob_p90", "reward_mean")
+    out = summarize_rollouts(rows, ["k"], only=names)
+    want = {r[0]: tuple(r[1] or (None,) * 3) for r in rows.groupBy("k").agg(F.percentile("mean_logprob", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))).collect()}
+    assert {r.k: (r.logprob_p10, r.logprob_p50, r.logprob_p90) for r in out.collect()} == want and want[5] == (None,) * 3
+    assert "ObjectHashAggregate" not in out._jdf.queryExecution().executedPlan().toString()
