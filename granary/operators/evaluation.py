@@ -149,9 +149,9 @@ def evaluate_labels(labels: DataFrame, ids: list[str], label: str = "acc", conte
 
 
 def spearman_with_overall(pred: DataFrame, key: str, id_: str = "row_id", y: str = "y") -> DataFrame:
-    """Spearman by key, and a row ALL over every prediction."""
+    """Spearman by key, and a row ALL over every prediction, in one exchange."""
     pred = stored(pred.select(F.col(key), F.col(id_).alias("id"), "pred", F.col(y).alias("truth")), "predictions")
-    return M.spearman(pred, [key]).unionByName(M.spearman(pred.withColumn(key, F.lit("ALL")), [key]))
+    return screened(pred, key, ["pred"], "truth", pool="ALL").drop("feature")
 
 
 def leave_one_out_ladder(df: DataFrame, fold: str, settings: dict[str, list[str]], y: str = "y", key: str = "row_id") -> DataFrame:
@@ -166,9 +166,9 @@ def leave_one_out_ladder(df: DataFrame, fold: str, settings: dict[str, list[str]
 def feature_sweep(labels: DataFrame, configs: dict[str, tuple[list[str], bool, str | None]], mode: str = "nll", domain: str = "domain", unit: str = "candidate_id", folds: int = 5, seed=1) -> DataFrame:
     """config, within, transfer: mean rank correlation over domains on seed means, within them (hash folds of units) and from all other domains.
 
-    configs: name to (keys, with context, the column within which features are scaled).
+    configs: name to (keys, with context, the column within which features are scaled). `labels` is written once for all of them.
     """
-    out = None
+    out, labels = None, stored(labels, "sweep-labels")
     for name, (keys, context, scale) in configs.items():
         names = [*keys, *(L.CONTEXT_KEYS if context else [])]
         xy = L.build_xy(labels, [domain, unit], mode, keys, context, scale)

@@ -229,3 +229,23 @@ def test_few_shot_by_products_equals_the_join(spark):
     assert "MapInPandas" in held._jdf.queryExecution().toString() and "SortMergeJoin" not in held._jdf.queryExecution().toString()
     one, other = ({(r.d, r.i, r.k, r.rep): r.pred for r in x.collect()} for x in (held, few(0)))
     assert len(one) == 3 * 2 * (20 + 17) and set(one) == set(other) and max(abs(one[k] - other[k]) for k in one) < 1e-9
+
+
+def test_ladder_and_sweep_shuffle_once(spark, monkeypatch):
+    """Ranks by fold and of all rows come from one call, and the sweep writes its labels once for all configurations."""
+    from granary.operators import evaluation as E
+
+    rows = spark.range(300).selectExpr("id as row_id", "concat('d', id % 3) as domain", "concat('c', id % 60) as candidate_id", "cast(id % 7 as double) as a", "cast(id * 37 % 101 as double) as lift_nll", "cast(null as double) as target_similarity")
+    calls = []
+    plain = E.M.spearman
+    monkeypatch.setattr(E.M, "spearman", lambda *a, **k: calls.append(a) or plain(*a, **k))
+    pred = rows.selectExpr("row_id", "domain", "a as pred", "lift_nll as y")
+    got = {r.domain: (r.n, r.spearman) for r in E.spearman_with_overall(pred, "domain").collect()}
+    assert not calls and set(got) == {"d0", "d1", "d2", "ALL"} and got["ALL"][0] == 300
+    want = plain(pred.selectExpr("row_id as id", "pred", "y as truth"), []).first()
+    assert abs(got["ALL"][1] - want.spearman) < 1e-12
+    names = []
+    write = E.stored
+    monkeypatch.setattr(E, "stored", lambda df, name: names.append(name) or write(df, name))
+    E.feature_sweep(rows, {"one": (["a"], False, None), "two": (["a"], False, "domain")})
+    assert names.count("sweep-labels") == 1
