@@ -6,12 +6,17 @@ replicate's, so it is the same in any engine and partitioning. A task makes the
 for a block of rows and keeps their weighted sums; what is shuffled is one row for each task, key and replicate,
 however many rows there are.
 
+With exact=True every replicate is n draws with replacement from the key's n rows instead, in two levels: blocks of 65,536
+numbered rows share out a replicate's draws, then each block draws its share among its own rows, so again no row is made for a
+draw, no task holds a key, and one row for each block and replicate is shuffled.
+
 Quantiles need an order: weights below a window around the quantile are summed in the same way, and only the rows of the
 window, whose share shrinks as one over the root of n, meet in a task. A replicate whose quantile lies outside the window widens it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable
 
@@ -20,12 +25,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from granary.functions.exprs import clean, ratio
+from granary.functions.exprs import clean, ratio, row_numbers
 from granary.sources.scratch import stored
 
 REPLICATES, ALPHA = 2000, 0.05
 #: Weights that are made at once, rows of a key whose window is the whole key, points of the grid that bounds larger windows.
 WEIGHTS, WHOLE, GRID = 1 << 18, 1 << 14, 4096
+#: Rows that draw among themselves, and draws under one pair of seeds.
+BLOCK = 1 << 16
 # The odd constants of the mix, and of the Weyl sequence that separates replicates.
 MIX, WEYL = 0x45D9F3B, 0x9E3779B9
 #: From which of 65,536 equal steps on a weight is 1, 2, ...: cumulative probabilities of a Poisson variable of mean 1.
@@ -114,6 +121,78 @@ def replicate_sums(df: DataFrame, keys: list[str], number: str, values: list[str
     return found.groupBy(*keys, "rep").agg(*(F.sum(c).alias(c) for c in columns[1:]))
 
 
+def drawn(text: str, n: int) -> np.ndarray:
+    """n numbers of 32 bits under the two seeds that a text's MD5 begins with."""
+    seeds = hashlib.md5(text.encode()).hexdigest()
+    x = np.arange(n, dtype=np.uint32) * np.uint32(WEYL) + np.uint32(int(seeds[:8], 16))
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(MIX)
+    x ^= np.uint32(int(seeds[8:16], 16))
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(MIX)
+    return x
+
+
+def _places(x: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of 32 bits as places 0 to n - 1."""
+    return (x * 2.0**-32 * n).astype(np.int64)
+
+
+def shares(text: str, rep: int, n: int, block: int = BLOCK) -> np.ndarray:
+    """How many of a replicate's n draws fall into each block of n numbered rows."""
+    blocks = -(-n // block)
+    if blocks < 2:
+        return np.full(blocks, n)
+    found = np.zeros(blocks, np.int64)
+    for i in range(blocks):
+        x = drawn(f"{text}:{rep}:draws:{i}", min(block, n - i * block))
+        found += np.bincount(_places(x, n) // block, minlength=blocks)
+    return found
+
+
+def drawn_sums(df: DataFrame, keys: list[str], number: str, values: list[str], replicates: int, seed: int, block: int = BLOCK) -> DataFrame:
+    """As replicate_sums, of as many draws with replacement as a key has rows; number: 0, 1, ... within keys."""
+    columns = ["w", *(f"s{i}" for i in range(len(values)))]
+    group = [*keys, "_block"]
+    text = F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    turns = sizes.withColumns({"_text": text, "_rep": F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))})
+
+    def deal(batches):
+        for rows in batches:
+            found = [shares(t, r, n, block) for t, r, n in zip(rows["_text"], rows["_rep"], rows["_n"])]
+            many = np.array([len(f) for f in found], np.int64)
+            if many.sum():
+                out = rows.loc[rows.index.repeat(many)].drop(columns="_n")
+                yield out.assign(_block=np.concatenate([np.arange(m) for m in many]), _share=np.concatenate(found))
+
+    own = [df.schema[k] for k in keys]
+    dealt = T.StructType([*own, T.StructField("_text", T.StringType()), T.StructField("_rep", T.IntegerType()), T.StructField("_block", T.LongType()), T.StructField("_share", T.LongType())])
+    parts = 4 * df.sparkSession.sparkContext.defaultParallelism
+    dealt = turns.select(*keys, "_text", "_rep", "_n").repartition(parts, *keys, "_rep").mapInPandas(deal, dealt)
+    placed = df.select(*keys, F.floor(F.col(number) / block).cast("long").alias("_block"), (F.col(number) % block).alias("_place"), *(F.col(v).cast("double").alias(f"_s{i}") for i, v in enumerate(values)))
+    schema = T.StructType([*own, T.StructField("rep", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in columns)])
+
+    def draw(rows: pd.DataFrame, turns: pd.DataFrame) -> pd.DataFrame:
+        m, at = len(rows), int(rows["_block"].iloc[0])
+        sums = np.ones((len(columns), m))
+        for i in range(len(values)):
+            sums[i + 1, rows["_place"].to_numpy()] = rows[f"_s{i}"].to_numpy()
+        out = np.zeros((len(columns), len(turns) + 1))
+        out[:, -1] = sums.sum(axis=1)
+        for j, (t, r, n) in enumerate(zip(turns["_text"], turns["_rep"], turns["_share"])):
+            times = np.bincount(_places(drawn(f"{t}:{r}:rows:{at}", n), m), minlength=m)
+            out[:, j] = sums @ times.astype(np.float64)
+        got = pd.DataFrame({"rep": np.append(turns["_rep"].to_numpy(), -1).astype(np.int32), **dict(zip(columns, out))})
+        for i, k in enumerate(keys):
+            got.insert(i, k, [rows[k].iloc[0]] * len(got))
+        return got
+
+    # parts by number: few rows stand for many draws, and would be put into few tasks
+    found = placed.repartition(parts, *group).groupBy(*group).cogroup(dealt.repartition(parts, *group).groupBy(*group)).applyInPandas(draw, schema)
+    return found.groupBy(*keys, "rep").agg(*(F.sum(c).alias(c) for c in columns))
+
+
 def _quantiles(df: DataFrame, keys: list[str], number: str, value: str, p: float, replicates: int) -> DataFrame:
     """keys, rep and stat: the linear quantile of every replicate, exactly."""
     width = 6.0
@@ -182,23 +261,33 @@ def _quantiles(df: DataFrame, keys: list[str], number: str, value: str, p: float
 
 
 def bootstrap_ci(
-    df: DataFrame, keys: list[str], columns: list[str], stat: str | float = "mean", replicates: int = REPLICATES, seed: int = 0, tie: str = "id", alpha: float = ALPHA
+    df: DataFrame, keys: list[str], columns: list[str], stat: str | float = "mean", replicates: int = REPLICATES, seed: int = 0, tie: str = "id", alpha: float = ALPHA, exact: bool = False, block: int = BLOCK
 ) -> DataFrame:
     """keys, n, point, low, high and replicates: a statistic of each key's rows and its percentile interval.
 
     stat: mean, sum, std, ratio (of two columns' sums), pearson (of two columns), median, or a number p for
     the linear p-quantile. Rows that lack a number in any column are left out. Rows of one key and id weigh
-    alike. Replicates in which nothing weighs are not counted. Without keys an empty input gives one row of
+    alike. exact: n draws with replacement of a key's n rows, numbered by id, in each replicate, for statistics of sums; blocks of
+    `block` rows. Replicates in which nothing weighs are not counted. Without keys an empty input gives one row of
     NaN; with keys it gives no rows.
     """
     p = 0.5 if stat == "median" else stat if isinstance(stat, float) else None
-    rows = df.select(*keys, row_number_of(seed, *keys, tie).alias("_row"), *(clean(c).alias(f"_v{i}") for i, c in enumerate(columns)))
+    if exact and p is not None:
+        raise ValueError("exact draws are for statistics of sums")
+    rows = df.select(*keys, F.col(tie).alias("_id") if exact else row_number_of(seed, *keys, tie).alias("_row"), *(clean(c).alias(f"_v{i}") for i, c in enumerate(columns)))
     for i in range(len(columns)):
         rows = rows.filter(F.col(f"_v{i}").isNotNull())
     if p is None:
         made, value = ADDITIVE[str(stat)]
         parts = made(*(F.col(f"_v{i}") for i in range(len(columns))))
-        sums = replicate_sums(rows.select(*keys, "_row", *(x.alias(f"_s{i}") for i, x in enumerate(parts))), keys, "_row", [f"_s{i}" for i in range(len(parts))], replicates)
+        if exact:
+            rows = stored(rows, "bootstrap-rows")  # sizes and numbers read it
+            numbered = row_numbers(rows, keys, {"_row": ("_id", False)}, "_v0").withColumn("_row", F.col("_row") - 1)
+            rows = stored(numbered, "bootstrap-numbers")
+        rows, names = rows.select(*keys, "_row", *(x.alias(f"_s{i}") for i, x in enumerate(parts))), [f"_s{i}" for i in range(len(parts))]
+        sums = drawn_sums(rows, keys, "_row", names, replicates, seed, block) if exact else replicate_sums(rows, keys, "_row", names, replicates)
+        if exact:
+            sums = stored(sums, "bootstrap-sums")  # the replicates and the count read it
         found = sums.select(*keys, "rep", F.when(F.col("w") > 0, value(F.col("w"), [F.col(f"s{i}") for i in range(len(parts))])).alias("stat"))
         found = found.join(sums.filter("rep = -1").select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("w").alias("_n")), _same(keys)) if keys else found.crossJoin(F.broadcast(sums.filter("rep = -1").select(F.col("w").alias("_n"))))
     else:

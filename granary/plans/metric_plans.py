@@ -123,9 +123,26 @@ MEDIANS = """, cu as (select domain, rep, v, sum(w) over (partition by domain, r
 mm as (select domain, rep, (min(v) filter (upto > floor((total - 1) / 2.0)) + min(v) filter (upto > ceil((total - 1) / 2.0))) / 2 as m from cu group by 1, 2)"""
 
 
-@query("h11_bootstrap_ci", BY_DOMAIN.format(v="truth") + WEIGHTED + _interval_sql(MEANS, "avg(v)"), ("v_labels", "v_predictions"))
+def _drawn_sql(keys: str) -> str:
+    """Rows of b (keys, id, v): the means of n draws with replacement from the n rows of a key, 2,000 times.
+
+    A replicate's draws are shared out among blocks of 65,536 rows, in which each share is then drawn.
+    """
+    text = "concat('7:', " + "".join(f"{k}, ':', " for k in keys.split(", "))
+    seeds = ", ".join(f"cast(concat('0x', substr(md5({text}rep, {{of}})), {at}, 8)) as bigint) as k{i}" for i, at in ((1, 1), (2, 9)))
+    mixed = lambda name, source: f"""{name}1 as (select * exclude (e, k1), {_MIXED.format(x="((k1 + e * 2654435769) % 4294967296)")} as x from {source}),
+{name}2 as (select * exclude (x, k2), xor(x, k2) as x from {name}1), {name} as (select * exclude (x), ({_MIXED.format(x="x")})::double / 4294967296::double as u from {name}2)"""
+    return f""", num as (select {keys}, v, row_number() over (partition by {keys} order by id) - 1 as i from b), sz as (select {keys}, count(*) as n from b group by all),
+ch as (select {keys}, n, rep, c, {seeds.format(of="':draws:', c")} from (select {keys}, n, rep, unnest(range(0, (n + 65535) // 65536)) as c from sz, range(0, 2000) r(rep) where n > 65536)),
+de as (select {keys}, n, rep, k1, k2, unnest(range(0, least(65536, n - c * 65536))) as e from ch), {mixed("dm", "de")},
+sh as (select {keys}, n, rep, cast(floor(u * n) as bigint) // 65536 as blk, count(*) as c from dm group by all union all select {keys}, n, rep, 0 as blk, n as c from sz, range(0, 2000) r(rep) where n <= 65536),
+be as (select {keys}, rep, blk, least(65536, n - blk * 65536) as m, {seeds.format(of="':rows:', blk")}, unnest(range(0, c)) as e from sh), {mixed("bm", "be")},
+pk as (select {keys}, rep, blk * 65536 + cast(floor(u * m) as bigint) as i from bm), mm as (select {keys}, rep, avg(v) as m from pk join num using ({keys}, i) group by all)"""
+
+
+@query("h11_bootstrap_ci", BY_DOMAIN.format(v="truth") + _drawn_sql("domain") + _interval_sql("", "avg(v)"), ("v_labels", "v_predictions"))
 def h11(t):
-    return _interval(B.bootstrap_ci(_boot_rows(t), ["domain"], ["truth"], "mean", seed=7))
+    return _interval(B.bootstrap_ci(_boot_rows(t), ["domain"], ["truth"], "mean", seed=7, exact=True))
 
 
 @query("h11_bootstrap_median", BY_DOMAIN.format(v="truth") + WEIGHTED + _interval_sql(MEDIANS, "median(v)"), ("v_labels", "v_predictions"))

@@ -116,3 +116,79 @@ def test_shuffled_rows_do_not_grow(spark):
         assert "MapInArrow" in before and "Join" not in before and "Generate" not in before
         assert B._few_tasks(df).rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
         assert plan.count() == 51
+
+
+def drawn_number(seeds: str, e: int) -> int:
+    x = (int(seeds[:8], 16) + e * 0x9E3779B9) % 2**32
+    x = (x ^ (x >> 16)) * 0x45D9F3B % 2**32 ^ int(seeds[8:16], 16)
+    return (x ^ (x >> 16)) * 0x45D9F3B % 2**32
+
+
+def exact_places(text: str, rep: int, n: int, block: int) -> list[int]:
+    """The rows that a replicate draws, one number for each draw."""
+    digest = lambda *parts: hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()
+    size = lambda b: min(block, n - b * block)
+    level = range(-(-n // block))
+    first = [drawn_number(digest(text, rep, "draws", c), e) * n // 2**32 // block for c in level for e in range(size(c))] if n > block else [0] * n
+    return [b * block + drawn_number(digest(text, rep, "rows", b), e) * size(b) // 2**32 for b in level for e in range(first.count(b))]
+
+
+@pytest.mark.parametrize("block", [16, B.BLOCK])
+@pytest.mark.parametrize("stat", ["mean", "pearson"])
+def test_exact_draws_equal_brute_force(spark, stat, block):
+    rows, df = table(spark)
+    columns = ["x", "y"] if stat == "pearson" else ["x"]
+    got = {r.g: r for r in B.bootstrap_ci(df, ["g"], columns, stat, 60, 7, exact=True, block=block).collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for g in "abc":
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: r[1])
+        places = [exact_places(f"7:{g}", r, len(own), block) for r in range(60)]
+        assert all(len(p) == len(own) for p in places)  # n draws, no more and no fewer
+        want = [STATS[stat]([own[i] for i in p]) for p in places]
+        r = got[g]
+        assert (r.n, r.replicates) == (len(own), 60)
+        assert np.allclose([r.point, r.low, r.high], [STATS[stat](own), *np.quantile(want, [0.025, 0.975])])
+
+
+@pytest.mark.parametrize("block", [64, B.BLOCK])
+def test_every_replicate_draws_as_many_rows_as_there_are(spark, block):
+    df = spark.range(1000, numPartitions=3).select(F.when(F.col("id") < 990, "a").alias("g"), F.when(F.col("id") < 990, F.col("id")).otherwise(F.col("id") - 990).alias("num"), F.lit(2.0).alias("v"))
+    sums = B.drawn_sums(df, ["g"], "num", ["v"], 50, 7, block).collect()
+    assert len(sums) == 2 * 51 and {(r.g, r.w, r.s0) for r in sums} == {("a", 990.0, 1980.0), (None, 10.0, 20.0)}
+
+
+def test_exact_draws_are_multinomial():
+    """Each row is drawn once on average with the variance of draws with replacement, within blocks and across them."""
+    n, block = 300, 32
+    times = np.array([np.bincount(exact_places("7:a", r, n, block), minlength=n) for r in range(400)])
+    assert (times.sum(axis=1) == n).all() and abs(times.var() - (1 - 1 / n)) < 0.02
+    assert np.abs(times.mean(axis=0) - 1).max() < 0.25 and abs(times[:, :block].sum(axis=1).var() / (block * (1 - block / n)) - 1) < 0.3
+    whole = B.shares("7:a", 5, n, block)
+    assert whole.tolist() == np.bincount(np.array(exact_places("7:a", 5, n, block)) // block, minlength=10).tolist()
+
+
+def test_exact_draws_without_keys_and_empty(spark):
+    rows, df = table(spark, 40)
+    (r,) = B.bootstrap_ci(df.filter("g = 'a'"), [], ["x"], "mean", 30, 7, exact=True, block=8).collect()
+    own = [r[2] for r in rows if r[0] == "a"]
+    assert r.n == len(own) and r.replicates == 30 and math.isclose(r.point, np.mean(own)) and r.low <= r.point <= r.high
+    (r,) = B.bootstrap_ci(df.limit(0), [], ["x"], "mean", 30, 7, exact=True).collect()
+    assert (r.n, r.replicates) == (0, 0) and math.isnan(r.point) and math.isnan(r.low) and math.isnan(r.high)
+    assert B.bootstrap_ci(df.limit(0), ["g"], ["x"], "mean", 30, 7, exact=True).collect() == []
+    with pytest.raises(ValueError):
+        B.bootstrap_ci(df, ["g"], ["x"], "median", 30, 7, exact=True)
+
+
+def test_sql_of_exact_draws_in_many_blocks(spark):
+    """The registered SQL on keys of several blocks, with 32 rows a block and 40 replicates."""
+    import duckdb
+    from granary.plans.metric_plans import _drawn_sql, _interval_sql
+
+    rows, df = table(spark, 300)
+    con = duckdb.connect()
+    con.execute("create table t (domain varchar, id bigint, v double)")
+    con.executemany("insert into t values (?, ?, ?)", [(g, i, x) for g, i, x, _ in rows if g])
+    sql = _drawn_sql("domain").replace("65536", "32").replace("65535", "31").replace("range(0, 2000)", "range(0, 40)")
+    want = con.execute("with b as (select * from t)" + sql + _interval_sql("", "avg(v)")).fetchall()
+    got = B.bootstrap_ci(df.filter("g is not null"), ["g"], ["x"], "mean", 40, 7, exact=True, block=32).collect()
+    assert len(want) == 3 and np.allclose(sorted(w[1:] for w in want), sorted(tuple(r)[1:] for r in got), atol=1e-9)
