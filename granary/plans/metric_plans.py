@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.exprs import pearson, r9, ratio
 from granary.operators import bootstrap as B, metrics as M
+from granary.sources.scratch import stored
 
 from .base import query
 
@@ -106,16 +107,17 @@ r2 as (select domain, v, rep, ({_MIXED.format(x="x")}) >> 16 as u from r1), w as
 BY_DOMAIN = ", b as (select p.*, d.domain, {v} as v from v_predictions p join v_labels d on p.id = d.row_id)"
 
 
-def _interval(out):
-    return out.select("domain", "n", *(r9(c).alias(c) for c in ("point", "low", "high")), "replicates")
+def _interval(out, keys=("domain",)):
+    return out.select(*keys, "n", *(r9(c).alias(c) for c in ("point", "low", "high")), "replicates")
 
 
 def _boot_rows(t):
     return t.predictions.join(t.labels.select(F.col("row_id").alias("id"), "domain"), "id")
 
 
-def _interval_sql(stat: str, point: str) -> str:
-    return f"{stat}, pt as (select domain, count(*) as n, {point} as point from b group by 1) select domain, any_value(n) as n, round(any_value(point), 9) as point, round(quantile_cont(m, 0.025), 9) as low, round(quantile_cont(m, 0.975), 9) as high, count(*) as replicates from mm join pt using (domain) group by 1"
+def _interval_sql(stat: str, point: str, keys: str = "domain") -> str:
+    by = ", ".join(str(i + 1) for i in range(len(keys.split(", "))))
+    return f"{stat}, pt as (select {keys}, count(*) as n, {point} as point from b group by {by}) select {keys}, any_value(n) as n, round(any_value(point), 9) as point, round(quantile_cont(m, 0.025), 9) as low, round(quantile_cont(m, 0.975), 9) as high, count(*) as replicates from mm join pt using ({keys}) group by {by}"
 
 
 MEANS = ", mm as (select domain, rep, sum(w * v) / sum(w) as m from w group by 1, 2)"
@@ -153,17 +155,21 @@ def h11m(t):
 @query(
     "h12_paired_bootstrap_ci",
     """, g as (select p.*, d.domain, row_number() over (partition by d.domain, grp order by pred desc, id desc) as rn, count(*) over (partition by d.domain, grp) as size from v_predictions p join v_labels d on p.id = d.row_id),
-b as (select domain, grp as id, avg(truth) filter (rn <= greatest(1, round_even(size * 0.25, 0))) - avg(truth) as v from g group by 1, 2)"""
-    + WEIGHTED
-    + _interval_sql(MEANS, "avg(v)"),
+b as (select domain, 'rows' as paired, cast(id as varchar) as id, truth - pred as v from g union all
+  select domain, 'candidates', grp, avg(truth) filter (rn <= greatest(1, round_even(size * 0.25, 0))) - avg(truth) from g group by domain, grp)"""
+    + _drawn_sql("domain, paired")
+    + _interval_sql("", "avg(v)", "domain, paired"),
     ("v_labels", "v_predictions"),
 )
 def h12(t):
-    """What picking each candidate's best quarter by prediction gains over picking at random, paired by candidate."""
-    rows = _boot_rows(t)
-    picked = M.top_picks(rows, ["domain", "grp"], 0.25).groupBy("domain", "grp").agg(F.avg("truth").alias("lift"))
-    chance = rows.groupBy("domain", "grp").agg(F.avg("truth").alias("lift"))
-    return _interval(B.paired_bootstrap_ci(picked, chance, ["domain"], "grp", "lift", seed=7))
+    """Paired by row, truth less prediction; by candidate, what picking its best quarter by prediction gains over picking at random."""
+    rows = stored(_boot_rows(t), "bootstrap-pairs")
+    picked = M.top_picks(rows, ["domain", "grp"], 0.25).groupBy("domain", "grp").agg(F.avg("truth").alias("value"))
+    chance = rows.groupBy("domain", "grp").agg(F.avg("truth").alias("value"))
+    by_row = lambda value: rows.select("domain", F.lit("rows").alias("paired"), F.col("id").cast("string").alias("unit"), F.col(value).alias("value"))
+    by_candidate = lambda arm: arm.select("domain", F.lit("candidates").alias("paired"), F.col("grp").alias("unit"), "value")
+    a, b = by_row("truth").unionByName(by_candidate(picked)), by_row("pred").unionByName(by_candidate(chance))
+    return _interval(B.paired_bootstrap_ci(a, b, ["domain", "paired"], "unit", "value", seed=7, exact=True), ["domain", "paired"])
 
 
 @query(

@@ -192,3 +192,15 @@ def test_sql_of_exact_draws_in_many_blocks(spark):
     want = con.execute("with b as (select * from t)" + sql + _interval_sql("", "avg(v)")).fetchall()
     got = B.bootstrap_ci(df.filter("g is not null"), ["g"], ["x"], "mean", 40, 7, exact=True, block=32).collect()
     assert len(want) == 3 and np.allclose(sorted(w[1:] for w in want), sorted(tuple(r)[1:] for r in got), atol=1e-9)
+
+
+def test_paired_query_draws_rows_and_candidates(spark):
+    """Every row is a unit of its domain, beside one difference for each candidate; both draw as many units as there are."""
+    import __spark_entry__ as entry
+    from granary.plans.base import Tables
+
+    path = "/root/testdata/sf0.001"
+    rows = Tables(spark, path).labels.groupBy("domain").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("candidate_id").alias("candidates")).collect()
+    want = {(r.domain, kind): r[kind] for r in rows for kind in ("rows", "candidates")}
+    got = entry.queries()["h12_paired_bootstrap_ci"](spark, path).collect()
+    assert {(r.domain, r.paired): r.n for r in got} == want and all(r.replicates == 2000 and r.low <= r.point <= r.high for r in got)
