@@ -75,6 +75,21 @@ def ordinal(df: DataFrame, keys: list[str], key: str, into: str = "rn", tie: tup
     return out.drop("_b", "_ob", "_before", "_i", *(f"_k{i}" for i in range(len(keys))))
 
 
+def leading(df: DataFrame, keys: list[str], key: str, most: int) -> DataFrame:
+    """Rows within `keys` that may be among the first `most` by the hex key: whole buckets of its first three digits, found by their counts.
+
+    What is exchanged is counts, and of the rows some n / 4,096 + `most` of a group are left.
+    """
+    counts = df.groupBy(*keys, F.substring(key, 1, 3).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    needed = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).filter(F.col("_before") < most)
+    needed = stored(needed.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_b"), "leading-buckets")
+    same = F.substring(key, 1, 3) == F.col("_b")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(needed, same, "left_semi")
+
+
 #: Rows of a group that one task may sort for its ranks.
 LARGE_GROUP = 200_000
 

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from granary.functions.exprs import ordinal, shuffle_key
+from granary.functions.exprs import leading, ordinal, shuffle_key
+from granary.sources.scratch import stored
 
 MEMBERS = ["name", "kind", "pos", "prompt_id", "is_noisy"]
 
@@ -17,10 +18,12 @@ def _members(df: DataFrame, name: Column, kind: str, pos: Column, noisy: Column
     return df.select(name.alias("name"), F.lit(kind).alias("kind"), pos.cast("int").alias("pos"), "prompt_id", (F.lit(False) if noisy is None else noisy).alias("is_noisy"))
 
 
-def shuffled(pool: DataFrame, seed, keys: list[str] = []) -> DataFrame:
-    """The pool with rn = 1, 2, ... in the seed's order, within keys."""
+def shuffled(pool: DataFrame, seed, keys: list[str] = [], most: int | None = None) -> DataFrame:
+    """The pool with rn = 1, 2, ... in the seed's order, within keys; only the first `most` of each, whose rows alone are sorted."""
     keyed = pool.withColumn("_key", shuffle_key(seed, *keys, "prompt_id"))
-    return ordinal(keyed, keys, "_key", tie=("prompt_id",)).drop("_key")
+    if most is None:
+        return ordinal(keyed, keys, "_key", tie=("prompt_id",)).drop("_key")
+    return ordinal(leading(keyed, keys, "_key", most), keys, "_key", tie=("prompt_id",)).drop("_key").filter(F.col("rn") <= most)
 
 
 def random_cohorts(pool: DataFrame, n: int, size: int, seed=0) -> DataFrame:
@@ -28,7 +31,7 @@ def random_cohorts(pool: DataFrame, n: int, size: int, seed=0) -> DataFrame:
     if pool.limit(n * size).count() < n * size:
         raise ValueError(f"{n} cohorts of {size} need {n * size} rows")
     rn = F.col("rn") - 1
-    return _members(shuffled(pool, seed).filter(F.col("rn") <= n * size), F.format_string("random-%03d", F.floor(rn / size)), "random", rn % size)
+    return _members(shuffled(pool, seed, most=n * size), F.format_string("random-%03d", F.floor(rn / size)), "random", rn % size)
 
 
 def chunk(df: DataFrame, size: int, keys: list[str] = []) -> DataFrame:
@@ -39,7 +42,7 @@ def chunk(df: DataFrame, size: int, keys: list[str] = []) -> DataFrame:
 
 
 def grouped_cohorts(pool: DataFrame, key: str, size: int, limit: int, seed=0) -> DataFrame:
-    rows = chunk(shuffled(pool.filter(F.col(key).isNotNull()), seed, [key]), size, [key]).filter(F.col("chunk") < limit)
+    rows = chunk(shuffled(pool.filter(F.col(key).isNotNull()), seed, [key], limit * size), size, [key])
     label = F.regexp_replace(F.replace(F.col(key).cast("string"), F.lit(" "), F.lit("_")), "/", "-")
     return _members(rows, F.concat(F.lit(f"by_{key}-"), label, F.format_string("-%03d", "chunk")), f"by_{key}", (F.col("rn") - 1) % size)
 
@@ -54,8 +57,7 @@ def passband_cohorts(pool: DataFrame, size: int, bands=BANDS, limit: int | None
     table = F.broadcast(spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(bands)], "band int, lo double, hi double"))
     r = F.col("pass_rate")
     inside = pool.join(table, (r >= F.col("lo")) & ((r < F.col("hi")) | ((r == 1.0) & (F.col("hi") >= 1.0))))
-    rows = chunk(shuffled(inside, seed, ["band"]), size, ["band"])
-    rows = rows if limit is None else rows.filter(F.col("chunk") < limit)
+    rows = chunk(shuffled(inside, seed, ["band"], None if limit is None else limit * size), size, ["band"])
     return _members(rows, F.format_string("passband-%.1f_%.1f-%03d", "lo", "hi", "chunk"), "passband", (F.col("rn") - 1) % size)
 
 
@@ -63,7 +65,7 @@ def variance_decoupled(pool: DataFrame, size: int, seed=0, middle: float = 0.15,
     """One cohort of rates near a half, and one of half low and half high rates; an error when the pool is short."""
     r, half = F.col("pass_rate"), size // 2
     part = F.when(F.abs(r - 0.5) <= middle, 0).when(r <= low, 1).when(r >= high, 2)
-    rows = shuffled(pool.withColumn("part", part).filter("part is not null"), seed, ["part"]).filter(F.col("rn") <= F.when(F.col("part") == 0, size).otherwise(half))
+    rows = shuffled(pool.withColumn("part", part).filter("part is not null"), seed, ["part"], size).filter(F.col("rn") <= F.when(F.col("part") == 0, size).otherwise(half))
     have = {p: n for p, n in rows.groupBy("part").count().collect()}  # three rows at most
     if size % 2 or have.get(0, 0) < size or min(have.get(1, 0), have.get(2, 0)) < half:
         raise ValueError("too few rows of a kind, or an odd size")
@@ -80,8 +82,7 @@ def with_pass_stats(members: DataFrame, rates: DataFrame) -> DataFrame:
 def label_noise_cohorts(pool: DataFrame, fracs: list[float], size: int, limit: int, seed=0) -> DataFrame:
     """Chunks dealt round-robin over the fractions; the first round-half-even(frac * size) members are noisy."""
     n = len(fracs)
-    rows = shuffled(pool, seed).filter(F.col("rn") <= n * limit * size)
-    rows = chunk(rows, size)
+    rows = chunk(shuffled(pool, seed, most=n * limit * size), size)
     frac = F.element_at(F.array(*map(F.lit, fracs)), (F.col("chunk") % n + 1).cast("int"))
     pos = (F.col("rn") - 1) % size
     name = F.format_string("labelnoise-%03d-%03d", (frac * 100).cast("int"), (F.col("chunk") + 1).cast("int"))
@@ -91,14 +92,12 @@ def label_noise_cohorts(pool: DataFrame, fracs: list[float], size: int, limit: i
 def duplication_cohorts(pool: DataFrame, ks: list[int], size: int, limit: int, seed=0) -> DataFrame:
     """k distinct prompts cycled over `size` slots, `limit` times for each k; a k that the pool can't fill is skipped.
 
-    Every cohort has its own order of the whole pool, so a pool of k prompts is enough for all of them. A task keeps no
-    more than the first max(ks) rows of each order.
+    Every cohort has its own order of the whole pool, so a pool of k prompts is enough for all of them.
     """
     spark, most = pool.sparkSession, max(ks)
     table = F.broadcast(spark.createDataFrame([(k, rep) for k in ks for rep in range(limit)], "k int, rep int"))
-    keyed = pool.select("prompt_id").crossJoin(table).withColumn("_key", shuffle_key(seed, "k", "rep", "prompt_id"))  # ks x limit is a parameter
-    first = keyed.withColumn("rn", F.row_number().over(W.partitionBy("k", "rep").orderBy("_key", "prompt_id"))).filter(F.col("rn") <= most)
-    picked = first.filter(F.col("rn") <= F.col("k"))
+    orders = pool.select("prompt_id").crossJoin(table)  # ks x limit is a parameter
+    picked = shuffled(orders, seed, ["k", "rep"], most).filter(F.col("rn") <= F.col("k"))
     full = picked.groupBy("k", "rep").agg(F.count(F.lit(1)).alias("n")).filter("n = k").select("k", "rep")  # one row for each cohort
     cycled = picked.join(F.broadcast(full), ["k", "rep"]).filter(F.col("rn") <= size)
     slots = cycled.withColumn("slot", F.explode(F.sequence(F.col("rn") - 1, F.lit(size - 1), F.col("k"))))
@@ -113,6 +112,7 @@ def build_all(
     pool: prompt_id and, for their families, pass_rate and the columns `keys`. Within families: noise by chunk,
     duplicates by k and repetition, bands and groups by value and chunk, high variance before low.
     """
+    pool = stored(pool.select("prompt_id", *(c for c in ("pass_rate", *keys) if c in pool.columns)), "cohort-pool")  # every family reads it
     number = F.regexp_extract("name", r"(\d+)$", 1).cast("int")
     first = F.regexp_extract("name", r"-(?:k)?([0-9.]+)[-_]", 1)
     families = [(lambda: label_noise_cohorts(pool, list(fracs), size, per_noise, seed), (F.lit(""), number)), (lambda: duplication_cohorts(pool, list(ks), size, per_k, seed), (first, number))]
@@ -130,6 +130,7 @@ def build_all(
         except ValueError:
             continue
         out = part if out is None else out.unionByName(part)
+    out = stored(out, "cohort-members")  # the order of the cohorts, their members and their statistics read it
     order = out.select("_family", "_turn", "name").distinct().withColumn("ord", (F.row_number().over(W.orderBy("_family", "_turn", "name")) - 1).cast("int"))  # one row for each cohort
     out = out.join(order.select("_family", "name", "ord"), ["_family", "name"]).select(*MEMBERS, "ord")
     return with_pass_stats(out, pool.select("prompt_id", "pass_rate")) if "pass_rate" in pool.columns else out
