@@ -173,3 +173,17 @@ def test_online_predictor_keeps_keys_together(spark, tmp_path):
     assert len(got) == 900 and all(got[i] == i % 7 for i in range(300))
     # the second row of a key: one row before it, whose y is its mean and which has no slope
     assert all(abs(got[i] - (i - 300) % 11) < 1e-9 for i in range(300, 600))
+
+
+def test_age_alerts_keep_keys_together(spark, tmp_path):
+    schema = "pod string, state string, ts timestamp, id long"
+    first = [(f"p{i}", "PROVISIONING", START + timedelta(seconds=i), i) for i in range(40)]
+    later = [(f"p{i}", "ACTIVE" if i % 2 else "FAILED", START + timedelta(minutes=5, seconds=i), 100 + i) for i in range(20)] + [("end", "ACTIVE", START + timedelta(hours=1), 999)]
+    for rows in (first, later):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    with J.own_state_store(spark):
+        q = J.age_stream(stream, "pod", "state", "ts", "id", groups=4).writeStream.option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).format("parquet").option("path", str(tmp_path / "out")).start()
+        q.awaitTermination()
+    got = sorted((r.pod, r.alert) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted([(f"p{i}", "STUCK") for i in range(20, 40)] + [(f"p{i}", "DEAD") for i in range(0, 20, 2)])
