@@ -567,26 +567,6 @@ def zslope(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return df.groupBy(*keys).agg((F.covar_pop(x, y) / (F.stddev_pop(x) + 1e-9)).alias("slope"))
 
 
-def boosted_oof(df: DataFrame, fold: str, folds: int, features: list[str], y: str, iterations: int = 140) -> DataFrame:
-    """`df` with pred, each of the folds 0, 1, ... predicted by trees trained on all others."""
-    out = None
-    for i in range(folds):
-        part = boosted_trees(df.filter(F.col(fold) != i), features, y, iterations, df.filter(F.col(fold) == i))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def boosted_trees(df: DataFrame, features: list[str], y: str, iterations: int = 140, test: DataFrame | None = None):
-    """Gradient-boosted trees of four leaves; predictions of `test`, or of `df`. No monotone constraints: see sign_audit."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    assembled = lambda d: VectorAssembler(inputCols=[f"_{f}" for f in features], outputCol="_features").transform(d.withColumns({f"_{f}": F.coalesce(clean(f), F.lit(0.0)) for f in features}))
-    rows = assembled(df)
-    model = GBTRegressor(featuresCol="_features", labelCol=y, predictionCol="pred", maxIter=iterations, maxDepth=2, stepSize=0.05, subsamplingRate=0.6, minInstancesPerNode=5, seed=7).fit(rows)
-    return model.transform(rows if test is None else assembled(test)).select(*df.columns, "pred")
-
-
 def sign_audit(weights: DataFrame, prior: dict[str, int]) -> DataFrame:
     """Fitted signs against the prior: feature, weight, prior, agrees (null where there is none)."""
     known = F.create_map(*(x for f, s in prior.items() for x in (F.lit(f), F.lit(s))))
