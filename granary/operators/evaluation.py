@@ -1,8 +1,8 @@
 """Evaluation of predictors out of fold: every metric of a model and of its baselines, ladders of settings, sweeps.
 
-All predictions of an evaluation lie in one long table (name, id, grp, pred, truth), so one pass of each metric
-serves the model and the baselines together. Single-feature baselines follow from the additive statistics
-of all features by fold, in one pass; only their predictions are long.
+Predictions of an evaluation lie in columns of one table, so one pass of each metric serves the model and the
+baselines together; beyond FEW groups in one long table (name, id, grp, pred, truth). Single-feature baselines follow from the additive statistics
+of all features by fold, in one pass.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from granary.functions.exprs import FLAT, clean, pearson, r9, ratio
 from granary.operators import fits as G, labels as L, metrics as M
 from granary.operators.metrics import screened
+from granary.operators.wide_metrics import Wide
 from granary.sources.scratch import stored
 
 # Baselines of one feature each, by name.
@@ -41,13 +42,19 @@ def all_metrics(pred: DataFrame, keys: list[str], group: str = "grp", deadband:
     model = M.top_picks(pred, [*keys, group], PICKS).groupBy(*keys).agg(F.avg("truth").alias("selection_model"))
     oracle = M.top_picks(pred, [*keys, group], PICKS, p="truth").groupBy(*keys, group).agg(F.avg("truth").alias("_o")).groupBy(*keys).agg(F.avg("_o").alias("selection_oracle"))
     out = _joined([plain, M.spearman(pred, keys).drop("n"), within, pairs, regret, model, oracle], keys)
-    out = out.withColumn("within_anchor_spearman", F.coalesce("within_anchor_spearman", F.lit(0.0)))
+    return _with_lift(out.withColumn("within_anchor_spearman", F.coalesce("within_anchor_spearman", F.lit(0.0))))
+
+
+def _with_lift(out: DataFrame) -> DataFrame:
     gain, room = F.col("selection_model") - F.col("selection_random"), F.col("selection_oracle") - F.col("selection_random")
     return out.withColumns({"selection_lift": gain, "frac_of_oracle": F.coalesce(ratio(gain, F.when(F.abs(room) > 1e-15, room)), F.lit(float("nan")))})
 
 
-def single_feature_columns(df: DataFrame, fold: str, ids: list[str], features: list[str], y: str, lam: float = 1.0) -> DataFrame:
-    """ids and _p0, _p1, ...: each feature alone, every fold predicted from all others, in closed form from one pass of sums; last their mean."""
+def single_feature_columns(df: DataFrame, fold: str, ids: list[str], features: list[str], y: str, lam: float = 1.0, of: DataFrame | None = None) -> DataFrame:
+    """ids and _p0, _p1, ...: each feature alone, every fold predicted from all others, in closed form from one pass of sums; last their mean.
+
+    `of`: the rows to predict, if these aren't `df` itself.
+    """
     p = len(features)
     data, means = G.centred(df, features)
     own = stored(G.statistics(data, [fold], p, y), "fold-sums")
@@ -69,6 +76,8 @@ def single_feature_columns(df: DataFrame, fold: str, ids: list[str], features: l
 
     fit = stored(rest.mapInPandas(fitted, f"`{fold}` {kind}, _base double, _m array<double>, _mu array<double>, _slope array<double>"), "fold-fits")  # of known size: few are broadcast
     each = [F.col("_base") + F.col("_slope")[i] * (F.coalesce(F.col("_x")[i], F.col("_m")[i]) - F.col("_mu")[i]) for i in range(p)]
+    if of is not None:
+        data = of.withColumn("_x", F.array(*(clean(f) - F.lit(m) for f, m in zip(features, means))))
     return data.join(fit, fold).select(*ids, *(e.alias(f"_p{i}") for i, e in enumerate([*each, F.col("_base")])))
 
 
@@ -79,11 +88,6 @@ def single_feature_predictions(df: DataFrame, fold: str, ids: list[str], feature
     return wide.select(*ids, F.explode(each).alias("_each")).select(*ids, "_each.feature", "_each.pred")
 
 
-def _long(df: DataFrame, name: str | None = None) -> DataFrame:
-    label = F.lit(name) if name else F.col("feature")
-    return df.select(label.alias("name"), F.col("id"), F.col("grp"), "pred", F.col("truth"))
-
-
 def _varying(df: DataFrame, features: list[str]) -> list[str]:
     spread = df.agg(*(F.stddev_pop(clean(f)).alias(f"_{i}") for i, f in enumerate(features))).first()  # one row
     return [f for i, f in enumerate(features) if spread[i] is not None and spread[i] > FLAT]
@@ -122,19 +126,24 @@ def evaluate(
     scheme = "logo" if scheme == "logo" and chains >= 2 else "loocv"
     fold = "_chain" if scheme == "logo" else "id"
     model = G.oof_predict(data, fold, features, "truth", lam) if scheme == "logo" else G.loocv(data, "id", features, "truth", lam)
-    model = stored(model.select("id", "grp", "pred", "truth"), "evaluation-model")
     varying = _varying(data, features)
     ids = ["id", "grp", "truth"]
-    single = stored(single_feature_predictions(data, fold, ids, varying, "truth", lam), "evaluation-single")
-    mean = G.mean_baseline(data.select(*ids, *([fold] if fold not in ids else [])), fold, "truth").select(*ids, "pred")
-    of = {name: f for name, f in NAMED.items() if f in varying}
-    long = _long(model, "model").unionByName(_long(mean, "predict_mean"))
-    for name, f in of.items():
-        long = long.unionByName(_long(single.filter(F.col("feature") == f), name))
-    scores = stored(all_metrics(long, ["name"], "grp", deadband), "evaluation-scores")
-    half = G.conformal(model.withColumn("_k", F.lit(0)), ["_k"], alpha).select(F.lit("model").alias("name"), "q", "coverage", "indeterminate")
+    single = single_feature_columns(data, fold, [*ids, "pred"], varying, "truth", lam, of=model)
+    of = {name: f"_p{varying.index(f)}" for name, f in NAMED.items() if f in varying}
+    given = {"model": "pred", "predict_mean": f"_p{len(varying)}", **of}
+    wide = stored(single.select(*ids, *(F.col(c).alias(name) for name, c in given.items())), "evaluation-predictions")
+    names = list(given)
+    few = Wide(wide, names)
+    if few.fits:
+        scores = stored(_with_lift(few.metrics(PICKS, deadband).withColumn("within_anchor_spearman", F.coalesce("within_anchor_spearman", F.lit(0.0)))), "evaluation-scores")
+        half = few.conformal("model", alpha).select(F.lit("model").alias("name"), "q", "coverage", "indeterminate")
+    else:
+        long = wide.unpivot(["id", "grp", "truth"], names, "name", "pred").filter("pred is not null")
+        scores = stored(all_metrics(long, ["name"], "grp", deadband), "evaluation-scores")
+        half = G.conformal(wide.select("id", "truth", F.col("model").alias("pred"), F.lit(0).alias("_k")), ["_k"], alpha).select(F.lit("model").alias("name"), "q", "coverage", "indeterminate")
     order = F.element_at(F.map_from_arrays(F.array(*map(F.lit, features)), F.array(*map(F.lit, range(len(features))))), F.col("feature"))
-    ranks = M.spearman(single.withColumn("pred", r9("pred")), ["feature", "grp"]).filter("n >= 2").groupBy("feature").agg(F.avg("spearman").alias("s"))
+    rounded = single.select(*ids, *(r9(f"_p{i}").alias(f) for i, f in enumerate(varying)))  # equal to nine decimals is a tie
+    ranks = screened(rounded, "grp", varying, "truth").filter("n >= 2").groupBy("feature").agg(F.avg("spearman").alias("s"))
     best = ranks.agg(F.min(F.struct((-r9("s")).alias("s"), order.alias("i"), "feature")).alias("_b")).select(F.lit("model").alias("name"), F.col("_b.feature").alias("best_single_feature"), (-F.col("_b.s")).alias("best_single_spearman"))
     difficulty = scores.agg(F.max(F.when(F.col("name") == "difficulty_only", F.col("within_anchor_spearman"))).alias("_d")).select(F.lit("model").alias("name"), "_d")
     out = _joined([scores, half, best, difficulty], ["name"]).withColumns({"scheme": F.lit(scheme), "label": F.lit(label), "n_features": F.lit(len(features))})

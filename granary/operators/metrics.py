@@ -70,22 +70,21 @@ PAIR_BUCKET, PAIR_GRID = 1 << 16, 2048
 
 
 def _inversions(order: np.ndarray, part: np.ndarray, parts: int) -> np.ndarray:
-    """For each part of a sequence (parts lie one after another) its pairs in the wrong order, by merging sorted blocks."""
-    n, width = len(order), 1
-    ranks, place = np.empty(n, np.int64), np.arange(n)
-    ranks[np.lexsort((order, part))] = place
-    total = np.zeros(parts, np.int64)
-    while width < n:
-        block = place // (2 * width)
-        merged = np.lexsort((ranks, block))  # both halves of each block in the order of their ranks
-        left = (merged // width) % 2 == 0
-        seen = np.append(0, np.cumsum(left))
-        begin = block * 2 * width  # where a block begins
-        lefts = seen[np.minimum(begin + 2 * width, n)] - seen[begin]
-        right = np.flatnonzero(~left)
-        above = lefts[right] - (seen[right] - seen[begin[right]])
-        total += np.bincount(part[merged[right]], above, parts).astype(np.int64)
-        width *= 2
+    """For each part of a sequence (parts lie one after another) its pairs in the wrong order, by splitting ranks bit by bit, the highest first."""
+    n = len(order)
+    values = np.empty(n, np.int64)
+    values[np.lexsort((order, part))] = np.arange(n)
+    total, place = np.zeros(parts, np.int64), np.arange(n)
+    for bit in range(max(n - 1, 0).bit_length() - 1, -1, -1):
+        one = (values >> bit) & 1
+        seen = np.append(0, np.cumsum(one))
+        begin = (values >> (bit + 1)) << (bit + 1)  # ranks that agree in all higher bits lie together, in the order of the sequence
+        ones = seen[:-1] - seen[begin]
+        zero = one == 0
+        total += np.bincount(part[values[zero]], ones[zero], parts).astype(np.int64)  # a part's ranks are its places
+        split = np.empty(n, np.int64)
+        split[np.where(zero, place - ones, begin + (1 << bit) + ones)] = values
+        values = split
     return total
 
 
